@@ -81,8 +81,8 @@ def _quality_sql() -> str:
     return rf"""
 WITH base AS (
   SELECT doc_id, lang, source, coalesce(text, '') AS text,
-         list_filter(regexp_split_to_array(coalesce(text, ''), '{_WS}'), w -> w <> '') AS w,
-         list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_replace(x, '{_WS}', '', 'g') <> '') AS lines
+         list_filter(regexp_split_to_array(coalesce(text, ''), '{_WS}'), lambda w: w <> '') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_replace(x, '{_WS}', '', 'g') <> '') AS lines
   FROM documents),
 win AS (
   SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n

@@ -15,8 +15,8 @@ grids it shares only.  What the join emits is therefore links and nothing else.
 Scale.  Equal texts meet as one fingerprint before any join, so groups of copies cost
 one row however large they are.  A cell's key carries about 23 bits of entropy times
 70 grids; the shuffle is 70 short rows for each distinct fingerprint.  Components are
-found by alternating neighbour minima and pointer jumping over links between distinct
-fingerprints; nothing is collected.
+found by hooking and contracting links between distinct fingerprints; nothing is
+collected.
 """
 
 from __future__ import annotations
@@ -143,27 +143,34 @@ def links(fps: DataFrame) -> DataFrame:
 def components(nodes: DataFrame, pairs: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components: ``(node, root)`` for every node that has a link.
 
-    ``nodes`` (node, label long not null): the component's root is its smallest label.
-    ``pairs`` (a, b).  Each round takes the smallest label among a node's neighbours,
-    then jumps along the pointers, so that chains halve; rounds are written to the
-    shared folder and end when nothing changes.
+    ``nodes`` (node, label not null): a component's root is its smallest label.
+    ``pairs`` (a, b).  Each round hooks every node to its smallest neighbour, follows the
+    hooks to their ends by doubling, and contracts the links: those inside a tree and
+    repeats go, so a dense group costs its links once and next to nothing afterwards.
+    Rounds are written to the shared folder.
     """
-    both = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    # links between labels, both directions
     lab = nodes.select("node", "label")
-    edges = materialize(
-        both.join(lab.select(F.col("node").alias("a"), F.col("label").alias("u")), "a").join(lab.select(F.col("node").alias("b"), F.col("label").alias("v")), "b").select("u", "v").distinct(),
-        "links",
-    )
-    state = materialize(edges.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("root")), "roots")
+    left, right = lab.select(F.col("node").alias("a"), F.col("label").alias("u")), lab.select(F.col("node").alias("b"), F.col("label").alias("v"))
+    edges = materialize(pairs.select("a", "b").join(left, "a").join(right, "b").select("u", "v").where("u <> v").distinct(), "links")
+    roots = None
     for _ in range(max_rounds):
-        near = edges.join(state.select(F.col("u").alias("v"), F.col("root").alias("r")), "v").groupBy("u").agg(F.min("r").alias("r"))
-        low = state.join(near, "u").select("u", F.least("root", "r").alias("low"), "root")
-        jump = low.select(F.col("u").alias("low"), F.col("low").alias("far"))
-        new = materialize(low.join(jump, "low").select("u", F.least("low", "far").alias("root"), (F.least("low", "far") != F.col("root")).alias("moved")), "roots")
-        state = new.select("u", "root")
-        if not new.where("moved").limit(1).count():
-            return lab.join(state, F.col("label") == F.col("u")).select("node", "root")
+        ends = edges.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v")
+        hooks = materialize(ends.groupBy("u").agg(F.min("v").alias("near")).select("u", F.least("u", "near").alias("root")), "hooks")
+        for _ in range(max_rounds):
+            up = hooks.select(F.col("u").alias("root"), F.col("root").alias("far"))
+            hooks = materialize(hooks.join(up, "root").select("u", F.col("far").alias("root"), (F.col("far") != F.col("root")).alias("moved")), "hooks")
+            if not hooks.where("moved").limit(1).count():
+                break
+        hooks = hooks.select("u", "root")
+        if roots is None:
+            roots = hooks
+        else:
+            further = hooks.select(F.col("u").alias("root"), F.col("root").alias("far"))
+            roots = materialize(roots.join(further, "root", "left").select("u", F.coalesce("far", "root").alias("root")), "roots")
+        at_u, at_v = hooks.select("u", F.col("root").alias("x")), hooks.select(F.col("u").alias("v"), F.col("root").alias("y"))
+        edges = materialize(edges.join(at_u, "u").join(at_v, "v").where("x <> y").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct(), "links")
+        if not edges.limit(1).count():
+            return lab.join(roots, F.col("label") == F.col("u")).select("node", "root")
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
