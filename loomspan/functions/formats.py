@@ -27,7 +27,7 @@ def signed(v: Column) -> Column:
 
 def truncate_words(text: Column, n: int) -> Column:
     """At most ``n`` characters, cut back to a word's end, with an ellipsis."""
-    return F.when(F.length(text) > n, F.concat(F.regexp_replace(F.substring(text, 1, n), r"\s+\S*$", ""), F.lit("…"))).otherwise(text)
+    return F.when(F.length(text) > n, F.concat(F.regexp_replace(F.substring(text, 1, n), r"\s+\S*\z", ""), F.lit("…"))).otherwise(text)
 
 
 def join_names(names: Column) -> Column:

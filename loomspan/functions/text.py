@@ -125,7 +125,7 @@ def heading_choice(text: Column, patterns=CHAPTER_HEADINGS, least: int = 3) -> C
 def last_line(text: Column) -> Column:
     """The last line that is not blank, stripped; empty where there is none."""
     lines = F.filter(F.transform(F.split(text, r"\r\n|\n|\r"), strip), lambda x: x != "")
-    return F.coalesce(F.element_at(lines, -1), F.lit("")) if lines is not None else lines
+    return F.coalesce(F.try_element_at(lines, F.lit(-1)), F.lit(""))
 
 
 def parse_chapter(text: Column) -> Column:

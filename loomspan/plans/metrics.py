@@ -71,11 +71,11 @@ def by_type_breakdown(spark, sf_dir):
     return rows.groupBy("model", "mode", "ptype").agg(F.round(M.exact_mean("apf"), 3).alias("mean"), F.count("*").alias("n"))
 
 
-@query(f"""WITH {RECORDS} SELECT slice, novel, "character", ROUND({mean_sql('apf')}, 2) AS mean, COUNT(*) AS n FROM rec GROUP BY GROUPING SETS ((slice), (slice, novel), (slice, novel, "character"))""")
+@query(f"""WITH {RECORDS} SELECT slice, COALESCE(novel, 'all') AS novel, COALESCE("character", -1) AS "character", ROUND({mean_sql('apf')}, 2) AS mean, COUNT(*) AS n FROM rec GROUP BY GROUPING SETS ((slice), (slice, novel), (slice, novel, "character"))""")
 def multi_grain_pool(spark, sf_dir):
     """Slice, novel and character pools in one pass."""
     out = M.grains(records(spark, sf_dir), [["slice"], ["slice", "novel"], ["slice", "novel", "character"]], [F.round(M.exact_mean("apf"), 2).alias("mean"), F.count("*").alias("n")])
-    return out.select("slice", "novel", "character", "mean", "n")
+    return out.select("slice", F.coalesce("novel", F.lit("all")).alias("novel"), F.coalesce("character", F.lit(-1)).alias("character"), "mean", "n")
 
 
 @query(f"""WITH {RECORDS}, m AS (SELECT slice, mode, novel, {mean_sql('apf')} m FROM rec GROUP BY ALL) SELECT slice, mode, ROUND(AVG(ROUND(m, 2)), 2) AS mean, COUNT(*) AS n FROM m GROUP BY ALL""")
@@ -186,11 +186,11 @@ def catalog_totals(spark, sf_dir):
     )
 
 
-@query("""SELECT n_name, ROUND(c_acctbal, 2) AS v, ROUND(GREATEST(LEAST((c_acctbal / 100 - 20) / 80, 1), 0), 6) AS heat, CASE WHEN c_acctbal / 100 >= 70 THEN 'hi' WHEN c_acctbal / 100 <= 35 THEN 'lo' ELSE 'mid' END AS cls FROM customer JOIN nation ON c_nationkey = n_nationkey""")
+@query("""SELECT n_name, ROUND(c_acctbal, 2) AS v, ROUND(GREATEST(LEAST((c_acctbal / 100 - 20) / 80, 1), 0), 8) AS heat, CASE WHEN c_acctbal / 100 >= 70 THEN 'hi' WHEN c_acctbal / 100 <= 35 THEN 'lo' ELSE 'mid' END AS cls FROM customer JOIN nation ON c_nationkey = n_nationkey""")
 def heat_and_class(spark, sf_dir):
     """Heat scale and score class."""
     from ..functions.formats import heat, score_class
 
     t = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     v = F.col("c_acctbal") / 100
-    return t.select("n_name", F.round("c_acctbal", 2).alias("v"), F.round(heat(v), 6).alias("heat"), score_class(v).alias("cls"))
+    return t.select("n_name", F.round("c_acctbal", 2).alias("v"), F.round(heat(v), 8).alias("heat"), score_class(v).alias("cls"))
