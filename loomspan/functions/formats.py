@@ -17,7 +17,7 @@ def score_class(v: Column) -> Column:
 
 def one_decimal(v: Column) -> Column:
     """``.1f``, a null as two dashes."""
-    return F.coalesce(F.format_string("%.1f", v), F.lit("--")) if v is not None else F.lit("--")
+    return F.when(v.isNull(), "--").otherwise(F.format_string("%.1f", v))
 
 
 def signed(v: Column) -> Column:

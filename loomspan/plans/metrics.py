@@ -119,7 +119,7 @@ def lift_vs_vanilla(spark, sf_dir):
 
 
 _OTHER = _MEANS + f""", o AS (SELECT novel, model, mode, v, ROW_NUMBER() OVER (PARTITION BY novel, model ORDER BY v DESC, {RANK}) rn FROM m WHERE mode <> '{TARGET}'),
-l AS (SELECT t.novel, t.model, ROUND(t.v, 6) AS target, ROUND(o.v, 6) AS best_other, o.mode AS best_other_mode, ROUND(t.v - o.v, 6) AS lift FROM m t JOIN o ON t.novel = o.novel AND t.model = o.model AND rn = 1 WHERE t.mode = '{TARGET}')"""
+g AS (SELECT DISTINCT novel, model FROM m), l AS (SELECT g.novel, g.model, ROUND(t.v, 6) AS target, ROUND(o.v, 6) AS best_other, o.mode AS best_other_mode, ROUND(t.v - o.v, 6) AS lift FROM g LEFT JOIN m t ON t.novel = g.novel AND t.model = g.model AND t.mode = '{TARGET}' LEFT JOIN o ON o.novel = g.novel AND o.model = g.model AND rn = 1)"""
 
 
 def _lifts(spark, sf_dir):
