@@ -66,6 +66,17 @@ def result_file(name: Column) -> Column:
     return F.when(name.rlike(x), F.struct(F.regexp_extract(name, x, 1).alias("mode"), F.regexp_extract(name, x, 2).alias("model")))
 
 
+def records_file(tag: Column, include_thought: Column, kind: str = "eval_records") -> Column:
+    """Name of a judge's record file; the ablation without thoughts has its own."""
+    return F.concat(F.lit(f"{kind}_"), tag, F.when(include_thought, "").otherwise("_nothought"), F.lit(".jsonl"))
+
+
+def vocabulary_rank(value: Column, order) -> Column:
+    """Place in a fixed vocabulary, for sorting; what it lacks comes last."""
+    at = F.array_position(F.array(*map(F.lit, order)), value)
+    return F.when(at > 0, at).otherwise(len(order) + 1)
+
+
 def chapter_number(path: Column) -> Column:
     """N of ``chapter_N.txt``; null for other names."""
     n = F.regexp_extract(path, r"chapter_(\d+)\.txt$", 1)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .records import with_each
+
 SPOILERS = ("literary_validation", "evidence_summary")
 ENDING = ("pole_end", "arc_direction")
 VOTES_NEEDED = 2
@@ -54,12 +56,9 @@ def critic_tag(confirmed: Column) -> Column:
     return F.when(confirmed >= 2, "valid").when(confirmed == 1, "partial").otherwise("none")
 
 
-def critic_ensemble(axes: DataFrame, verdicts: DataFrame, evaluators: DataFrame, keys: list[str]) -> DataFrame:
-    """A critic confirms with a true verdict and a citation; a missing one does not.
-
-    The evaluators are three; the grid has three rows an axis.
-    """
-    grid = axes.crossJoin(F.broadcast(evaluators)).join(verdicts, [*keys, "evaluator"], "left")
+def critic_ensemble(axes: DataFrame, verdicts: DataFrame, evaluators: list, keys: list[str]) -> DataFrame:
+    """A critic confirms with a true verdict and a citation; a missing one does not."""
+    grid = with_each(axes, evaluator=evaluators).join(verdicts, [*keys, "evaluator"], "left")
     confirmed = F.coalesce(F.col("verdict"), F.lit(False)) & (F.coalesce(F.size("citations"), F.lit(0)) >= 1)
     return grid.groupBy(*keys).agg(F.count_if(confirmed).alias("confirmed"), F.count("verdict").alias("answered")).withColumn("tag", critic_tag(F.col("confirmed")))
 
@@ -159,6 +158,29 @@ def life_stages(given: DataFrame, axes: DataFrame, key: str, n: str) -> DataFram
     return all_phases.join(given, [key, "phase_idx"], "left").withColumn("life_stage", F.coalesce("life_stage", F.lit("adult")))
 
 
+def probe_view(probe: DataFrame) -> DataFrame:
+    """Display form of a probe: references by phase with their verdicts, the probe's check notes, its weak pairs.
+
+    ``probe``: (probe_id, phase_responses array, probe_check struct(anchor, world, discrimination)).
+    """
+    ref = lambda r: F.struct(r["phase_idx"].alias("phase_idx"), r["gt_action"].alias("action"), r["gt_speech"].alias("speech"), r["gt_thought"].alias("thought"), r["quality"]["voice"]["verdict"].alias("voice"), r["quality"]["phase_fit"]["verdict"].alias("fit"))
+    return probe.select(
+        "probe_id", F.transform(F.array_sort("phase_responses", lambda a, b: (a["phase_idx"] - b["phase_idx"]).cast("int")), ref).alias("refs"),
+        F.coalesce("probe_check.anchor.note", "probe_check.world.note").alias("note"), F.coalesce("probe_check.discrimination.weak_pairs", F.array()).alias("weak_pairs"),
+    )
+
+
+def abstract_ready(phases: Column, n: Column) -> Column:
+    """An out-of-world probe needs one abstract phase for each phase."""
+    return F.coalesce(F.size(phases) == n, F.lit(False))
+
+
+def name_by_slug(characters: DataFrame, slugs: DataFrame) -> DataFrame:
+    """Names by slug; a slug the list lacks is spelled out with capitals."""
+    known = characters.select(F.col("slug"), F.col("character").alias("__name"))
+    return slugs.join(known, "slug", "left").withColumn("character", F.coalesce("__name", F.initcap(F.translate("slug", "_", " ")))).drop("__name")
+
+
 def arc_view(arc: DataFrame, citations: int = 4) -> DataFrame:
     """Display form of an axis: critics as a list out of their map, citations trimmed."""
     critic = lambda e: F.struct(e["key"].alias("evaluator"), e["value"]["verdict"].alias("verdict"), F.slice(e["value"]["citations"], 1, citations).alias("citations"))

@@ -83,6 +83,20 @@ def dpo_rows(df: DataFrame) -> DataFrame:
     return df.select(F.concat(first_present(df, PROMPT), F.lit("\n\n")).alias("prompt"), first_present(df, CHOSEN).alias("chosen"), first_present(df, REJECTED).alias("rejected"))
 
 
+def rollout_prompt(df: DataFrame) -> Column:
+    """System and user prompt of a generation row: given ones, else scenario and question."""
+    have = set(df.columns)
+    pick = lambda *c: F.coalesce(*[F.when(F.trim(x) != "", F.col(x)) for x in c if x in have], F.lit(None).cast("string"))
+    parts = [F.col(c) for c in ("scenario", "question") if c in have]
+    user = F.coalesce(pick("gen_user"), F.concat_ws("\n\n", *parts)) if parts else pick("gen_user")
+    return F.struct(pick("gen_system").alias("system"), user.alias("user"))
+
+
+def not_yet_rolled_out(df: DataFrame, done: DataFrame, index: str = "index") -> DataFrame:
+    """Rows whose index has no output yet."""
+    return df.join(done.select(index), index, "left_anti")
+
+
 def turns_before_last_assistant(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role") -> DataFrame:
     """The same as :func:`prompt_messages` over one row per turn."""
     last = F.max(F.when(F.col(role) == "assistant", F.col(turn))).over(Window.partitionBy(conv))

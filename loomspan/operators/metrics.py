@@ -118,6 +118,13 @@ def flag_block_max(df: DataFrame, block: list[str], value: str, within: float =
     return df.withColumn("is_best", F.coalesce(F.abs(F.col(value) - top) < within, F.lit(False)))
 
 
+def display_score(df: DataFrame, keys: list[str], model: str, value: str, preferred: str, fallback: str) -> DataFrame:
+    """Score of the preferred model, else the fallback's, else the first one by name that has a score."""
+    at = lambda m: F.max(F.when(F.col(model) == m, F.col(value)))
+    first = F.min(F.when(F.col(value).isNotNull(), F.struct(F.col(model).alias("m"), F.col(value).alias("v"))))
+    return df.groupBy(*keys).agg(F.coalesce(at(preferred), at(fallback), first["v"]).alias("score"))
+
+
 def class_means(df: DataFrame, classes: DataFrame, keys: list[str], unit: str, value: str) -> DataFrame:
     """Two weightings side by side: all probes pooled, and the unweighted mean over units.
 

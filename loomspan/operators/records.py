@@ -56,9 +56,16 @@ def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return df.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
 
 
-def pending(trials: DataFrame, modes: DataFrame, models: DataFrame, done: DataFrame, id_of) -> DataFrame:
-    """Every trial in every mode and model, less the finished ids.  Modes and models are short lists."""
-    grid = trials.crossJoin(F.broadcast(modes)).crossJoin(F.broadcast(models))
+def with_each(df: DataFrame, **values) -> DataFrame:
+    """Every row once for each combination of the given short lists: an expansion in place, no join."""
+    for name, options in values.items():
+        df = df.withColumn(name, F.explode(F.array(*map(F.lit, options))))
+    return df
+
+
+def pending(trials: DataFrame, modes: list, models: list, done: DataFrame, id_of) -> DataFrame:
+    """Every trial in every mode and model, less the finished ids."""
+    grid = with_each(trials, mode=modes, model=models)
     return grid.withColumn("trial_id", id_of(grid)).join(done.select("trial_id"), "trial_id", "left_anti")
 
 
@@ -85,12 +92,9 @@ def manifest_filter(df: DataFrame, manifest: DataFrame) -> DataFrame:
     return df.join(pairs, ["probe_id", "phase_idx", "mode"], "left_semi")
 
 
-def missing_cells(dims: list[DataFrame], have: DataFrame, keys: list[str]) -> DataFrame:
-    """Cells of the full grid that have no value.  The dimensions are short lists."""
-    grid = dims[0]
-    for d in dims[1:]:
-        grid = grid.crossJoin(F.broadcast(d))
-    return grid.join(have.select(*keys).distinct(), keys, "left_anti")
+def missing_cells(rows: DataFrame, have: DataFrame, keys: list[str], **values) -> DataFrame:
+    """Cells of the full grid (rows times short lists) that have no value."""
+    return with_each(rows, **values).join(have.select(*keys).distinct(), keys, "left_anti")
 
 
 def file_gaps(expected: DataFrame, files: DataFrame, rows: DataFrame, key: str) -> DataFrame:

@@ -73,7 +73,7 @@ def containment(texts: DataFrame, names: DataFrame, id_col: str, text_col: str,
             out, held = found(held) if out is None else out.union(found(held)), []
     if held:
         out = found(held) if out is None else out.union(found(held))
-    return out if out is not None else norm_texts.limit(0).crossJoin(names.select(name_id).limit(0)).select(id_col, name_id)
+    return out if out is not None else norm_texts.where("false").select(id_col, F.lit(None).cast(names.schema[name_id].dataType).alias(name_id))
 
 
 def trailing_window(summaries: DataFrame, queries: DataFrame, key: str, chapter: str, query_chapter: str, n: int = TRAILING) -> DataFrame:
@@ -98,6 +98,67 @@ def summary_context(pieces: Column, missing: Column) -> Column:
     return F.when(F.size(all_parts) > 0, F.array_join(all_parts, "\n\n"))
 
 
+#: Context builders by mode; users add their own.
+BUILDERS: dict = {}
+
+
+def builder(mode: str):
+    """Registers a context builder: a function from trials to trials with a ``context`` column."""
+
+    def add(f):
+        BUILDERS[mode] = f
+        return f
+
+    return add
+
+
+@builder("vanilla")
+def no_context(trials: DataFrame) -> DataFrame:
+    return trials.withColumn("context", F.lit(None).cast("string"))
+
+
+def build_context(mode: str, trials: DataFrame, **inputs) -> DataFrame:
+    """Contexts of a mode; an unknown mode is an error."""
+    if mode not in BUILDERS:
+        raise ValueError(f"unknown mode {mode!r}; known: {', '.join(sorted(BUILDERS))}")
+    return BUILDERS[mode](trials, **inputs)
+
+
+@builder("summary")
+def summary_contexts(trials: DataFrame, summaries: DataFrame, n: int = TRAILING) -> DataFrame:
+    """The trailing chapters' summaries, in order, and a note on the missing ones."""
+    want = trials.select("novel", "query_chapter").distinct().where("query_chapter >= 1").withColumn("chapter", F.explode(F.sequence(F.greatest(F.lit(1), F.col("query_chapter") - n + 1), F.col("query_chapter"))))
+    got = want.join(summaries.select("novel", "chapter", "summary"), ["novel", "chapter"], "left")
+    piece = F.when(F.col("summary").isNotNull(), F.struct("chapter", "summary"))
+    gone = F.when(F.col("summary").isNull(), F.col("chapter"))
+    ctx = got.groupBy("novel", "query_chapter").agg(summary_context(F.array_sort(F.collect_list(piece)), F.array_sort(F.collect_list(gone))).alias("context"))
+    return trials.join(ctx, ["novel", "query_chapter"], "left")
+
+
+@builder("arc")
+def arc_contexts(trials: DataFrame, axes: DataFrame) -> DataFrame:
+    """The character's axes as they may be seen at the query chapter, as JSON.
+
+    ``axes``: one row per axis with (novel, character, trajectory, ...).
+    """
+    from .arcs import curate
+
+    points = trials.select("novel", "character", "query_chapter").distinct()
+    seen = curate(axes.join(points, ["novel", "character"]), "query_chapter")
+    fields = [c for c in seen.columns if c not in ("novel", "character", "query_chapter")]
+    ctx = seen.groupBy("novel", "character", "query_chapter").agg(F.to_json(F.sort_array(F.collect_list(F.struct(*fields)))).alias("context"))
+    return trials.join(ctx, ["novel", "character", "query_chapter"], "left")
+
+
+@builder("rag")
+def rag_contexts(trials: DataFrame, chunks: DataFrame, queries: DataFrame, k: int = TOP_K) -> DataFrame:
+    """The top chunks of each query, best first.  ``queries`` as in :func:`masked_top_k`, by ``query_id``."""
+    top = masked_top_k(chunks.select("novel", "chapter", "chunk_idx", "vec"), queries, k)
+    texts = top.join(chunks.select("novel", "chapter", "chunk_idx", "text"), ["novel", "chapter", "chunk_idx"])
+    ctx = texts.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "chapter", "text"))), lambda x: F.concat(F.lit("[Chapter "), x["chapter"].cast("string"), F.lit("]\n"), x["text"])), "\n\n").alias("context"))
+    return trials.join(ctx, "query_id", "left")
+
+
 def in_range(events: DataFrame, phases: DataFrame, key: str, chapter: str, lo: str, hi: str, order: str, most: int = 30) -> DataFrame:
     """Events whose chapter lies in a phase's range, the first ``most`` by order."""
     joined = events.join(phases, key).where(F.col(chapter).between(F.col(lo), F.col(hi)))

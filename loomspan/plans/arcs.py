@@ -74,8 +74,7 @@ def critic_ensemble(spark, sf_dir):
     """Three critics, missing ones do not confirm."""
     name = F.when(F.col("l_linenumber") == 1, "h").when(F.col("l_linenumber") == 2, "p").otherwise("s")
     v = table(spark, sf_dir, "lineitem").where("l_linenumber <= 3").groupBy(F.col("l_orderkey").alias("k"), name.alias("evaluator")).agg(F.bool_or(F.col("l_tax") > 0.02).alias("verdict"), F.collect_list("l_partkey").alias("citations"))
-    ev = spark.createDataFrame([("h",), ("p",), ("s",)], "evaluator string")
-    return A.critic_ensemble(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k")), v, ev, ["k"])
+    return A.critic_ensemble(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k")), v, ["h", "p", "s"], ["k"])
 
 
 @query("""SELECT c_custkey AS axis_id, CASE WHEN s_suppkey IS NOT NULL THEN s_name ELSE c_name END AS axis_name, s_suppkey IS NULL AS stub FROM customer LEFT JOIN supplier ON c_custkey = s_suppkey""")

@@ -21,7 +21,7 @@ def query(sql: str | None = None):
     return add
 
 
-def _list(spark, name, values):
+def _list(spark, name, values):  # wanted values as a table, for semi joins
     return spark.createDataFrame([(v,) for v in values], f"{name} string")
 
 
@@ -64,7 +64,7 @@ def resume_anti_join(spark, sf_dir):
     pid = F.concat(F.lit("c"), F.col("conv_id").cast("string"))
     name = lambda df: ids.trial_id(F.concat(F.lit("c"), df["conv_id"].cast("string")), F.lit(0), df["mode"], df["model"])
     done = c.where("role IN ('user', 'assistant') AND turn > 1").select(ids.trial_id(pid, F.lit(0), F.when(F.col("role") == "user", "vanilla").otherwise("arc"), F.lit("a/b")).alias("trial_id")).distinct()
-    return R.pending(c.select("conv_id").distinct(), _list(spark, "mode", ["vanilla", "arc"]), _list(spark, "model", ["a/b", "c:d"]), done, name).select("trial_id")
+    return R.pending(c.select("conv_id").distinct(), ["vanilla", "arc"], ["a/b", "c:d"], done, name).select("trial_id")
 
 
 @query("""WITH r AS (SELECT DISTINCT l_orderkey AS probe_id, l_linenumber AS phase_idx, l_returnflag AS mode FROM lineitem), t AS (SELECT o_orderkey AS probe_id, (o_orderkey % 7 + 1)::INT AS phase_idx, o_orderstatus AS model FROM orders)
@@ -114,8 +114,8 @@ def missing_responses(spark, sf_dir):
 h AS (SELECT DISTINCT novel, mode, ptype FROM rec WHERE apf > 49 AND model = 'P') SELECT g.* FROM g WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.novel = g.novel AND h.mode = g.mode AND h.ptype = g.ptype)""")
 def missing_cells(spark, sf_dir):
     """Cells of the grid that have no value."""
-    dims = [table(spark, sf_dir, "nation").select(F.col("n_name").alias("novel")), _list(spark, "mode", MODES), _list(spark, "ptype", TYPES)]
-    return R.missing_cells(dims, records(spark, sf_dir).where("apf > 49 AND model = 'P'"), ["novel", "mode", "ptype"]).select("novel", "mode", "ptype")
+    novels = table(spark, sf_dir, "nation").select(F.col("n_name").alias("novel"))
+    return R.missing_cells(novels, records(spark, sf_dir).where("apf > 49 AND model = 'P'"), ["novel", "mode", "ptype"], mode=MODES, ptype=TYPES).select("novel", "mode", "ptype")
 
 
 @query("""WITH e AS (SELECT c_custkey AS k FROM customer), f AS (SELECT DISTINCT o_custkey AS k FROM orders), u AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_totalprice > 400000)

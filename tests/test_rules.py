@@ -301,3 +301,36 @@ def test_gzip_json(spark, tmp_path):
     publish.gzip_json(spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int"), f"file://{tmp_path}/o", ["k"])
     assert spark.read.json(f"file://{tmp_path}/o").count() == 2
     assert any(f.endswith(".json.gz") for _, _, fs in os.walk(tmp_path) for f in fs)
+
+
+def test_context_builders(spark):
+    t = spark.createDataFrame([("n", "c", 6, 1), ("n", "c", 1, 2)], "novel string, character string, query_chapter int, query_id int")
+    s = spark.createDataFrame([("n", 1, "one"), ("n", 5, "five")], "novel string, chapter int, summary string")
+    got = {r.query_id: r.context for r in retrieval.build_context("summary", t, summaries=s).collect()}
+    assert got == {1: "[Chapter 5]\nfive\n\n[note] Missing summaries for chapters: [2, 3, 4, 6]", 2: "[Chapter 1]\none"}
+    ax = spark.createDataFrame([("n", "c", "a1", [(1, "x"), (5, "y")], "end")], "novel string, character string, axis_id string, trajectory array<struct<lo:int,label:string>>, pole_end string")
+    arc = {r.query_id: json.loads(r.context) for r in retrieval.build_context("arc", t, axes=ax).collect()}
+    assert len(arc[1][0]["trajectory"]) == 2 and arc[1][0]["pole_end"] == "end"
+    assert len(arc[2][0]["trajectory"]) == 1 and "pole_end" not in arc[2][0]
+    ch = spark.createDataFrame([("n", 1, 0, "t1", [1.0, 0.0]), ("n", 9, 0, "t9", [0.0, 1.0])], "novel string, chapter int, chunk_idx int, text string, vec array<float>")
+    q = t.select("novel", "query_id", "query_chapter", F.array(F.lit(0.0), F.lit(1.0)).cast("array<float>").alias("qvec"))
+    assert {r.context for r in retrieval.build_context("rag", t, chunks=ch, queries=q).collect()} == {"[Chapter 1]\nt1"}
+    assert retrieval.build_context("vanilla", t).first().context is None
+    with pytest.raises(ValueError, match="unknown mode"):
+        retrieval.build_context("other", t)
+
+
+def test_views_and_leftovers(spark):
+    assert {r.slug: r.character for r in A.name_by_slug(spark.createDataFrame([("A B", "a_b")], "character string, slug string"), spark.createDataFrame([("a_b",), ("c_d",)], "slug string")).collect()} == {"a_b": "A B", "c_d": "C D"}
+    q = "quality struct<voice:struct<verdict:string>,phase_fit:struct<verdict:string>>"
+    p = spark.createDataFrame([("p", [(1, "b", None, "t", (("pass",), ("adjacent",))), (0, "a", None, "t", (("fail",), None))], ((None,), ("w",), ([("x",)],)))], f"probe_id string, phase_responses array<struct<phase_idx:int,gt_action:string,gt_speech:string,gt_thought:string,{q.replace('quality ', 'quality:')}>>, probe_check struct<anchor:struct<note:string>,world:struct<note:string>,discrimination:struct<weak_pairs:array<struct<note:string>>>>")
+    v = A.probe_view(p).first()
+    assert [r.action for r in v.refs] == ["a", "b"] and v.refs[0].fit is None and v.note == "w" and len(v.weak_pairs) == 1
+    assert one(spark, ids.records_file(F.lit("gpt"), F.lit(False))) == "eval_records_gpt_nothought.jsonl"
+    assert [r.m for r in spark.createDataFrame([("arc",), ("x",), ("vanilla",)], "m string").orderBy(ids.vocabulary_rank(F.col("m"), ("vanilla", "arc"))).collect()] == ["vanilla", "arc", "x"]
+    df = spark.createDataFrame([(1, " ", "s", "q"), (2, "g", "s", "q")], "index int, gen_user string, scenario string, question string")
+    assert [r.p.user for r in C.not_yet_rolled_out(df, df.where("index = 9")).select(C.rollout_prompt(df).alias("p")).collect()] == ["s\n\nq", "g"]
+    d = spark.createDataFrame([(1, "a", 1.0), (1, "b", 2.0), (2, "a", 3.0)], "k int, model string, v double")
+    assert {r.k: r.score for r in M.display_score(d, ["k"], "model", "v", "b", "z").collect()} == {1: 2.0, 2: 3.0}
+    assert one(spark, A.drop_verdict(F.lit("in_text"), F.lit("pass"), F.lit("fail"))) is False and one(spark, A.drop_verdict(F.lit("in_world"), F.lit("pass"), F.lit(None).cast("string"))) is True
+    assert one(spark, F.concat(F.array(F.lit(1)), F.array(F.lit(2)))) == [1, 2] and one(spark, F.array_distinct(F.array(F.lit(2), F.lit(1), F.lit(2)))) == [2, 1]
