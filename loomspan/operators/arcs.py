@@ -44,7 +44,7 @@ def vote_totals(votes: DataFrame, axes: DataFrame, keys: list[str], annotator: s
 
 def file_validity(validity: Column, file_name: Column) -> Column:
     """In numbered annotation files a partial vote counts as valid."""
-    return F.when((validity == "partial") & file_name.rlike(r"_\d+\.json$"), "valid").otherwise(validity)
+    return F.when((validity == "partial") & file_name.rlike(r"_annotations[^/]*\d[^/]*\.json$"), "valid").otherwise(validity)
 
 
 def orphans(votes: DataFrame, axes: DataFrame, keys: list[str]) -> DataFrame:
@@ -128,8 +128,57 @@ def weak_pairs(probes: DataFrame, probe: str, pairs: str, labels: str) -> DataFr
 
 
 def drop_verdict(ptype: Column, anchor: Column, world: Column) -> Column:
-    """Whether a probe goes: in-text probes by the anchor check, others by the world check; no answer fails."""
-    return F.when(ptype == "in_text", F.coalesce(anchor, F.lit("fail")) == "fail").otherwise(F.coalesce(world, F.lit("fail")) == "fail")
+    """Whether a probe goes: in-text probes by a failed anchor check, others by a failed world check."""
+    return F.coalesce(F.when(ptype == "in_text", anchor).otherwise(world) == "fail", F.lit(False))
+
+
+def verdict_or_fail(verdict: Column, error: Column, failed: str = "fail") -> Column:
+    """A validator whose call failed counts as failed."""
+    return F.when(error.isNotNull() | verdict.isNull(), failed).otherwise(verdict)
+
+
+def annotations(responses: Column, ptype: Column, anchor: Column) -> Column:
+    """Notes on a probe's responses that were read as another phase: adjacent ones, and in-text
+    counterfactuals away from the anchor that missed theirs.  The wording is a fixed value.
+    """
+    at = lambda r: r["quality"]["phase_fit"]["most_likely_phase_idx"].cast("string")
+    head = lambda r: F.concat(F.lit("P"), r["phase_idx"].cast("string"), F.lit(": "))
+
+    def note(r):
+        fit = r["quality"]["phase_fit"]["verdict"]
+        tail = F.concat(head(r), F.lit("auto-marked plausible_tail (Q-PhaseFit placed response at P"), at(r), F.lit(")"))
+        missed = F.concat(head(r), F.lit("① non-anchor counterfactual placed at P"), at(r), F.lit(" — kept for analysis, not dropped"))
+        return F.when(fit == "adjacent", tail).when((fit == "off_phase") & (ptype == "in_text") & (r["phase_idx"] != anchor), missed)
+
+    return F.array_compact(F.transform(responses, note))
+
+
+def generation_filter(axes: DataFrame, stage: str = "stage", tag: str = "validation_tag", wanted: list | None = None, key: str = "axis_id") -> DataFrame:
+    """Axes to make probes for: human-validated ones are final, of others those the critics rejected
+    go; optionally only the wanted ids.
+    """
+    keep = (F.col(stage) == "final_validated") | ~F.coalesce(F.col(tag) == "none_axis", F.lit(False))
+    return axes.where(keep & F.col(key).isin(wanted) if wanted is not None else keep)
+
+
+def flatten_events(blocks: DataFrame) -> DataFrame:
+    """One row per event out of chapter blocks (novel, character, chapter, events); missing fields are empty."""
+    e = blocks.select("novel", "character", "chapter", F.explode("events").alias("e")).where("e IS NOT NULL")
+    return e.select("novel", "character", "chapter", F.coalesce("e.event_id", F.lit("")).alias("event_id"), F.coalesce("e.description", F.lit("")).alias("description"), F.coalesce("e.characters_involved", F.array()).alias("characters_involved"))
+
+
+def annotation_votes(files: DataFrame) -> DataFrame:
+    """Votes out of annotation files (path, entries map of axis key to (character, annotator_id, axis_id, validity)).
+
+    The axis id is the key's where the entry has none; entries without character or annotator
+    are skipped; of an annotator's votes the one in the last file by name counts.
+    """
+    e = files.select("path", F.explode("entries").alias("axis_key", "e"))
+    v = e.select("path", F.col("e.character").alias("character"), F.coalesce("e.axis_id", "axis_key").alias("axis_id"), F.col("e.annotator_id").alias("annotator"), file_validity(F.col("e.validity"), F.col("path")).alias("validity"))
+    full = v.where("coalesce(character, '') <> '' AND coalesce(annotator, '') <> '' AND coalesce(axis_id, '') <> ''")
+    from .records import latest
+
+    return latest(full, ["character", "axis_id", "annotator"], [F.col("path").desc()]).select("character", "axis_id", "annotator", "validity")
 
 
 def needs_retry(voice: Column, fit: Column) -> Column:

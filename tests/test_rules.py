@@ -332,5 +332,36 @@ def test_views_and_leftovers(spark):
     assert [r.p.user for r in C.not_yet_rolled_out(df, df.where("index = 9")).select(C.rollout_prompt(df).alias("p")).collect()] == ["s\n\nq", "g"]
     d = spark.createDataFrame([(1, "a", 1.0), (1, "b", 2.0), (2, "a", 3.0)], "k int, model string, v double")
     assert {r.k: r.score for r in M.display_score(d, ["k"], "model", "v", "b", "z").collect()} == {1: 2.0, 2: 3.0}
-    assert one(spark, A.drop_verdict(F.lit("in_text"), F.lit("pass"), F.lit("fail"))) is False and one(spark, A.drop_verdict(F.lit("in_world"), F.lit("pass"), F.lit(None).cast("string"))) is True
+    assert one(spark, A.drop_verdict(F.lit("in_text"), F.lit("pass"), F.lit("fail"))) is False and one(spark, A.drop_verdict(F.lit("in_world"), F.lit("pass"), F.lit("fail"))) is True and one(spark, A.drop_verdict(F.lit("in_world"), F.lit("fail"), F.lit(None).cast("string"))) is False
     assert one(spark, F.concat(F.array(F.lit(1)), F.array(F.lit(2)))) == [1, 2] and one(spark, F.array_distinct(F.array(F.lit(2), F.lit(1), F.lit(2)))) == [2, 1]
+
+
+def test_dataset_split(spark, tmp_path):
+    for c, v in (("a", 1), ("b", 2)):
+        spark.createDataFrame([(v,)], "x int").write.parquet(f"file://{tmp_path}/d/{c}/train-0.parquet")
+    got = jsonl.dataset_split(spark, "x int", folder=f"file://{tmp_path}/d", configs=["a", "b"])
+    assert sorted(r.x for r in got.collect()) == [1, 2]
+    (tmp_path / "e").mkdir()
+    (tmp_path / "e" / "train.jsonl").write_text('{"x": 5}\n')
+    assert [r.x for r in jsonl.dataset_split(spark, "x int", folder=f"file://{tmp_path}/e").collect()] == [5]
+    with pytest.raises(FileNotFoundError):
+        jsonl.dataset_split(spark, "x int", folder=f"file://{tmp_path}/e", split="test")
+    with pytest.raises(ValueError):
+        jsonl.dataset_split(spark, "x int")
+
+
+def test_axis_and_event_rules(spark):
+    ax = spark.createDataFrame([("a", "final_validated", "none_axis"), ("b", "final_auto", "none_axis"), ("c", "final_auto", None), ("d", "final_auto", "valid_axis")], "axis_id string, stage string, validation_tag string")
+    assert [r.axis_id for r in A.generation_filter(ax).collect()] == ["a", "c", "d"]
+    assert [r.axis_id for r in A.generation_filter(ax, wanted=["b", "d"]).collect()] == ["d"]
+    ev = spark.createDataFrame([("n", "c", 1, [("e1", None, None), None]), ("n", "c", 2, [])], "novel string, character string, chapter int, events array<struct<event_id:string,description:string,characters_involved:array<string>>>")
+    assert [(r.event_id, r.description, r.characters_involved) for r in A.flatten_events(ev).collect()] == [("e1", "", [])]
+    e = "entries map<string,struct<character:string,annotator_id:string,axis_id:string,validity:string>>"
+    f = spark.createDataFrame([("x_annotations_0511.json", {"k1": ("A", "u", None, "partial"), "k2": ("A", None, None, "valid")}), ("x_annotations_b.json", {"k1": ("A", "u", "k1", "partial")}), ("x_annotations.json", {})], f"path string, {e}")
+    assert [(r.axis_id, r.annotator, r.validity) for r in A.annotation_votes(f).collect()] == [("k1", "u", "partial")]
+    assert [r.validity for r in A.annotation_votes(f.where("path LIKE '%0511%'")).collect()] == ["valid"]
+    r = "array<struct<phase_idx:int,quality:struct<phase_fit:struct<verdict:string,most_likely_phase_idx:int>>>>"
+    p = spark.createDataFrame([([(0, (("adjacent", 1),)), (1, (("off_phase", 0),)), (2, (("off_phase", 0),)), (3, None)],)], f"r {r}")
+    got = p.select(A.annotations(F.col("r"), F.lit("in_text"), F.lit(1)).alias("x")).first().x
+    assert [g[:3] for g in got] == ["P0:", "P2:"] and "plausible_tail" in got[0] and "non-anchor" in got[1]
+    assert one(spark, A.verdict_or_fail(F.lit("pass"), F.lit("boom"))) == "fail" and one(spark, A.verdict_or_fail(F.lit("pass"), F.lit(None))) == "pass"
