@@ -1,13 +1,14 @@
 """Quality classifier by compression.
 
 Two Zstandard dictionaries are trained, one on good and one on bad labelled text.  A text
-is cut into blocks (all of it), every block is compressed once with each dictionary, and
+is cut into short blocks (all of it), so that the dictionary and not the text itself is what
+matches are found in; every block is compressed once with each dictionary, and
 the normalised difference of the summed sizes, (bad - good) / (bad + good), tells which
 kind the text is closer to.  A logistic curve fitted on other labelled rows turns it into
 a probability.
 
-The model is fitted on bounded samples: ``DICT_BLOCKS`` blocks of ``BLOCK`` bytes for each
-class, and ``CALIBRATION_ROWS`` labelled rows for each class.  Scoring is one pass over
+The model is fitted on bounded samples: ``CLASS_ROWS`` labelled rows for each class and
+fold, of them ``DICT_BLOCKS`` blocks of ``BLOCK`` characters a dictionary.  Scoring is one pass over
 the texts without a shuffle; the model is a few hundred kilobytes in the task's closure.
 """
 
@@ -18,13 +19,13 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import materialize, release, small_batches
 
-BLOCK = 4096
+BLOCK = 512
 LEVEL = 3
-DICT_BYTES = 48 << 10
-DICT_BLOCKS = 800
-CALIBRATION_ROWS = 1500
+DICT_BYTES = 112_640
+DICT_BLOCKS = 6000
+CLASS_ROWS = 1500
 #: Rows whose crc32(id as text) mod 3 is this never take part in learning.
 HELD_OUT = 1
 
@@ -83,10 +84,42 @@ def logistic(x, y, weight, rounds: int = 50, ridge: float = 1e-3) -> tuple[float
     return float(a[0] / scale), float(a[1])
 
 
+def chosen_ids(docs: DataFrame, labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
+    """(l_id, y, f): a bounded hash sample of what may be learned from, per class and fold.
+
+    Rows with one agreed label that are there and not held out.  Only ids are looked at, so no
+    text moves; ``CLASS_ROWS`` rows for each of two classes and two folds at most.
+    """
+    agreed = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("l_id")).agg(F.min(label_col).alias("y"), F.max(label_col).alias("y2")).where("y = y2")
+    there = agreed.where(fold("l_id") != HELD_OUT).join(docs.select(F.col(id_col).cast("long").alias("l_id")), "l_id", "left_semi").select("l_id", F.col("y").cast("int").alias("y"), fold("l_id").cast("int").alias("f"))
+    picked = None
+    for y in (0, 1):
+        for f in (0, 2):
+            part = there.where((F.col("y") == y) & (F.col("f") == f)).orderBy(F.xxhash64("l_id"), "l_id").limit(CLASS_ROWS)
+            picked = part if picked is None else picked.union(part)
+    return materialize(picked, "chosen")
+
+
 def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
-    """(id, text, y, f) of rows to learn from: one agreed label, and not held out."""
-    agreed = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("l_id")).agg(F.min(label_col).alias("y"), F.max(label_col).alias("y2")).where("y = y2")
-    return docs.where(fold(id_col) != HELD_OUT).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), fold(id_col).alias("f")).join(agreed.select("l_id", "y"), F.col("id") == F.col("l_id")).select("id", "text", "y", "f")
+    """(id, text, y, f) of the rows to learn from: a bounded sample."""
+    ids = F.broadcast(chosen_ids(docs, labels, id_col, label_col))  # 4 * CLASS_ROWS rows at most
+    src = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    return src.join(ids, F.col("id") == F.col("l_id")).select("id", "text", "y", "f")
+
+
+def differences(rows: DataFrame, model: Model):
+    """(difference, y) of labelled rows, measured where they lie; two numbers a row come back."""
+    small_batches(rows.sparkSession)
+
+    def run(batches):
+        import pyarrow as pa
+
+        of = model.difference()
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([of(t) for t in b.column("text").to_pylist()], type=pa.float64()), b.column("y")], names=["d", "y"])
+
+    got = rows.select("text", "y").mapInArrow(run, "d double, y int").toPandas().sort_values(["d", "y"])
+    return got["d"].to_numpy(), got["y"].to_numpy().astype(float)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model | None:
@@ -98,32 +131,25 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     import numpy as np
     import zstandard
 
-    rows = labelled(docs, labels, id_col, text_col, label_col)
-    blocks = rows.select("id", "y", "f", F.posexplode(F.expr(f"transform(sequence(0, greatest(length(text) - 1, 0) div {BLOCK}), i -> substring(text, i * {BLOCK} + 1, {BLOCK}))")).alias("k", "block"))
-    texts, sample = {}, {}
-    for y in (0, 1):
-        pick = lambda d, n, *key: [r[0] for r in d.orderBy(F.xxhash64(*key), *key).limit(n).collect()]
-        texts[y] = pick(blocks.where((F.col("y") == y) & (F.col("f") == 0) & (F.length("block") > 0)).select("block", "id", "k"), DICT_BLOCKS, "id", "k")
-        sample[y] = pick(rows.where((F.col("y") == y) & (F.col("f") == 2)).select("text", "id"), CALIBRATION_ROWS, "id")
-        if not texts[y]:
-            texts[y] = pick(blocks.where((F.col("y") == y) & (F.length("block") > 0)).select("block", "id", "k"), DICT_BLOCKS, "id", "k")
-        sample[y] = sample[y] or texts[y]
-    if not (texts[0] and texts[1]):
+    rows = materialize(labelled(docs, labels, id_col, text_col, label_col), "labelled")
+    have = {(r.y, r.f) for r in rows.where(F.length("text") > 0).select("y", "f").distinct().collect()}
+    if not {y for y, _ in have} >= {0, 1}:
         return None
-    found = {}
+    part = lambda f: rows.where(F.col("f") == f) if {(0, f), (1, f)} <= have else rows
+    blocks = part(0).select("id", "y", F.posexplode(F.expr(f"transform(sequence(0, greatest(length(text) - 1, 0) div {BLOCK}), i -> substring(text, i * {BLOCK} + 1, {BLOCK}))")).alias("k", "block"))
+    found = []
     for y in (0, 1):
-        data = [t.encode("utf-8") for t in texts[y]]
+        data = [r.block.encode("utf-8") for r in blocks.where((F.col("y") == y) & (F.length("block") > 0)).orderBy(F.xxhash64("id", "k"), "id", "k").limit(DICT_BLOCKS).select("block").collect()]
         try:
-            found[y] = zstandard.train_dictionary(min(DICT_BYTES, max(512, sum(map(len, data)) // 8)), data, level=LEVEL).as_bytes()
+            found.append(zstandard.train_dictionary(min(DICT_BYTES, max(512, sum(map(len, data)) // 8)), data, level=LEVEL).as_bytes())
         except zstandard.ZstdError:  # too little text for statistics: the text itself serves
-            found[y] = b"\n".join(data)[-DICT_BYTES:]
-    raw = Model(found[1], found[0], 1.0, 0.0).difference()
-    x = np.array([raw(t) for y in (0, 1) for t in sample[y]])
-    y = np.repeat([0.0, 1.0], [len(sample[0]), len(sample[1])])
+            found.append(b"\n".join(data)[-DICT_BYTES:])
+    bad, good = found
+    x, y = differences(part(2), Model(good, bad, 1.0, 0.0))
     # both classes weigh the same, so 0.5 lies midway whatever the label shares are
-    weight = np.where(y == 1, 0.5 / len(sample[1]), 0.5 / len(sample[0])) * len(y)
+    weight = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum())) * len(y)
     slope, shift = logistic(x, y, weight)
-    return Model(found[1], found[0], slope, shift)
+    return Model(good, bad, slope, shift)
 
 
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -151,5 +177,7 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
                 [batch.column("id"), batch.column("held_out"), pa.array([d for d, _ in got], type=pa.float64()), pa.array(s, type=pa.float64()), pa.array([int(p >= 0.5) for p in s], type=pa.int32())],
                 names=["id", "held_out", "difference", "score", "predicted"],
             )
+        del of
+        release()
 
     return src.mapInArrow(run, "id long, held_out boolean, difference double, score double, predicted int")
