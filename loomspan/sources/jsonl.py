@@ -32,14 +32,27 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     return raw.where(F.trim(F.regexp_replace("line", r"\s+", " ")) != "").withColumn("line_no", F.col("line_no") + 1)
 
 
-def tolerant(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """``(path, line_no, rec)`` of the lines that hold a JSON object; all others are skipped.
+def placed_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``(path, place, line)`` of all non-blank lines of files of any size.
+
+    Files are read in blocks by many tasks.  ``place`` (block start, number in the task) orders
+    a file's lines as they stand; only their count is not known.
+    """
+    if not exists(spark, path):
+        return spark.createDataFrame([], "path string, place struct<block:long,n:long>, line string")
+    raw = spark.read.text(path).select(file_name(F.col("_metadata.file_path")).alias("path"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n")).alias("place"), F.col("value").alias("line"))
+    return raw.where(F.trim(F.regexp_replace("line", r"\s+", " ")) != "")
+
+
+def tolerant(spark: SparkSession, path: str, schema: str, numbered: bool = True) -> DataFrame:
+    """``(path, line_no or place, rec)`` of the lines that hold a JSON object; all others are skipped.
 
     Cut-off lines, broken UTF-8, and null, list or number lines do not parse to an object.
+    Numbered lines need each file to fit a row; without numbers files may have any size.
     """
-    parsed = lines(spark, path).withColumn("v", F.try_parse_json("line"))
+    parsed = (lines if numbered else placed_lines)(spark, path).withColumn("v", F.try_parse_json("line"))
     good = parsed.where(F.startswith(F.schema_of_variant("v"), F.lit("OBJECT")))
-    return good.select("path", "line_no", F.from_json("line", schema).alias("rec"))
+    return good.select("path", "line_no" if numbered else "place", F.from_json("line", schema).alias("rec"))
 
 
 def strict(spark: SparkSession, path: str, schema: str) -> DataFrame:

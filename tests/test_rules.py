@@ -365,3 +365,17 @@ def test_axis_and_event_rules(spark):
     got = p.select(A.annotations(F.col("r"), F.lit("in_text"), F.lit(1)).alias("x")).first().x
     assert [g[:3] for g in got] == ["P0:", "P2:"] and "plausible_tail" in got[0] and "non-anchor" in got[1]
     assert one(spark, A.verdict_or_fail(F.lit("pass"), F.lit("boom"))) == "fail" and one(spark, A.verdict_or_fail(F.lit("pass"), F.lit(None))) == "pass"
+
+
+def test_large_files_keep_their_order(spark, tmp_path):
+    p = tmp_path / "big__m.jsonl"
+    p.write_text("".join(f'{{"k": {i % 50}, "v": {i}}}\n' for i in range(20000)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "32768")
+    try:
+        rows = jsonl.tolerant(spark, str(p), "k int, v int", numbered=False)
+        assert rows.rdd.getNumPartitions() > 4
+        last = R.latest(rows.select("rec.k", "rec.v", "place"), ["k"], [F.col("place").desc()])
+        assert {r.k: r.v for r in last.collect()} == {k: 19950 + k for k in range(50)}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
