@@ -24,11 +24,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import release, small_batches
 
 LONG_Q, SHORT_Q, LONG_FROM, SHORT_FROM = 8, 5, 40, 10
 BLOCK_CHARS = 4 << 20
-WINDOW = 1 << 20
+WINDOW = 1 << 18
 SPACE, WALL = 32, 1
 HIT = "id long, item_id long, start long, end long, distance int, item_length int"
 
@@ -263,6 +263,8 @@ def _block(docs: DataFrame, items: list) -> DataFrame:
             cols = list(zip(*rows, strict=True)) or [()] * 6
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in HIT.split(", ")])
+        del index
+        release()
 
     return docs.mapInArrow(run, HIT)
 

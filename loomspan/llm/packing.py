@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches
+from .common import materialize, release, small_batches
 
 CAPACITY = 2048
 VOCABULARY = "byte_bpe_50k"
@@ -28,7 +28,22 @@ ITEMS_PER_PACKER = 200_000
 PIECE = "id long, piece int, start long, length long, crc long"
 
 
-def encoder(vocabulary: str = VOCABULARY):
+def vocabulary_file(vocabulary: str, suffix: str) -> str:
+    import os
+
+    import public_tokenizers
+
+    return vocabulary + suffix if os.path.exists(vocabulary + suffix) else public_tokenizers.path(vocabulary + suffix)
+
+
+def special_tokens(vocabulary: str = VOCABULARY) -> list[str]:
+    """The strings that ``tokenizers`` turns into special ids."""
+    from tokenizers import Tokenizer
+
+    return [t.content for t in Tokenizer.from_file(vocabulary_file(vocabulary, ".json")).get_added_tokens_decoder().values()]
+
+
+def encoder(vocabulary: str = VOCABULARY, special: list[str] | None = None):
     """A function from text to uint32 ids, equal to those of ``tokenizers`` with ``<vocabulary>.json``.
 
     The same vocabulary's ranks in ``tiktoken`` give the same ids several times faster;
@@ -36,22 +51,24 @@ def encoder(vocabulary: str = VOCABULARY):
     ``vocabulary`` is a path without its suffix, or a name the tokenizer folder knows.
     """
     import base64
-    import os
 
     import numpy as np
     import public_tokenizers
     import tiktoken
-    from tokenizers import Tokenizer
 
-    where = lambda suffix: vocabulary + suffix if os.path.exists(vocabulary + suffix) else public_tokenizers.path(vocabulary + suffix)
-    with open(where(".tiktoken"), "rb") as f:
+    special = special_tokens(vocabulary) if special is None else special
+    slow = None
+    with open(vocabulary_file(vocabulary, ".tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    slow = Tokenizer.from_file(where(".json"))
-    special = [t.content for t in slow.get_added_tokens_decoder().values()]
 
     def ids(text: str):
+        nonlocal slow
         if any(s in text for s in special):
+            if slow is None:
+                from tokenizers import Tokenizer
+
+                slow = Tokenizer.from_file(vocabulary_file(vocabulary, ".json"))
             return np.array(slow.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
         return fast.encode_to_numpy(text, allowed_special=set(), disallowed_special=())
 
@@ -71,6 +88,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULA
     """
     small_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    special = special_tokens(vocabulary)
 
     def run(batches):
         import zlib
@@ -78,7 +96,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULA
         import numpy as np
         import pyarrow as pa
 
-        ids_of = encoder(vocabulary)
+        ids_of = encoder(vocabulary, special)
         for batch in batches:
             seen: dict = {}
             out: list = []
@@ -91,6 +109,8 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULA
             cols = list(zip(*out, strict=True)) or [()] * (6 if keep_ids else 5)
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
             yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, kinds, strict=False)], names=["id", "piece", "start", "length", "crc", "ids"][: len(cols)])
+        del ids_of
+        release()
 
     return src.mapInArrow(run, PIECE + (", ids array<int>" if keep_ids else ""))
 

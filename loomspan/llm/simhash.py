@@ -26,7 +26,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, materialize, small_batches
+from .common import ASCII_LOWER, materialize, release, small_batches
 
 SEED = 42
 MAX_BITS = 4
@@ -74,6 +74,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     seen[text] = fp(text)
                 out.append(seen[text])
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, type=pa.int64())], names=["id", "fp"])
+        release()
 
     return src.mapInArrow(run, "id long, fp long")
 

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import release, small_batches
 
 SAMPLE_ROWS = 3000
 FEATURES = 4096
@@ -28,7 +28,7 @@ GRADES = 3
 MIN_ROWS = 4
 L1 = 2e-4
 ROUNDS = 300
-CACHE = 400_000
+CACHE = 100_000
 
 
 def word_features(word: str) -> list[int]:
@@ -204,5 +204,7 @@ def severity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                 [batch.column("id"), pa.array([g[0] for g in got], type=pa.float64()), pa.array([g[1] for g in got], type=pa.int32()), pa.array([g[2] for g in got], type=pa.float64()), pa.array([g[2] >= 0.5 for g in got], type=pa.bool_())],
                 names=["id", "severity", "grade", "p_toxic", "toxic"],
             )
+        del of
+        release()
 
     return src.mapInArrow(run, "id long, severity double, grade int, p_toxic double, toxic boolean")

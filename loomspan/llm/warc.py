@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, shared_path, small_batches
+from .common import materialize, release, shared_path, small_batches
 
 SKIPPABLE = 0x184D2A5D
 FRAME = 0xFD2FB528
@@ -197,6 +197,7 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, date: str =
         close()
         cols = list(zip(*done, strict=True)) or [(), (), ()]
         yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64()), strict=True)], names=["archive", "records", "bytes"])
+        release()
 
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
