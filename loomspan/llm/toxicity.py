@@ -20,27 +20,24 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, small_batches
+from .common import materialize, release, small_batches
 
 SAMPLE_ROWS = 3000
 FEATURES = 4096
 GRADES = 3
 MIN_ROWS = 4
-L1 = 2e-4
-ROUNDS = 300
+L1 = 5e-5
+ROUNDS = 1500
 CACHE = 100_000
 
 
 def word_features(word: str) -> list[int]:
-    """Hashed features of one lower-case word."""
+    """Hashed features of one lower-case word, as signed 32-bit numbers."""
     from zlib import crc32
 
-    out = [crc32(b"w" + word.encode())]
-    if len(word) >= 5:
-        out.append(crc32(b"p" + word[:4].encode()))
-    if len(word) >= 6:
-        out.append(crc32(b"p" + word[:5].encode()))
-    return out
+    names = [b"w" + word.encode()]
+    names += [b"p" + word[:n].encode() for n in (4, 5) if len(word) > n]
+    return [crc32(n) - (1 << 31) for n in names]
 
 
 def bare(token: str) -> str:
@@ -101,9 +98,11 @@ def learn(rows: list, toxic: list, weight: list) -> Model:
     n = len(rows)
     toxic, weight = np.asarray(toxic, dtype=bool), np.asarray(weight, dtype=float)
     sizes = np.array([len(r) for r in rows])
-    all_f = np.concatenate([np.asarray(r, dtype=np.int64) for r in rows]) if sizes.sum() else np.zeros(0, dtype=np.int64)
-    at = np.repeat(np.arange(n), sizes)
-    names, col = np.unique(all_f, return_inverse=True)
+    all_f = np.concatenate([np.asarray(r, dtype=np.int32) for r in rows]) if sizes.sum() else np.zeros(0, dtype=np.int32)
+    at = np.repeat(np.arange(n, dtype=np.int32), sizes)
+    names = np.unique(all_f)
+    col = np.searchsorted(names, all_f).astype(np.int32)
+    del all_f
     in_toxic = np.bincount(col, weights=toxic[at].astype(float), minlength=len(names))
     in_clean = np.bincount(col, minlength=len(names)) - in_toxic
     nt, nc = max(1, toxic.sum()), max(1, (~toxic).sum())
@@ -160,7 +159,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """
     small_batches(docs.sparkSession)
     agreed = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("l_id")).agg(F.min(label_col).alias("y"), F.max(label_col).alias("y2")).where("y = y2")
-    agreed = agreed.where(F.crc32(F.col("l_id").cast("string").cast("binary")) % 5 != 0)
+    agreed = agreed.where(F.crc32(F.col("l_id").cast("string").cast("binary")) % 5 != 0).join(docs.select(F.col(id_col).alias("l_id")), "l_id", "left_semi")
+    agreed = materialize(agreed.select("l_id", "y"), "labels")
     totals = {r.y: r["count"] for r in agreed.groupBy("y").count().collect()}
     chosen = None
     for y in (0, 1):
@@ -173,10 +173,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         import pyarrow as pa
 
         for batch in batches:
-            got = [np.fromiter(sorted(features(t)), dtype=np.int64) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), pa.array(got, type=pa.list_(pa.int64()))], names=["id", "y", "f"])
+            got = [np.fromiter(sorted(features(t)), dtype=np.int32) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), pa.array(got, type=pa.list_(pa.int32()))], names=["id", "y", "f"])
+        release()
 
-    table = src.mapInArrow(run, "id long, y int, f array<long>").toArrow().sort_by("id")
+    table = src.mapInArrow(run, "id long, y int, f array<int>").toArrow().sort_by("id")
     y = table.column("y").to_pylist()
     if not (0 in y and 1 in y):
         return Model({}, (50.0, 51.0, 52.0))
