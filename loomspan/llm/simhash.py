@@ -102,39 +102,44 @@ def manhattan(a, b):
     return F.bit_count(low) + 2 * F.bit_count(high) - 2 * F.bit_count(both)
 
 
-def _grids() -> list[tuple[int, int, int]]:
-    """(grid's groups as a bit mask, mask of the bytes it keeps, groups below its last that it leaves out)."""
-    out = []
-    for keep in combinations(range(GROUPS), GROUPS - MAX_BITS):
-        groups = sum(1 << g for g in keep)
-        kept = sum(0xFF << (8 * g) for g in keep)
-        out.append((groups, kept - (1 << 64) if kept >> 63 else kept, ((1 << keep[-1]) - 1) & ~groups))
-    return out
+def _long(n: int) -> int:
+    """An unsigned 64-bit mask as a signed long."""
+    return n - (1 << 64) if n >> 63 else n
+
+
+def _grids() -> list[tuple[int, int]]:
+    """(groups of a grid as a bit mask, mask of their bytes in the embedding)."""
+    return [(sum(1 << g for g in keep), _long(sum(0xFF << (8 * g) for g in keep))) for keep in combinations(range(GROUPS), GROUPS - MAX_BITS)]
 
 
 def links(fps: DataFrame) -> DataFrame:
     """``(a, b)``, a < b: pairs of distinct fingerprints that differ in 1 to 4 bits.
 
-    ``fps``: one column ``fp``; nulls are left out, repeats count once.
+    ``fps``: one column ``fp``; nulls are left out, repeats count once.  Both sides of the
+    join are the same (fp, grid, cell) rows, so that one shuffle serves both; the embedding
+    is a few bit operations and is made again where a pair is tested.
     """
-    grids = F.array(*[F.struct(F.lit(g).alias("g"), F.lit(m).alias("m"), F.lit(o).alias("o")) for g, m, o in _grids()])
-    points = fps.where("fp IS NOT NULL").select("fp").distinct().select("fp", embedding(F.col("fp")).alias("e"))
-    cells = points.select("fp", "e", F.explode(grids).alias("grid")).select(
-        "fp", "e", F.col("grid.g").alias("g"), F.col("grid.o").alias("o"), F.col("e").bitwiseAND(F.col("grid.m")).alias("cell")
-    )
-    a = cells.select(F.col("fp").alias("a"), F.col("e").alias("ea"), F.col("g").alias("ga"), "o", F.col("cell").alias("ca"))
-    b = cells.select(F.col("fp").alias("b"), F.col("e").alias("eb"), F.col("g").alias("gb"), F.col("cell").alias("cb"))
-    x = F.col("ea").bitwiseXOR(F.col("eb"))
-    # the pair's own grid: its first four equal groups; no equal group is left out before its last
-    earlier = [(F.col("o").bitwiseAND(F.lit(1 << g)) != 0) & (x.bitwiseAND(F.lit((0xFF << (8 * g)) - (1 << 64) if g == 7 else 0xFF << (8 * g))) == 0) for g in range(GROUPS)]
-    first = ~earlier[0]
-    for e in earlier[1:]:
-        first = first & ~e
+    grids = F.array(*[F.struct(F.lit(g).alias("g"), F.lit(m).alias("m")) for g, m in _grids()])
+    points = fps.where("fp IS NOT NULL").select("fp").distinct()
+    cells = points.select("fp", F.explode(grids).alias("grid")).select("fp", F.col("grid.g").alias("g"), embedding(F.col("fp")).bitwiseAND(F.col("grid.m")).alias("cell"))
+    a = cells.select(F.col("fp").alias("a"), F.col("g").alias("ga"), F.col("cell").alias("ca"))
+    b = cells.select(F.col("fp").alias("b"), F.col("g").alias("gb"), F.col("cell").alias("cb"))
+    ea, eb, g = embedding(F.col("a")), embedding(F.col("b")), F.col("ga")
+    # the pair's own grid is that of its first four equal groups: no group below the grid's last
+    # one that the grid leaves out is equal too
+    smear = g
+    for k in (1, 2, 4):
+        smear = smear.bitwiseOR(F.shiftright(smear, k))
+    left_out = F.shiftright(smear, 1).bitwiseAND(F.bitwise_not(g))
+    x = ea.bitwiseXOR(eb)
+    first = F.lit(True)
+    for k in range(GROUPS):
+        first = first & ~((left_out.bitwiseAND(F.lit(1 << k)) != 0) & (x.bitwiseAND(F.lit(_long(0xFF << (8 * k)))) == 0))
     on = (
         (F.col("ga") == F.col("gb"))
         & (F.col("ca") == F.col("cb"))
         & (F.col("a") < F.col("b"))
-        & (manhattan(F.col("ea"), F.col("eb")) <= MAX_BITS)
+        & (manhattan(ea, eb) <= MAX_BITS)
         & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS)
         & first
     )
