@@ -10,6 +10,8 @@ TRAILING = 5
 EPS = 1e-12
 #: Names that one containment pass may hold, and vectors that one top-k block may hold.
 NAMES_BLOCK, QUERY_BLOCK = 2000, 512
+#: Words of a containment key.
+SHINGLE = 4
 
 
 def norm(vec: Column) -> Column:
@@ -52,28 +54,57 @@ def masked_top_k(chunks: DataFrame, queries: DataFrame, k: int = TOP_K) -> DataF
     return out
 
 
+def _shingles(words: Column) -> Column:
+    """Hashes of all runs of ``SHINGLE`` words; ``words`` must be a stored column."""
+    hashed = F.transform(words, lambda w: F.xxhash64(w))
+    return F.flatten(F.transform(F.array(hashed), lambda h: F.when(
+        F.size(h) >= SHINGLE, F.transform(F.sequence(F.lit(0), F.size(h) - SHINGLE), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(SHINGLE)]))).otherwise(F.array().cast("array<long>"))))
+
+
 def containment(texts: DataFrame, names: DataFrame, id_col: str, text_col: str, name_id: str, name_col: str, block: int = NAMES_BLOCK) -> DataFrame:
     """``(id, name id)`` where a text holds a name; case and runs of white space do not matter.
 
-    Names go to the tasks in blocks as a constant; every text is normalised once and tested
-    where it lies, so texts are neither shuffled nor multiplied.
+    A name's inner words (all but the first and the last, which may end inside the text's
+    words) stand in the text as whole words.  The first four of them are its key: texts look
+    their own runs of four words up among the keys, and only where one is there the name
+    itself is looked for.  Names with fewer inner words are looked for in every text.  Names
+    go out in blocks of ``block``; texts are neither shuffled nor multiplied.
     """
+    spark = texts.sparkSession
     flat = lambda c: F.regexp_replace(F.lower(c), r"\s+", " ")
-    norm_texts = texts.select(F.col(id_col), flat(F.col(text_col)).alias("__t"))
-    out, held = None, []
+    id_type, name_type = texts.schema[id_col].dataType.simpleString(), names.schema[name_id].dataType.simpleString()
+    base = texts.select(F.col(id_col), flat(F.col(text_col)).alias("__t"))
+    keyed = base.withColumn("__g", _shingles(F.split("__t", " ")))
+    book = names.where(F.col(name_col).isNotNull()).select(F.col(name_id).alias("i"), flat(F.col(name_col)).alias("n")).withColumn("w", F.split("n", " "))
+    inner = [F.get("w", F.lit(k)) for k in range(1, SHINGLE + 1)]
+    book = book.select("i", "n", F.when(F.size("w") >= SHINGLE + 2, F.xxhash64(*[F.xxhash64(x) for x in inner])).alias("k"))
+    parts, held = [], []
 
     def found(rows):
-        book = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(n).alias("n")) for i, n in rows])
-        hits = norm_texts.select(id_col, F.filter(book, lambda x: F.contains(F.col("__t"), x["n"])).alias("h"))
-        return hits.select(id_col, F.explode("h").alias("x")).select(id_col, F.col("x.i").alias(name_id))
-
-    for r in names.where(F.col(name_col).isNotNull()).select(F.col(name_id), flat(F.col(name_col))).toLocalIterator():
-        held.append((r[0], r[1]))
+        short, long = [(r.i, r.n) for r in rows if r.k is None], [(r.k, r.i, r.n) for r in rows if r.k is not None]
+        if long:
+            keys = F.array(*[F.lit(k) for k in sorted({k for k, _, _ in long})])
+            block_df = F.broadcast(spark.createDataFrame(long, f"k long, __i {name_type}, n string"))  # ``block`` rows at most
+            hit = keyed.select(id_col, "__t", F.explode(F.array_intersect("__g", keys)).alias("k")).join(block_df, "k")
+            parts.append(hit.where(F.contains("__t", "n")).select(id_col, F.col("__i").alias(name_id)))
+        if short:
+            listed = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(n).alias("n")) for i, n in short])
+            inside = F.flatten(F.transform(F.array("__t"), lambda t: F.filter(listed, lambda x: F.contains(t, x["n"]))))
+            parts.append(base.select(id_col, F.explode(inside).alias("x")).select(id_col, F.col("x.i").alias(name_id)))
+
+    for r in book.toLocalIterator():
+        held.append(r)
         if len(held) == block:
-            out, held = found(held) if out is None else out.union(found(held)), []
+            found(held)
+            held = []
     if held:
-        out = found(held) if out is None else out.union(found(held))
-    return out if out is not None else norm_texts.where("false").select(id_col, F.lit(None).cast(names.schema[name_id].dataType).alias(name_id))
+        found(held)
+    if not parts:
+        return spark.createDataFrame([], f"{id_col} {id_type}, {name_id} {name_type}")
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
 
 
 def trailing_window(summaries: DataFrame, queries: DataFrame, key: str, chapter: str, query_chapter: str, n: int = TRAILING) -> DataFrame:

@@ -38,12 +38,11 @@ def chunk_windows(spark, sf_dir):
     return d.select("doc_id", "w.chunk_idx", "w.start", F.md5(F.encode("w.chunk", "UTF-8")).alias("digest"))
 
 
-@query(r"""SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(regexp_replace(lower(d.text), '\s+', ' ', 'g'), regexp_replace(lower(b.text), '\s+', ' ', 'g'))""")
+@query(r"""WITH d AS MATERIALIZED (SELECT doc_id, regexp_replace(lower(text), '\s+', ' ', 'g') AS t FROM documents), b AS MATERIALIZED (SELECT item_id, regexp_replace(lower(text), '\s+', ' ', 'g') AS t FROM benchmark) SELECT doc_id, item_id FROM d JOIN b ON contains(d.t, b.t)""")
 def verbatim_contains(spark, sf_dir):
     """Names in texts, by containment.
 
-    The names are one short list for the whole corpus: it goes to every task in the row
-    filter, blocks of it where it is long, so that the texts are read once and never shuffled.
+    The names go to the tasks in blocks; texts are read where they lie and never shuffled.
     """
     from ..operators.retrieval import containment
 
