@@ -35,11 +35,11 @@ def visible_phases(spark, sf_dir):
     return c.select("axis_id", F.size("trajectory").cast("bigint").alias("visible"), "phases", "pole_end")
 
 
-@query("""SELECT n_name AS novel, c_custkey AS "character", o_orderkey AS probe_id, COALESCE(CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus END, 'intrapersonal') AS axis_type, l_linenumber AS phase_idx FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey % 10 < 3) JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE l_linenumber <> 4""")
+@query("""SELECT n_name AS novel, c_custkey AS "character", o_orderkey AS probe_id, COALESCE(CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus END, 'intrapersonal') AS axis_type, l_linenumber AS phase_idx FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE l_linenumber <> 4""")
 def unnest_trials(spark, sf_dir):
     """Families, probes and phases to rows, unavailable phases left out."""
     t = lambda n: table(spark, sf_dir, n)
-    ph = t("lineitem").where("l_orderkey % 10 < 3").select("l_orderkey", "l_linenumber").distinct().groupBy("l_orderkey").agg(
+    ph = t("lineitem").select("l_orderkey", "l_linenumber").distinct().groupBy("l_orderkey").agg(
         F.collect_list(F.struct(F.col("l_linenumber").alias("phase_idx"), F.col("l_linenumber").alias("query_chapter"), (F.col("l_linenumber") == 4).alias("unavailable"))).alias("phase_responses"))
     o = t("orders").join(ph, F.col("o_orderkey") == F.col("l_orderkey")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     probe = F.struct(F.col("o_orderkey").alias("probe_id"), F.lit("in_text").alias("probe_type"), F.lit("s").alias("scenario"), "phase_responses")
@@ -57,14 +57,14 @@ def normalize_phases(spark, sf_dir):
 
 
 @query("""WITH v AS (SELECT doc_id % 50 AS axis, doc_id AS a, CASE WHEN quality = 1 THEN 'valid' ELSE 'invalid' END AS x FROM labels UNION ALL SELECT doc_id % 50, doc_id + 1000000, CASE WHEN toxic = 0 THEN 'valid' ELSE 'invalid' END FROM labels)
-SELECT axis, COUNT(*) FILTER (x = 'valid') AS valid_votes, COUNT(*) AS n_annotators, COUNT(*) FILTER (x = 'valid') >= 2 AS kept FROM v WHERE axis < 45 GROUP BY ALL""")
+SELECT axis, COUNT(*) FILTER (x = 'valid') AS valid_votes, COUNT(*) AS n_annotators, COUNT(*) FILTER (x = 'valid') >= 2 AS kept FROM v GROUP BY ALL""")
 def vote_aggregate(spark, sf_dir):
     """annotators' votes per axis."""
     lb = table(spark, sf_dir, "labels")
     axis = (F.col("doc_id") % 50).alias("axis")
     v = lb.select(axis, F.col("doc_id").alias("annotator"), F.when(F.col("quality") == 1, "valid").otherwise("invalid").alias("validity")).union(
         lb.select(axis, F.col("doc_id") + 1000000, F.when(F.col("toxic") == 0, "valid").otherwise("invalid")))
-    axes = spark.range(45).select(F.col("id").alias("axis"))
+    axes = spark.range(50).select(F.col("id").alias("axis"))
     return A.vote_totals(v, axes, ["axis"]).select("axis", "valid_votes", "n_annotators", "kept")
 
 
@@ -95,13 +95,13 @@ def weak_pairs(spark, sf_dir):
 
 
 @query("""WITH c AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), n AS (SELECT *, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS nn FROM c),
-s AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_idx, c.label AS chapter, list_sum(list_transform(range(1, len(c.e) + 1), lambda i: c.e[i] * q.e[i])) / ((c.nn + 1e-12) * (q.nn + 1e-12)) AS sim FROM n q JOIN n c ON c.label <= q.label WHERE q.vec_id < 20),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_idx, c.label AS chapter, list_sum(list_transform(range(1, len(c.e) + 1), lambda i: c.e[i] * q.e[i])) / ((c.nn + 1e-12) * (q.nn + 1e-12)) AS sim FROM n q JOIN n c ON c.label <= q.label WHERE q.vec_id % 100 = 0),
 r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY ROUND(sim, 9) DESC, chapter, chunk_idx) AS rank FROM s) SELECT query_id, chunk_idx, rank, ROUND(sim, 6) AS sim FROM r WHERE rank <= 6""")
 def masked_cosine_topk(spark, sf_dir):
     """The six most similar chunks a query may see."""
     e = table(spark, sf_dir, "embeddings")
     chunks = e.select(F.lit("n").alias("novel"), F.col("label").alias("chapter"), F.col("vec_id").alias("chunk_idx"), F.col("embedding").alias("vec"))
-    queries = e.where("vec_id < 20").select(F.lit("n").alias("novel"), F.col("vec_id").alias("query_id"), F.col("label").alias("query_chapter"), F.col("embedding").alias("qvec"))
+    queries = e.where("vec_id % 100 = 0").select(F.lit("n").alias("novel"), F.col("vec_id").alias("query_id"), F.col("label").alias("query_chapter"), F.col("embedding").alias("qvec"))
     return R.masked_top_k(chunks, queries).select("query_id", "chunk_idx", F.col("rank").cast("bigint").alias("rank"), F.round("sim", 6).alias("sim"))
 
 
@@ -117,13 +117,13 @@ def trailing_chapter_window(spark, sf_dir):
     return w.select("novel", "query_chapter", F.size("chapters").cast("bigint").alias("found"), F.nullif(gone, F.lit("")).alias("missing"))
 
 
-@query("""WITH p AS (SELECT DISTINCT l_orderkey AS k, l_linenumber AS idx, (l_linenumber * 3 + l_orderkey % 3)::INT AS lo, (l_linenumber * 3 + l_orderkey % 5)::INT AS hi FROM lineitem WHERE l_orderkey % 7 = 0),
+@query("""WITH p AS (SELECT DISTINCT l_orderkey AS k, l_linenumber AS idx, (l_linenumber * 3 + l_orderkey % 3)::INT AS lo, (l_linenumber * 3 + l_orderkey % 5)::INT AS hi FROM lineitem),
 c AS (SELECT *, GREATEST(1, COALESCE(MAX(hi + 1) OVER (PARTITION BY k ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1)) AS cur FROM p)
 SELECT k, idx, TRUE AS gap, (lo - cur)::INT AS width FROM c WHERE lo > cur UNION ALL SELECT k, idx, FALSE, GREATEST(hi - GREATEST(lo, cur) + 1, 1)::INT FROM c UNION ALL SELECT k, -1, TRUE, (25 - e + 1)::INT FROM (SELECT k, GREATEST(1, MAX(hi + 1)) AS e FROM p GROUP BY k) WHERE e <= 25""")
 def timeline_gaps(spark, sf_dir):
     """Timeline segments with their gaps."""
     k, n = F.col("l_orderkey"), F.col("l_linenumber")
-    p = table(spark, sf_dir, "lineitem").where("l_orderkey % 7 = 0").select(k.alias("k"), n.alias("idx"), (n * 3 + k % 3).cast("int").alias("lo"), (n * 3 + k % 5).cast("int").alias("hi")).distinct()
+    p = table(spark, sf_dir, "lineitem").select(k.alias("k"), n.alias("idx"), (n * 3 + k % 3).cast("int").alias("lo"), (n * 3 + k % 5).cast("int").alias("hi")).distinct()
     return A.timeline(p, "k", "idx", "lo", "hi", p.select("k").distinct().withColumn("max_chapter", F.lit(25))).withColumn("idx", F.coalesce("idx", F.lit(-1)))
 
 
@@ -141,21 +141,21 @@ def adjacent_pairs(spark, sf_dir):
     return A.adjacent_pairs(p, ["k"], "i", "i").select("k", "from_idx", "to_idx")
 
 
-@query("""WITH p AS (SELECT u AS user_id, lo, lo + 40 AS hi FROM (SELECT UNNEST(range(0, 50)) AS u), (SELECT UNNEST([0, 30]) AS lo)), e AS (SELECT user_id, event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events),
+@query("""WITH p AS (SELECT user_id, lo, lo + 40 AS hi FROM (SELECT DISTINCT user_id FROM events), (SELECT UNNEST([0, 30]) AS lo)), e AS (SELECT user_id, event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events),
 r AS (SELECT e.event_id, p.user_id, p.lo, ROW_NUMBER() OVER (PARTITION BY p.user_id, p.lo ORDER BY event_id) AS place FROM e JOIN p ON e.user_id = p.user_id AND k BETWEEN lo AND hi) SELECT user_id, lo::INT AS lo, event_id, place FROM r WHERE place <= 30""")
 def range_candidates(spark, sf_dir):
     """Events inside a range, the first thirty."""
-    p = spark.range(50).select(F.col("id").alias("user_id"), F.explode(F.array(F.lit(0), F.lit(30))).alias("lo")).withColumn("hi", F.col("lo") + 40)
+    p = table(spark, sf_dir, "events").select("user_id").distinct().select("user_id", F.explode(F.array(F.lit(0), F.lit(30))).alias("lo")).withColumn("hi", F.col("lo") + 40)
     e = table(spark, sf_dir, "events").select("user_id", "event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "int").alias("k"))
     return R.in_range(e, p, "user_id", "k", "lo", "hi", "event_id").select("user_id", "lo", "event_id", F.col("place").cast("bigint").alias("place"))
 
 
-@query("""SELECT l_orderkey, l_linenumber, FLOOR((l_linenumber - 5 + l_suppkey % 7) / 2.0)::INT AS midpoint, CASE WHEN l_linenumber - 1 = l_suppkey % 4 THEN 'pass' WHEN l_suppkey % 4 < 3 AND ABS(l_linenumber - 1 - l_suppkey % 4) = 1 THEN 'adjacent' ELSE 'off_phase' END AS fit FROM lineitem WHERE l_suppkey % 4 < 3""")
+@query("""SELECT l_orderkey, l_linenumber, FLOOR((l_linenumber - 5 + l_suppkey % 7) / 2.0)::INT AS midpoint, CASE WHEN l_linenumber - 1 = l_suppkey % 4 THEN 'pass' WHEN ABS(l_linenumber - 1 - l_suppkey % 4) = 1 THEN 'adjacent' ELSE 'off_phase' END AS fit FROM lineitem""")
 def phase_rules(spark, sf_dir):
     """Floored midpoints and phase-fit verdicts."""
-    li = table(spark, sf_dir, "lineitem").where("l_suppkey % 4 < 3")
+    li = table(spark, sf_dir, "lineitem")
     n, s = F.col("l_linenumber"), F.col("l_suppkey")
-    return li.select("l_orderkey", "l_linenumber", ids.midpoint(n - 5, s % 7).alias("midpoint"), ids.phase_fit(s % 4, n - 1, F.lit(3)).alias("fit"))
+    return li.select("l_orderkey", "l_linenumber", ids.midpoint(n - 5, s % 7).alias("midpoint"), ids.phase_fit(s % 4, n - 1, F.lit(4)).alias("fit"))
 
 
 @query("""WITH v AS (SELECT l_orderkey, l_linenumber, l_returnflag, l_partkey, CASE WHEN l_tax > 0.05 THEN 'fail' ELSE 'pass' END AS voice, CASE l_returnflag WHEN 'R' THEN 'off_phase' WHEN 'A' THEN 'adjacent' ELSE 'pass' END AS fit, l_quantity > 20 AS called, CASE WHEN l_discount > 0.05 THEN 'fail' ELSE 'pass' END AS nv FROM lineitem)

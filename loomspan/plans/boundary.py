@@ -40,7 +40,7 @@ def staged_publish(spark, sf_dir):
 def append_resume(spark, sf_dir):
     """A second run adds only what the first did not finish."""
     path, req = scratch(spark, "responses"), _requests(spark, sf_dir)
-    S.append(E.call_models(req.where("length(user) % 2 = 0"), E.stub_client(), backoff=0), path)
+    S.append(E.call_models(req.where("length(user) < 200"), E.stub_client(), backoff=0), path)
     done = spark.read.parquet(path).where("error IS NULL").select("request_id")
     S.append(E.call_models(req.join(done, "request_id", "left_anti"), E.stub_client(), backoff=0), path)
     return spark.read.parquet(path).groupBy("request_id").agg(F.count("*").alias("n"))
@@ -93,7 +93,7 @@ def trial_ids(spark, sf_dir):
     return e.select(ids.trial_id(F.col("probe_id"), F.col("phase"), F.lit("arc"), F.lit("a/b")).alias("trial_id"))
 
 
-@query("""WITH d AS (SELECT p_partkey AS file, p_size AS size, p_brand AS sha FROM part WHERE p_partkey % 11 <> 0), f AS (SELECT p_partkey AS file, CASE WHEN p_partkey % 7 = 0 THEN p_size + 1 ELSE p_size END AS size, CASE WHEN p_partkey % 5 = 0 THEN 'x' ELSE p_brand END AS sha FROM part WHERE p_partkey % 13 <> 0)
+@query("""WITH d AS (SELECT p_partkey AS file, p_size AS size, p_brand AS sha FROM part WHERE p_size > 3), f AS (SELECT p_partkey AS file, CASE WHEN p_brand = 'Brand#7' THEN p_size + 1 ELSE p_size END AS size, CASE WHEN p_type = 'ECONOMY' THEN 'x' ELSE p_brand END AS sha FROM part WHERE p_size < 48)
 SELECT problem, COUNT(*) AS n FROM (SELECT CASE WHEN f.file IS NULL THEN 'missing' WHEN d.file IS NULL THEN 'unexpected' WHEN d.size <> f.size THEN 'size' WHEN d.sha <> f.sha THEN 'sha256' END AS problem FROM d FULL JOIN f ON d.file = f.file) WHERE problem IS NOT NULL GROUP BY ALL""")
 def release_audit(spark, sf_dir):
     """declared against found files."""
@@ -101,8 +101,8 @@ def release_audit(spark, sf_dir):
 
     p = table(spark, sf_dir, "part")
     k = F.col("p_partkey")
-    d = p.where("p_partkey % 11 <> 0").select(k.alias("file"), F.col("p_size").alias("size"), F.col("p_brand").alias("sha256"))
-    f = p.where("p_partkey % 13 <> 0").select(k.alias("file"), F.when(k % 7 == 0, F.col("p_size") + 1).otherwise(F.col("p_size")).alias("size"), F.when(k % 5 == 0, "x").otherwise(F.col("p_brand")).alias("sha256"))
+    d = p.where("p_size > 3").select(k.alias("file"), F.col("p_size").alias("size"), F.col("p_brand").alias("sha256"))
+    f = p.where("p_size < 48").select(k.alias("file"), F.when(F.col("p_brand") == "Brand#7", F.col("p_size") + 1).otherwise(F.col("p_size")).alias("size"), F.when(F.col("p_type") == "ECONOMY", "x").otherwise(F.col("p_brand")).alias("sha256"))
     return file_differences(d, f).groupBy("problem").agg(F.count("*").alias("n"))
 
 

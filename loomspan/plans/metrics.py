@@ -62,11 +62,11 @@ def bucket_breakdown(spark, sf_dir):
     return out.select("model", "mode", "bucket", "mean", "n")
 
 
-@query(f"""WITH {RECORDS} SELECT r.model, r.mode, COALESCE(CASE WHEN p_size % 5 <> 0 THEN ptype END, 'unknown') AS ptype, ROUND({mean_sql('apf')}, 3) AS mean, COUNT(*) AS n
+@query(f"""WITH {RECORDS} SELECT r.model, r.mode, COALESCE(CASE WHEN p_brand <> 'Brand#7' THEN ptype END, 'unknown') AS ptype, ROUND({mean_sql('apf')}, 3) AS mean, COUNT(*) AS n
 FROM rec r LEFT JOIN part ON l_partkey = p_partkey GROUP BY ALL""")
 def by_type_breakdown(spark, sf_dir):
     """A breakdown by probe type, unmapped probes under 'unknown'."""
-    types = table(spark, sf_dir, "part").where("p_size % 5 <> 0").select(F.col("p_partkey").alias("l_partkey"), F.lit(True).alias("known"))
+    types = table(spark, sf_dir, "part").where("p_brand <> 'Brand#7'").select(F.col("p_partkey").alias("l_partkey"), F.lit(True).alias("known"))
     rows = records(spark, sf_dir).join(types, "l_partkey", "left").withColumn("ptype", F.when(F.col("known"), F.col("ptype")).otherwise("unknown"))
     return rows.groupBy("model", "mode", "ptype").agg(F.round(M.exact_mean("apf"), 3).alias("mean"), F.count("*").alias("n"))
 

@@ -93,11 +93,11 @@ def unmapped_unknown(spark, sf_dir):
     return rows.groupBy(F.coalesce("t", F.lit("unknown")).alias("ptype")).agg(F.count("*").alias("n"), F.countDistinct(F.when(F.col("t").isNull(), F.col("doc_id"))).alias("unmapped"))
 
 
-@query("""WITH m AS (SELECT o_orderkey AS probe_id, 1 AS phase_idx, 'A' AS arc_mode, 'N' AS other_mode FROM orders WHERE o_orderkey % 3 = 0), p AS (SELECT probe_id, phase_idx, UNNEST([arc_mode, other_mode]) AS mode FROM m)
+@query("""WITH m AS (SELECT o_orderkey AS probe_id, 1 AS phase_idx, 'A' AS arc_mode, 'N' AS other_mode FROM orders WHERE o_orderstatus = 'F'), p AS (SELECT probe_id, phase_idx, UNNEST([arc_mode, other_mode]) AS mode FROM m)
 SELECT l_returnflag AS mode, COUNT(*) AS n FROM lineitem WHERE EXISTS (SELECT 1 FROM p WHERE probe_id = l_orderkey AND phase_idx = l_linenumber AND mode = l_returnflag) GROUP BY ALL""")
 def manifest_semi_join(spark, sf_dir):
     """F16: records that a manifest of mode pairs names."""
-    manifest = table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("probe_id"), F.lit(1).alias("phase_idx"), F.lit("A").alias("arc_mode"), F.lit("N").alias("other_mode"))
+    manifest = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("probe_id"), F.lit(1).alias("phase_idx"), F.lit("A").alias("arc_mode"), F.lit("N").alias("other_mode"))
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("probe_id"), F.col("l_linenumber").alias("phase_idx"), F.col("l_returnflag").alias("mode"))
     return R.manifest_filter(rows, manifest).groupBy("mode").agg(F.count("*").alias("n"))
 
@@ -157,13 +157,13 @@ def union_configs(spark, sf_dir):
     return a.unionByName(b, allowMissingColumns=True).groupBy("side").agg(F.count("*").alias("n"), F.count("extra").alias("extra"))
 
 
-@query("""SELECT n_name, CASE WHEN n_nationkey % 4 = 0 THEN 'validated' WHEN n_nationkey % 3 = 0 THEN 'grounded' ELSE 'final' END AS stage FROM nation""")
+@query("""SELECT n_name, CASE WHEN n_regionkey = 0 THEN 'validated' WHEN n_regionkey < 3 THEN 'grounded' ELSE 'final' END AS stage FROM nation""")
 def stage_fallback(spark, sf_dir):
     """The first stage that exists."""
     from ..sources.stages import first_stage
 
     n = table(spark, sf_dir, "nation")
-    have = n.where("n_nationkey % 4 = 0").select("n_name", F.lit("validated").alias("stage")).union(n.where("n_nationkey % 3 = 0").select("n_name", F.lit("grounded"))).union(n.select("n_name", F.lit("final")))
+    have = n.where("n_regionkey = 0").select("n_name", F.lit("validated").alias("stage")).union(n.where("n_regionkey < 3").select("n_name", F.lit("grounded"))).union(n.select("n_name", F.lit("final")))
     return first_stage(have, ["n_name"], "stage", ["validated", "grounded", "final"]).select("n_name", "stage")
 
 
