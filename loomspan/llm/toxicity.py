@@ -25,8 +25,8 @@ from .common import materialize, release, small_batches
 SAMPLE_ROWS = 3000
 FEATURES = 4096
 GRADES = 3
-MIN_ROWS = 4
-L1 = 5e-5
+MIN_ROWS = 8
+L1 = 1e-4
 ROUNDS = 1500
 CACHE = 100_000
 
