@@ -143,7 +143,8 @@ def links(fps: DataFrame) -> DataFrame:
         & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS)
         & first
     )
-    return a.join(b, on).select("a", "b")
+    # the optimizer takes the 70 rows of a point for one: without the hint it would broadcast them
+    return a.hint("merge").join(b.hint("merge"), on).select("a", "b")
 
 
 def components(nodes: DataFrame, pairs: DataFrame, max_rounds: int = 60) -> DataFrame:
