@@ -14,6 +14,8 @@ WS_CHARS = " \t\n\x0b\x0c\r"
 #: Rows of a text column that Arrow hands to Python at once.  A text may hold
 #: megabytes, so batches are kept far below Spark's default of 10,000 rows.
 ARROW_ROWS = 400
+#: Tables whose rows are whole texts: the work is in the rows.
+TEXTS = ("documents", "pages")
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: ``str.translate`` table that lower-cases A-Z and nothing else.
@@ -25,8 +27,18 @@ def lower_ascii(col):
     return F.translate(col, _UPPER, _LOWER)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table read in fewer pieces than there are cores is dealt out anew, so that no core idles.
+
+    Tables of more than a few files are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in TEXTS else df
 
 
 def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
