@@ -11,8 +11,18 @@ TARGET, BASE = "5-LOW", "1-URGENT"
 TYPES = ("A", "N", "R")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table read in fewer pieces than there are cores is dealt out anew, so that no core idles.
+
+    Tables of more than a few files are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name == "documents" else df
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
