@@ -11,10 +11,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspan.llm import decontaminate, packing, secret_scan, simhash, toxicity
-from loomspan.llm.common import materialize, table
+from loomspan.llm import decontaminate, near_copies, packing, secret_scan, simhash, toxicity
+from loomspan.llm.common import broadcast_if_small, materialize, table
 from loomspan.llm.queries import forest
 
+#: Lists of ids that are counted and no longer than this are broadcast.
+BROADCAST_ROWS = 200_000
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leave out the documents that the severity model finds toxic."""
@@ -26,13 +29,25 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest id of each component; rows that repeat an id count once."""
     found = materialize(simhash.near_duplicates(docs), "components")
-    copies = found.where("id IS NOT NULL AND id <> component_id").select(F.col("id").alias("doc_id")).distinct()
+    copies = materialize(found.where("id IS NOT NULL AND id <> component_id").select(F.col("id").alias("doc_id")).distinct(), "copies")
+    copies = broadcast_if_small(copies, copies.count(), BROADCAST_ROWS)
     kept = docs.join(copies, "doc_id", "left_anti").select(docs.columns)
     repeated = materialize(found.where("id IS NOT NULL").groupBy(F.col("id").alias("doc_id")).agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated")
-    once = kept.join(repeated, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
+    n = repeated.count()
+    if not n:
+        return kept
+    repeated = broadcast_if_small(repeated, n, BROADCAST_ROWS)
+    once = materialize(kept.join(repeated, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]), "once")
     return kept.join(repeated, "doc_id", "left_anti").select(docs.columns).union(once)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Near-duplicates by fingerprints, then what is left by the exact similarity of five-word shingles (0.8 or more)."""
+    once = drop_near_duplicates(spark, docs, sf_dir)
+    copies = near_copies.near_copies(once).select(F.col("id").alias("doc_id"))
+    return once.join(broadcast_if_small(copies, copies.count(), BROADCAST_ROWS), "doc_id", "left_anti").select(docs.columns)
+
+
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leave out the documents that hold a benchmark passage."""
     hits = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).where("id IS NOT NULL").select(F.col("id").alias("doc_id")).distinct()
@@ -53,7 +68,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 STAGES = [
     ("toxicity", drop_toxic),
-    ("simhash_dedup", drop_near_duplicates),
+    ("simhash_dedup", drop_near_copies),
     ("decontamination", drop_contaminated),
     ("secrets", redact_secrets),
     ("packing", pack_sequences),

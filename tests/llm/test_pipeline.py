@@ -1,6 +1,10 @@
 """The pipeline: every stage against what it must and must not do."""
 
+import collections
 import importlib.util
+import itertools
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -42,6 +46,40 @@ def test_one_of_each_group_stays(spark, docs):
     assert sorted(i for i in ids if i is not None) == sorted(want) and ids.count(None) == 1
 
 
+def test_no_two_near_copies_stay(spark):
+    """Of all pairs with a similarity of 0.8 or more of five-word shingles, one goes; nothing else goes that fingerprints leave."""
+    rnd = random.Random(8)
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    words = [f"w{rnd.randrange(4000)}" for _ in range(200)]
+    for k in range(120):  # a dense group, some of it beyond the limit
+        w = list(words)
+        for _ in range(rnd.randrange(12)):
+            w[rnd.randrange(len(w))] = f"v{rnd.randrange(10**6)}"
+        rows.append((50_000 + k, " ".join(w)))
+    rows += [(60_000 + k, " ".join(words[: 4 + k])) for k in range(10)] + [(70_000, None), (70_001, " ")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+
+    def grams(t):
+        w = re.findall("[^ \t-\r]+", (t or "").lower() if (t or "").isascii() else "".join(c.lower() if c.isascii() else c for c in t))
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    def near(ids):
+        sets = {i: grams(dict_of[i]) for i in ids}
+        held = collections.defaultdict(list)
+        for i, s in sets.items():
+            for g in s:
+                held[g].append(i)
+        met = collections.Counter((a, b) for x in held.values() for a, b in itertools.combinations(sorted(x), 2))
+        return {p for p, n in met.items() if 5 * n >= 4 * (len(sets[p[0]]) + len(sets[p[1]]) - n)}
+
+    dict_of = dict(rows)
+    before = {r.doc_id for r in P.drop_near_duplicates(spark, docs, SF).collect()}
+    after = {r.doc_id for r in dict(P.STAGES)["simhash_dedup"](spark, docs, SF).collect()}
+    pairs = near(before)
+    assert pairs and not near(after)
+    assert before - after <= {b for _, b in pairs} and after <= before
+
+
 def test_contaminated_documents_go(spark, docs):
     out = P.drop_contaminated(spark, docs, SF)
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
