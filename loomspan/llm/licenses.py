@@ -43,7 +43,7 @@ NAMES = {
     "gfdl-1.3": ("documentation", rf"gnu free documentation {_L} {_V}1 3"),
     "apache-1.1": ("apache", rf"apache (?:software )?{_L} {_V}1 1"),
     "apache-2.0": ("apache", rf"apache (?:software )?{_L} {_V}2(?: 0)?"),
-    "mit": ("mit", rf"(?:mit|expat) {_L}"),
+    "mit": ("mit", rf"mit {_L}"),
     "mit-0": ("mit", rf"mit no attribution {_L}"),
     "bsd-2-clause": ("bsd", rf"(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)(?: {_L})?"),
     "bsd-3-clause": ("bsd", rf"(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd)(?: {_L})?"),
@@ -82,6 +82,8 @@ NAMES = {
     "cc-by-nc-sa-4.0": ("4 0", r"(?:cc by nc sa|creative commons attribution non ?commercial share ?alike) 4 0"),
     "cc-by-nc-nd-4.0": ("4 0", r"(?:cc by nc nd|creative commons attribution non ?commercial no ?deriv(?:ative)?s) 4 0"),
 }
+#: Other names of the same licenses, by keywords of their own.
+ALIASES = (("mit", "expat", rf"expat {_L}"),)
 #: What may stand around a name, and the priority that makes.  ``{n}`` is the name.
 TEMPLATES = (
     (GRANT, rf"licen[cs]ed under (?:the )?(?:terms of the )?{{n}}"),
@@ -125,7 +127,8 @@ OWN = (
 
 def rules() -> list[tuple[str, int, str, str]]:
     """(label, priority, keyword, expression), the expression bounded by whole words."""
-    out = [(label, p, key, t.replace("{n}", f"(?:{name})")) for label, (key, name) in NAMES.items() for p, t in TEMPLATES]
+    names = (*((label, key, name) for label, (key, name) in NAMES.items()), *ALIASES)
+    out = [(label, p, key, t.replace("{n}", f"(?:{name})")) for label, key, name in names for p, t in TEMPLATES]
     for label in NAMES:  # SPDX tags: "SPDX-License-Identifier: Apache-2.0"
         out.append((label, GRANT, "spdx", rf"spdx {_L} identifier {label.replace('-', ' ').replace('.', ' ')}(?: only| or later)?"))
     return [(label, p, key, f"(?<= )(?:{x})(?= )") for label, p, key, x in (*out, *OWN)]

@@ -382,6 +382,23 @@ def test_license_rules_are_sound():
         assert not re.match(x, "") and any(g in key for g in licenses.gates())
 
 
+def test_licenses_need_no_keyword(spark):
+    """What rules find does not hang on their keywords: all of them run, over texts made of the rules' own words."""
+    import re
+
+    rnd = random.Random(9)
+    plain = [re.sub(r"\(\?:([^()|]*)[^()]*\)\??", r"\1", name).replace("[cs]", "c").replace("?", "") for _, name in licenses.NAMES.values()]
+    texts = ["Licensed under the Expat License", "expat licence", *[f"{rnd.choice(['licensed under the', 'subject to', 'a'])} {x} here" for x in plain]]
+    got = {r.id: r.labels for r in licenses.scan(docs_of(spark, texts)).collect()}
+    for i, text in enumerate(texts):
+        line = f" {' '.join(x for x in re.split(licenses.SEPARATORS, text.lower()) if x)} "
+        dets = sorted({(m.start(), -m.end(), -p, lab) for lab, p, _, x in licenses.rules() for m in re.finditer(x, line)})
+        kept = {d[3] for k, d in enumerate(dets) if not any(o[1] <= d[1] and o[2] <= d[2] for o in dets[:k])}
+        base = {lab for p, lab in licenses.PHRASES.items() if f" {p} " in line}
+        assert got[i] == ",".join(sorted(base | kept)), text
+    assert got[0] == got[1] == "mit"
+
+
 def test_license_edges(hostile, empty):
     got = {r.id: r for r in licenses.scan(hostile).collect()}
     assert got[-3].labels == "mit" and got[-3].n_base == 2 and got[-3].first_word == 0 and got[-3].last_word == 2
