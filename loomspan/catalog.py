@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("metrics", "records", "text", "arcs", "conversations", "boundary")
+MODULES = ("metrics", "records", "text", "arcs", "conversations", "boundary", "files")
 
 
 def queries() -> dict:

@@ -40,6 +40,11 @@ def response_parts(text: Column, body_cap: int = 6000, think_cap: int = 2500) ->
     )
 
 
+def prompt_chapter(text: Column) -> Column:
+    """A chapter's text as far as a prompt takes it."""
+    return F.substring(text, 1, PROMPT_CHAPTER)
+
+
 def or_sentinel(text: Column) -> Column:
     """The stripped response, or the sentinel where nothing is left."""
     s = strip(strip_think(F.coalesce(text, F.lit(""))))
@@ -74,6 +79,7 @@ def chunk_windows(text: Column, size: int = CHUNK_SIZE, stride: int = CHUNK_STRI
     )
 
 
+#: The archive's start and end marks: a fixed value.
 _MARK = r"\*\*\* {} OF (?:THE|THIS) PROJECT GUTENBERG EBOOK"
 
 
@@ -85,6 +91,7 @@ def strip_wrapper(text: Column) -> Column:
 
 def valid_download(content: Column, ebook_id: Column, max_bytes: int = 32 * 1024 * 1024, least_body: int = 1000) -> Column:
     """Whether a fetched text is the right and whole book (see the download rules)."""
+    # the number's and the marks' patterns are fixed values
     found = F.regexp_extract(F.substring(content, 1, 10_000), r"(?i)\bEBook\s*(?:#|No\.?\s*:)\s*(\d+)\b", 1)
     mark = r"\*\*\*\s+{} OF (?:THE|THIS) PROJECT GUTENBERG E(?:BOOK|TEXT)\b"
     # the first start mark, then an end mark behind it with enough text between

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,16 +67,45 @@ def with_eos(text: Column, eos: str | None) -> Column:
     return text if not eos else F.when(F.endswith(text, F.lit(eos)), text).otherwise(F.concat(text, F.lit(eos)))
 
 
-def chat_text(messages: Column, eos: str | None = None) -> Column:
-    """"role: content" blocks, a blank line between."""
+@dataclass(frozen=True)
+class ChatTemplate:
+    """A tokenizer's chat template, as the marks around each message; ``{role}`` stands for the role.
+
+    ``generation`` opens the answer that a model is to give.
+    """
+
+    before: str
+    after: str
+    start: str = ""
+    generation: str = ""
+
+    def text(self, messages: Column, generation: bool = False) -> Column:
+        mark = lambda s, m: F.replace(F.lit(s), F.lit("{role}"), m["role"])
+        body = F.array_join(F.transform(messages, lambda m: F.concat(mark(self.before, m), m["content"], mark(self.after, m))), "")
+        return F.concat(F.lit(self.start), body, F.lit(self.generation if generation else ""))
+
+
+#: A widespread template, as an example of one.
+CHATML = ChatTemplate("<|im_start|>{role}\n", "<|im_end|>\n", generation="<|im_start|>assistant\n")
+
+
+def chat_text(messages: Column, eos: str | None = None, template: ChatTemplate | None = None) -> Column:
+    """Messages as the tokenizer's template has them; without one, "role: content" blocks, a blank line between."""
+    if template is not None:
+        return template.text(messages)
     return with_eos(F.array_join(F.transform(messages, lambda m: F.concat(m["role"], F.lit(": "), m["content"])), "\n\n"), eos)
 
 
-def sft_text(df: DataFrame, eos: str | None = None) -> DataFrame:
+def prompt_text(messages: Column, template: ChatTemplate | None = None) -> Column:
+    """The prompt of a conversation as text, ready for an answer."""
+    return F.concat(chat_text(messages), F.lit("\n\n")) if template is None else template.text(messages, generation=True)
+
+
+def sft_text(df: DataFrame, eos: str | None = None, template: ChatTemplate | None = None) -> DataFrame:
     """Supervised examples as one text: conversations as blocks, else prompt, blank line, completion."""
     if any(c in df.columns for c in MESSAGES):
         col = next(c for c in MESSAGES if c in df.columns)
-        return df.withColumn("text", chat_text(F.col(col), eos))
+        return df.withColumn("text", chat_text(F.col(col), eos, template))
     return df.withColumn("text", with_eos(F.concat_ws("\n\n", first_present(df, PROBLEM), first_present(df, SOLUTION)), eos))
 
 

@@ -107,21 +107,27 @@ def metering(results: DataFrame) -> DataFrame:
 def fold(df: DataFrame, key: str, order: str, text: str, step: Callable[[str, str], str]) -> DataFrame:
     """Running state: what ``step`` makes of chapter k goes into chapter k + 1.
 
-    Sequential within a key by definition; keys run in parallel.  Only (order, text) of one
-    key are held at a time.
+    Sequential within a key by definition; keys run in parallel.  Rows come sorted by (key,
+    order), so a task holds one state and one slice of rows, however many chapters a key has.
     """
     kind, okind = df.schema[key].dataType.simpleString(), df.schema[order].dataType.simpleString()
+    rows = df.select(F.col(key).alias("k"), F.col(order).alias("o"), F.col(text).cast("string").alias("t")).repartition("k").sortWithinPartitions("k", "o")
 
-    def run(pdf):
-        pdf = pdf.sort_values(order, kind="stable")
-        state, out = "", []
-        for t in pdf[text]:
-            state = step(state, t or "")
-            out.append(state)
-        pdf["state"] = out
-        return pdf[[key, order, "state"]]
-
-    return df.select(key, order, text).groupBy(key).applyInPandas(run, f"{key} {kind}, {order} {okind}, state string")
+    def run(batches):
+        import pyarrow as pa
+
+        at, state = object(), ""
+        for b in batches:
+            for lo in range(0, b.num_rows, 400):
+                part, out = b.slice(lo, 400), []
+                for k, t in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), strict=True):
+                    if k != at:
+                        at, state = k, ""
+                    state = step(state, t or "")
+                    out.append(state)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.string())], names=["k", "o", "state"])
+
+    return rows.mapInArrow(run, f"k {kind}, o {okind}, state string").toDF(key, order, "state")
 
 
 def keep_unless_rejected(names: DataFrame, verdicts: DataFrame, key: str = "name") -> DataFrame:

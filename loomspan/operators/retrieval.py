@@ -9,7 +9,7 @@ TOP_K = 6
 TRAILING = 5
 EPS = 1e-12
 #: Names that one containment pass may hold, and vectors that one top-k block may hold.
-NAMES_BLOCK, QUERY_BLOCK = 2000, 512
+NAMES_BLOCK, QUERY_BLOCK = 2000, 20_000
 #: Words of a containment key.
 SHINGLE = 4
 
@@ -28,30 +28,25 @@ def masked_top_k(chunks: DataFrame, queries: DataFrame, k: int = TOP_K) -> DataF
     """The k most similar chunks that a query may see (chunk chapter <= query chapter).
 
     ``chunks``: (novel, chapter, chunk_idx, vec); ``queries``: (novel, query_id, query_chapter,
-    qvec), a stated set that goes out in blocks of ``QUERY_BLOCK``.  Chunks are read
-    once a block and scored where they lie; each task keeps its best k per query before the
-    shuffle, so what moves is k rows per task and query, not chunks.  The mask comes before
-    the ranking: fewer than k visible chunks give fewer rows.
+    qvec), a stated set.  Up to ``QUERY_BLOCK`` of them, as counted, are broadcast; more are dealt
+    to blocks of that size, and chunks meet them by (novel, block).  Each task keeps its best k
+    per query before the shuffle of the ranking, so what moves then is k rows per task and query.
+    The mask comes before the ranking: fewer than k visible chunks give fewer rows.
     """
-    spark = chunks.sparkSession
     normed = chunks.withColumn("vnorm", norm(F.col("vec")))
-    out, block = None, []
-    schema = queries.schema
-
-    def scored(rows):
-        q = F.broadcast(spark.createDataFrame(rows, schema)).withColumn("qnorm", norm(F.col("qvec")))
-        hit = normed.join(q, (normed["novel"] == q["novel"]) & (F.col("chapter") <= F.col("query_chapter"))).drop(q["novel"])
-        best = hit.select("novel", "query_id", "chapter", "chunk_idx", cosine(F.col("vec"), F.col("qvec"), F.col("vnorm"), F.col("qnorm")).alias("sim"))
-        w = Window.partitionBy("novel", "query_id").orderBy(F.col("sim").desc(), "chapter", "chunk_idx")
-        return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-    for r in queries.toLocalIterator():
-        block.append(r)
-        if len(block) == QUERY_BLOCK:
-            out, block = scored(block) if out is None else out.unionByName(scored(block)), []
-    if block or out is None:
-        out = scored(block) if out is None else out.unionByName(scored(block))
-    return out
+    asked = queries.withColumn("qnorm", norm(F.col("qvec"))).withColumnRenamed("novel", "__novel")
+    blocks = -(-queries.count() // QUERY_BLOCK)
+    met = F.col("novel") == F.col("__novel")
+    if blocks <= 1:
+        asked = F.broadcast(asked)
+    else:
+        asked = asked.withColumn("__block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+        normed = normed.withColumn("__of", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+        met = met & (F.col("__of") == F.col("__block"))
+    hit = normed.join(asked, met & (F.col("chapter") <= F.col("query_chapter")))
+    best = hit.select("novel", "query_id", "chapter", "chunk_idx", cosine(F.col("vec"), F.col("qvec"), F.col("vnorm"), F.col("qnorm")).alias("sim"))
+    w = Window.partitionBy("novel", "query_id").orderBy(F.col("sim").desc(), "chapter", "chunk_idx")
+    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def _shingles(words: Column) -> Column:

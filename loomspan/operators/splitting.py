@@ -111,12 +111,19 @@ def merge_volumes(volumes: DataFrame, book: str = "novel", order: str = "volume"
     if not renumbered:
         return joined.select(book, F.array_join("parts", "\n\n\n").alias("text"))
 
-    @F.udf("string")
-    def merge(parts):
-        out, n = [], 1
-        for p in parts:
-            p, n = renumber_headings(p, n)
-            out.append(p)
-        return "\n\n\n".join(out)
-
-    return joined.select(book, merge("parts").alias("text"))
+    kind = joined.schema[book].dataType.simpleString()
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            texts = []
+            for parts in b.column(1).to_pylist():
+                out, n = [], 1
+                for p in parts or ():
+                    p, n = renumber_headings(p, n)
+                    out.append(p)
+                texts.append("\n\n\n".join(out))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["k", "text"])
+
+    return joined.mapInArrow(run, f"k {kind}, text string").withColumnRenamed("k", book)

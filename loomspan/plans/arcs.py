@@ -105,13 +105,13 @@ def masked_cosine_topk(spark, sf_dir):
     return R.masked_top_k(chunks, queries).select("query_id", "chunk_idx", F.col("rank").cast("bigint").alias("rank"), F.round("sim", 6).alias("sim"))
 
 
-@query("""WITH q AS (SELECT DISTINCT l_suppkey AS novel, (l_linenumber + 3)::INT AS qc FROM lineitem), s AS (SELECT DISTINCT l_suppkey AS novel, (l_partkey % 12)::INT AS ch FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber = 1), w AS (SELECT novel, qc, UNNEST(range(GREATEST(1, qc - 4), qc + 1)) AS ch FROM q)
+@query("""WITH q AS (SELECT DISTINCT l_suppkey AS novel, (l_linenumber + 3)::INT AS qc FROM lineitem), s AS (SELECT DISTINCT l_suppkey AS novel, (l_partkey % 12)::INT AS ch FROM lineitem), w AS (SELECT novel, qc, UNNEST(range(GREATEST(1, qc - 4), qc + 1)) AS ch FROM q)
 SELECT w.novel, qc AS query_chapter, COUNT(s.ch) AS found, string_agg(CASE WHEN s.ch IS NULL THEN w.ch::VARCHAR END, ',' ORDER BY w.ch) AS missing FROM w LEFT JOIN s ON w.novel = s.novel AND w.ch = s.ch GROUP BY ALL""")
 def trailing_chapter_window(spark, sf_dir):
     """The trailing chapters that are there, and those missing."""
     li = table(spark, sf_dir, "lineitem")
     q = li.select(F.col("l_suppkey").alias("novel"), (F.col("l_linenumber") + 3).cast("int").alias("query_chapter")).distinct()
-    s = li.where("l_returnflag = 'R' AND l_linenumber = 1").select(F.col("l_suppkey").alias("novel"), (F.col("l_partkey") % 12).cast("int").alias("chapter"))
+    s = li.select(F.col("l_suppkey").alias("novel"), (F.col("l_partkey") % 12).cast("int").alias("chapter"))
     w = R.trailing_window(s, q, "novel", "chapter", "query_chapter")
     gone = F.array_join(F.transform("missing", lambda c: c.cast("string")), ",")
     return w.select("novel", "query_chapter", F.size("chapters").cast("bigint").alias("found"), F.nullif(gone, F.lit("")).alias("missing"))

@@ -11,18 +11,15 @@ TARGET, BASE = "5-LOW", "1-URGENT"
 TYPES = ("A", "N", "R")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A table read in fewer pieces than there are cores is dealt out anew, so that no core idles.
-
-    Tables of more than a few files are left as they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
+#: A caller's parameter, unset by default: whole texts are dealt out to so many pieces when read.
+PIECES = "spark.loomspan.pieces"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder.  ``PIECES`` in the session deals out texts that lie in too few files."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df) if name == "documents" else df
+    pieces = spark.conf.get(PIECES, None)
+    return df.repartition(int(pieces)) if pieces and name == "documents" else df
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -78,14 +78,6 @@ def time_hints(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", kind.alias("kind"))
 
 
-@query()
-def trajectory_latex(spark, sf_dir):
-    """K4, K8: a LaTeX table of a small report; its rows are models times modes."""
-    rows = M.pivot_cells(M.pool(records(spark, sf_dir), ["model", "mode", "ptype"], "apf", "v"), ["model", "mode"], "ptype", ["A", "N", "R"], "v").orderBy("model", "mode")
-    text = S.latex_table([r.asDict() for r in rows.collect()], ["A", "N", "R", "overall"], ["A", "N", "R", "Overall"], "model", "mode", "5-LOW")
-    return spark.createDataFrame([(i, line) for i, line in enumerate(text.split("\n"))], "line_no int, line string")
-
-
 @query("""WITH e AS (SELECT DISTINCT l_suppkey AS probe_id, l_linenumber AS phase FROM lineitem) SELECT probe_id || '__p' || phase || '__arc__a_b' AS trial_id FROM e""")
 def trial_ids(spark, sf_dir):
     """Trial ids."""

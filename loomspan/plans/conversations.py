@@ -48,6 +48,15 @@ def sft_format(spark, sf_dir):
     return g.select("conv_id", F.md5(C.with_eos(F.col("t"), "</s>").cast("binary")).alias("digest"), F.length("t").cast("bigint").alias("n"))
 
 
+@query("""WITH l AS (SELECT conv_id, MAX(turn) FILTER (role = 'assistant') AS last FROM conversations GROUP BY 1), m AS (SELECT c.*, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS t, last IS NULL OR turn < last AS ahead FROM conversations c JOIN l USING (conv_id))
+SELECT conv_id, md5(string_agg(t, '' ORDER BY turn)) AS text, md5(coalesce(string_agg(t, '' ORDER BY turn) FILTER (ahead), '') || '<|im_start|>assistant' || chr(10)) AS prompt FROM m GROUP BY 1""")
+def chat_template(spark, sf_dir):
+    """Training texts and prompts as a tokenizer's chat template has them."""
+    g = C.gather(table(spark, sf_dir, "conversations"))
+    text, prompt = C.sft_text(g, "</s>", C.CHATML), C.prompt_text(C.prompt_messages(F.col("messages")), C.CHATML)
+    return text.select("conv_id", F.md5(F.encode("text", "UTF-8")).alias("text"), F.md5(F.encode(prompt, "UTF-8")).alias("prompt"))
+
+
 @query("""WITH t AS (SELECT conv_id, turn, text, role FROM conversations), c AS (SELECT conv_id, string_agg(text, ' ' ORDER BY turn) FILTER (role = 'user') AS p, arg_max(text, turn) FILTER (role = 'assistant') AS a, arg_min(text, turn) FILTER (role = 'assistant') AS b FROM t GROUP BY 1) SELECT conv_id, length(p || chr(10) || chr(10))::BIGINT AS prompt_chars, md5(a) AS chosen, md5(b) AS rejected FROM c WHERE a IS NOT NULL AND p IS NOT NULL""")
 def dpo_format(spark, sf_dir):
     """Preference rows."""

@@ -156,19 +156,6 @@ def response_split(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", X.response_parts(raw).alias("p")).select("conv_id", "turn", "p.think", "p.n_chars", F.col("p.body_truncated").alias("truncated"))
 
 
-@query()
-def split_chapters(spark, sf_dir):
-    """Chapters of whole texts (tested against Python rules)."""
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("novel"), "text")
-    return splitting.split_chapters(d).groupBy("novel").agg(F.count("*").alias("chapters"), F.sum(F.length("text")).alias("chars"))
-
-
-@query()
-def sub_chunk(spark, sf_dir):
-    """Pieces cut at paragraph ends."""
-    return splitting.sub_chunks(table(spark, sf_dir, "documents"), "doc_id", "text", 1500).select("doc_id", "idx", F.length("text").alias("n"))
-
-
 @query("""WITH k AS (SELECT source, lang, doc_id FROM documents WHERE length(text) >= 300) SELECT doc_id, ROW_NUMBER() OVER (PARTITION BY source ORDER BY lang, doc_id)::BIGINT AS number FROM k""")
 def renumber_global(spark, sf_dir):
     """Chapter numbers that run on through volumes."""

@@ -9,9 +9,16 @@ from pyspark.sql import SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder all executors share (``spark.checkpoint.dir``); a local one only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """A fresh path in the folder all executors share, ``spark.checkpoint.dir``.
+
+    Only in local mode, where the driver's disk is the executors' too, a folder of our own is
+    made if the setting is missing; elsewhere that is an error.
+    """
+    sc = spark.sparkContext
+    root = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='loomspan-')}"
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/loomspan/{name}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/loomspan/{sc.applicationId}/{name}-{uuid.uuid4().hex}"

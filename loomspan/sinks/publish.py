@@ -59,6 +59,36 @@ def gzip_json(df: DataFrame, path: str, by: list[str]) -> None:
     df.repartition(*by).write.mode("overwrite").partitionBy(*by).option("compression", "gzip").json(path)
 
 
+def text_files(df: DataFrame, path: str, name: str, text: str) -> DataFrame:
+    """One file a row, ``path/<name>``; the returned ``(file, bytes)`` must be run, and lists them.
+
+    Tasks write under another name and rename, so a file is whole or not there; a task that
+    runs twice writes the same file twice.  Null texts are empty files.
+    """
+    spark = df.sparkSession
+    fs, p = _fs(spark, path)
+    fs.mkdirs(p)
+
+    def run(batches):
+        import uuid
+
+        import pyarrow as pa
+        from pyarrow import fs as stores
+
+        store, root = stores.FileSystem.from_uri(path)
+        for b in batches:
+            sizes = []
+            for file, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                data, part = (body or "").encode("utf-8"), f"{root}/_{uuid.uuid4().hex}"
+                with store.open_output_stream(part, compression=None) as out:
+                    out.write(data)
+                store.move(part, f"{root}/{file}")
+                sizes.append(len(data))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64())], names=["file", "bytes"])
+
+    return df.select(F.col(name).cast("string").alias("file"), F.col(text).cast("string").alias("text")).mapInArrow(run, "file string, bytes long")
+
+
 def nested_json(df: DataFrame, outer: str, inner: str, value: str) -> DataFrame:
     """``{outer: {inner: value}}`` as JSON text, from a small result."""
     pairs = lambda k, v: F.array_sort(F.collect_list(F.struct(F.col(k).alias("k"), F.col(v).alias("v"))))

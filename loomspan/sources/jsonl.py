@@ -32,8 +32,8 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     return raw.where(F.trim(F.regexp_replace("line", r"\s+", " ")) != "").withColumn("line_no", F.col("line_no") + 1)
 
 
-def placed_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``(path, place, line)`` of all non-blank lines of files of any size.
+def placed_lines(spark: SparkSession, path: str, blank: bool = False) -> DataFrame:
+    """``(path, place, line)`` of all lines of files of any size, blank ones only if asked for.
 
     Files are read in blocks by many tasks.  ``place`` (block start, number in the task) orders
     a file's lines as they stand; only their count is not known.
@@ -41,7 +41,7 @@ def placed_lines(spark: SparkSession, path: str) -> DataFrame:
     if not exists(spark, path):
         return spark.createDataFrame([], "path string, place struct<block:long,n:long>, line string")
     raw = spark.read.text(path).select(file_name(F.col("_metadata.file_path")).alias("path"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n")).alias("place"), F.col("value").alias("line"))
-    return raw.where(F.trim(F.regexp_replace("line", r"\s+", " ")) != "")
+    return raw if blank else raw.where(F.trim(F.regexp_replace("line", r"\s+", " ")) != "")
 
 
 def tolerant(spark: SparkSession, path: str, schema: str, numbered: bool = True) -> DataFrame:
@@ -51,19 +51,24 @@ def tolerant(spark: SparkSession, path: str, schema: str, numbered: bool = True)
     Numbered lines need each file to fit a row; without numbers files may have any size.
     """
     parsed = (lines if numbered else placed_lines)(spark, path).withColumn("v", F.try_parse_json("line"))
-    good = parsed.where(F.startswith(F.schema_of_variant("v"), F.lit("OBJECT")))
+    good = parsed.where(F.is_valid_utf8("line") & F.startswith(F.schema_of_variant("v"), F.lit("OBJECT")))
     return good.select("path", "line_no" if numbered else "place", F.from_json("line", schema).alias("rec"))
 
 
 def strict(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The same, but a bad line stops the query and names its file and line."""
+    """``(path, place, rec)``: the same for files of any size, but a bad line is an error that names its file and line.
+
+    All lines are looked at first, in blocks; only where one is bad the lines ahead of the first
+    such one are counted.
+    """
     if not exists(spark, path):
         raise FileNotFoundError(path)
-    v = F.try_parse_json("line")
-    ok = F.coalesce(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), F.lit(False))
-    where = F.concat(F.col("path"), F.lit(":"), F.col("line_no").cast("string"))
-    checked = F.when(ok, F.col("line")).otherwise(F.raise_error(F.concat(F.lit("not a JSON object: "), where)))
-    return lines(spark, path).select("path", "line_no", F.from_json(checked, schema).alias("rec"))
+    good = F.is_valid_utf8("line") & F.coalesce(F.startswith(F.schema_of_variant(F.try_parse_json("line")), F.lit("OBJECT")), F.lit(False))
+    first = placed_lines(spark, path).where(~good).agg(F.min(F.struct("path", "place")).alias("bad")).first().bad
+    if first is not None:
+        ahead = placed_lines(spark, path, blank=True).where((F.col("path") == first.path) & (F.col("place") <= F.struct(F.lit(first.place.block).alias("block"), F.lit(first.place.n).alias("n"))))
+        raise ValueError(f"not a JSON object: {first.path}:{ahead.count()}")
+    return placed_lines(spark, path).select("path", "place", F.from_json("line", schema).alias("rec"))
 
 
 def documents(spark: SparkSession, path: str, schema: str, skip: str = r"(^|/)all_[^/]*$") -> DataFrame:

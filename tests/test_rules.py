@@ -46,6 +46,23 @@ def test_tolerant_lines(spark, tmp_path):
     assert jsonl.tolerant(spark, str(tmp_path / "none.jsonl"), "a int").count() == 0
 
 
+def test_strict_lines_of_a_file_in_many_blocks(spark, tmp_path):
+    """Blank lines count, blocks are read by several tasks, and the first bad line is the one that is named."""
+    p = tmp_path / "long.jsonl"
+    lines = [f'{{"a": {k}}}' if k % 3 else "" for k in range(3000)]
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        p.write_text("\n".join(lines))
+        got = jsonl.strict(spark, str(p), "a int")
+        assert got.rdd.getNumPartitions() > 3 and [r.rec.a for r in got.orderBy("place").collect()] == [k for k in range(3000) if k % 3]
+        p.write_text("\n".join([*lines[:2000], "oops", *lines[2000:], "[2]"]))
+        with pytest.raises(ValueError, match=r"long\.jsonl:2001"):
+            jsonl.strict(spark, str(p), "a int")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
 def test_strict_lines_name_the_place(spark, tmp_path):
     p = tmp_path / "x.jsonl"
     p.write_text('{"a": 1}\n[1]\n')
@@ -391,3 +408,52 @@ def test_containment_against_brute_force(spark):
     flat = lambda s: __import__("re").sub(r"\s+", " ", s.lower())
     got = [(r.d, r.m) for r in retrieval.containment(spark.createDataFrame(texts, "d long, t string"), spark.createDataFrame(names, "m int, n string"), "d", "t", "m", "n", block=7).collect()]
     assert len(got) == len(set(got)) and set(got) == {(d, m) for d, t in texts for m, n in names if t is not None and n is not None and flat(n) in flat(t)}
+
+
+def test_fold_holds_one_state(spark):
+    """The state of a key goes through all its rows, in order, whatever the batches; no state leaks to the next key."""
+    from loomspan.operators import external
+
+    df = spark.createDataFrame([(k % 3, k, str(k)) for k in range(3000)][::-1], "k int, o int, t string")
+    got = external.fold(df, "k", "o", "t", lambda state, text: str(int(state or 0) + int(text)))
+    want, sums = {}, {}
+    for k in range(3000):
+        sums[k % 3] = sums.get(k % 3, 0) + k
+        want[k] = sums[k % 3]
+    assert {r.o: int(r.state) for r in got.collect()} == want
+
+
+def test_top_k_in_blocks(spark, monkeypatch):
+    """Many queries meet the chunks in blocks, with the same result."""
+    import random
+
+    from loomspan.operators import retrieval
+
+    rnd = random.Random(3)
+    vec = lambda: [rnd.random() - 0.5 for _ in range(4)]
+    chunks = spark.createDataFrame([("n", k % 9, k, vec()) for k in range(60)], "novel string, chapter int, chunk_idx int, vec array<double>")
+    asked = spark.createDataFrame([("n", q, q % 9, vec()) for q in range(25)], "novel string, query_id int, query_chapter int, qvec array<double>")
+    rows = lambda: sorted((r.query_id, r["rank"], r.chunk_idx) for r in retrieval.masked_top_k(chunks, asked).collect())
+    one = rows()
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 4)
+    assert rows() == one and one
+
+
+def test_shared_folder_is_needed_off_local_mode():
+    from loomspan.sinks import paths
+
+    class Spark:
+        class sparkContext:
+            master, applicationId = "spark://host:7077", "a"
+
+            @staticmethod
+            def getConf():
+                return {}
+
+        class conf:
+            @staticmethod
+            def get(key, default=None):
+                return default
+
+    with pytest.raises(RuntimeError):
+        paths.scratch(Spark, "x")
