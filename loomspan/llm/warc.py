@@ -9,9 +9,12 @@ block and payload digests, no bytes left over.
 
 Scale.  Payloads are hashed where they are read; records with equal payloads meet as short
 digest rows, combined before the shuffle, so a payload shared by a third of all pages is
-one row a task.  Archives are cut at ``archive_bytes`` of payload, written under a
-task-attempt name and renamed, so a lost executor leaves nothing a reader would take.  The
-reader takes whole files, one task for each few, through Spark's own file source.
+one row a task, and what such a group joins to goes out by broadcast.  Only the rows'
+(id, digest) decide which record each becomes.  If the revisits are too many to broadcast,
+the pages are shuffled once to meet them.  Archives are cut at ``archive_bytes`` of payload,
+written under a task-attempt name and renamed, so a lost executor leaves nothing a reader
+would take.  The reader opens the files of the manifest in its tasks and decodes them as
+streams: a task holds one record, not one archive.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, release, shared_path, small_batches
+from .common import broadcast_if_small, join_by_group, materialize, shared_path, slices
 
 SKIPPABLE = 0x184D2A5D
 FRAME = 0xFD2FB528
@@ -27,9 +30,12 @@ VERSION = "WARC/1.1"
 MANDATORY = ("WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ARCHIVE_BYTES = 16 << 20
-#: Bounds of the dictionary and of the sample it is trained on.
+READ_BYTES = 1 << 18
+READ_ROWS = 5000
+#: Bounds of the dictionary and of the sample it is trained on: payloads, and bytes of each.
 DICT_BYTES = 64 << 10
 SAMPLE_ROWS = 400
+SAMPLE_BYTES = 1 << 16
 RECORD = "page_id long, record_type string, payload_digest string, payload_bytes long, refers_to long, url string, archive string"
 
 
@@ -94,35 +100,42 @@ def archive_head(dictionary: bytes) -> bytes:
     return struct.pack("<II", SKIPPABLE, len(dictionary)) + dictionary
 
 
-def frames(data: bytes):
-    """Decoded records of an archive, one frame each."""
+def frames(data):
+    """Decoded records of an archive (bytes or a binary stream), one frame each.
+
+    Of a stream a block and one record are held at a time.
+    """
+    import io
     import struct
 
     import zstandard
 
-    at, options = 0, {}
-    if len(data) >= 8 and struct.unpack_from("<I", data)[0] == SKIPPABLE:
-        size = struct.unpack_from("<I", data, 4)[0]
-        held = data[8 : 8 + size]
-        if len(held) != size:
+    source = io.BytesIO(data) if isinstance(data, (bytes, bytearray, memoryview)) else data
+    options, held, at = {}, source.read(8), 0
+    if len(held) == 8 and struct.unpack_from("<I", held)[0] == SKIPPABLE:
+        size = struct.unpack_from("<I", held, 4)[0]
+        words = source.read(size)
+        if len(words) != size:
             raise WarcError("the dictionary frame is cut short")
-        at = 8 + size
-        if held[:4] == struct.pack("<I", FRAME):
-            held = zstandard.ZstdDecompressor().decompressobj().decompress(held)
-        if held:
-            options["dict_data"] = zstandard.ZstdCompressionDict(held)
+        held, at = b"", 8 + size
+        if words[:4] == struct.pack("<I", FRAME):
+            words = zstandard.ZstdDecompressor().decompressobj().decompress(words)
+        if words:
+            options["dict_data"] = zstandard.ZstdCompressionDict(words)
     decoder = zstandard.ZstdDecompressor(**options)
-    view = memoryview(data)
-    while at < len(data):
-        one = decoder.decompressobj()
-        try:
-            raw = one.decompress(view[at:])
-        except zstandard.ZstdError as e:
-            raise WarcError(f"frame at byte {at}: {e}") from e
-        if not one.eof:
-            raise WarcError(f"the frame at byte {at} is cut short")
-        at = len(data) - len(one.unused_data)
-        yield raw
+    while held := held or source.read(READ_BYTES):
+        one, out, begun = decoder.decompressobj(), [], at
+        while not one.eof:
+            if not held and not (held := source.read(READ_BYTES)):
+                raise WarcError(f"the frame at byte {begun} is cut short")
+            try:
+                out.append(one.decompress(held))
+            except zstandard.ZstdError as e:
+                raise WarcError(f"frame at byte {begun}: {e}") from e
+            rest = one.unused_data if one.eof else b""
+            at += len(held) - len(rest)
+            held = rest
+        yield b"".join(out)
 
 
 def train_dictionary(samples: list[bytes], size: int = DICT_BYTES) -> bytes:
@@ -138,28 +151,51 @@ def train_dictionary(samples: list[bytes], size: int = DICT_BYTES) -> bytes:
         return b""
 
 
-def revisits(pages: DataFrame, min_bytes: int = 0, id_col: str = "page_id", payload_col: str = "html") -> DataFrame:
-    """``(id, refers_to)`` of the pages whose payload has at least ``min_bytes`` and stands under a smaller id too."""
+def marks(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html") -> DataFrame:
+    """``(id, digest, bytes)`` of every page, stored; null payload: empty."""
     payload = F.encode(F.coalesce(F.col(payload_col).cast("string"), F.lit("")), "UTF-8")
-    marks = materialize(pages.select(F.col(id_col).cast("long").alias("id"), F.sha1(payload).alias("digest"), F.octet_length(payload).alias("bytes")), "digests")
-    shared = marks.where((F.col("bytes") >= min_bytes) & F.col("id").isNotNull()).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    return marks.join(shared, "digest").where("id > first").select("id", F.col("first").alias("refers_to")).distinct()
+    return materialize(pages.select(F.col(id_col).cast("long").alias("id"), F.sha1(payload).alias("digest"), F.octet_length(payload).cast("long").alias("bytes")), "digests")
+
+
+def revisits(marked: DataFrame, min_bytes: int = 0) -> DataFrame:
+    """``(id, digest, refers_to)``, stored: of the pages (id, digest) whose payload has at least
+    ``min_bytes`` and stands under a smaller id too.  ``marked``: see :func:`marks`."""
+    named = marked.where((F.col("bytes") >= min_bytes) & F.col("id").isNotNull())
+    shared = materialize(named.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1"), "shared")
+    later = join_by_group(named, shared, "digest").where("id > first")
+    return materialize(later.select("id", "digest", F.col("first").alias("refers_to")).distinct(), "revisits")
+
+
+def sample_payloads(pages: DataFrame, marked: DataFrame, id_col: str = "page_id", payload_col: str = "html") -> list[bytes]:
+    """Payloads to train the dictionary on: those of the ``SAMPLE_ROWS`` smallest digests.
+
+    Ids are chosen first, among narrow rows; then only the chosen payloads move.
+    """
+    small = marked.where(F.col("id").isNotNull() & F.col("bytes").between(1, SAMPLE_BYTES))
+    chosen = small.groupBy("digest").agg(F.min("id").alias("id")).orderBy("digest").limit(SAMPLE_ROWS).collect()
+    if not chosen:
+        return []
+    payload = F.encode(F.col(payload_col).cast("string"), "UTF-8")
+    rows = pages.where(F.col(id_col).cast("long").isin([r.id for r in chosen]) & (F.octet_length(F.col(payload_col).cast("string")) <= SAMPLE_BYTES))
+    got = rows.select(F.sha1(payload).alias("d"), payload.alias("p")).where(F.col("d").isin([r.digest for r in chosen])).groupBy("d").agg(F.min("p").alias("p"))
+    return [bytes(r.p) for r in got.orderBy("d").collect()]
 
 
 def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", archive_bytes: int = ARCHIVE_BYTES, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
     """Write ``path/*.warc.zst`` and return ``(archive, records, bytes)`` of the files.
 
     One record per row, null payload: empty.  Of equal payloads of at least ``min_bytes``
-    the smallest id is the response, the others revisit it.  Rows without an id are
-    responses.  The dictionary is trained on a bounded hash sample (``SAMPLE_ROWS``).
+    the rows with the smallest id are responses (one, unless a row is repeated), the others
+    revisit it.  A row is known by its id and its payload: rows that share an id with
+    different payloads are records of their own.  Rows without an id are responses.  The
+    dictionary is trained on a bounded sample (:func:`sample_payloads`).
     """
     spark = pages.sparkSession
-    small_batches(spark)
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("payload"))
-    sample = [r.payload.encode() for r in rows.where(F.octet_length("payload").between(1, 1 << 16)).orderBy(F.xxhash64("id", "url")).limit(SAMPLE_ROWS).select("payload").collect()]
-    dictionary = train_dictionary(sample)
-    back = materialize(revisits(pages, min_bytes, id_col, payload_col), "revisits").withColumnRenamed("id", "r_id")
-    full = rows.join(back, F.col("id") == F.col("r_id"), "left").select("id", "url", "payload", "refers_to")
+    marked = marks(pages, id_col, payload_col)
+    dictionary = train_dictionary(sample_payloads(pages, marked, id_col, payload_col))
+    back = broadcast_if_small(revisits(marked, min_bytes).withColumnsRenamed({"id": "r_id", "digest": "r_digest"}))
+    full = rows.join(back, (F.col("id") == F.col("r_id")) & (F.sha1(F.encode("payload", "UTF-8")) == F.col("r_digest")), "left").select("id", "url", "payload", "refers_to")
 
     def run(batches):
         import uuid
@@ -182,7 +218,7 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, date: str =
                 store.move(f"{root}/_{name}", f"{root}/{name}")
                 done.append((name, count, size))
 
-        for batch in batches:
+        for batch in slices(batches):
             for ident, url, payload, first in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 if out is None:
                     name, count, held = f"part-{uuid.uuid4().hex}.warc.zst", 0, 0
@@ -197,7 +233,6 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, date: str =
         close()
         cols = list(zip(*done, strict=True)) or [(), (), ()]
         yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64()), strict=True)], names=["archive", "records", "bytes"])
-        release()
 
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
@@ -213,19 +248,27 @@ def read_archives(spark: SparkSession, path: str, names: DataFrame | None = None
     archive raises :class:`WarcError`.  The payload is checked against its digest and its
     length is returned; of a revisit, digest and length are those the record states.
     """
-    small_batches(spark, 1)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(path).select(F.element_at(F.split("path", "/"), -1).alias("archive"), "content")
-    if names is not None:
-        files = files.join(names.select("archive"), "archive", "left_semi").select("archive", "content")
+    if names is None:
+        names = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(path).select(F.element_at(F.split("path", "/"), -1).alias("archive"))
+    # a row is a file of some megabytes: each is a piece of its own, as far as there are cores
+    files = names.select("archive").repartition(spark.sparkContext.defaultParallelism)
+    kinds = dict(x.split() for x in RECORD.split(", "))
 
     def run(batches):
         import pyarrow as pa
+        from pyarrow import fs
 
+        types = [pa.string() if k == "string" else pa.int64() for k in kinds.values()]
+        store, root = fs.FileSystem.from_uri(path)
         ident = lambda v: int(v[10:-1]) if v and v[10:-1] else None  # noqa: E731  <urn:page:N>
-        for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                got = []
-                for raw in frames(content.as_buffer().to_pybytes()):
+
+        def batch_of(got):
+            return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(list(zip(*got, strict=True)) or [()] * len(types), types, strict=True)], names=list(kinds))
+
+        for name in (n for b in batches for n in b.column(0).to_pylist()):
+            got = []
+            with store.open_input_stream(f"{root}/{name}", compression=None) as stream:
+                for raw in frames(stream):
                     h, block = parse_record(raw)
                     kind, digest = h["warc-type"], h.get("warc-payload-digest", "").removeprefix("sha1:")
                     if kind == "response" and digest != base32_sha1(block):
@@ -234,9 +277,10 @@ def read_archives(spark: SparkSession, path: str, names: DataFrame | None = None
                         raise WarcError(f"{name}: {h['warc-record-id']}: a revisit must name its response and be empty")
                     size = len(block) if kind == "response" else int(h["warc-refers-to-payload-length"])
                     got.append((ident(h["warc-record-id"]), kind, digest, size, ident(h.get("warc-refers-to")), h.get("warc-target-uri"), name))
-                cols = list(zip(*got, strict=True)) or [()] * 7
-                kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in RECORD.split(", ")])
+                    if len(got) >= READ_ROWS:
+                        yield batch_of(got)
+                        got = []
+            yield batch_of(got)
 
     return files.mapInArrow(run, RECORD)
 
