@@ -27,14 +27,21 @@ def signed(v: Column) -> Column:
 
 def truncate_words(text: Column, n: int) -> Column:
     """At most ``n`` characters, cut back to a word's end, with an ellipsis."""
-    return F.when(F.length(text) > n, F.concat(F.regexp_replace(F.substring(text, 1, n), r"\s+\S*\z", ""), F.lit("…"))).otherwise(text)
+    return F.when(
+        F.length(text) > n, F.concat(F.regexp_replace(F.substring(text, 1, n), r"\s+\S*\z", ""), F.lit("…"))
+    ).otherwise(text)
 
 
 def join_names(names: Column) -> Column:
     """"a", "a and b", "a, b, and c"."""
     n = F.size(names)
-    head = F.concat(F.array_join(F.slice(names, F.lit(1), F.greatest(n - 1, F.lit(0))), ", "), F.lit(", and "), F.element_at(names, -1))
-    return F.when(n == 0, "").when(n == 1, F.get(names, F.lit(0))).when(n == 2, F.array_join(names, " and ")).otherwise(head)
+    head = F.concat(
+        F.array_join(F.slice(names, F.lit(1), F.greatest(n - 1, F.lit(0))), ", "), F.lit(", and "),
+        F.element_at(names, -1),
+    )
+    return F.when(n == 0, "").when(n == 1, F.get(names, F.lit(0))).when(
+        n == 2, F.array_join(names, " and ")
+    ).otherwise(head)
 
 
 def compact_float(v: Column) -> Column:

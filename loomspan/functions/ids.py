@@ -10,7 +10,10 @@ PROBE_TYPES = {"intext": "in_text", "inworld": "in_world", "outworld": "out_of_w
 #: Judge families in the order they are looked for: fixed values.
 FAMILIES = ("gpt", "deepseek", "claude", "qwen", "llama")
 #: Settings that out-of-world probes are moved to, in order: fixed values.
-ERAS = ("modern_urban", "industrial_early_20th", "mid_century", "pre_industrial_agrarian", "speculative_near_future", "pre_modern_imperial", "diasporic_contemporary")
+ERAS = (
+    "modern_urban", "industrial_early_20th", "mid_century", "pre_industrial_agrarian", "speculative_near_future",
+    "pre_modern_imperial", "diasporic_contemporary",
+)
 DEFAULT_LIFE_STAGE = "adult"
 
 
@@ -63,7 +66,9 @@ def character_slug(name: Column, known: Column) -> Column:
 def result_file(name: Column) -> Column:
     """Struct (mode, model) of ``<mode>__<model>.jsonl``; null for other names."""
     x = r"^(.*?)__(.*)\.jsonl$"
-    return F.when(name.rlike(x), F.struct(F.regexp_extract(name, x, 1).alias("mode"), F.regexp_extract(name, x, 2).alias("model")))
+    return F.when(
+        name.rlike(x), F.struct(F.regexp_extract(name, x, 1).alias("mode"), F.regexp_extract(name, x, 2).alias("model"))
+    )
 
 
 def records_file(tag: Column, include_thought: Column, kind: str = "eval_records") -> Column:
@@ -91,4 +96,6 @@ def midpoint(lo: Column, hi: Column) -> Column:
 def phase_fit(read: Column, target: Column, n: Column) -> Column:
     """"pass", "adjacent" or "off_phase" for the phase a reader took a response for."""
     inside = (read >= 0) & (read < n)
-    return F.when(read.isNull() | ~inside, "off_phase").when(read == target, "pass").when(F.abs(read - target) == 1, "adjacent").otherwise("off_phase")
+    return F.when(read.isNull() | ~inside, "off_phase").when(read == target, "pass").when(
+        F.abs(read - target) == 1, "adjacent"
+    ).otherwise("off_phase")

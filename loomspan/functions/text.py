@@ -36,7 +36,8 @@ def response_parts(text: Column, body_cap: int = 6000, think_cap: int = 2500) ->
     think, body = strip(think_block(text)), strip(strip_think(text))
     return F.struct(
         F.substring(think, 1, think_cap).alias("think"), F.substring(body, 1, body_cap).alias("body"),
-        (F.length(think) > think_cap).alias("think_truncated"), (F.length(body) > body_cap).alias("body_truncated"), F.length(text).cast("long").alias("n_chars"),
+        (F.length(think) > think_cap).alias("think_truncated"), (F.length(body) > body_cap).alias("body_truncated"),
+        F.length(text).cast("long").alias("n_chars"),
     )
 
 
@@ -74,7 +75,11 @@ def chunk_windows(text: Column, size: int = CHUNK_SIZE, stride: int = CHUNK_STRI
     return F.when(
         n > 0,
         F.transform(
-            F.sequence(F.lit(0), count - 1), lambda i: F.struct(i.alias("chunk_idx"), (i * stride).alias("start"), F.substring(text, i * stride + 1, F.lit(size)).alias("chunk"))
+            F.sequence(F.lit(0), count - 1),
+            lambda i: F.struct(
+                i.alias("chunk_idx"), (i * stride).alias("start"),
+                F.substring(text, i * stride + 1, F.lit(size)).alias("chunk"),
+            )
         ),
     )
 
@@ -89,7 +94,9 @@ def strip_wrapper(text: Column) -> Column:
     return strip(F.regexp_replace(body, r"(?is)" + _MARK.format("END") + r".*\z", ""))
 
 
-def valid_download(content: Column, ebook_id: Column, max_bytes: int = 32 * 1024 * 1024, least_body: int = 1000) -> Column:
+def valid_download(
+    content: Column, ebook_id: Column, max_bytes: int = 32 * 1024 * 1024, least_body: int = 1000
+) -> Column:
     """Whether a fetched text is the right and whole book (see the download rules)."""
     # the number's and the marks' patterns are fixed values
     found = F.regexp_extract(F.substring(content, 1, 10_000), r"(?i)\bEBook\s*(?:#|No\.?\s*:)\s*(\d+)\b", 1)
@@ -99,7 +106,9 @@ def valid_download(content: Column, ebook_id: Column, max_bytes: int = 32 * 1024
     rest = F.regexp_replace(content, r"(?is)\A.*?" + mark.format("START"), "")
     first_end = F.regexp_instr(content, F.lit("(?i)" + mark.format("END")))
     body = strip(F.regexp_replace(rest, r"(?is)" + mark.format("END") + r".*\z", ""))
-    ok = (F.octet_length(content) <= max_bytes) & (found != "") & (found.cast("long") == ebook_id) & (head > 0) & (first_end > head) & (F.length(body) >= least_body)
+    ok = (
+        F.octet_length(content) <= max_bytes
+    ) & (found != "") & (found.cast("long") == ebook_id) & (head > 0) & (first_end > head) & (F.length(body) >= least_body)
     return F.coalesce(ok, F.lit(False))
 
 
@@ -124,7 +133,12 @@ HEADING_FLAGS = "(?Umd)"
 
 def heading_choice(text: Column, patterns=CHAPTER_HEADINGS, least: int = 3) -> Column:
     """Index of the pattern with the most matches (ties: the earlier), null below ``least``."""
-    counts = F.array(*[F.struct(F.regexp_count(text, F.lit(HEADING_FLAGS + p)).alias("n"), F.lit(-i).alias("i")) for i, p in enumerate(patterns)])
+    counts = F.array(
+        *[
+            F.struct(F.regexp_count(text, F.lit(HEADING_FLAGS + p)).alias("n"), F.lit(-i).alias("i"))
+            for i, p in enumerate(patterns)
+        ]
+    )
     best = F.array_max(counts)
     return F.when(best["n"] >= least, -best["i"])
 
@@ -164,11 +178,15 @@ def heuristic_reward(text: Column) -> Column:
     t = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
     words = F.split(t, " ")
     n = F.size(words)
-    length = F.when(n < 40, n / 40.0).when(n <= 400, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), 1 - (n - 400) / 400.0))
+    length = F.when(n < 40, n / 40.0).when(n <= 400, F.lit(1.0)).otherwise(
+        F.greatest(F.lit(0.0), 1 - (n - 400) / 400.0)
+    )
     variety = F.size(F.array_distinct(F.transform(words, F.lower))) / n
     flag = lambda x: t.rlike(x).cast("int")
     substance = 0.5 * (flag(SPEECH) + flag(ACTION))
-    return F.when(t == "", F.lit(0.0)).when(t.rlike(REFUSAL), F.lit(0.05)).otherwise(F.least(F.lit(1.0), 0.5 * length + 0.3 * variety + 0.2 * substance))
+    return F.when(t == "", F.lit(0.0)).when(t.rlike(REFUSAL), F.lit(0.05)).otherwise(
+        F.least(F.lit(1.0), 0.5 * length + 0.3 * variety + 0.2 * substance)
+    )
 
 
 def unfence(text: Column) -> Column:

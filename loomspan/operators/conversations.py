@@ -40,7 +40,10 @@ def first_present(df: DataFrame, candidates) -> Column:
 def messages_text(messages: Column) -> Column:
     """The last assistant message with content, else the last message."""
     said = F.filter(messages, lambda m: (m["role"] == "assistant") & (F.coalesce(m["content"], F.lit("")) != ""))
-    return F.coalesce(F.element_at(F.when(F.size(said) > 0, said), -1)["content"], F.element_at(F.when(F.size(messages) > 0, messages), -1)["content"], F.lit(""))
+    return F.coalesce(
+        F.element_at(F.when(F.size(said) > 0, said), -1)["content"],
+        F.element_at(F.when(F.size(messages) > 0, messages), -1)["content"], F.lit(""),
+    )
 
 
 def valid_messages(messages: Column) -> Column:
@@ -49,7 +52,9 @@ def valid_messages(messages: Column) -> Column:
 
 def last_assistant_index(messages: Column) -> Column:
     """0-based index of the last assistant message; null where there is none."""
-    return F.array_max(F.filter(F.transform(messages, lambda m, i: F.when(m["role"] == "assistant", i)), lambda i: i.isNotNull()))
+    return F.array_max(
+        F.filter(F.transform(messages, lambda m, i: F.when(m["role"] == "assistant", i)), lambda i: i.isNotNull())
+    )
 
 
 def prompt_messages(messages: Column) -> Column:
@@ -81,7 +86,9 @@ class ChatTemplate:
 
     def text(self, messages: Column, generation: bool = False) -> Column:
         mark = lambda s, m: F.replace(F.lit(s), F.lit("{role}"), m["role"])
-        body = F.array_join(F.transform(messages, lambda m: F.concat(mark(self.before, m), m["content"], mark(self.after, m))), "")
+        body = F.array_join(
+            F.transform(messages, lambda m: F.concat(mark(self.before, m), m["content"], mark(self.after, m))), ""
+        )
         return F.concat(F.lit(self.start), body, F.lit(self.generation if generation else ""))
 
 
@@ -93,12 +100,16 @@ def chat_text(messages: Column, eos: str | None = None, template: ChatTemplate |
     """Messages as the tokenizer's template has them; without one, "role: content" blocks, a blank line between."""
     if template is not None:
         return template.text(messages)
-    return with_eos(F.array_join(F.transform(messages, lambda m: F.concat(m["role"], F.lit(": "), m["content"])), "\n\n"), eos)
+    return with_eos(
+        F.array_join(F.transform(messages, lambda m: F.concat(m["role"], F.lit(": "), m["content"])), "\n\n"), eos
+    )
 
 
 def prompt_text(messages: Column, template: ChatTemplate | None = None) -> Column:
     """The prompt of a conversation as text, ready for an answer."""
-    return F.concat(chat_text(messages), F.lit("\n\n")) if template is None else template.text(messages, generation=True)
+    return F.concat(
+        chat_text(messages), F.lit("\n\n")
+    ) if template is None else template.text(messages, generation=True)
 
 
 def sft_text(df: DataFrame, eos: str | None = None, template: ChatTemplate | None = None) -> DataFrame:
@@ -106,18 +117,25 @@ def sft_text(df: DataFrame, eos: str | None = None, template: ChatTemplate | Non
     if any(c in df.columns for c in MESSAGES):
         col = next(c for c in MESSAGES if c in df.columns)
         return df.withColumn("text", chat_text(F.col(col), eos, template))
-    return df.withColumn("text", with_eos(F.concat_ws("\n\n", first_present(df, PROBLEM), first_present(df, SOLUTION)), eos))
+    return df.withColumn(
+        "text", with_eos(F.concat_ws("\n\n", first_present(df, PROBLEM), first_present(df, SOLUTION)), eos)
+    )
 
 
 def dpo_rows(df: DataFrame) -> DataFrame:
     """(prompt, chosen, rejected); the prompt ends in a blank line."""
-    return df.select(F.concat(first_present(df, PROMPT), F.lit("\n\n")).alias("prompt"), first_present(df, CHOSEN).alias("chosen"), first_present(df, REJECTED).alias("rejected"))
+    return df.select(
+        F.concat(first_present(df, PROMPT), F.lit("\n\n")).alias("prompt"), first_present(df, CHOSEN).alias("chosen"),
+        first_present(df, REJECTED).alias("rejected"),
+    )
 
 
 def rollout_prompt(df: DataFrame) -> Column:
     """System and user prompt of a generation row: given ones, else scenario and question."""
     have = set(df.columns)
-    pick = lambda *c: F.coalesce(*[F.when(F.trim(x) != "", F.col(x)) for x in c if x in have], F.lit(None).cast("string"))
+    pick = lambda *c: F.coalesce(
+        *[F.when(F.trim(x) != "", F.col(x)) for x in c if x in have], F.lit(None).cast("string")
+    )
     parts = [F.col(c) for c in ("scenario", "question") if c in have]
     user = F.coalesce(pick("gen_user"), F.concat_ws("\n\n", *parts)) if parts else pick("gen_user")
     return F.struct(pick("gen_system").alias("system"), user.alias("user"))
@@ -128,10 +146,14 @@ def not_yet_rolled_out(df: DataFrame, done: DataFrame, index: str = "index") ->
     return df.join(done.select(index), index, "left_anti")
 
 
-def turns_before_last_assistant(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role") -> DataFrame:
+def turns_before_last_assistant(
+    turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role"
+) -> DataFrame:
     """The same as :func:`prompt_messages` over one row per turn."""
     last = F.max(F.when(F.col(role) == "assistant", F.col(turn))).over(Window.partitionBy(conv))
-    return turns.withColumn("__last", last).where(F.col("__last").isNull() | (F.col(turn) < F.col("__last"))).drop("__last")
+    return turns.withColumn("__last", last).where(
+        F.col("__last").isNull() | (F.col(turn) < F.col("__last"))
+    ).drop("__last")
 
 
 def within_length(df: DataFrame, n: Column, most: int) -> DataFrame:
@@ -149,7 +171,13 @@ def seeded_sample(df: DataFrame, key: str, seed: int, n: int) -> DataFrame:
     return df.withColumn("__h", h).orderBy("__h", key).limit(n).drop("__h")
 
 
-def gather(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+def gather(
+    turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text"
+) -> DataFrame:
     """Turns to message arrays, in order.  A conversation is one training example and must fit a row."""
-    m = F.array_sort(F.collect_list(F.struct(F.col(turn).alias("t"), F.col(role).alias("role"), F.col(text).alias("content"))))
-    return turns.groupBy(conv).agg(F.transform(m, lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("messages"))
+    m = F.array_sort(
+        F.collect_list(F.struct(F.col(turn).alias("t"), F.col(role).alias("role"), F.col(text).alias("content")))
+    )
+    return turns.groupBy(conv).agg(
+        F.transform(m, lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("messages")
+    )

@@ -25,7 +25,9 @@ def digest(*parts) -> int:
     return int(hashlib.sha1("\x1f".join(map(str, parts)).encode("utf-8")).hexdigest()[:12], 16)
 
 
-def stub_client(kind: str = "chat", scale: int = 100, dims: tuple = ("apf", "rpf", "rae")) -> Callable[[], Callable[[dict], dict]]:
+def stub_client(
+    kind: str = "chat", scale: int = 100, dims: tuple = ("apf", "rpf", "rae")
+) -> Callable[[], Callable[[dict], dict]]:
     """A deterministic client: the same request always gets the same answer.
 
     ``chat`` echoes a digest, ``judge`` gives legal scores as JSON, ``chapter`` names a
@@ -53,13 +55,18 @@ def stub_client(kind: str = "chat", scale: int = 100, dims: tuple = ("apf", "rpf
     return make
 
 
-def call_models(requests: DataFrame, client: Callable, retries: int = RETRIES, backoff: float = BACKOFF_S, partitions: int | None = None) -> DataFrame:
+def call_models(
+    requests: DataFrame, client: Callable, retries: int = RETRIES, backoff: float = BACKOFF_S,
+    partitions: int | None = None,
+) -> DataFrame:
     """Calls the client for each request ``(request_id, system, user)``; see :data:`RESULT`.
 
     ``partitions`` caps how many calls run at once.  A call that fails every time, or comes
     back empty, gives an error and no response; the row stays.
     """
-    src = requests.select(F.col("request_id").cast("string"), F.col("system").cast("string"), F.col("user").cast("string"))
+    src = requests.select(
+        F.col("request_id").cast("string"), F.col("system").cast("string"), F.col("user").cast("string")
+    )
     if partitions:
         src = src.repartition(partitions)
 
@@ -84,7 +91,12 @@ def call_models(requests: DataFrame, client: Callable, retries: int = RETRIES, b
                         error = f"{type(e).__name__}: {e}"
                     if n < retries and backoff:
                         time.sleep(backoff ** (n + 1))
-                out.append((r["request_id"], text or None, error, n, int(used.get("tokens_in", 0)), int(used.get("tokens_out", 0))))
+                out.append(
+                    (
+                        r["request_id"], text or None, error, n, int(used.get("tokens_in", 0)),
+                        int(used.get("tokens_out", 0)),
+                    )
+                )
             yield pd.DataFrame(out, columns=[c.split()[0] for c in RESULT.split(", ")])
 
     return src.mapInPandas(run, RESULT)
@@ -101,7 +113,11 @@ def judged(results: DataFrame, dims: list[str], scale: int) -> DataFrame:
 
 def metering(results: DataFrame) -> DataFrame:
     """Run totals: good and bad calls, tokens."""
-    return results.agg(F.count_if(F.col("error").isNull()).alias("ok"), F.count_if(F.col("error").isNotNull()).alias("bad"), F.coalesce(F.sum("tokens_in"), F.lit(0)).alias("tokens_in"), F.coalesce(F.sum("tokens_out"), F.lit(0)).alias("tokens_out"))
+    return results.agg(
+        F.count_if(F.col("error").isNull()).alias("ok"), F.count_if(F.col("error").isNotNull()).alias("bad"),
+        F.coalesce(F.sum("tokens_in"), F.lit(0)).alias("tokens_in"),
+        F.coalesce(F.sum("tokens_out"), F.lit(0)).alias("tokens_out"),
+    )
 
 
 def fold(df: DataFrame, key: str, order: str, text: str, step: Callable[[str, str], str]) -> DataFrame:
@@ -111,7 +127,9 @@ def fold(df: DataFrame, key: str, order: str, text: str, step: Callable[[str, st
     order), so a task holds one state and one slice of rows, however many chapters a key has.
     """
     kind, okind = df.schema[key].dataType.simpleString(), df.schema[order].dataType.simpleString()
-    rows = df.select(F.col(key).alias("k"), F.col(order).alias("o"), F.col(text).cast("string").alias("t")).repartition("k").sortWithinPartitions("k", "o")
+    rows = df.select(
+        F.col(key).alias("k"), F.col(order).alias("o"), F.col(text).cast("string").alias("t")
+    ).repartition("k").sortWithinPartitions("k", "o")
 
     def run(batches):
         import pyarrow as pa
@@ -125,7 +143,9 @@ def fold(df: DataFrame, key: str, order: str, text: str, step: Callable[[str, st
                         at, state = k, ""
                     state = step(state, t or "")
                     out.append(state)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.string())], names=["k", "o", "state"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.array(out, pa.string())], names=["k", "o", "state"]
+                )
 
     return rows.mapInArrow(run, f"k {kind}, o {okind}, state string").toDF(key, order, "state")
 
@@ -142,7 +162,9 @@ def locate(candidates: DataFrame, answers: DataFrame, key: str) -> DataFrame:
 
     ``candidates``: (key, candidates array of (event_id, chapter), midpoint); ``answers``: (key, event_id, error).
     """
-    a = answers.select(key, F.col("event_id").alias("__id"), F.col("error").alias("__err"), F.lit(True).alias("__there"))
+    a = answers.select(
+        key, F.col("event_id").alias("__id"), F.col("error").alias("__err"), F.lit(True).alias("__there")
+    )
     j = candidates.join(a, key, "left")
     first = F.get("candidates", F.lit(0))
     none = F.size("candidates") == 0
@@ -150,4 +172,7 @@ def locate(candidates: DataFrame, answers: DataFrame, key: str) -> DataFrame:
     hit = F.get(F.filter("candidates", lambda c: c["event_id"] == F.col("__id")), F.lit(0))
     chosen = F.when(none, F.lit(None)).when(failed, first["event_id"]).otherwise(F.col("__id"))
     chapter = F.when(none, F.col("midpoint")).when(failed, first["chapter"]).otherwise(hit["chapter"])
-    return j.select(key, chosen.alias("event_id"), chapter.alias("chapter"), (~none & ~failed & F.col("__id").isNull()).alias("rejected"))
+    return j.select(
+        key, chosen.alias("event_id"), chapter.alias("chapter"),
+        (~none & ~failed & F.col("__id").isNull()).alias("rejected"),
+    )

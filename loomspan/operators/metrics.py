@@ -45,7 +45,10 @@ def macro_mean(df: DataFrame, outer: list[str], inner: list[str], value: str, na
 def summary(df: DataFrame, keys: list[str], dims: list[str], digits: int = 3) -> DataFrame:
     """Rounded means of each dimension, of the rows' averages, and the count."""
     rows = df.withColumn("__avg", row_mean(*dims, strict=True))
-    return rows.groupBy(*keys).agg(*[F.round(exact_mean(d), digits).alias(d) for d in dims], F.round(exact_mean("__avg"), digits).alias("average"), F.count("*").alias("n"))
+    return rows.groupBy(*keys).agg(
+        *[F.round(exact_mean(d), digits).alias(d) for d in dims], F.round(exact_mean("__avg"), digits).alias("average"),
+        F.count("*").alias("n"),
+    )
 
 
 def phase_bucket(n: str) -> Column:
@@ -58,31 +61,52 @@ def grains(df: DataFrame, sets: list[list[str]], aggs: list[Column]) -> DataFram
     """Several grains of one pool in one pass (grouping sets); absent keys are null, ``grain`` names the set."""
     keys = list(dict.fromkeys(k for s in sets for k in s))
     name = reduce(lambda a, b: F.concat(a, b), [F.when(F.grouping(k) == 0, F.lit(f"{k} ")).otherwise("") for k in keys])
-    return df.groupingSets([[F.col(k) for k in s] for s in sets], *[F.col(k) for k in keys]).agg(F.trim(name).alias("grain"), *aggs)
+    return df.groupingSets(
+        [[F.col(k) for k in s] for s in sets], *[F.col(k) for k in keys]
+    ).agg(F.trim(name).alias("grain"), *aggs)
 
 
 def mean_of_rounded(df: DataFrame, outer: list[str], inner: list[str], value: str, digits: int = 2) -> DataFrame:
     """Mean of already rounded inner means, rounded again: not the same as :func:`macro_mean`."""
-    return pool(df, [*outer, *inner], value, "m").groupBy(*outer).agg(F.round(F.avg(F.round("m", digits)), digits).alias("mean"), F.count("*").alias("n"))
+    return pool(df, [*outer, *inner], value, "m").groupBy(*outer).agg(
+        F.round(F.avg(F.round("m", digits)), digits).alias("mean"), F.count("*").alias("n")
+    )
 
 
 def lift(df: DataFrame, keys: list[str], mode: str, value: str, target: str, base: str) -> DataFrame:
     """Target mode minus base mode; null where either is missing."""
     at = lambda m: F.max(F.when(F.col(mode) == m, F.col(value)))
-    return df.groupBy(*keys).agg(at(target).alias("target"), at(base).alias("base")).withColumn("lift", F.col("target") - F.col("base"))
+    return df.groupBy(*keys).agg(
+        at(target).alias("target"), at(base).alias("base")
+    ).withColumn("lift", F.col("target") - F.col("base"))
 
 
 def lift_over_best(df: DataFrame, keys: list[str], mode: str, rank: str, value: str, target: str) -> DataFrame:
     """Target mode minus the best of the others, and which that was (ties: the first by ``rank``)."""
-    other = F.when((F.col(mode) != target) & F.col(value).isNotNull(), F.struct(F.col(value).alias("v"), (-F.col(rank)).alias("r"), F.col(mode).alias("m")))
-    out = df.groupBy(*keys).agg(F.max(F.when(F.col(mode) == target, F.col(value))).alias("target"), F.max(other).alias("o"))
-    return out.select(*keys, "target", F.col("o.v").alias("best_other"), F.col("o.m").alias("best_other_mode"), (F.col("target") - F.col("o.v")).alias("lift"))
+    other = F.when(
+        (F.col(mode) != target) & F.col(value).isNotNull(),
+        F.struct(F.col(value).alias("v"), (-F.col(rank)).alias("r"), F.col(mode).alias("m")),
+    )
+    out = df.groupBy(*keys).agg(
+        F.max(F.when(F.col(mode) == target, F.col(value))).alias("target"), F.max(other).alias("o")
+    )
+    return out.select(
+        *keys, "target", F.col("o.v").alias("best_other"), F.col("o.m").alias("best_other_mode"),
+        (F.col("target") - F.col("o.v")).alias("lift"),
+    )
 
 
 def best_mode(df: DataFrame, keys: list[str], mode: str, rank: str, value: str) -> DataFrame:
     """The mode with the highest value; ties go to the first by ``rank``."""
-    best = F.max(F.when(F.col(value).isNotNull(), F.struct(F.col(value).alias("v"), (-F.col(rank)).alias("r"), F.col(mode).alias("m"))))
-    return df.groupBy(*keys).agg(best.alias("b")).select(*keys, F.col("b.m").alias("best_mode"), F.col("b.v").alias("value"))
+    best = F.max(
+        F.when(
+            F.col(value).isNotNull(),
+            F.struct(F.col(value).alias("v"), (-F.col(rank)).alias("r"), F.col(mode).alias("m")),
+        )
+    )
+    return df.groupBy(*keys).agg(best.alias("b")).select(
+        *keys, F.col("b.m").alias("best_mode"), F.col("b.v").alias("value")
+    )
 
 
 def probe_overall(phase_avg: str, trajectory: str) -> Column:
@@ -101,7 +125,10 @@ def cell_value(df: DataFrame, keys: list[str], filters: dict, value: str) -> Dat
 
 def wins(df: DataFrame, keys: list[str], lift_col: str = "lift") -> DataFrame:
     """How often the lift is positive, and its range."""
-    return df.groupBy(*keys).agg(F.count_if(F.col(lift_col) > 0).alias("wins"), F.count(lift_col).alias("of"), F.min(lift_col).alias("least"), F.max(lift_col).alias("most"))
+    return df.groupBy(*keys).agg(
+        F.count_if(F.col(lift_col) > 0).alias("wins"), F.count(lift_col).alias("of"), F.min(lift_col).alias("least"),
+        F.max(lift_col).alias("most"),
+    )
 
 
 def pivot_cells(df: DataFrame, keys: list[str], column: str, values: list, value: str) -> DataFrame:
@@ -109,7 +136,9 @@ def pivot_cells(df: DataFrame, keys: list[str], column: str, values: list, value
     wide = df.groupBy(*keys).pivot(column, values).agg(F.max(value))
     cells = [F.col(f"`{v}`") for v in values]
     there = F.filter(F.array(*cells), lambda x: x.isNotNull())
-    return wide.withColumn("overall", F.when(F.size(there) > 0, F.aggregate(there, F.lit(0.0), lambda a, x: a + x) / F.size(there)))
+    return wide.withColumn(
+        "overall", F.when(F.size(there) > 0, F.aggregate(there, F.lit(0.0), lambda a, x: a + x) / F.size(there))
+    )
 
 
 def flag_block_max(df: DataFrame, block: list[str], value: str, within: float = 1e-9) -> DataFrame:
@@ -130,6 +159,13 @@ def class_means(df: DataFrame, classes: DataFrame, keys: list[str], unit: str, v
 
     ``classes``: (unit, central boolean); a unit it lacks is supporting.
     """
-    tagged = df.join(classes, unit, "left").withColumn("class", F.when(F.coalesce(F.col("central"), F.lit(False)), "central").otherwise("supporting"))
-    per_unit = tagged.where(F.col(value).isNotNull()).groupBy(*keys, "class", unit).agg(F.sum(F.col(value).cast(SCORE)).alias("s"), F.count("*").alias("c"))
-    return per_unit.groupBy(*keys, "class").agg((F.sum("s").cast("double") / F.sum("c")).alias("probe_pool"), F.avg(F.col("s").cast("double") / F.col("c")).alias("unit_mean"), F.count("*").alias("units"))
+    tagged = df.join(classes, unit, "left").withColumn(
+        "class", F.when(F.coalesce(F.col("central"), F.lit(False)), "central").otherwise("supporting")
+    )
+    per_unit = tagged.where(F.col(value).isNotNull()).groupBy(*keys, "class", unit).agg(
+        F.sum(F.col(value).cast(SCORE)).alias("s"), F.count("*").alias("c")
+    )
+    return per_unit.groupBy(*keys, "class").agg(
+        (F.sum("s").cast("double") / F.sum("c")).alias("probe_pool"),
+        F.avg(F.col("s").cast("double") / F.col("c")).alias("unit_mean"), F.count("*").alias("units"),
+    )

@@ -22,9 +22,17 @@ def filled(c: Column) -> Column:
 
 
 def system(character, novel, chapter, axis_type, target, context) -> Column:
-    head = _s("You are ", character, ', from "', novel, '". You are at the point in the story corresponding to chapter ', chapter, ".")
-    partner = F.when((axis_type == "relational") & (F.coalesce(target, F.lit("")) != ""), _s("You are interacting with ", target, "."))
-    return F.concat_ws("\n\n", head, partner, _s("Background you have access to:\n<context>\n", filled(context), "\n</context>"))
+    head = _s(
+        "You are ", character, ', from "', novel, '". You are at the point in the story corresponding to chapter ',
+        chapter, ".",
+    )
+    partner = F.when(
+        (axis_type == "relational") & (F.coalesce(target, F.lit("")) != ""),
+        _s("You are interacting with ", target, "."),
+    )
+    return F.concat_ws(
+        "\n\n", head, partner, _s("Background you have access to:\n<context>\n", filled(context), "\n</context>")
+    )
 
 
 def user(scenario, question, hint=None) -> Column:
@@ -35,11 +43,19 @@ def user(scenario, question, hint=None) -> Column:
 
 
 def future_hint(character) -> Column:
-    return _s("Note that the period of the question is in the future relative to ", character, "'s time point. Therefore, you should not answer the question or mention any facts that occurred after ", character, "'s time point.")
+    return _s(
+        "Note that the period of the question is in the future relative to ", character,
+        "'s time point. Therefore, you should not answer the question or mention any facts that occurred after ",
+        character, "'s time point.",
+    )
 
 
 def absent_hint(character) -> Column:
-    return _s("Note that ", character, " had not participated in the scene described in the question. Therefore, you should not imply that ", character, " was present in the scene.")
+    return _s(
+        "Note that ", character,
+        " had not participated in the scene described in the question. Therefore, you should not imply that ",
+        character, " was present in the scene.",
+    )
 
 
 def time_hint(character, predicted, query_chapter, presence) -> Column:
@@ -55,7 +71,10 @@ def or_none(c: Column) -> Column:
 
 def phases_block(phases: Column, cap: int = 140) -> Column:
     """One line a phase, in order, its description capped."""
-    line = lambda p: _s("Phase ", p["phase_idx"], " (", p["label"], "): ", F.substring(F.coalesce(p["position_description"], F.lit("")), 1, cap))
+    line = lambda p: _s(
+        "Phase ", p["phase_idx"], " (", p["label"], "): ",
+        F.substring(F.coalesce(p["position_description"], F.lit("")), 1, cap),
+    )
     return F.array_join(F.transform(F.array_sort(phases), line), "\n")
 
 
@@ -72,14 +91,22 @@ def candidates_block(events: Column, most: int = 30) -> Column:
 def judge_user(character, novel, phase_label, scenario, question, action, speech, thought, response) -> Column:
     """A judge's request: the reference fields, blanks as "none", and the response."""
     return F.concat_ws(
-        "\n\n", _s("Character: ", character, "\nNovel: ", novel, "\nPhase: ", or_none(phase_label)), _s("Scenario:\n", scenario), _s("Question:\n", question),
-        _s("Reference action: ", or_none(action), "\nReference speech: ", or_none(speech), "\nReference thought: ", or_none(thought)), _s("Response:\n", response),
+        "\n\n", _s("Character: ", character, "\nNovel: ", novel, "\nPhase: ", or_none(phase_label)),
+        _s("Scenario:\n", scenario), _s("Question:\n", question),
+        _s(
+            "Reference action: ", or_none(action), "\nReference speech: ", or_none(speech), "\nReference thought: ",
+            or_none(thought),
+        ),
+        _s("Response:\n", response),
     )
 
 
 def lifechoice(description: Column, memories: Column) -> Column:
     """Two labelled sections; null without a description."""
-    return F.when(filled(description).isNotNull(), F.concat_ws("\n\n", _s("[Description]\n", filled(description)), _s("[Memories]\n", filled(memories))))
+    return F.when(
+        filled(description).isNotNull(),
+        F.concat_ws("\n\n", _s("[Description]\n", filled(description)), _s("[Memories]\n", filled(memories))),
+    )
 
 
 def lifechoice_query(description: Column, scenario: Column, question: Column, cap: int = 30_000) -> Column:

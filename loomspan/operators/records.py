@@ -11,7 +11,9 @@ from ..functions.text import DRY_RUN_RESPONSE
 def valid_score(v, scale: int) -> Column:
     """A finite number from 1 to the scale."""
     c = F.col(v) if isinstance(v, str) else v
-    return F.coalesce(c.between(F.lit(1), F.lit(scale)) & ~F.isnan(c.cast("double")) & (c < F.lit(float("inf"))), F.lit(False))
+    return F.coalesce(
+        c.between(F.lit(1), F.lit(scale)) & ~F.isnan(c.cast("double")) & (c < F.lit(float("inf"))), F.lit(False)
+    )
 
 
 def typed_score(variant: Column, scale: int) -> Column:
@@ -39,9 +41,13 @@ def is_dry_run(df: DataFrame) -> Column:
     return flag | F.coalesce(F.col("response") == DRY_RUN_RESPONSE, F.lit(False))
 
 
-def usable(df: DataFrame, models: DataFrame, modes: DataFrame, parse_ok: str = "parse_ok", ptype: str = "ptype") -> DataFrame:
+def usable(
+    df: DataFrame, models: DataFrame, modes: DataFrame, parse_ok: str = "parse_ok", ptype: str = "ptype"
+) -> DataFrame:
     """Records that parsed, of wanted models and modes, with a probe type."""
-    return df.where(F.col(parse_ok) & F.col(ptype).isNotNull()).join(models, "model", "left_semi").join(modes, "mode", "left_semi")
+    return df.where(
+        F.col(parse_ok) & F.col(ptype).isNotNull()
+    ).join(models, "model", "left_semi").join(modes, "mode", "left_semi")
 
 
 def canonical(df: DataFrame, aliases: DataFrame, col: str = "model") -> DataFrame:
@@ -77,12 +83,16 @@ def finished(responses: DataFrame) -> DataFrame:
 
 def units(responses: DataFrame, truth: DataFrame, keys: list[str]) -> DataFrame:
     """Responses with ground truth on both keys: per (keys, model) a map from mode to response."""
-    return responses.join(truth, keys).groupBy(*keys, "model").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("mode", "response")))).alias("responses"))
+    return responses.join(truth, keys).groupBy(*keys, "model").agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("mode", "response")))).alias("responses")
+    )
 
 
 def trajectories(rows: DataFrame, keys: list[str], phase: str, value: str, least: int = 2) -> DataFrame:
     """Values in phase order per key, where at least ``least`` phases are there."""
-    grouped = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(phase).alias("phase"), F.col(value).alias("value")))).alias("phases"))
+    grouped = rows.groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct(F.col(phase).alias("phase"), F.col(value).alias("value")))).alias("phases")
+    )
     return grouped.where(F.size("phases") >= least)
 
 

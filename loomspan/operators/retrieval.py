@@ -20,7 +20,9 @@ def norm(vec: Column) -> Column:
 
 def cosine(a: Column, b: Column, na: Column | None = None, nb: Column | None = None) -> Column:
     """Cosine with a little added to both norms, so that zero vectors give zero."""
-    dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    dot = F.aggregate(
+        F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x
+    )
     return dot / (((na if na is not None else norm(a)) + EPS) * ((nb if nb is not None else norm(b)) + EPS))
 
 
@@ -44,7 +46,10 @@ def masked_top_k(chunks: DataFrame, queries: DataFrame, k: int = TOP_K) -> DataF
         normed = normed.withColumn("__of", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
         met = met & (F.col("__of") == F.col("__block"))
     hit = normed.join(asked, met & (F.col("chapter") <= F.col("query_chapter")))
-    best = hit.select("novel", "query_id", "chapter", "chunk_idx", cosine(F.col("vec"), F.col("qvec"), F.col("vnorm"), F.col("qnorm")).alias("sim"))
+    best = hit.select(
+        "novel", "query_id", "chapter", "chunk_idx",
+        cosine(F.col("vec"), F.col("qvec"), F.col("vnorm"), F.col("qnorm")).alias("sim"),
+    )
     w = Window.partitionBy("novel", "query_id").orderBy(F.col("sim").desc(), "chapter", "chunk_idx")
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -56,7 +61,10 @@ def _shingles(words: Column) -> Column:
         F.size(h) >= SHINGLE, F.transform(F.sequence(F.lit(0), F.size(h) - SHINGLE), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(SHINGLE)]))).otherwise(F.array().cast("array<long>"))))
 
 
-def containment(texts: DataFrame, names: DataFrame, id_col: str, text_col: str, name_id: str, name_col: str, block: int = NAMES_BLOCK) -> DataFrame:
+def containment(
+    texts: DataFrame, names: DataFrame, id_col: str, text_col: str, name_id: str, name_col: str,
+    block: int = NAMES_BLOCK,
+) -> DataFrame:
     """``(id, name id)`` where a text holds a name; case and runs of white space do not matter.
 
     A name's inner words (all but the first and the last, which may end inside the text's
@@ -70,9 +78,13 @@ def containment(texts: DataFrame, names: DataFrame, id_col: str, text_col: str,
     id_type, name_type = texts.schema[id_col].dataType.simpleString(), names.schema[name_id].dataType.simpleString()
     base = texts.select(F.col(id_col), flat(F.col(text_col)).alias("__t"))
     keyed = base.withColumn("__g", _shingles(F.split("__t", " ")))
-    book = names.where(F.col(name_col).isNotNull()).select(F.col(name_id).alias("i"), flat(F.col(name_col)).alias("n")).withColumn("w", F.split("n", " "))
+    book = names.where(F.col(name_col).isNotNull()).select(
+        F.col(name_id).alias("i"), flat(F.col(name_col)).alias("n")
+    ).withColumn("w", F.split("n", " "))
     inner = [F.get("w", F.lit(k)) for k in range(1, SHINGLE + 1)]
-    book = book.select("i", "n", F.when(F.size("w") >= SHINGLE + 2, F.xxhash64(*[F.xxhash64(x) for x in inner])).alias("k"))
+    book = book.select(
+        "i", "n", F.when(F.size("w") >= SHINGLE + 2, F.xxhash64(*[F.xxhash64(x) for x in inner])).alias("k")
+    )
     parts, held = [], []
 
     def found(rows):
@@ -102,24 +114,38 @@ def containment(texts: DataFrame, names: DataFrame, id_col: str, text_col: str,
     return out
 
 
-def trailing_window(summaries: DataFrame, queries: DataFrame, key: str, chapter: str, query_chapter: str, n: int = TRAILING) -> DataFrame:
+def trailing_window(
+    summaries: DataFrame, queries: DataFrame, key: str, chapter: str, query_chapter: str, n: int = TRAILING
+) -> DataFrame:
     """Per query the chapters of the trailing window that are there, in order, and those that are missing.
 
     Each query expands to n chapters at most and meets the summaries by (key, chapter).
     """
     first = F.greatest(F.lit(1), F.col(query_chapter) - n + 1)
-    want = queries.where(F.col(query_chapter) >= 1).withColumn("__c", F.explode(F.sequence(first, F.col(query_chapter))))
+    want = queries.where(F.col(query_chapter) >= 1).withColumn(
+        "__c", F.explode(F.sequence(first, F.col(query_chapter)))
+    )
     have = summaries.select(F.col(key), F.col(chapter).alias("__c"), F.lit(True).alias("__there")).distinct()
     joined = want.join(have, [key, "__c"], "left")
     there = F.collect_list(F.when(F.col("__there"), F.col("__c")))
     gone = F.collect_list(F.when(F.col("__there").isNull(), F.col("__c")))
-    return joined.groupBy(key, query_chapter).agg(F.array_sort(there).alias("chapters"), F.array_sort(gone).alias("missing"))
+    return joined.groupBy(key, query_chapter).agg(
+        F.array_sort(there).alias("chapters"), F.array_sort(gone).alias("missing")
+    )
 
 
 def summary_context(pieces: Column, missing: Column) -> Column:
     """Context text: labelled chapters, then a note on the gaps; null where there is nothing."""
-    blocks = F.transform(pieces, lambda p: F.concat(F.lit("[Chapter "), p["chapter"].cast("string"), F.lit("]\n"), F.trim(p["summary"])))
-    note = F.when(F.size(missing) > 0, F.concat(F.lit("[note] Missing summaries for chapters: ["), F.array_join(F.transform(missing, lambda c: c.cast("string")), ", "), F.lit("]")))
+    blocks = F.transform(
+        pieces, lambda p: F.concat(F.lit("[Chapter "), p["chapter"].cast("string"), F.lit("]\n"), F.trim(p["summary"]))
+    )
+    note = F.when(
+        F.size(missing) > 0,
+        F.concat(
+            F.lit("[note] Missing summaries for chapters: ["),
+            F.array_join(F.transform(missing, lambda c: c.cast("string")), ", "), F.lit("]"),
+        ),
+    )
     all_parts = F.array_compact(F.concat(blocks, F.array(note)))
     return F.when(F.size(all_parts) > 0, F.array_join(all_parts, "\n\n"))
 
@@ -153,11 +179,15 @@ def build_context(mode: str, trials: DataFrame, **inputs) -> DataFrame:
 @builder("summary")
 def summary_contexts(trials: DataFrame, summaries: DataFrame, n: int = TRAILING) -> DataFrame:
     """The trailing chapters' summaries, in order, and a note on the missing ones."""
-    want = trials.select("novel", "query_chapter").distinct().where("query_chapter >= 1").withColumn("chapter", F.explode(F.sequence(F.greatest(F.lit(1), F.col("query_chapter") - n + 1), F.col("query_chapter"))))
+    want = trials.select("novel", "query_chapter").distinct().where("query_chapter >= 1").withColumn(
+        "chapter", F.explode(F.sequence(F.greatest(F.lit(1), F.col("query_chapter") - n + 1), F.col("query_chapter")))
+    )
     got = want.join(summaries.select("novel", "chapter", "summary"), ["novel", "chapter"], "left")
     piece = F.when(F.col("summary").isNotNull(), F.struct("chapter", "summary"))
     gone = F.when(F.col("summary").isNull(), F.col("chapter"))
-    ctx = got.groupBy("novel", "query_chapter").agg(summary_context(F.array_sort(F.collect_list(piece)), F.array_sort(F.collect_list(gone))).alias("context"))
+    ctx = got.groupBy("novel", "query_chapter").agg(
+        summary_context(F.array_sort(F.collect_list(piece)), F.array_sort(F.collect_list(gone))).alias("context")
+    )
     return trials.join(ctx, ["novel", "query_chapter"], "left")
 
 
@@ -172,7 +202,9 @@ def arc_contexts(trials: DataFrame, axes: DataFrame) -> DataFrame:
     points = trials.select("novel", "character", "query_chapter").distinct()
     seen = curate(axes.join(points, ["novel", "character"]), "query_chapter")
     fields = [c for c in seen.columns if c not in ("novel", "character", "query_chapter")]
-    ctx = seen.groupBy("novel", "character", "query_chapter").agg(F.to_json(F.sort_array(F.collect_list(F.struct(*fields)))).alias("context"))
+    ctx = seen.groupBy("novel", "character", "query_chapter").agg(
+        F.to_json(F.sort_array(F.collect_list(F.struct(*fields)))).alias("context")
+    )
     return trials.join(ctx, ["novel", "character", "query_chapter"], "left")
 
 
@@ -181,11 +213,21 @@ def rag_contexts(trials: DataFrame, chunks: DataFrame, queries: DataFrame, k: in
     """The top chunks of each query, best first.  ``queries`` as in :func:`masked_top_k`, by ``query_id``."""
     top = masked_top_k(chunks.select("novel", "chapter", "chunk_idx", "vec"), queries, k)
     texts = top.join(chunks.select("novel", "chapter", "chunk_idx", "text"), ["novel", "chapter", "chunk_idx"])
-    ctx = texts.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "chapter", "text"))), lambda x: F.concat(F.lit("[Chapter "), x["chapter"].cast("string"), F.lit("]\n"), x["text"])), "\n\n").alias("context"))
+    ctx = texts.groupBy("query_id").agg(
+        F.array_join(
+            F.transform(
+                F.array_sort(F.collect_list(F.struct("rank", "chapter", "text"))),
+                lambda x: F.concat(F.lit("[Chapter "), x["chapter"].cast("string"), F.lit("]\n"), x["text"]),
+            ),
+            "\n\n",
+        ).alias("context")
+    )
     return trials.join(ctx, "query_id", "left")
 
 
-def in_range(events: DataFrame, phases: DataFrame, key: str, chapter: str, lo: str, hi: str, order: str, most: int = 30) -> DataFrame:
+def in_range(
+    events: DataFrame, phases: DataFrame, key: str, chapter: str, lo: str, hi: str, order: str, most: int = 30
+) -> DataFrame:
     """Events whose chapter lies in a phase's range, the first ``most`` by order."""
     joined = events.join(phases, key).where(F.col(chapter).between(F.col(lo), F.col(hi)))
     w = Window.partitionBy(key, lo, hi).orderBy(order)

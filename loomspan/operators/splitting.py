@@ -45,7 +45,9 @@ def chapters(text: str, least: int = MIN_CHAPTER, most: int = MAX_CHAPTER) -> li
     return [p for b in bodies if len(b) >= least for p in paragraphs(b, most)]
 
 
-def split_chapters(books: DataFrame, key: str = "novel", text: str = "text", least: int = MIN_CHAPTER, most: int = MAX_CHAPTER) -> DataFrame:
+def split_chapters(
+    books: DataFrame, key: str = "novel", text: str = "text", least: int = MIN_CHAPTER, most: int = MAX_CHAPTER
+) -> DataFrame:
     """``(key, chapter, text)`` with chapters numbered from 1; null and empty books have none."""
     kind = books.schema[key].dataType.simpleString()
     src = books.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
@@ -54,9 +56,20 @@ def split_chapters(books: DataFrame, key: str = "novel", text: str = "text", lea
         import pyarrow as pa
 
         for b in batches:
-            rows = [(k, i, c) for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for i, c in enumerate(chapters(t or "", least, most), 1)]
+            rows = [
+                (k, i, c)
+                for k, t in zip(
+                    b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True
+                ) for i, c in enumerate(chapters(t or "", least, most), 1)
+            ]
             cols = list(zip(*rows, strict=True)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], type=b.column(0).type), pa.array(cols[1], type=pa.int32()), pa.array(cols[2], type=pa.string())], names=["k", "chapter", "text"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(cols[0], type=b.column(0).type), pa.array(cols[1], type=pa.int32()),
+                    pa.array(cols[2], type=pa.string()),
+                ],
+                names=["k", "chapter", "text"],
+            )
 
     return src.mapInArrow(run, f"k {kind}, chapter int, text string").withColumnRenamed("k", key)
 
@@ -70,9 +83,20 @@ def sub_chunks(df: DataFrame, key: str, text: str, most: int) -> DataFrame:
         import pyarrow as pa
 
         for b in batches:
-            rows = [(k, i, c) for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for i, c in enumerate(paragraphs(t or "", most))]
+            rows = [
+                (k, i, c)
+                for k, t in zip(
+                    b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True
+                ) for i, c in enumerate(paragraphs(t or "", most))
+            ]
             cols = list(zip(*rows, strict=True)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], type=b.column(0).type), pa.array(cols[1], type=pa.int32()), pa.array(cols[2], type=pa.string())], names=["k", "idx", "text"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(cols[0], type=b.column(0).type), pa.array(cols[1], type=pa.int32()),
+                    pa.array(cols[2], type=pa.string()),
+                ],
+                names=["k", "idx", "text"],
+            )
 
     return src.mapInArrow(run, f"k {kind}, idx int, text string").withColumnRenamed("k", key)
 
@@ -86,7 +110,9 @@ def renumber(chapters_df: DataFrame, book: str, volume: str, chapter: str) -> Da
     before = Window.partitionBy(book).orderBy(volume).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(book, volume, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__at"))
     within = Window.partitionBy(book, volume).orderBy(chapter)
-    return chapters_df.join(offsets, [book, volume]).withColumn("number", F.col("__at") + F.row_number().over(within)).drop("__at")
+    return chapters_df.join(offsets, [book, volume]).withColumn(
+        "number", F.col("__at") + F.row_number().over(within)
+    ).drop("__at")
 
 
 def renumber_headings(text: str, start: int) -> tuple[str, int]:
@@ -104,10 +130,16 @@ def renumber_headings(text: str, start: int) -> tuple[str, int]:
     return pattern.sub(heading, text), number + 1
 
 
-def merge_volumes(volumes: DataFrame, book: str = "novel", order: str = "volume", text: str = "text", renumbered: bool = False) -> DataFrame:
+def merge_volumes(
+    volumes: DataFrame, book: str = "novel", order: str = "volume", text: str = "text", renumbered: bool = False
+) -> DataFrame:
     """``(book, text)``: wrappers cut off, volumes in order, three line breaks between."""
     clean = volumes.select(book, order, strip_wrapper(F.col(text)).alias("t"))
-    joined = clean.groupBy(book).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), "t"))), lambda x: x["t"]).alias("parts"))
+    joined = clean.groupBy(book).agg(
+        F.transform(
+            F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), "t"))), lambda x: x["t"]
+        ).alias("parts")
+    )
     if not renumbered:
         return joined.select(book, F.array_join("parts", "\n\n\n").alias("text"))
 

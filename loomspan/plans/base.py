@@ -29,13 +29,22 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     broadcasts them by their size.  Only the columns in use are read.
     """
     t = lambda n: table(spark, sf_dir, n)
-    facts = t("lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_suppkey", "l_partkey")
+    facts = t("lineitem").select(
+        "l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_suppkey", "l_partkey"
+    )
     orders = t("orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
-    places = t("customer").select("c_custkey", "c_nationkey").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    joined = facts.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(places, F.col("o_custkey") == F.col("c_custkey"))
+    places = t("customer").select("c_custkey", "c_nationkey").join(
+        t("nation"), F.col("c_nationkey") == F.col("n_nationkey")
+    ).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    joined = facts.join(
+        orders, F.col("l_orderkey") == F.col("o_orderkey")
+    ).join(places, F.col("o_custkey") == F.col("c_custkey"))
     return joined.select(
-        F.col("r_name").alias("slice"), F.col("n_name").alias("novel"), F.col("c_custkey").alias("character"), F.col("o_orderstatus").alias("model"), F.col("o_orderpriority").alias("mode"),
-        F.col("l_returnflag").alias("ptype"), F.col("l_quantity").alias("apf"), (F.col("l_discount") * 100).alias("rpf"), (F.col("l_tax") * 100).alias("rae"), "l_orderkey", "l_linenumber", "l_suppkey", "l_partkey",
+        F.col("r_name").alias("slice"), F.col("n_name").alias("novel"), F.col("c_custkey").alias("character"),
+        F.col("o_orderstatus").alias("model"), F.col("o_orderpriority").alias("mode"),
+        F.col("l_returnflag").alias("ptype"), F.col("l_quantity").alias("apf"),
+        (F.col("l_discount") * 100).alias("rpf"), (F.col("l_tax") * 100).alias("rae"), "l_orderkey", "l_linenumber",
+        "l_suppkey", "l_partkey",
     )
 
 

@@ -25,13 +25,20 @@ def query(sql: str | None = None):
 
 def _requests(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").where("role = 'user'")
-    return c.select(F.concat_ws("__", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("request_id"), F.lit("judge").alias("system"), F.col("text").alias("user"))
+    return c.select(
+        F.concat_ws("__", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("request_id"),
+        F.lit("judge").alias("system"), F.col("text").alias("user"),
+    )
 
 
-@query("SELECT conv_id || '__' || turn AS request_id, TRUE AS parse_ok, 1 AS attempts FROM conversations WHERE role = 'user'")
+@query(
+    "SELECT conv_id || '__' || turn AS request_id, TRUE AS parse_ok, 1 AS attempts FROM conversations WHERE role = 'user'"
+)
 def staged_publish(spark, sf_dir):
     """Judge every request with the stub client, publish all or nothing."""
-    records_ = E.judged(E.call_models(_requests(spark, sf_dir), E.stub_client("judge"), backoff=0), ["apf", "rpf", "rae"], 100)
+    records_ = E.judged(
+        E.call_models(_requests(spark, sf_dir), E.stub_client("judge"), backoff=0), ["apf", "rpf", "rae"], 100
+    )
     out = S.staged(records_, scratch(spark, "judged"), "NOT parse_ok")
     return out.where(F.col("average").between(1, 100)).select("request_id", "parse_ok", "attempts")
 
@@ -46,7 +53,9 @@ def append_resume(spark, sf_dir):
     return spark.read.parquet(path).groupBy("request_id").agg(F.count("*").alias("n"))
 
 
-@query("SELECT conv_id, turn, SUM(length(text)) OVER (PARTITION BY conv_id ORDER BY turn)::BIGINT AS seen FROM conversations")
+@query(
+    "SELECT conv_id, turn, SUM(length(text)) OVER (PARTITION BY conv_id ORDER BY turn)::BIGINT AS seen FROM conversations"
+)
 def ordered_state_fold(spark, sf_dir):
     """A running state through ordered chapters (here: characters seen so far)."""
     step = lambda state, text: str(int(state or 0) + len(text))
@@ -54,34 +63,54 @@ def ordered_state_fold(spark, sf_dir):
     return f.select("conv_id", "turn", F.col("state").cast("bigint").alias("seen"))
 
 
-@query(f"""WITH {RECORDS}, m AS (SELECT model, mode, ROUND({mean_sql('apf')}, 3) AS v FROM rec GROUP BY ALL), o AS (SELECT model, '{{' || string_agg('"' || mode || '":' || v::VARCHAR, ',' ORDER BY mode) || '}}' AS j FROM m GROUP BY 1) SELECT '{{' || string_agg('"' || model || '":' || j, ',' ORDER BY model) || '}}' AS json FROM o""")
+@query(
+    f"""WITH {RECORDS}, m AS (SELECT model, mode, ROUND({mean_sql('apf')}, 3) AS v FROM rec GROUP BY ALL), o AS (SELECT model, '{{' || string_agg('"' || mode || '":' || v::VARCHAR, ',' ORDER BY mode) || '}}' AS j FROM m GROUP BY 1) SELECT '{{' || string_agg('"' || model || '":' || j, ',' ORDER BY model) || '}}' AS json FROM o"""
+)
 def report_json(spark, sf_dir):
     """K5: nested JSON of a small report."""
     m = M.pool(records(spark, sf_dir), ["model", "mode"], "apf", "v").withColumn("v", F.round("v", 3))
     return S.nested_json(m, "model", "mode", "v")
 
 
-@query("""SELECT c_custkey, 'You are ' || c_name || ', from "' || n_name || '". You are at the point in the story corresponding to chapter ' || n_regionkey || '.' || CASE WHEN c_custkey % 2 = 0 THEN chr(10) || chr(10) || 'You are interacting with ' || c_mktsegment || '.' ELSE '' END || CASE WHEN c_custkey % 3 = 0 THEN chr(10) || chr(10) || 'Background you have access to:' || chr(10) || '<context>' || chr(10) || 'x' || chr(10) || '</context>' ELSE '' END AS prompt FROM customer JOIN nation ON c_nationkey = n_nationkey""")
+@query(
+    """SELECT c_custkey, 'You are ' || c_name || ', from "' || n_name || '". You are at the point in the story corresponding to chapter ' || n_regionkey || '.' || CASE WHEN c_custkey % 2 = 0 THEN chr(10) || chr(10) || 'You are interacting with ' || c_mktsegment || '.' ELSE '' END || CASE WHEN c_custkey % 3 = 0 THEN chr(10) || chr(10) || 'Background you have access to:' || chr(10) || '<context>' || chr(10) || 'x' || chr(10) || '</context>' ELSE '' END AS prompt FROM customer JOIN nation ON c_nationkey = n_nationkey"""
+)
 def prompt_rendering(spark, sf_dir):
     """Role-play prompts with their optional sections."""
-    t = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    t = table(spark, sf_dir, "customer").join(
+        table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")
+    )
     kind = F.when(F.col("c_custkey") % 2 == 0, "relational").otherwise("intrapersonal")
     context = F.when(F.col("c_custkey") % 3 == 0, " x\n").otherwise("  ")
-    return t.select("c_custkey", P.system(F.col("c_name"), F.col("n_name"), F.col("n_regionkey"), kind, F.col("c_mktsegment"), context).alias("prompt"))
+    return t.select(
+        "c_custkey",
+        P.system(
+            F.col("c_name"), F.col("n_name"), F.col("n_regionkey"), kind, F.col("c_mktsegment"), context
+        ).alias("prompt"),
+    )
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 5 > 2 THEN 'future' WHEN o_orderstatus = 'P' THEN 'absent' ELSE 'none' END AS kind FROM orders""")
+@query(
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 5 > 2 THEN 'future' WHEN o_orderstatus = 'P' THEN 'absent' ELSE 'none' END AS kind FROM orders"""
+)
 def time_hints(spark, sf_dir):
     """Hints of the narrative experts."""
-    h = P.time_hint(F.lit("X"), F.col("o_orderkey") % 5, F.lit(2), F.when(F.col("o_orderstatus") == "P", "absent").otherwise("present"))
+    h = P.time_hint(
+        F.lit("X"), F.col("o_orderkey") % 5, F.lit(2),
+        F.when(F.col("o_orderstatus") == "P", "absent").otherwise("present"),
+    )
     kind = F.when(h.isNull(), "none").when(F.contains(h, F.lit("in the future")), "future").otherwise("absent")
     return table(spark, sf_dir, "orders").select("o_orderkey", kind.alias("kind"))
 
 
-@query("""WITH e AS (SELECT DISTINCT l_suppkey AS probe_id, l_linenumber AS phase FROM lineitem) SELECT probe_id || '__p' || phase || '__arc__a_b' AS trial_id FROM e""")
+@query(
+    """WITH e AS (SELECT DISTINCT l_suppkey AS probe_id, l_linenumber AS phase FROM lineitem) SELECT probe_id || '__p' || phase || '__arc__a_b' AS trial_id FROM e"""
+)
 def trial_ids(spark, sf_dir):
     """Trial ids."""
-    e = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").cast("string").alias("probe_id"), F.col("l_linenumber").alias("phase")).distinct()
+    e = table(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").cast("string").alias("probe_id"), F.col("l_linenumber").alias("phase")
+    ).distinct()
     return e.select(ids.trial_id(F.col("probe_id"), F.col("phase"), F.lit("arc"), F.lit("a/b")).alias("trial_id"))
 
 
@@ -94,7 +123,11 @@ def release_audit(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     k = F.col("p_partkey")
     d = p.where("p_size > 3").select(k.alias("file"), F.col("p_size").alias("size"), F.col("p_brand").alias("sha256"))
-    f = p.where("p_size < 48").select(k.alias("file"), F.when(F.col("p_brand") == "Brand#7", F.col("p_size") + 1).otherwise(F.col("p_size")).alias("size"), F.when(F.col("p_type") == "ECONOMY", "x").otherwise(F.col("p_brand")).alias("sha256"))
+    f = p.where("p_size < 48").select(
+        k.alias("file"),
+        F.when(F.col("p_brand") == "Brand#7", F.col("p_size") + 1).otherwise(F.col("p_size")).alias("size"),
+        F.when(F.col("p_type") == "ECONOMY", "x").otherwise(F.col("p_brand")).alias("sha256"),
+    )
     return file_differences(d, f).groupBy("problem").agg(F.count("*").alias("n"))
 
 
@@ -108,6 +141,8 @@ def stream_ingest(spark, sf_dir):
     S.append(batch, src)
     S.append(batch.where("event_type = 'click'"), src)
     out = scratch(spark, "drained")
-    q = records_stream(spark, src, "trial_id string, event_type string").writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch(spark, "progress")).trigger(availableNow=True).start()
+    q = records_stream(
+        spark, src, "trial_id string, event_type string"
+    ).writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch(spark, "progress")).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.parquet(out).groupBy("event_type").agg(F.count("*").alias("n"))

@@ -86,7 +86,9 @@ def text_files(df: DataFrame, path: str, name: str, text: str) -> DataFrame:
                 sizes.append(len(data))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64())], names=["file", "bytes"])
 
-    return df.select(F.col(name).cast("string").alias("file"), F.col(text).cast("string").alias("text")).mapInArrow(run, "file string, bytes long")
+    return df.select(
+        F.col(name).cast("string").alias("file"), F.col(text).cast("string").alias("text")
+    ).mapInArrow(run, "file string, bytes long")
 
 
 def nested_json(df: DataFrame, outer: str, inner: str, value: str) -> DataFrame:
@@ -103,7 +105,9 @@ def number(v, best: bool = False) -> str:
     return rf"\textbf{{{s}}}" if best and v is not None else s
 
 
-def latex_table(rows: list, columns: list[str], labels: list[str], block: str, name: str, marked: str | None = None) -> str:
+def latex_table(
+    rows: list, columns: list[str], labels: list[str], block: str, name: str, marked: str | None = None
+) -> str:
     """A table of a small report (one row per model and mode), blocks by model, bold maxima per block.
 
     ``rows``: dicts, in order.  ``marked``: a name whose rows are highlighted.
@@ -114,7 +118,10 @@ def latex_table(rows: list, columns: list[str], labels: list[str], block: str, n
             if r[c] is not None:
                 top[r[block], c] = max(r[c], top.get((r[block], c), r[c]))
     sizes = {b: sum(r[block] == b for r in rows) for b in {r[block] for r in rows}}
-    out = [r"\begin{tabular}{ll" + "r" * len(columns) + "}", r"\toprule", " & ".join([block, name, *labels]) + r" \\", r"\midrule"]
+    out = [
+        r"\begin{tabular}{ll" + "r" * len(columns) + "}", r"\toprule", " & ".join([block, name, *labels]) + r" \\",
+        r"\midrule",
+    ]
     last = None
     for r in rows:
         first = r[block] != last
@@ -130,6 +137,9 @@ def latex_table(rows: list, columns: list[str], labels: list[str], block: str, n
 
 def text_table(rows: list, columns: list[str]) -> str:
     """Plain columns for a terminal."""
-    cells = [columns, *[[number(r[c]) if isinstance(r[c], float) or r[c] is None else str(r[c]) for c in columns] for r in rows]]
+    cells = [
+        columns,
+        *[[number(r[c]) if isinstance(r[c], float) or r[c] is None else str(r[c]) for c in columns] for r in rows],
+    ]
     wide = [max(len(r[i]) for r in cells) for i in range(len(columns))]
     return "\n".join("  ".join(v.ljust(w) for v, w in zip(r, wide, strict=True)).rstrip() for r in cells)

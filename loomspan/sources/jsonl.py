@@ -28,7 +28,10 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     """``(path, line_no, line)`` of all non-blank lines; a missing path gives none."""
     if not exists(spark, path):
         return spark.createDataFrame([], "path string, line_no int, line string")
-    raw = spark.read.text(path, wholetext=True).select(file_name(F.col("_metadata.file_path")).alias("path"), F.posexplode(F.split("value", LINE_END)).alias("line_no", "line"))
+    raw = spark.read.text(path, wholetext=True).select(
+        file_name(F.col("_metadata.file_path")).alias("path"),
+        F.posexplode(F.split("value", LINE_END)).alias("line_no", "line"),
+    )
     return raw.where(F.trim(F.regexp_replace("line", r"\s+", " ")) != "").withColumn("line_no", F.col("line_no") + 1)
 
 
@@ -40,7 +43,13 @@ def placed_lines(spark: SparkSession, path: str, blank: bool = False) -> DataFra
     """
     if not exists(spark, path):
         return spark.createDataFrame([], "path string, place struct<block:long,n:long>, line string")
-    raw = spark.read.text(path).select(file_name(F.col("_metadata.file_path")).alias("path"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n")).alias("place"), F.col("value").alias("line"))
+    raw = spark.read.text(path).select(
+        file_name(F.col("_metadata.file_path")).alias("path"),
+        F.struct(
+            F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n")
+        ).alias("place"),
+        F.col("value").alias("line"),
+    )
     return raw if blank else raw.where(F.trim(F.regexp_replace("line", r"\s+", " ")) != "")
 
 
@@ -63,10 +72,15 @@ def strict(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """
     if not exists(spark, path):
         raise FileNotFoundError(path)
-    good = F.is_valid_utf8("line") & F.coalesce(F.startswith(F.schema_of_variant(F.try_parse_json("line")), F.lit("OBJECT")), F.lit(False))
+    good = F.is_valid_utf8("line") & F.coalesce(
+        F.startswith(F.schema_of_variant(F.try_parse_json("line")), F.lit("OBJECT")), F.lit(False)
+    )
     first = placed_lines(spark, path).where(~good).agg(F.min(F.struct("path", "place")).alias("bad")).first().bad
     if first is not None:
-        ahead = placed_lines(spark, path, blank=True).where((F.col("path") == first.path) & (F.col("place") <= F.struct(F.lit(first.place.block).alias("block"), F.lit(first.place.n).alias("n"))))
+        ahead = placed_lines(spark, path, blank=True).where(
+            (F.col("path") == first.path)
+            & (F.col("place") <= F.struct(F.lit(first.place.block).alias("block"), F.lit(first.place.n).alias("n")))
+        )
         raise ValueError(f"not a JSON object: {first.path}:{ahead.count()}")
     return placed_lines(spark, path).select("path", "place", F.from_json("line", schema).alias("rec"))
 
@@ -81,16 +95,23 @@ def chapter_files(spark: SparkSession, path: str) -> DataFrame:
     """``(chapter, text)`` of ``chapter_<n>.txt``; other names are skipped."""
     from ..functions.ids import chapter_number
 
-    raw = spark.read.text(path, wholetext=True).select(chapter_number(file_name(F.col("_metadata.file_path"))).alias("chapter"), F.col("value").alias("text"))
+    raw = spark.read.text(path, wholetext=True).select(
+        chapter_number(file_name(F.col("_metadata.file_path"))).alias("chapter"), F.col("value").alias("text")
+    )
     return raw.where("chapter IS NOT NULL")
 
 
 def vector_index(spark: SparkSession, path: str) -> DataFrame:
     """Chunks with their embeddings: one table, so texts and vectors cannot fall out of step."""
-    return spark.read.schema("novel string, chapter int, chunk_idx int, text string, embedding array<float>").parquet(path)
+    return spark.read.schema(
+        "novel string, chapter int, chunk_idx int, text string, embedding array<float>"
+    ).parquet(path)
 
 
-def dataset_split(spark: SparkSession, schema: str, files: list[str] | None = None, folder: str | None = None, split: str = "train", configs: list[str] | None = None) -> DataFrame:
+def dataset_split(
+    spark: SparkSession, schema: str, files: list[str] | None = None, folder: str | None = None, split: str = "train",
+    configs: list[str] | None = None,
+) -> DataFrame:
     """A corpus split: explicit files, else a folder's ``<split>`` files, else all configs of the folder, concatenated."""
     from functools import reduce
 
@@ -104,7 +125,15 @@ def dataset_split(spark: SparkSession, schema: str, files: list[str] | None = No
     elif folder and configs:
         parts = [load(f"{folder}/{c}/{split}*.parquet") for c in configs]
     elif folder:
-        found = next((p for p in (f"{folder}/{split}*.parquet", f"{folder}/{split}*.jsonl", f"{folder}/{split}*.json") if exists(spark, p)), None)
+        found = next(
+            (
+                p
+                for p in (
+                    f"{folder}/{split}*.parquet", f"{folder}/{split}*.jsonl", f"{folder}/{split}*.json"
+                ) if exists(spark, p)
+            ),
+            None,
+        )
         if found is None:
             raise FileNotFoundError(f"{folder}: no files of split {split}")
         parts = [load(found)]

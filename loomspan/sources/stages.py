@@ -16,7 +16,9 @@ def first_stage(have: DataFrame, keys: list[str], stage: str, order) -> DataFram
     """Per key the row of the stage that comes first in ``order``; other stages do not count."""
     rank = F.array_position(F.array(*map(F.lit, order)), F.col(stage))
     w = Window.partitionBy(*keys).orderBy("__rank")
-    return have.withColumn("__rank", rank).where("__rank > 0").withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rank", "__rn")
+    return have.withColumn("__rank", rank).where("__rank > 0").withColumn(
+        "__rn", F.row_number().over(w)
+    ).where("__rn = 1").drop("__rank", "__rn")
 
 
 def axes_stage(files: DataFrame, keys: list[str], explicit: str | None = None) -> DataFrame:

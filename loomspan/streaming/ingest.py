@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def records_stream(spark: SparkSession, path: str, schema: str, watermark: str | None = None, ts: str = "ts") -> DataFrame:
+def records_stream(
+    spark: SparkSession, path: str, schema: str, watermark: str | None = None, ts: str = "ts"
+) -> DataFrame:
     """Parquet files as they appear, each trial once.
 
     With a watermark the state of ids older than it is dropped; without, every id is kept,
@@ -28,7 +30,9 @@ def new_only(batch: DataFrame, done: DataFrame) -> DataFrame:
 
 def event_counts(events: DataFrame, ts: str = "ts", window: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Windowed counts and exact sums; rows later than ``late`` are left out."""
-    return events.withWatermark(ts, late).groupBy(F.window(ts, window), "event_type").agg(F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(20,6)")).alias("total"))
+    return events.withWatermark(ts, late).groupBy(F.window(ts, window), "event_type").agg(
+        F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(20,6)")).alias("total")
+    )
 
 
 def fold_stream(chapters: DataFrame, key: str, order: str, text: str, step) -> DataFrame:
@@ -50,4 +54,6 @@ def fold_stream(chapters: DataFrame, key: str, order: str, text: str, step) -> D
         yield pd.DataFrame({key: pdf[key].to_numpy(), order: pdf[order].to_numpy(), "state": out})
 
     kinds = {f.name: f.dataType.simpleString() for f in chapters.schema}
-    return chapters.groupBy(key).applyInPandasWithState(run, f"{key} {kinds[key]}, {order} {kinds[order]}, state string", "now string", "append", "NoTimeout")
+    return chapters.groupBy(key).applyInPandasWithState(
+        run, f"{key} {kinds[key]}, {order} {kinds[order]}, state string", "now string", "append", "NoTimeout"
+    )
