@@ -170,7 +170,9 @@ def join_by_group(rows: DataFrame, groups: DataFrame, key: str, hot_rows: int =
     if not many or many > BROADCAST_ROWS:
         return rows.join(rest, key)
     hot_rest = F.broadcast(hot.drop("n"))
-    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(groups.where(F.col("n") < hot_rows).drop("n"), key)
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(
+        groups.where(F.col("n") < hot_rows).drop("n"), key
+    )
     return rows.join(hot_rest, key).unionByName(cold)
 
 

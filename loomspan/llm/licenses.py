@@ -2,10 +2,11 @@ r"""License scans by ordered signature rules.  Native.
 
 A text becomes one line of words (A-Z lower-cased, words of digits, a-z and non-ASCII
 characters, single spaces between and around), so a rule is indifferent to punctuation
-and line breaks.  A rule is (label, priority, keyword, regular expression).
+and line breaks.  A rule is (label, priority, keywords, regular expression).
 
-1. Prefilter: a text without any gate word is done.  Of the rest, a rule runs only where
-   its keyword stands in the line.
+1. Prefilter: of each keyword the longest word is looked for among a text's words; a text
+   with none of them is done.  Of the rest, a rule runs only where its whole keyword stands
+   in the line.
 2. Every place a rule matches is an interval with the rule's priority.
 3. Suppression: intervals are taken by start, longest first, then priority.  One that
    lies inside an earlier one of the same or a higher priority is dropped.
@@ -18,126 +19,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii
+from .common import let, lower_ascii, running
+from .license_rules import BARE, GRANT, NAMED, RULES
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Base phrases and their labels: fixed values.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
-#: Priorities: a full grant or identifier, a named and versioned license, a bare name.
-GRANT, NAMED, BARE = 3, 2, 1
 CONFIDENCE = {GRANT: 1.0, NAMED: 0.8, BARE: 0.5}
 
-_V = r"(?:version |v)?"
-_L = r"licen[cs]e"
-#: label -> (keyword, name expression).  The templates below make rules of each.
-NAMES = {
-    "gpl-1.0": ("gnu", rf"gnu (?:general public {_L}|gpl) {_V}1(?: 0)?"),
-    "gpl-2.0": ("gnu", rf"gnu (?:general public {_L}|gpl) {_V}2(?: 0)?"),
-    "gpl-3.0": ("gnu", rf"gnu (?:general public {_L}|gpl) {_V}3(?: 0)?"),
-    "lgpl-2.0": ("gnu", rf"gnu (?:library|lesser) general public {_L} {_V}2(?: 0)?"),
-    "lgpl-2.1": ("gnu", rf"gnu lesser general public {_L} {_V}2 1"),
-    "lgpl-3.0": ("gnu", rf"gnu lesser general public {_L} {_V}3(?: 0)?"),
-    "agpl-3.0": ("affero", rf"(?:gnu )?affero general public {_L} {_V}3(?: 0)?"),
-    "gfdl-1.2": ("documentation", rf"gnu free documentation {_L} {_V}1 2"),
-    "gfdl-1.3": ("documentation", rf"gnu free documentation {_L} {_V}1 3"),
-    "apache-1.1": ("apache", rf"apache (?:software )?{_L} {_V}1 1"),
-    "apache-2.0": ("apache", rf"apache (?:software )?{_L} {_V}2(?: 0)?"),
-    "mit": ("mit", rf"mit {_L}"),
-    "mit-0": ("mit", rf"mit no attribution {_L}"),
-    "bsd-2-clause": ("bsd", rf"(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)(?: {_L})?"),
-    "bsd-3-clause": ("bsd", rf"(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd)(?: {_L})?"),
-    "bsd-4-clause": ("bsd", rf"(?:bsd 4 clause|4 clause bsd|original bsd)(?: {_L})?"),
-    "0bsd": ("bsd", rf"(?:0bsd|zero clause bsd|bsd zero clause)(?: {_L})?"),
-    "isc": ("isc", rf"isc {_L}"),
-    "zlib": ("zlib", rf"zlib (?:libpng )?{_L}"),
-    "bsl-1.0": ("boost", rf"boost software {_L}(?: {_V}1 0)?"),
-    "mpl-1.1": ("mozilla", rf"mozilla public {_L} {_V}1 1"),
-    "mpl-2.0": ("mozilla", rf"mozilla public {_L} {_V}2(?: 0)?"),
-    "epl-1.0": ("eclipse", rf"eclipse public {_L} {_V}1(?: 0)?"),
-    "epl-2.0": ("eclipse", rf"eclipse public {_L} {_V}2(?: 0)?"),
-    "cddl-1.0": ("common development", rf"common development and distribution {_L}(?: {_V}1(?: 0)?)?"),
-    "cpl-1.0": ("common public", rf"common public {_L}(?: {_V}1(?: 0)?)?"),
-    "eupl-1.2": ("european union", rf"european union public {_L}(?: {_V}1 2)?"),
-    "artistic-2.0": ("artistic", rf"artistic {_L}(?: {_V}2(?: 0)?)?"),
-    "python-2.0": ("python", rf"python software foundation {_L}(?: {_V}2)?"),
-    "php-3.01": ("php", rf"php {_L}(?: {_V}3 0?1)?"),
-    "ruby": ("ruby", rf"ruby {_L}"),
-    "openssl": ("openssl", rf"openssl {_L}"),
-    "unlicense": ("unlicense", r"(?:the )?unlicense"),
-    "wtfpl": ("wtfpl", r"wtfpl"),
-    "ms-pl": ("microsoft", rf"microsoft public {_L}"),
-    "ms-rl": ("microsoft", rf"microsoft reciprocal {_L}"),
-    "ofl-1.1": ("open font", rf"(?:sil )?open font {_L}(?: {_V}1 1)?"),
-    "odbl-1.0": ("open database", rf"open database {_L}(?: {_V}1 0)?"),
-    "odc-by-1.0": ("open data commons", rf"open data commons attribution {_L}(?: {_V}1 0)?"),
-    "cc0-1.0": ("cc0", r"(?:creative commons )?cc0(?: 1 0)?(?: universal)?"),
-    "cc-by-3.0": ("3 0", r"(?:cc by|creative commons attribution) 3 0"),
-    "cc-by-4.0": ("4 0", r"(?:cc by|creative commons attribution) 4 0"),
-    "cc-by-sa-3.0": ("3 0", r"(?:cc by sa|creative commons attribution share ?alike) 3 0"),
-    "cc-by-sa-4.0": ("4 0", r"(?:cc by sa|creative commons attribution share ?alike) 4 0"),
-    "cc-by-nd-4.0": ("4 0", r"(?:cc by nd|creative commons attribution no ?deriv(?:ative)?s) 4 0"),
-    "cc-by-nc-3.0": ("3 0", r"(?:cc by nc|creative commons attribution non ?commercial) 3 0"),
-    "cc-by-nc-4.0": ("4 0", r"(?:cc by nc|creative commons attribution non ?commercial) 4 0"),
-    "cc-by-nc-sa-4.0": ("4 0", r"(?:cc by nc sa|creative commons attribution non ?commercial share ?alike) 4 0"),
-    "cc-by-nc-nd-4.0": ("4 0", r"(?:cc by nc nd|creative commons attribution non ?commercial no ?deriv(?:ative)?s) 4 0"),
-}
-#: Other names of the same licenses, by keywords of their own.
-ALIASES = (("mit", "expat", rf"expat {_L}"),)
-#: What may stand around a name, and the priority that makes.  ``{n}`` is the name.
-TEMPLATES = (
-    (GRANT, rf"licen[cs]ed under (?:the )?(?:terms of the )?{{n}}"),
-    (GRANT, r"(?:released|distributed|available|published|provided) under (?:the )?(?:terms of the )?{n}"),
-    (GRANT, r"(?:redistribute|copy|use|modify)(?: it)?(?: and or modify it)? under the terms of (?:the )?{n}"),
-    (GRANT, r"(?:subject to|governed by|covered by) (?:the )?(?:terms of the )?{n}"),
-    (NAMED, r"{n}"),
-)
-#: Rules that no template makes: texts and bare names.
-OWN = (
-    ("mit", GRANT, "permission is hereby granted", r"permission is hereby granted free of charge to any person obtaining a copy"),
-    ("mit", GRANT, "the software is provided", r"the software is provided as is without warranty of any kind express or implied"),
-    ("isc", GRANT, "permission to use", r"permission to use copy modify and or distribute this software for any purpose"),
-    ("bsd-3-clause", GRANT, "neither the name", r"neither the name of .{1,80}? nor the names of its contributors"),
-    ("bsd-2-clause", NAMED, "redistribution and use", r"redistribution and use in source and binary forms with or without modification"),
-    ("unlicense", GRANT, "unencumbered", r"this is free and unencumbered software released into the public domain"),
-    ("public-domain", NAMED, "public domain", r"(?:released|placed|dedicated) (?:in|into|to) the public domain"),
-    ("public-domain", BARE, "public domain", r"public domain"),
-    ("zlib", GRANT, "misrepresented", r"the origin of this software must not be misrepresented"),
-    ("wtfpl", GRANT, "do what the", r"do what the fuck you want to"),
-    ("gpl", NAMED, "free software", r"this (?:program|library) is free software"),
-    ("gpl-or-later", NAMED, "or at your option", r"or at your option any later version"),
-    ("gpl", BARE, "gnu", rf"gnu general public {_L}"),
-    ("lgpl", BARE, "gnu", rf"gnu lesser general public {_L}"),
-    ("agpl", BARE, "affero", rf"affero general public {_L}"),
-    ("gfdl", BARE, "documentation", rf"gnu free documentation {_L}"),
-    ("apache", BARE, "apache", rf"apache {_L}"),
-    ("bsd", BARE, "bsd", rf"bsd {_L}"),
-    ("mpl", BARE, "mozilla", rf"mozilla public {_L}"),
-    ("epl", BARE, "eclipse", rf"eclipse public {_L}"),
-    ("cc", BARE, "creative commons", r"creative commons"),
-    ("cc-by-nc", BARE, "cc by nc", r"cc by nc"),
-    ("cc-by-nc-sa", BARE, "cc by nc sa", r"cc by nc sa"),
-    ("cc-by-nc-nd", BARE, "cc by nc nd", r"cc by nc nd"),
-    ("cc-by-nd", BARE, "cc by nd", r"cc by nd"),
-    ("cc-by-sa", BARE, "cc by sa", r"cc by sa"),
-    ("proprietary", NAMED, "all rights reserved", r"all rights reserved"),
-    ("proprietary", GRANT, "confidential", r"(?:confidential and proprietary|proprietary and confidential)"),
-)
-
 
 def rules() -> list[tuple[str, int, str, str]]:
-    """(label, priority, keyword, expression), the expression bounded by whole words."""
-    names = (*((label, key, name) for label, (key, name) in NAMES.items()), *ALIASES)
-    out = [(label, p, key, t.replace("{n}", f"(?:{name})")) for label, key, name in names for p, t in TEMPLATES]
-    for label in NAMES:  # SPDX tags: "SPDX-License-Identifier: Apache-2.0"
-        out.append((label, GRANT, "spdx", rf"spdx {_L} identifier {label.replace('-', ' ').replace('.', ' ')}(?: only| or later)?"))
-    return [(label, p, key, f"(?<= )(?:{x})(?= )") for label, p, key, x in (*out, *OWN)]
+    """(label, priority, keywords with bars between, expression), the expression bounded by whole words."""
+    return [(label, p, key, f"(?<= )(?:{x})(?= )") for label, own in RULES.items() for p, key, x in own]
+
+
+def telling_word(keyword: str) -> str:
+    """The longest word of a keyword: the one that is looked for first."""
+    return max(keyword.split(" "), key=lambda w: (len(w), w))
 
 
 def gates() -> list[str]:
-    """Words of which any text that a rule or phrase can match holds at least one: the keywords, without those that hold another."""
-    keys = {k for _, _, k, _ in rules()} | set(PHRASES)
-    return sorted(k for k in keys if not any(o != k and o in k for o in keys))
+    """Words of which any text that a rule or phrase can match holds at least one."""
+    return sorted(
+        {telling_word(k) for _, _, keys, _ in rules() for k in keys.split("|")} | {telling_word(k) for k in PHRASES}
+    )
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -147,14 +53,20 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     characters of the line of words.  Null and empty texts have no words and no labels.
     ``score`` is the surest detection's confidence; a base phrase counts as a bare name.
     """
-    text = lower_ascii(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    words = F.filter(F.split(text, SEPARATORS), lambda w: w != "")
-    base = docs.select(F.col(id_col).cast("long").alias("id"), words.alias("words"))
-    line = base.select("id", F.size("words").cast("long").alias("n_words"), F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" ")).alias("line"))
-    hot = None
-    for k in gates():
-        hot = F.col("line").contains(k) if hot is None else hot | F.col("line").contains(k)
-    row = line.withColumn("hot", hot).select("id", "n_words", F.when(F.col("hot"), F.col("line")).alias("line"))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    # of A-Z, lower() makes what the contract does; no other letter becomes a separator or ceases to be one,
+    # so words are counted and looked up here, and only texts behind the gate are made into a line
+    words = docs.select(
+        F.col(id_col).cast("long").alias("id"), text.alias("text"), F.split(F.lower(text), SEPARATORS).alias("words")
+    )
+    empty = lambda i: F.when(F.element_at("words", i) == "", 1).otherwise(0)
+    n_words = F.size("words") - empty(1) - F.when(F.size("words") > 1, empty(-1)).otherwise(0)
+    row = words.select(
+        "id", n_words.cast("long").alias("n_words"),
+        F.array_intersect("words", F.array(*map(F.lit, gates()))).alias("telling"), "text",
+    )
+    spaced = F.concat(F.lit(" "), F.trim(F.regexp_replace(lower_ascii(F.col("text")), SEPARATORS, " ")), F.lit(" "))
+    row = row.select("id", "n_words", "telling", F.when(F.size("telling") > 0, spaced).alias("line"))
     # base phrases: the parts between a phrase's places tell how many and where
     parts = {k: f"p{i}" for i, k in enumerate(PHRASES)}
     row = row.withColumns({v: F.split("line", f"(?<= ){k}(?= )", -1) for k, v in parts.items()})
@@ -167,34 +79,93 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         firsts.append(F.when(there, spaces(F.get(v, F.lit(0)))))
         lasts.append(F.when(there, F.col("n_words") - spaces(F.element_at(v, -1)) - len(k.split(" "))))
         labels.append(F.when(there, F.lit(PHRASES[k])))
-    row = row.withColumns({"n_base": n_base, "first_word": F.array_min(F.array(*firsts)).cast("long"), "last_word": F.array_max(F.array(*lasts)).cast("long"), "base": F.array_compact(F.array(*labels))}).drop(*parts.values())
-    book = F.array(*[F.struct(F.lit(label).alias("label"), F.lit(p).alias("p"), F.lit(key).alias("key"), F.lit(x).alias("x")) for label, p, key, x in rules()])
-    row = row.withColumn("hits", F.when(F.col("line").isNotNull(), F.filter(book, lambda r: F.col("line").contains(r["key"]))))
-    # a rule's intervals, from the parts between its matches and the matches themselves
-    row = row.withColumn(
-        "dets",
-        F.expr("""
-        flatten(transform(hits, r -> aggregate(
-            arrays_zip(split(line, r.x, -1), regexp_extract_all(line, r.x, 0)),
-            struct(0 AS at, CAST(array() AS array<struct<s: int, e: int, p: int, label: string>>) AS got),
-            (a, z) -> struct(
-                a.at + length(z.`0`) + coalesce(length(z.`1`), 0) AS at,
-                IF(z.`1` IS NULL, a.got, array_append(a.got, struct(a.at + length(z.`0`) AS s, a.at + length(z.`0`) + length(z.`1`) AS e, r.p AS p, r.label AS label))) AS got),
-            a -> a.got)))
-        """),
+    row = row.withColumns(
+        {
+            "n_base": n_base, "first_word": F.array_min(F.array(*firsts)).cast("long"),
+            "last_word": F.array_max(F.array(*lasts)).cast("long"), "base": F.array_compact(F.array(*labels)),
+        }
+    ).drop(*parts.values())
+    keys = lambda key: F.array(
+        *[F.struct(F.lit(telling_word(k)).alias("w"), F.lit(f" {k} ").alias("t")) for k in key.split("|")]
+    )
+    book = F.array(
+        *[
+            F.struct(F.lit(label).alias("label"), F.lit(p).alias("p"), keys(key).alias("key"), F.lit(x).alias("x"))
+            for label, p, key, x in rules()
+        ]
+    )
+    there = lambda k: F.array_contains(F.col("telling"), k["w"]) & F.col("line").contains(k["t"])
+    row = row.withColumn("hits", F.when(F.col("line").isNotNull(), F.filter(book, lambda r: F.exists(r["key"], there))))
+    # a rule's intervals, from the parts between its matches and the matches themselves: running
+    # sums of their lengths by doubling, k log k for k matches
+    span = "struct<s:int,e:int,p:int,label:string>"
+
+    def places(r):
+        def found(z):
+            both = F.zip_with(
+                z["gap"], z["hit"],
+                lambda g, h: F.struct(
+                    (F.length(g) + F.coalesce(F.length(h), F.lit(0))).cast("int").alias("e"),
+                    F.coalesce(F.length(h), F.lit(0)).alias("n"),
+                ),
+            )
+            sums = lambda v: running(
+                v,
+                lambda earlier, here: F.struct(
+                    (F.coalesce(earlier["e"], F.lit(0)) + here["e"]).alias("e"), here["n"].alias("n")
+                ),
+            )
+            return F.transform(
+                F.filter(let(both, sums), lambda x: x["n"] > 0),
+                lambda x: F.struct(
+                    (x["e"] - x["n"]).alias("s"), x["e"].alias("e"), r["p"].alias("p"), r["label"].alias("label")
+                ).cast(span),
+            )
+
+        return let(
+            F.struct(
+                F.split("line", r["x"], -1).alias("gap"), F.regexp_extract_all("line", r["x"], F.lit(0)).alias("hit")
+            ),
+            found,
+        )
+
+    # by start, then longest, then priority, then label
+    key = F.transform(
+        F.flatten(F.transform("hits", places)),
+        lambda d: F.struct(d["s"].alias("s"), (-d["e"]).alias("e"), (-d["p"]).alias("p"), d["label"].alias("label")),
+    )
+    ordered = F.transform(
+        F.array_sort(key),
+        lambda d: F.struct(d["s"].alias("s"), (-d["e"]).alias("e"), (-d["p"]).alias("p"), d["label"].alias("label")),
     )
-    row = row.withColumn("dets", F.expr("transform(array_sort(transform(dets, d -> struct(d.s AS s, -d.e AS e, -d.p AS p, d.label AS label))), d -> struct(d.s AS s, -d.e AS e, -d.p AS p, d.label AS label))"))
-    # the furthest end so far among priorities >= 1, >= 2, >= 3
-    row = row.withColumn(
-        "spans",
-        F.expr("""
-        aggregate(dets, struct(-1 AS e1, -1 AS e2, -1 AS e3, CAST(array() AS array<struct<s: int, e: int, p: int, label: string>>) AS got),
-            (a, d) -> struct(
-                greatest(a.e1, d.e) AS e1, IF(d.p >= 2, greatest(a.e2, d.e), a.e2) AS e2, IF(d.p >= 3, greatest(a.e3, d.e), a.e3) AS e3,
-                IF(CASE d.p WHEN 1 THEN a.e1 WHEN 2 THEN a.e2 ELSE a.e3 END >= d.e, a.got, array_append(a.got, d)) AS got),
-            a -> a.got)
-        """),
+    row = row.withColumn("dets", ordered)
+
+    def outer(dets):
+        """Of each priority, the furthest end so far among intervals of that priority or a higher one."""
+        ends = F.transform(
+            dets,
+            lambda d: F.struct(*[F.when(d["p"] >= p, d["e"]).otherwise(F.lit(-1)).alias(f"e{p}") for p in CONFIDENCE]),
+        )
+        return let(
+            ends,
+            lambda v: running(
+                v,
+                lambda earlier, here: F.struct(
+                    *[F.greatest(here[f"e{p}"], earlier[f"e{p}"]).alias(f"e{p}") for p in CONFIDENCE]
+                ),
+            ),
+        )
+
+    # an interval goes where an earlier one of its priority or a higher one reaches as far
+    ahead = F.concat(F.array(F.struct(*[F.lit(-1).alias(f"e{p}") for p in CONFIDENCE])), outer(F.col("dets")))
+    reach = lambda z: F.when(z["d"]["p"] == BARE, z["o"][f"e{BARE}"]).when(
+        z["d"]["p"] == NAMED, z["o"][f"e{NAMED}"]
+    ).otherwise(z["o"][f"e{GRANT}"])
+    kept = F.filter(
+        F.arrays_zip(F.col("dets").alias("d"), F.slice(ahead, F.lit(1), F.size("dets")).alias("o")),
+        lambda z: reach(z) < z["d"]["e"],
     )
+    row = row.withColumn("spans", F.transform(kept, lambda z: z["d"].cast(span)))
     spans = F.coalesce(F.col("spans"), F.array().cast("array<struct<s:int,e:int,p:int,label:string>>"))
     sure = F.lit(0.0)
     for p, c in CONFIDENCE.items():
@@ -203,5 +174,6 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return row.select(
         "id", "n_words", "n_base", "first_word", "last_word", joined(F.col("base")).alias("base_labels"),
         joined(F.concat("base", F.transform(spans, lambda d: d["label"]))).alias("labels"),
-        F.greatest(sure, F.when(F.col("n_base") > 0, F.lit(CONFIDENCE[BARE])).otherwise(0.0)).alias("score"), spans.alias("spans"),
+        F.greatest(sure, F.when(F.col("n_base") > 0, F.lit(CONFIDENCE[BARE])).otherwise(0.0)).alias("score"),
+        spans.alias("spans"),
     )
