@@ -190,31 +190,3 @@ def running(array: Column, combine: Callable[[Column, Column], Column]) -> Colum
     steps = F.sequence(F.lit(0), F.length(F.bin(F.size(array).cast("long"))) - 1)
     shift = lambda j: F.call_function("shiftleft", F.lit(1), j)
     return F.aggregate(steps, array, lambda acc, j: F.transform(acc, lambda x, i: combine(F.get(acc, i - shift(j)), x)))
-
-
-def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Bound what one Arrow batch of whole texts may hold."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
-def release() -> None:
-    """Give a Python worker's freed memory back: workers live on and serve other operators."""
-    import ctypes
-    import gc
-
-    import pyarrow as pa
-
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim is not None:
-        trim(0)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """A table read in fewer pieces than there are cores is dealt out anew, so that no core idles.
-
-    Tables of more than a few files are left as they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)

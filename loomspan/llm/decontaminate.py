@@ -16,18 +16,23 @@ needs more than e edits is dropped.
 
 Scale.  One pass over the documents, each row on its own, whole texts in overlapping
 windows of bounded length; nothing is shuffled.  The benchmark goes out in blocks of at
-most ``BLOCK_CHARS`` characters, a pass for each, so no task holds more than one block.
+most ``BLOCK_CHARS`` characters and ``BLOCK_ITEMS`` passages, a pass over the documents for
+each, so no task holds more than one block: the work is documents times blocks, which for
+benchmarks of up to some million characters is one pass.  A block's broadcast lives as long
+as the result that reads it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, small_batches
+from .common import slices, text_function
 
 LONG_Q, SHORT_Q, LONG_FROM, SHORT_FROM = 8, 5, 40, 10
 BLOCK_CHARS = 4 << 20
+#: A region's key holds the passage's number in 20 bits.
+BLOCK_ITEMS = 1 << 20
 WINDOW = 1 << 18
 SPACE, WALL = 32, 1
 HIT = "id long, item_id long, start long, end long, distance int, item_length int"
@@ -45,14 +50,19 @@ def gram(m: int) -> int:
 _codes = None
 
 
+def code(point: int) -> int:
+    """The normalised code of a code point."""
+    c = chr(point)
+    return ord(c.lower() if len(c.lower()) == 1 else c) if c.isalnum() else SPACE
+
+
 def code_table():
-    """Code point -> normalised code, for the basic plane; others stay as they are."""
+    """:func:`code` for the basic plane."""
     global _codes
     if _codes is None:
         import numpy as np
 
-        one = lambda c: c.lower() if len(c.lower()) == 1 else c
-        _codes = np.array([ord(one(chr(i))) if chr(i).isalnum() else SPACE for i in range(1 << 16)], dtype=np.uint32)
+        _codes = np.array([code(i) for i in range(1 << 16)], dtype=np.uint32)
     return _codes
 
 
@@ -61,7 +71,11 @@ def normalise(text: str):
     import numpy as np
 
     raw = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
-    codes = np.where(raw < 1 << 16, code_table()[np.minimum(raw, 0xFFFF)], raw)
+    codes = code_table()[np.minimum(raw, 0xFFFF)]
+    beyond = raw >= 1 << 16
+    if beyond.any():
+        points, which = np.unique(raw[beyond], return_inverse=True)
+        codes[beyond] = np.array([code(int(i)) for i in points], dtype=np.uint32)[which]
     blank = codes == SPACE
     keep = ~blank
     keep[1:] |= ~blank[:-1]  # the first blank of a run stays
@@ -120,7 +134,9 @@ class Index:
             mine = [i for i, m in enumerate(sizes) if gram(m) == q]
             if mine:
                 h = [grams(self.codes[i], q) for i in mine]
-                flat, item, pos = np.concatenate(h), np.repeat(mine, [len(x) for x in h]), np.concatenate([np.arange(len(x)) for x in h])
+                flat, item, pos = np.concatenate(h), np.repeat(mine, [len(x) for x in h]), np.concatenate(
+                    [np.arange(len(x)) for x in h]
+                )
                 order = np.argsort(flat, kind="stable")
                 keys, first, count = np.unique(flat[order], return_index=True, return_counts=True)
                 bits = np.zeros(1 << 22, dtype=bool)
@@ -128,6 +144,19 @@ class Index:
                 self.tables.append((q, keys, first, count, item[order], pos[order], bits))
         self.need = sizes + 1 - np.array([gram(m) for m in sizes], dtype=np.int64) * (self.edits + 1)
         self.tiny = [i for i, m in enumerate(sizes) if not gram(m)]
+        self.automaton = self._automaton() if self.tiny else None
+
+    def _automaton(self):
+        """All tiny passages, with a blank on each side, in one automaton: a text is read once for them all."""
+        import ahocorasick
+
+        out, by = ahocorasick.Automaton(), {}
+        for i in self.tiny:
+            by.setdefault(f" {''.join(map(chr, self.codes[i]))} ", []).append(i)
+        for word, items in by.items():
+            out.add_word(word, (len(word), items))
+        out.make_automaton()
+        return out
 
     def regions(self, codes, doc_of):
         """(doc, item, band, example diagonal) of the bands that meet the bound."""
@@ -164,7 +193,9 @@ class Index:
                 if min(len(np.unique(t - d)), len(np.unique(t))) < self.need[what[r]]:
                     continue
                 seen, many = np.unique(d, return_counts=True)
-                yield int(key[r] >> np.uint64(44)), int(what[r]), int(band[r] - 4 * self.longest) * int(self.width[what[r]]), int(seen[many.argmax()])
+                yield int(key[r] >> np.uint64(44)), int(what[r]), int(
+                    band[r] - 4 * self.longest
+                ) * int(self.width[what[r]]), int(seen[many.argmax()])
 
 
 def banded(pattern, text, low: int, high: int, limit: int, anchored: bool = False):
@@ -226,15 +257,11 @@ def find(index: Index, texts: list):
                 edits, end = got
                 back = banded(item[::-1], region[:end][::-1], 0, 0, edits, anchored=True)
                 out.setdefault((d, i), set()).add((edits, left + end - (back[1] if back else m), left + end))
-    if index.tiny:
+    if index.automaton is not None:
         for d, (c, _) in enumerate(parts):
-            line = f" {''.join(map(chr, c))} " if len(c) else ""
-            for i in index.tiny:
-                word = f" {''.join(map(chr, index.codes[i]))} "
-                at = line.find(word)
-                while at >= 0:
-                    out.setdefault((d, i), set()).add((0, at, at + len(word) - 2))
-                    at = line.find(word, at + 1)
+            for end, (size, items) in index.automaton.iter(f" {''.join(map(chr, c))} ") if len(c) else ():
+                for i in items:
+                    out.setdefault((d, i), set()).add((0, end + 1 - size, end - 1))
     for (d, i), found in sorted(out.items()):
         taken: list = []
         for edits, s, t in sorted(found):  # of overlapping finds the closest stays
@@ -245,14 +272,13 @@ def find(index: Index, texts: list):
 
 
 def _block(docs: DataFrame, items: list) -> DataFrame:
-    spark = docs.sparkSession
-    held = spark.sparkContext.broadcast(items)
+    held = docs.sparkSession.sparkContext.broadcast(items)
 
     def run(batches):
         import pyarrow as pa
 
         index = Index(held.value)
-        for batch in batches:
+        for batch in slices(batches):
             ids, texts = batch.column("id").to_pylist(), batch.column("text").to_pylist()
             distinct = list(dict.fromkeys(texts))
             where = {t: k for k, t in enumerate(distinct)}
@@ -262,29 +288,72 @@ def _block(docs: DataFrame, items: list) -> DataFrame:
             rows = [(ident, *hit) for ident, text in zip(ids, texts, strict=True) for hit in by.get(where[text], ())]
             cols = list(zip(*rows, strict=True)) or [()] * 6
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in HIT.split(", ")])
-        del index
-        release()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, type=k) for c, k in zip(cols, kinds, strict=True)],
+                names=[x.split()[0] for x in HIT.split(", ")],
+            )
 
     return docs.mapInArrow(run, HIT)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
+def blocks(
+    benchmark: DataFrame, item_col: str = "item_id", item_text_col: str = "text", block_chars: int = BLOCK_CHARS,
+    block_items: int = BLOCK_ITEMS,
+):
+    """The benchmark's (item, text) in lists of at most so many characters and passages; one empty list where there are none."""
+    items = benchmark.select(
+        F.col(item_col).cast("long").alias("item"), F.col(item_text_col).cast("string").alias("text")
+    ).where(F.length("text") > 0)
+    block, held = [], 0
+    for r in items.toLocalIterator():
+        if block and (held + len(r.text) > block_chars or len(block) >= block_items):
+            yield block
+            block, held = [], 0
+        block.append((r.item, r.text))
+        held += len(r.text)
+    yield block
+
+
+def contaminated(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
+    item_text_col: str = "text", block_chars: int = BLOCK_CHARS,
+) -> DataFrame:
     """One row for each occurrence of a benchmark passage in a document.
 
     ``start`` and ``end`` are code points of the original text.  Null or empty texts and
     passages match nothing; passages without a letter or digit neither.  Repeated documents
     and repeated passages give a row each.  Null ids stay null.
     """
-    small_batches(docs.sparkSession)
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where(F.col("text").isNotNull())
-    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).cast("string").alias("text")).where(F.length("text") > 0)
-    out, block, held = None, [], 0
-    for r in items.toLocalIterator():
-        if block and held + len(r.text) > block_chars:
-            out = _block(src, block) if out is None else out.union(_block(src, block))
-            block, held = [], 0
-        block.append((r.item, r.text))
-        held += len(r.text)
-    last = _block(src, block)
-    return last if out is None else out.union(last)
+    src = docs.select(
+        F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")
+    ).where(F.col("text").isNotNull())
+    out = None
+    for block in blocks(benchmark, item_col, item_text_col, block_chars):
+        part = _block(src, block)
+        out = part if out is None else out.union(part)
+    return out
+
+
+def holds_passage(
+    benchmark: DataFrame, text: Column, item_col: str = "item_id", item_text_col: str = "text",
+    block_chars: int = BLOCK_CHARS,
+) -> Column:
+    """Whether a text holds a passage of the benchmark: a verdict for each row, whatever its id."""
+    sc = benchmark.sparkSession.sparkContext
+
+    def verdict(held):
+        def make():
+            index = Index(held.value)
+
+            def of(texts):
+                bad = {d for d, *_ in find(index, [t or "" for t in texts])}
+                return [k in bad for k in range(len(texts))]
+
+            return of
+
+        return text_function(make, "boolean")(text)
+
+    out = F.lit(False)
+    for block in blocks(benchmark, item_col, item_text_col, block_chars):
+        out = out | verdict(sc.broadcast(block))
+    return out

@@ -10,9 +10,10 @@ few orders (longest first; shuffled above or below a share of the capacity) and
 one with the fewest sequences, stopping at the lower bound.
 
 Scale.  Texts are tokenised where they are read; what moves is one short row a piece.
-Packers take about ``items_per_packer`` pieces each, dealt by hash, so neither a packer's
-memory nor its time grows with the input; the cost is the packers' own unfilled ends,
-a few sequences in tens of thousands.
+Packers take ``items_per_packer`` pieces each at most, dealt by hash, so neither a packer's
+memory nor its time grows with the input.  What the packers leave in sequences that are
+not full is packed again, together, and takes the place of theirs where that makes fewer
+sequences.
 """
 
 from __future__ import annotations
@@ -20,11 +21,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, release, small_batches
+from .common import discard, materialize, slices
 
 CAPACITY = 2048
 VOCABULARY = "byte_bpe_50k"
-ITEMS_PER_PACKER = 200_000
+ITEMS_PER_PACKER = 40_000
+#: Second round: pieces of sequences that are not full, a packer.
+ITEMS_PER_REPACKER = 100_000
 PIECE = "id long, piece int, start long, length long, crc long"
 
 
@@ -40,7 +43,10 @@ def special_tokens(vocabulary: str = VOCABULARY) -> list[str]:
     """The strings that ``tokenizers`` turns into special ids."""
     from tokenizers import Tokenizer
 
-    return [t.content for t in Tokenizer.from_file(vocabulary_file(vocabulary, ".json")).get_added_tokens_decoder().values()]
+    return [
+        t.content
+        for t in Tokenizer.from_file(vocabulary_file(vocabulary, ".json")).get_added_tokens_decoder().values()
+    ]
 
 
 def encoder(vocabulary: str = VOCABULARY, special: list[str] | None = None):
@@ -81,13 +87,17 @@ def cut(length: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first)] + [(s, capacity) for s in range(first, length, capacity)]
 
 
-def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
+def pieces(
+    docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY, id_col: str = "doc_id",
+    text_col: str = "text", keep_ids: bool = False,
+) -> DataFrame:
     """``(id, piece, start, length, crc[, ids])``: whole texts' ids and an end id 0, cut.
 
     Null text: empty, one piece with the end id alone.  Repeated rows give repeated pieces.
     """
-    small_batches(docs.sparkSession)
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    src = docs.select(
+        F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
+    )
     special = special_tokens(vocabulary)
 
     def run(batches):
@@ -97,20 +107,24 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULA
         import pyarrow as pa
 
         ids_of = encoder(vocabulary, special)
-        for batch in batches:
+        for batch in slices(batches):
             seen: dict = {}
             out: list = []
             for ident, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 if text not in seen:
                     all_ids = np.append(ids_of(text), 0).astype("<u4")
-                    parts = [(k, s, n, zlib.crc32(all_ids[s : s + n].tobytes())) for k, (s, n) in enumerate(cut(len(all_ids), capacity))]
+                    parts = [
+                        (k, s, n, zlib.crc32(all_ids[s : s + n].tobytes()))
+                        for k, (s, n) in enumerate(cut(len(all_ids), capacity))
+                    ]
                     seen[text] = [p + (all_ids[p[1] : p[1] + p[2]].astype("i4"),) for p in parts] if keep_ids else parts
                 out += [(ident, *p) for p in seen[text]]
             cols = list(zip(*out, strict=True)) or [()] * (6 if keep_ids else 5)
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, kinds, strict=False)], names=["id", "piece", "start", "length", "crc", "ids"][: len(cols)])
-        del ids_of
-        release()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, type=t) for c, t in zip(cols, kinds, strict=False)],
+                names=["id", "piece", "start", "length", "crc", "ids"][: len(cols)],
+            )
 
     return src.mapInArrow(run, PIECE + (", ids array<int>" if keep_ids else ""))
 
@@ -183,24 +197,54 @@ def best_of_orders(lengths, capacity: int = CAPACITY):
     return out[0], out[1]
 
 
-def pack(cut_pieces: DataFrame, capacity: int = CAPACITY, items_per_packer: int = ITEMS_PER_PACKER) -> DataFrame:
-    """Adds ``sequence_id`` and ``offset`` to pieces of at most ``capacity`` tokens.
-
-    ``cut_pieces`` must be stored (it is read twice).  An empty table gives an empty result.
-    """
-    packers = max(1, -(-cut_pieces.count() // items_per_packer))
-    dealt = cut_pieces.withColumn("packer", F.pmod(F.xxhash64("id", "piece", "crc"), F.lit(packers)).cast("long"))
+def _dealt(cut_pieces: DataFrame, packers: int, capacity: int, tag: int) -> DataFrame:
+    """``cut_pieces`` with sequence_id, offset and the sequence's gap, packed by so many packers."""
+    kept = [c for c in cut_pieces.columns if c not in ("sequence_id", "offset", "gap")]
+    dealt = cut_pieces.select(
+        *kept, F.pmod(F.xxhash64("id", "piece", "crc", F.lit(tag)), F.lit(packers)).cast("long").alias("packer")
+    )
 
     def place(key, rows):
+        import numpy as np
+
         rows = rows.sort_values(["length", "id", "piece"], ascending=[False, True, True], kind="stable")
         sequence, rows["offset"] = best_of_orders(rows["length"], capacity)
-        rows["sequence_id"] = (int(key[0]) << 32) + sequence
+        fill = np.bincount(sequence, weights=rows["length"]).astype(np.int64)
+        rows["gap"] = capacity - fill[sequence]
+        rows["sequence_id"] = (tag << 60) + (int(key[0]) << 28) + sequence
         return rows.drop(columns="packer")
 
-    extra = ", ids array<int>" if "ids" in cut_pieces.columns else ""
-    return dealt.groupBy("packer").applyInPandas(place, f"{PIECE}{extra}, sequence_id long, offset long")
+    extra = ", ids array<int>" if "ids" in kept else ""
+    return dealt.groupBy("packer").applyInPandas(place, f"{PIECE}{extra}, sequence_id long, offset long, gap long")
+
+
+def pack(
+    cut_pieces: DataFrame, capacity: int = CAPACITY, items_per_packer: int = ITEMS_PER_PACKER,
+    items_per_repacker: int = ITEMS_PER_REPACKER,
+) -> DataFrame:
+    """Adds ``sequence_id`` and ``offset`` to pieces of at most ``capacity`` tokens.
+
+    ``cut_pieces`` must be stored (it is read twice).  An empty table gives an empty result.
+    """
+    packers = max(1, -(-cut_pieces.count() // items_per_packer))
+    first = materialize(_dealt(cut_pieces, packers, capacity, 0), "packed")
+    out = first
+    if packers > 1:
+        open_ends = first.where("gap > 0")
+        again = materialize(
+            _dealt(open_ends, max(1, -(-open_ends.count() // items_per_repacker)), capacity, 1), "repacked"
+        )
+        sequences = lambda df: df.select("sequence_id").distinct().count()
+        if sequences(again) < sequences(open_ends):
+            out = first.where("gap = 0").unionByName(again)
+        else:
+            discard(again)
+    return out.drop("gap")
 
 
-def pack_documents(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text", items_per_packer: int = ITEMS_PER_PACKER) -> DataFrame:
+def pack_documents(
+    docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY, id_col: str = "doc_id",
+    text_col: str = "text", items_per_packer: int = ITEMS_PER_PACKER,
+) -> DataFrame:
     """Tokenise, cut and pack whole documents; one row per piece."""
     return pack(materialize(pieces(docs, capacity, vocabulary, id_col, text_col), "pieces"), capacity, items_per_packer)

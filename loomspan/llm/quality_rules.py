@@ -1,16 +1,25 @@
 """Quality rules with thresholds that adapt to each language and source.  Native.
 
 Base measures and the two base rules are fixed by the caller's contract.  The method
-adds upper and lower fences for ratios of those measures.  A fence is read from a
-quantile sketch of the rows that pass the base rules, so it moves with the corpus
-instead of being a constant.
-
-Sketch.  A log-linear histogram over integers: a value keeps its seven leading bits, so
-a quantile is off by 1/64 of its value at most.  Two sketches merge by adding counts;
-they are kept per (language, source), merged to languages, and to the whole corpus.  A
-(language, source) with fewer than ``min_rows`` rows takes its language's sketch, a
-language with fewer takes the corpus's.  Integer arithmetic only: the same rows give
-the same fences in any order and partitioning.
+adds fences for four rates that the base rules leave open: symbols, repeated lines and
+upper-case letters (upper fences), and word length (upper and lower).
+
+Fences.  A fence lies ``REACH`` times the distance from the median to a quartile beyond
+that quartile, both read from a quantile sketch of the (language, source)'s own rows that
+pass the base rules.  For exponential tails that leaves out one row in some thousands, and
+up to a quarter of a group may be junk without moving its fence far.  Nothing else bounds a
+fence: no constant is added.  Counts are smoothed by a prior of a few words or lines
+(``RATES``), so that short texts are no outliers by chance and rates that are mostly zero
+still have a spread.
+
+Small groups.  Quantiles of a (language, source) are drawn towards its language's, and
+those towards the corpus's, with the weight of ``PRIOR_ROWS`` rows: there is no step at
+any group size.
+
+Sketch.  A log-linear histogram over integers: a value keeps its ten leading bits, so a
+quantile is off by 1/512 of its value at most.  Two sketches merge by adding counts; they
+are kept per (language, source), merged to languages, and to the whole corpus.  Integer
+arithmetic only: the same rows give the same fences in any order and partitioning.
 
 Scale.  One pass over the texts, no shuffle of texts: the measures are written once and
 the sketches are sums over (language, source, measure, bucket), combined before the
@@ -26,62 +35,99 @@ from pyspark.sql import functions as F
 from .common import WS_CHARS, WS_CLASS, broadcast_if_small, materialize
 
 SYMBOLS = "#*$%&|<>"
-#: measure -> (least spread that counts, in 1/10,000; bounded below too)
-RATIOS = {"symbols": (500, False), "dup_lines": (1500, False), "repeats": (1000, False), "word_len": (10000, True)}
-REACH = 3
-MIN_ROWS = 200
-BROADCAST_ROWS = 200_000
-
-
-def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+#: measure -> (count, of what, added to the count, added to the whole, a lower fence too); in 1/10,000
+RATES = {
+    "symbols": ("n_symbols", "n_words", 1, 100, False),
+    "dup_lines": ("n_dup_lines", "n_lines", 1, 10, False),
+    "uppers": ("n_uppers", "word_chars", 5, 100, False),
+    "word_len": ("word_chars", "n_words", 0, 0, True),
+}
+REACH = 10
+PRIOR_ROWS = 100
+SKETCH_BITS = 10
+
+
+def measures(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source"
+) -> DataFrame:
     """The base measures of every whole text; one row per row of ``docs``.
 
     Null and empty texts have no words and no symbols.  ``n_repeat_words`` counts word
-    positions inside any five-word window that occurs at least twice in the text; windows
-    are compared by 64-bit hashes within one text.
+    positions inside any five-word window that occurs at least twice in the text.  Windows
+    are compared by 64-bit hashes of their words' 64-bit hashes, within one text only: with
+    n words, some two different windows or words agree with a probability below n^2 / 2^64,
+    which is 2e-11 for 20,000 words and 5e-8 for a million.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     base = docs.select(
-        F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"), text.alias("text"),
+        F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"),
+        F.col(source_col).cast("string").alias("source"), text.alias("text"),
         F.filter(F.split(text, WS_CLASS), lambda w: w != "").alias("words"),
         F.filter(F.split(text, "\n"), lambda x: F.translate(x, WS_CHARS, "") != "").alias("lines"),
     )
+    without = lambda x: F.length("text") - F.length(F.regexp_replace("text", x, ""))
     counts = base.select(
         "id", "lang", "source",
         F.size("words").cast("long").alias("n_words"),
-        F.length(F.translate("text", WS_CHARS, "")).cast("long").alias("word_chars"),
-        (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        (F.length("text") - without(WS_CLASS)).cast("long").alias("word_chars"),
+        without("[#*$%&|<>]+").cast("long").alias("n_symbols"),
+        without(r"\p{Lu}+").cast("long").alias("n_uppers"),
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.transform("words", lambda w: F.xxhash64(w)).alias("h"),
     )
-    windows = counts.withColumn("g", F.expr("IF(size(h) >= 5, transform(sequence(0, size(h) - 5), i -> xxhash64(get(h, i), get(h, i + 1), get(h, i + 2), get(h, i + 3), get(h, i + 4))), array())").cast("array<long>")).drop("h")
+    windows = counts.withColumn(
+        "g",
+        F.expr(
+            "IF(size(h) >= 5, transform(sequence(0, size(h) - 5), i -> xxhash64(get(h, i), get(h, i + 1), get(h, i + 2), get(h, i + 3), get(h, i + 4))), array())"
+        ).cast("array<long>"),
+    ).drop("h")
     # most texts repeat no window: only the others are sorted
-    ranked = windows.withColumn("s", F.expr("IF(size(array_distinct(g)) < size(g), array_sort(transform(g, (x, i) -> struct(x AS g, i AS i))), NULL)")).drop("g")
-    starts = ranked.withColumn("p", F.expr("array_sort(transform(filter(transform(s, (x, k) -> struct(x.i AS i, (k > 0 AND get(s, k - 1).g = x.g) OR (k + 1 < size(s) AND get(s, k + 1).g = x.g) AS twice)), y -> y.twice), y -> y.i))")).drop("s")
-    covered = F.expr("aggregate(p, struct(0L AS n, -5 AS last), (a, i) -> struct(a.n + least(5, i - a.last) AS n, i AS last), a -> a.n)")
-    return starts.select("id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"))
+    ranked = windows.withColumn(
+        "s",
+        F.expr(
+            "IF(size(array_distinct(g)) < size(g), array_sort(transform(g, (x, i) -> struct(x AS g, i AS i))), NULL)"
+        ),
+    ).drop("g")
+    starts = ranked.withColumn(
+        "p",
+        F.expr(
+            "array_sort(transform(filter(transform(s, (x, k) -> struct(x.i AS i, (k > 0 AND get(s, k - 1).g = x.g) OR (k + 1 < size(s) AND get(s, k + 1).g = x.g) AS twice)), y -> y.twice), y -> y.i))"
+        ),
+    ).drop("s")
+    covered = F.expr(
+        "aggregate(p, struct(0L AS n, -5 AS last), (a, i) -> struct(a.n + least(5, i - a.last) AS n, i AS last), a -> a.n)"
+    )
+    return starts.select(
+        "id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_uppers", "n_lines", "n_dup_lines",
+        F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
+    )
 
 
 def base_failed():
     return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
 
-def _ratios() -> dict:
-    share = lambda part, whole: F.floor(10000 * F.col(part) / F.greatest(F.col(whole), F.lit(1))).cast("long")
-    return {"symbols": share("n_symbols", "n_words"), "dup_lines": share("n_dup_lines", "n_lines"), "repeats": share("n_repeat_words", "n_words"), "word_len": share("word_chars", "n_words")}
+def rates() -> dict:
+    """The method's measures as whole numbers of 1/10,000, from the counts."""
+    return {
+        k: F.floor(10000 * (F.col(a) + more) / F.greatest(F.col(b) + prior, F.lit(1))).cast("long")
+        for k, (a, b, more, prior, _) in RATES.items()
+    }
 
 
 def bucket(v):
-    """The lower end of the sketch's bucket for an integer >= 0: its seven leading bits."""
-    shift = F.greatest(F.length(F.bin(v)) - 7, F.lit(0))
+    """The lower end of the sketch's bucket for an integer >= 0: its leading bits."""
+    shift = F.greatest(F.length(F.bin(v)) - SKETCH_BITS, F.lit(0))
     return F.call_function("shiftleft", F.call_function("shiftright", v, shift), shift)
 
 
 def sketches(rows: DataFrame) -> DataFrame:
-    """``(lang, source, measure, bucket, n)`` over rows with the ratio columns."""
-    stack = ", ".join(f"'{k}', {k}" for k in RATIOS)
-    return rows.selectExpr("lang", "source", f"stack({len(RATIOS)}, {stack}) AS (measure, v)").groupBy("lang", "source", "measure", bucket(F.col("v")).alias("bucket")).agg(F.count("*").alias("n"))
+    """``(lang, source, measure, bucket, n)`` over rows with the rate columns."""
+    stack = ", ".join(f"'{k}', {k}" for k in RATES)
+    return rows.selectExpr(
+        "lang", "source", f"stack({len(RATES)}, {stack}) AS (measure, v)"
+    ).groupBy("lang", "source", "measure", bucket(F.col("v")).alias("bucket")).agg(F.count("*").alias("n"))
 
 
 def merge(sketch: DataFrame, *keys: str) -> DataFrame:
@@ -90,45 +136,73 @@ def merge(sketch: DataFrame, *keys: str) -> DataFrame:
 
 
 def quartiles(sketch: DataFrame, *keys: str) -> DataFrame:
-    """``(keys, measure, rows, q25, q75)``: the buckets where the counts reach a quarter and three."""
+    """``(keys, measure, rows, q25, q50, q75)``: the buckets where the counts reach so many quarters."""
     by = Window.partitionBy(*keys, "measure")
     run = sketch.withColumn("up_to", F.sum("n").over(by.orderBy("bucket"))).withColumn("total", F.sum("n").over(by))
     at = lambda q: F.min(F.when(4 * F.col("up_to") >= q * F.col("total"), F.col("bucket")))
-    return run.groupBy(*keys, "measure").agg(F.max("total").alias("rows"), at(1).alias("q25"), at(3).alias("q75"))
+    return run.groupBy(*keys, "measure").agg(
+        F.max("total").alias("rows"), at(1).alias("q25"), at(2).alias("q50"), at(3).alias("q75")
+    )
 
 
-def fences(rows: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
+def fences(rows: DataFrame, prior_rows: int = PRIOR_ROWS, reach: int = REACH) -> DataFrame:
     """``(lang, source, <measure>_lo, <measure>_hi ...)`` for every language and source of ``rows``."""
     fine = materialize(sketches(rows), "sketches")
     own = quartiles(fine, "lang", "source")
-    lang = quartiles(merge(fine, "lang"), "lang").select(F.col("lang").alias("l"), F.col("measure").alias("m"), F.col("rows").alias("l_rows"), F.col("q25").alias("l25"), F.col("q75").alias("l75"))
-    corpus = quartiles(merge(fine)).select(F.col("measure").alias("c"), F.col("q25").alias("c25"), F.col("q75").alias("c75"))
-    joined = own.join(lang, own.lang.eqNullSafe(lang.l) & (own.measure == lang.m), "left").join(corpus, F.col("measure") == F.col("c"), "left")
-    pick = lambda a, b, c: F.when(F.col("rows") >= min_rows, F.col(a)).when(F.col("l_rows") >= min_rows, F.col(b)).otherwise(F.col(c))
-    q = joined.select("lang", "source", "measure", pick("q25", "l25", "c25").alias("q25"), pick("q75", "l75", "c75").alias("q75"))
+    lang = quartiles(merge(fine, "lang"), "lang").select(
+        F.col("lang").alias("l"), F.col("measure").alias("m"), F.col("rows").alias("l_rows"),
+        *[F.col(f"q{k}").alias(f"l{k}") for k in (25, 50, 75)],
+    )
+    corpus = quartiles(merge(fine)).select(
+        F.col("measure").alias("c"), *[F.col(f"q{k}").alias(f"c{k}") for k in (25, 50, 75)]
+    )
+    joined = own.join(
+        lang, own.lang.eqNullSafe(lang.l) & (own.measure == lang.m), "left"
+    ).join(corpus, F.col("measure") == F.col("c"), "left")
+    drawn = lambda q, n, to: F.expr(f"({n} * {q} + {prior_rows} * {to}) div ({n} + {prior_rows})")
+    q = joined.withColumns({f"l{k}": drawn(f"l{k}", "l_rows", f"c{k}") for k in (25, 50, 75)}).select(
+        "lang", "source", "measure", *[drawn(f"q{k}", "rows", f"l{k}").alias(f"q{k}") for k in (25, 50, 75)]
+    )
     out = []
-    for name, (spread, both) in RATIOS.items():
-        width = REACH * F.greatest(F.col("q75") - F.col("q25"), F.lit(spread))
+    for name, (*_, both) in RATES.items():
         here = F.col("measure") == name
-        out.append(F.max(F.when(here, F.col("q75") + width)).alias(f"{name}_hi"))
-        out.append(F.max(F.when(here, F.greatest(F.col("q25") - width, F.lit(0)) if both else F.lit(0))).cast("long").alias(f"{name}_lo"))
+        out.append(F.max(F.when(here, F.col("q75") + reach * (F.col("q75") - F.col("q50")))).alias(f"{name}_hi"))
+        out.append(
+            F.max(
+                F.when(
+                    here,
+                    F.greatest(F.col("q25") - reach * (F.col("q50") - F.col("q25")), F.lit(0)) if both else F.lit(0),
+                )
+            ).cast("long").alias(f"{name}_lo")
+        )
     return q.groupBy("lang", "source").agg(*out)
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", min_rows: int = MIN_ROWS) -> DataFrame:
-    """Measures, base verdict and final verdict for each row of ``docs``.
+def quality_rules(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source",
+    prior_rows: int = PRIOR_ROWS, reach: int = REACH,
+) -> DataFrame:
+    """Measures, rates, base verdict, fences and final verdict for each row of ``docs``.
 
-    ``kept`` is false where ``base_failed``, else where a ratio lies outside its fences.
-    Null languages and sources are values of their own.  Repeated rows count as often as
-    they stand.  Where no row passes the base rules there are no fences and nothing more
-    to reject.  Extra input columns are ignored; an empty table gives an empty result.
+    ``kept`` is false where ``base_failed``, else where a rate's bucket in the sketch lies
+    outside its fences; on its fence it is inside.  Null languages and sources are values of their own.  Repeated
+    rows count as often as they stand.  Where no row passes the base rules there are no
+    fences and nothing more to reject.  Extra input columns are ignored; an empty table
+    gives an empty result.
     """
     m = measures(docs, id_col, text_col, lang_col, source_col)
-    rows = materialize(m.withColumns(_ratios()).withColumn("base_failed", base_failed()), "measures")
-    limits = materialize(fences(rows.where("NOT base_failed"), min_rows).withColumnsRenamed({"lang": "f_lang", "source": "f_source"}), "fences")
-    limits = broadcast_if_small(limits, limits.count(), BROADCAST_ROWS)
-    joined = rows.join(limits, rows.lang.eqNullSafe(limits.f_lang) & rows.source.eqNullSafe(limits.f_source), "left").drop("f_lang", "f_source")
+    rows = materialize(m.withColumns(rates()).withColumn("base_failed", base_failed()), "measures")
+    limits = materialize(
+        fences(
+            rows.where("NOT base_failed"), prior_rows, reach
+        ).withColumnsRenamed({"lang": "f_lang", "source": "f_source"}),
+        "fences",
+    )
+    limits = broadcast_if_small(limits)
+    joined = rows.join(
+        limits, rows.lang.eqNullSafe(limits.f_lang) & rows.source.eqNullSafe(limits.f_source), "left"
+    ).drop("f_lang", "f_source")
     inside = F.lit(True)
-    for k in RATIOS:
-        inside = inside & F.coalesce(F.col(k).between(F.col(f"{k}_lo"), F.col(f"{k}_hi")), F.lit(True))
+    for k in RATES:
+        inside = inside & F.coalesce(bucket(F.col(k)).between(F.col(f"{k}_lo"), F.col(f"{k}_hi")), F.lit(True))
     return joined.withColumn("kept", ~F.col("base_failed") & inside)

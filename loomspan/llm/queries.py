@@ -21,12 +21,18 @@ def forest(spark: SparkSession) -> list:
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.quality_rules(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept",
+    )
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack_documents(table(spark, sf_dir, "documents"))
-    return packed.select(F.col("id").alias("doc_id"), "piece", "start", "length", F.col("crc").alias("ids_crc32"), "sequence_id", "offset")
+    return packed.select(
+        F.col("id").alias("doc_id"), "piece", "start", "length", F.col("crc").alias("ids_crc32"), "sequence_id",
+        "offset",
+    )
 
 
 def op3_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +43,9 @@ def op3_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_compression_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = compression_classifier.fit(docs, table(spark, sf_dir, "labels"))
-    return compression_classifier.score(docs, model).select(F.col("id").alias("doc_id"), "held_out", "score", "predicted")
+    return compression_classifier.score(docs, model).select(
+        F.col("id").alias("doc_id"), "held_out", "score", "predicted"
+    )
 
 
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +65,9 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+    return licenses.scan(table(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"), "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"
+    )
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,18 +76,39 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard(table(spark, sf_dir, "documents"))
-    return placed.select(F.col("id").alias("doc_id"), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return placed.select(
+        F.col("id").alias("doc_id"), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard",
+        "slot", F.lit(None).cast("int").alias("grown_shard"),
+    )
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_best_fit_packing, op3_simhash_near_duplicates, op4_compression_classifier, op5_benchmark_decontamination, op6_warc_archives, op7_toxicity, op8_license_scan, op9_secret_scan, op10_sampled_splitters)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_quality_rules, op2_best_fit_packing, op3_simhash_near_duplicates, op4_compression_classifier,
+        op5_benchmark_decontamination, op6_warc_archives, op7_toxicity, op8_license_scan, op9_secret_scan,
+        op10_sampled_splitters,
+    )
+}
 
 _WS = r"[\x20\x09-\x0D]+"
-_CUT = "CASE WHEN length(bin(v)) <= 7 THEN v ELSE (v >> (length(bin(v)) - 7)) << (length(bin(v)) - 7) END"
-_SPREAD = {k: v for k, (v, _) in quality_rules.RATIOS.items()}
+_B = quality_rules.SKETCH_BITS
+_CUT = f"CASE WHEN length(bin(v)) <= {_B} THEN v ELSE (v >> (length(bin(v)) - {_B})) << (length(bin(v)) - {_B}) END"
 
 
 def _quality_sql() -> str:
-    spread = " ".join(f"WHEN '{k}' THEN {v}" for k, v in _SPREAD.items())
+    rates = ", ".join(
+        f"10000 * ({a} + {more}) // greatest({b} + {prior}, 1) AS {k}"
+        for k, (a, b, more, prior, _) in quality_rules.RATES.items()
+    )
+    names = list(quality_rules.RATES)
+    values = " ".join(f"WHEN '{k}' THEN {_CUT.replace('v', f'r.{k}')}" for k in names)
+    both = ", ".join(f"'{k}'" for k, (*_, x) in quality_rules.RATES.items() if x)
+    w, reach = quality_rules.PRIOR_ROWS, quality_rules.REACH
+    quarters = "count(*) AS n, quantile_disc(bucket, 0.25) AS q25, quantile_disc(bucket, 0.5) AS q50, quantile_disc(bucket, 0.75) AS q75"
+    drawn = lambda own, to: ", ".join(
+        f"({own}.n * {own}.q{k} + {w} * {to}.q{k}) // ({own}.n + {w}) AS q{k}" for k in (25, 50, 75)
+    )
     return rf"""
 WITH base AS (
   SELECT doc_id, lang, source, coalesce(text, '') AS text,
@@ -94,32 +125,24 @@ rep AS (
 m AS (
   SELECT b.doc_id, lang, source, len(w)::BIGINT AS n_words, length(regexp_replace(text, '{_WS}', '', 'g'))::BIGINT AS word_chars,
          (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+         (length(text) - length(regexp_replace(text, '\p{{Lu}}', '', 'g')))::BIGINT AS n_uppers,
          len(lines)::BIGINT AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words
   FROM base b LEFT JOIN rep ON b.doc_id = rep.doc_id),
-r AS (
-  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
-         10000 * n_symbols // greatest(n_words, 1) AS symbols, 10000 * n_dup_lines // greatest(n_lines, 1) AS dup_lines,
-         10000 * n_repeat_words // greatest(n_words, 1) AS repeats, 10000 * word_chars // greatest(n_words, 1) AS word_len
-  FROM m),
+r AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, {rates} FROM m),
 long AS (
   SELECT lang, source, measure, {_CUT} AS bucket FROM (
-    SELECT lang, source, unnest(['symbols', 'dup_lines', 'repeats', 'word_len']) AS measure, unnest([symbols, dup_lines, repeats, word_len]) AS v FROM r WHERE NOT base_failed)),
-q1 AS (SELECT lang, source, measure, count(*) AS n, quantile_disc(bucket, 0.25) AS q25, quantile_disc(bucket, 0.75) AS q75 FROM long GROUP BY ALL),
-q2 AS (SELECT lang, measure, count(*) AS n, quantile_disc(bucket, 0.25) AS q25, quantile_disc(bucket, 0.75) AS q75 FROM long GROUP BY ALL),
-q3 AS (SELECT measure, quantile_disc(bucket, 0.25) AS q25, quantile_disc(bucket, 0.75) AS q75 FROM long GROUP BY ALL),
-q AS (
-  SELECT q1.lang, q1.source, q1.measure,
-         CASE WHEN q1.n >= {quality_rules.MIN_ROWS} THEN q1.q25 WHEN q2.n >= {quality_rules.MIN_ROWS} THEN q2.q25 ELSE q3.q25 END AS q25,
-         CASE WHEN q1.n >= {quality_rules.MIN_ROWS} THEN q1.q75 WHEN q2.n >= {quality_rules.MIN_ROWS} THEN q2.q75 ELSE q3.q75 END AS q75,
-         CASE q1.measure {spread} END AS spread
-  FROM q1 JOIN q2 ON q1.lang IS NOT DISTINCT FROM q2.lang AND q1.measure = q2.measure JOIN q3 ON q1.measure = q3.measure),
+    SELECT lang, source, unnest({names}) AS measure, unnest([{", ".join(names)}]) AS v FROM r WHERE NOT base_failed)),
+q1 AS (SELECT lang, source, measure, {quarters} FROM long GROUP BY ALL),
+q2 AS (SELECT lang, measure, {quarters} FROM long GROUP BY ALL),
+q3 AS (SELECT measure, {quarters} FROM long GROUP BY ALL),
+l AS (SELECT q2.lang, q2.measure, {drawn("q2", "q3")} FROM q2 JOIN q3 ON q2.measure = q3.measure),
+q AS (SELECT q1.lang, q1.source, q1.measure, {drawn("q1", "l")} FROM q1 JOIN l ON q1.lang IS NOT DISTINCT FROM l.lang AND q1.measure = l.measure),
 f AS (
-  SELECT lang, source, measure, q75 + {quality_rules.REACH} * greatest(q75 - q25, spread) AS hi,
-         CASE WHEN measure = 'word_len' THEN greatest(q25 - {quality_rules.REACH} * greatest(q75 - q25, spread), 0) ELSE 0 END AS lo
+  SELECT lang, source, measure, q75 + {reach} * (q75 - q50) AS hi, CASE WHEN measure IN ({both}) THEN greatest(q25 - {reach} * (q50 - q25), 0) ELSE 0 END AS lo
   FROM q),
 bad AS (
   SELECT DISTINCT r.doc_id FROM r JOIN f ON r.lang IS NOT DISTINCT FROM f.lang AND r.source IS NOT DISTINCT FROM f.source
-  WHERE CASE f.measure WHEN 'symbols' THEN r.symbols WHEN 'dup_lines' THEN r.dup_lines WHEN 'repeats' THEN r.repeats ELSE r.word_len END NOT BETWEEN f.lo AND f.hi)
+  WHERE CASE f.measure {values} END NOT BETWEEN f.lo AND f.hi)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept
 FROM r"""

@@ -1,32 +1,41 @@
 """Secret scans: candidate patterns, then a random forest that removes false positives.  Native.
 
-Candidates come from one expression (known token shapes, private-key blocks, assignments
-to a telling name, long hexadecimal or base64 runs).  Each becomes a row of features:
-length, character transitions and classes, distinct characters, dictionary coverage, the
-shape, and what the path and the neighbouring words say.  A random forest trained on
-labelled findings decides.
-
-The forest is trained on the cluster by Spark's own JVM trainer and then written out as
-nested conditions, so that scoring is an expression over the features inside the row: no
-Python, no join and no shuffle.  Texts without a candidate stop at the first test.
+Candidates come from one expression (private-key blocks, known token shapes, assignments
+to a telling name, long hexadecimal or base64 runs).  A candidate takes its whole run,
+however long.  Each becomes a row of features: length, character transitions and classes,
+distinct characters, dictionary coverage, the shape, and what the path and the words on
+both sides say.  A random forest trained on labelled findings decides.
+
+The forest is trained on the cluster by Spark's own JVM trainer and then walked as a
+constant array of trees, so that scoring is an expression over the features inside the row:
+no Python, no join and no shuffle.  Texts without a candidate stop at the first test.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SHAPES = (
-    ("private_key", r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----(?:[A-Za-z0-9+/=\s:,-]*?-----END [A-Z ]{0,24}PRIVATE KEY-----)?"),
+from .common import discard, let, materialize, running
+
+#: Shapes that a value can have, in the order they are looked for.
+PRIVATE_KEY = r"-----BEGIN [A-Z0-9 ]{0,24}PRIVATE KEY-----(?:[A-Za-z0-9+/=\s:,.\\-]*?-----END [A-Z0-9 ]{0,24}PRIVATE KEY-----|[A-Za-z0-9+/=\\\r\n]*+)"
+KNOWN = (
+    ("private_key", PRIVATE_KEY),
     ("cloud_key", r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b"),
     ("forge_token", r"\bgh[pousr]_[A-Za-z0-9]{30,}+\b"),
     ("chat_token", r"\bxox[abprs]-[A-Za-z0-9-]{10,}+"),
     ("web_token", r"\beyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{5,}+"),
-    ("assignment", r"""(?i:key|token|secret|passw(?:or)?d|pwd|auth|credentials?)["']?\s{0,3}(?:=>|:=|=|:)\s{0,3}["']?[A-Za-z0-9+/=_.-]{8,}+"""),
-    ("hex", r"\b[A-Fa-f0-9]{32,}+\b"),
-    ("base64", r"\b(?=[A-Za-z+/]{0,60}[0-9])[A-Za-z0-9+/]{40,}+={0,2}"),
 )
-CANDIDATE = "|".join(f"(?:{x})" for _, x in SHAPES)
+#: A value behind a telling name; a private key behind one is a private key.
+VALUE = r"[A-Za-z0-9+/=_.-]{8,}+"
+NAMED = rf"""(?i:key|token|secret|passw(?:or)?d|pwd|auth|credentials?)["']?\s{{0,3}}(?:=>|:=|=|:)\s{{0,3}}["']?(?!-----BEGIN ){VALUE}"""
+RUNS = (
+    ("hex", r"\b[A-Fa-f0-9]{32,}+\b"), ("base64", r"(?<![A-Za-z0-9+/])(?=[A-Za-z+/]*+[0-9])[A-Za-z0-9+/]{40,}+={0,2}")
+)
+CANDIDATE = "|".join(f"(?:{x})" for x in (*(x for _, x in KNOWN), NAMED, *(x for _, x in RUNS)))
 #: Words whose letters make a value readable: placeholders, field names, plain English.
 WORDS = """example sample dummy changeme change placeholder password passwd secret token insert replace default
 test testing demo fake your here value none null undefined todo user username admin root login account server
@@ -37,91 +46,219 @@ there their what about which when make like time just know take people into year
 than then now look only come over think also back after use two how our work first well way even new want any
 these give day most""".split()
 #: Neighbouring words that speak for and against.
-FOR = r"(?i)(?:secret|token|passw|pwd|api.?key|credential|bearer|auth|private|access)"
-AGAINST = r"(?i)(?:example|sample|dummy|placeholder|fake|test|commit|sha.?(?:1|256|512)|md5|checksum|digest|hash|uuid|revision|etag|integrity)"
+FOR = r"(?i)(?<![a-z])(?:secret|token|passw|pwd|api.?key|credential|bearer|auth|private|access)"
+AGAINST = r"(?i)(?<![a-z])(?:examples?|samples?|dummy|placeholder|fake|tests?|commits?|sha.?(?:1|256|512)|md5|checksums?|digest|hash(?:es)?|uuid|revision|etag|integrity)(?![a-z])"
 TEST_PATH = r"(?i)(?:test|spec|example|sample|doc|fixture|mock|demo)"
-FEATURES = ("length", "transitions", "distinct", "digits", "uppers", "hex", "coverage", "run", "sep", "known", "named", "for", "against", "test_path")
+FEATURES = (
+    "length", "transitions", "distinct", "digits", "uppers", "hex", "coverage", "run", "sep", "known", "named", "for",
+    "against", "for_after", "against_after", "test_path",
+)
 NEIGHBOURHOOD = 48
-TREES, DEPTH, SEED = 24, 6, 7
+TREES, DEPTH, SEED = 24, 7, 7
 FINDINGS = 6000
 MASK = "[SECRET]"
 
 _CLASSES = ("abcdefghijklmnopqrstuvwxyz" + "ABCDEFGHIJKLMNOPQRSTUVWXYZ" + "0123456789", "a" * 26 + "A" * 26 + "0" * 10)
 
 
-def features(value, before, shape, path):
-    """A struct of doubles, in the order of :data:`FEATURES`, from columns."""
+def features(value, before, after, shape, named, path):
+    """An array of doubles, in the order of :data:`FEATURES`, from columns."""
     n = F.greatest(F.length(value), F.lit(1)).cast("double")
     classes = F.translate(value, *_CLASSES)
     count = lambda x: F.length(value) - F.length(F.regexp_replace(value, x, ""))
     low = F.lower(value)
     cols = {
         "length": n,
-        "transitions": (F.length(F.regexp_replace(classes, r"(.)\1*", "$1")) - 1) / n,
-        "distinct": F.size(F.array_distinct(F.split(value, ""))) / n,
+        "transitions": (F.length(F.regexp_replace(classes, r"(.)\1*+", "$1")) - 1) / n,
+        "distinct": F.size(F.array_distinct(F.split(value, ""))) / F.least(n, F.lit(64.0)),
         "digits": count("[0-9]") / n,
         "uppers": count("[A-Z]") / n,
         "hex": count("[0-9a-fA-F]") / n,
-        "coverage": (F.length(low) - F.length(F.regexp_replace(low, "|".join(sorted(WORDS, key=len, reverse=True)), ""))) / n,
-        "run": F.length(F.regexp_extract(value, r"((.)\2{3,})", 1)) / n,
+        "coverage": (
+            F.length(low) - F.length(F.regexp_replace(low, "|".join(sorted(WORDS, key=len, reverse=True)), ""))
+        ) / n,
+        "run": F.length(F.regexp_extract(value, r"((.)\2{3,}+)", 1)) / n,
         "sep": count("[_.-]") / n,
-        "known": shape.isin("private_key", "cloud_key", "forge_token", "chat_token", "web_token"),
-        "named": shape == "assignment",
+        "known": shape.isin([k for k, _ in KNOWN]),
+        "named": named,
         "for": before.rlike(FOR),
         "against": before.rlike(AGAINST),
+        "for_after": after.rlike(FOR),
+        "against_after": after.rlike(AGAINST),
         "test_path": path.rlike(TEST_PATH),
     }
-    return F.struct(*[F.coalesce(cols[k].cast("double"), F.lit(0.0)).alias(k) for k in FEATURES])
+    return F.array(*[F.coalesce(cols[k].cast("double"), F.lit(0.0)) for k in FEATURES])
 
 
 def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
-    """``(value, before, shape, path, label)``: findings labelled by construction.
+    """``(value, before, after, shape, named, path, label)``: findings labelled by construction.
 
-    Half are secrets: random characters of the shapes in use, under telling names.  Half are
-    what such patterns find in vain: placeholders, identifiers, checksums and revisions named
-    as such, repeated and counted characters.  Every row follows from its number.
+    True and false ones share every shape and every kind of neighbourhood, so that no feature
+    decides alone: known token shapes stand among the false ones (documented samples, masked
+    and counted values, a key's header without a body), bare hexadecimal and base64 runs among
+    the true ones, telling names before both.  A tenth of the neighbourhoods and paths are
+    drawn regardless of the label.  Every row follows from its number; no document is used.
     """
     r = lambda k: F.xxhash64("id", F.lit(k))
-    pick = lambda k, *options: F.element_at(F.array(*map(F.lit, options)), (F.pmod(r(k), F.lit(len(options))) + 1).cast("int"))
-    hexes = F.sha2(F.concat(F.lit("h"), F.col("id").cast("string")), 512)
-    b64 = F.translate(F.base64(F.unhex(F.sha2(F.concat(F.lit("b"), F.col("id").cast("string")), 512))), "=", "")
+    at = lambda k, m: F.pmod(r(k), F.lit(m)).cast("int")
+    pick = lambda k, *options: F.element_at(F.array(*map(F.lit, options)), at(k, len(options)) + 1)
+    some = lambda k: F.sha2(F.concat(F.lit(k), F.col("id").cast("string")), 512)
+    hexes = some("h")
+    b64 = F.translate(F.concat(F.base64(F.unhex(some("b"))), F.base64(F.unhex(some("c")))), "=\r\n", "")
     alnum = F.translate(b64, "+/", "xQ")
     cut = lambda s, k, *sizes: F.substring(s, F.lit(1), pick(k, *sizes).cast("int"))
     word = lambda k: pick(k, *WORDS)
-    kind = F.pmod(r("kind"), F.lit(8))
-    secret = F.when(kind < 3, cut(hexes, "n", 12, 16, 20, 24, 32, 40, 48, 64)).when(kind < 5, cut(alnum, "n", 10, 12, 16, 20, 24, 32, 40)).when(kind == 5, cut(b64, "n", 40, 44, 64)).when(kind == 6, F.concat(F.lit("AKIA"), F.upper(F.substring(alnum, 1, 16)))).otherwise(F.concat(F.lit("ghp_"), F.substring(alnum, 1, 36)))
-    secret_shape = F.when(kind == 6, "cloud_key").when(kind == 7, "forge_token").otherwise("assignment")
-    secret_before = F.concat_ws(" ", word("w1"), word("w2"), F.when(kind < 6, pick("name", "token =", "api_key:", "SECRET_KEY=", "password =", "auth_token:", "access token ="))).cast("string")
-    vain = (
-        F.when(kind == 0, F.call_function("concat_ws", pick("s", "_", "-", "."), word("a"), word("b"), word("c")))
-        .when(kind == 1, F.concat(pick("p", "your_", "my-", "insert-", "example_"), word("a"), pick("q", "_here", "-value", "", "123")))
-        .when(kind == 2, F.repeat(pick("c", "x", "0", "a", "X", "ab", "1234"), F.pmod(r("m"), F.lit(20)).cast("int") + 8))
-        .when(kind == 3, F.substring(F.lit("0123456789abcdef0123456789abcdef0123456789abcdef"), F.lit(1), pick("n", 32, 40, 48).cast("int")))
-        .when(kind.isin(4, 5, 6), cut(hexes, "n", 32, 40, 64))
-        .otherwise(F.concat_ws(".", word("a"), word("b"), word("c"), word("d")))
-    )
-    vain_shape = F.when(kind.isin(4, 5, 6), "hex").otherwise("assignment")
-    vain_before = F.concat_ws(" ", word("w1"), F.when(kind.isin(4, 5, 6), pick("name", "commit", "sha256:", "md5 checksum", "revision", "file digest", "integrity sha512")).otherwise(pick("name", "token =", "key:", "password =", "example key =", "auth:"))).cast("string")
-    path = F.when(F.pmod(r("t"), F.lit(10)) < F.when(F.col("label") == 1, 1).otherwise(3), pick("path", "tests/unit.txt", "docs/example.md")).otherwise(pick("path2", "src/app.txt", "web/page", "mail", ""))
+    caps = F.upper(alnum)
+    web = F.concat(
+        F.lit("eyJ"), F.substring(alnum, 1, 30), F.lit("."), F.substring(alnum, 31, 60), F.lit("."),
+        F.substring(alnum, 91, 43),
+    )
+    chat = F.concat(F.lit("xoxb-"), at("d1", 10**9).cast("string"), F.lit("-"), F.substring(alnum, 1, 24))
+    key = lambda body: F.concat(
+        F.lit("-----BEGIN "), pick("kk", "", "RSA ", "EC ", "OPENSSH "), F.lit("PRIVATE KEY-----"), body
+    )
+    line_end = pick("le", "\n", "\\n", "\r\n")
+    body = F.concat(
+        line_end,
+        F.substring(
+            F.repeat(F.concat(b64, line_end), F.lit(80)), F.lit(1),
+            pick("kn", 12, 40, 64, 130, 400, 1600, 12000).cast("int"),
+        ),
+        F.when(at("end", 4) > 0, F.concat(line_end, F.lit("-----END PRIVATE KEY-----"))).otherwise(""),
+    )
+    # value, shape, named (1: behind a telling name, 0: bare, null: drawn)
+    true = (
+        (cut(hexes, "n", 12, 16, 20, 24, 32, 40, 64, 128), None, 1),
+        (cut(alnum, "n", 10, 12, 16, 20, 24, 32, 40, 64), None, 1), (cut(b64, "n", 24, 40, 44, 64, 88), None, 1),
+        (F.concat(cut(alnum, "n", 8, 10, 12), pick("s", "-", "_", "."), cut(hexes, "m", 4, 6, 8)), None, 1),
+        (F.concat(pick("ak", "AKIA", "ASIA"), F.substring(caps, 1, 16)), "cloud_key", None),
+        (F.concat(pick("gh", "ghp_", "gho_", "ghs_"), cut(alnum, "n", 36, 40)), "forge_token", None),
+        (chat, "chat_token", None), (web, "web_token", None), (key(body), "private_key", 0),
+        (cut(hexes, "n", 32, 40, 64), "hex", 0), (cut(b64, "n", 40, 44, 64, 88), "base64", 0),
+    )
+    false = (
+        (F.concat_ws("_", word("a"), word("b"), word("c")), None, 1),
+        (
+            F.concat(
+                pick("p", "your_", "my-", "insert-", "example_"), word("a"), pick("q", "_here", "-value", "", "123")
+            ),
+            None, 1,
+        ),
+        (F.concat_ws(".", word("a"), word("b"), word("c"), word("d")), None, 1),
+        (F.repeat(pick("c", "x", "0", "a", "X", "ab", "1234"), at("m", 20) + 8), None, 1),
+        (
+            F.concat(
+                pick("ak", "AKIA", "ASIA"), F.substring(caps, 1, 9),
+                pick("e", "EXAMPLE", "XXXXXXX", "0000000", "SAMPLEX"),
+            ),
+            "cloud_key", None,
+        ),
+        (
+            F.concat(
+                F.lit("ghp_"),
+                F.when(at("g", 2) == 0, F.repeat(pick("c", "x", "0", "a", "X"), F.lit(36))).otherwise(
+                    F.rpad(
+                        F.concat(word("a"), word("b"), word("c"), word("d"), word("e"), word("f"), word("g")), 36,
+                        "example",
+                    )
+                ),
+            ),
+            "forge_token", None,
+        ),
+        (
+            F.concat(
+                F.lit("xoxb-"),
+                F.when(
+                    at("g", 2) == 0, F.concat_ws("-", F.lit("your"), word("a"), word("b"))
+                ).otherwise(F.repeat(pick("c", "x", "0", "1"), F.lit(20))),
+            ),
+            "chat_token", None,
+        ),
+        (
+            F.concat(
+                F.lit("eyJ"), F.repeat(word("a"), F.lit(4)), F.lit("."), F.repeat(word("b"), F.lit(4)), F.lit("."),
+                F.repeat(word("c"), F.lit(3)),
+            ),
+            "web_token", None,
+        ),
+        (key(F.lit("")), "private_key", 0),
+        (
+            F.when(
+                at("g", 4) == 0,
+                F.substring(F.lit("0123456789abcdef" * 4), F.lit(1), pick("n", 32, 40, 48, 64).cast("int")),
+            ).otherwise(cut(hexes, "n", 32, 40, 64, 128)),
+            "hex", None,
+        ),
+        (
+            F.when(at("g", 2) == 0, cut(b64, "n", 44, 64, 88)).otherwise(
+                F.concat_ws(
+                    "/", word("a"), word("b"), word("c"), word("d"), word("e"), word("f"), word("g"),
+                    F.concat(word("h"), F.lit("2")),
+                )
+            ),
+            "base64", 0,
+        ),
+    )
     rows = spark.range(n).withColumn("label", (F.col("id") % 2).cast("double"))
-    is_secret = F.col("label") == 1
+    is_true = F.col("label") == 1
+    named_true, named_false = at("nt", 2) == 1, at("nf", 2) == 1
+
+    def chosen(options, field):
+        out = None
+        for i, o in enumerate(options):
+            v = o[field] if not isinstance(o[field], (str, int, type(None))) else F.lit(o[field])
+            out = F.when(
+                at("kind", len(options)) == i, v
+            ) if out is None else out.when(at("kind", len(options)) == i, v)
+        return out
+
+    value = F.when(is_true, chosen(true, 0)).otherwise(chosen(false, 0))
+    shape = F.when(is_true, chosen(true, 1).cast("string")).otherwise(chosen(false, 1).cast("string"))
+    named = F.when(
+        is_true, F.coalesce(chosen(true, 2).cast("boolean"), named_true)
+    ).otherwise(F.coalesce(chosen(false, 2).cast("boolean"), named_false))
+    name = pick(
+        "name", "token =", "api_key:", "SECRET_KEY=", "password =", "auth_token:", "access token =", "key:", "pwd="
+    )
+    telling = pick(
+        "fw", "the secret is", "api key", "bearer", "use this token", "access credential", "password follows", ""
+    )
+    sums = pick(
+        "aw", "commit", "sha256:", "md5 checksum", "revision", "file digest", "integrity sha512", "example", "etag"
+    )
+    plain = F.concat_ws(" ", word("w1"), word("w2"))
+    bare = shape.isin("hex", "base64")
+    odd = at("odd", 10) == 0  # the neighbourhood says nothing here
+    side = at("side", 2) == 0  # the telling words stand before, or behind
+    says = F.when(odd, plain).when(
+        is_true, F.when(bare, F.when(telling == "", F.lit("credential")).otherwise(telling)).otherwise(telling)
+    ).otherwise(F.when(bare, sums).otherwise(pick("ow", "example", "sample value", "", "placeholder", "fake", "")))
+    before = F.concat_ws(" ", plain, F.when(side, says), F.when(named, name))
+    after = F.concat_ws(" ", F.when(~side, says), word("w3"), word("w4"))
+    path = F.when(
+        at("t", 10) < F.when(is_true, 1).otherwise(3), pick("path", "tests/unit.txt", "docs/example.md")
+    ).otherwise(pick("path2", "src/app.txt", "web/page", "mail", ""))
     return rows.select(
-        F.when(is_secret, secret).otherwise(vain).alias("value"), F.when(is_secret, secret_before).otherwise(vain_before).alias("before"),
-        F.when(is_secret, secret_shape).otherwise(vain_shape).alias("shape"), path.alias("path"), "label",
+        value.alias("value"), before.alias("before"), after.alias("after"),
+        F.coalesce(shape, F.lit("assignment")).alias("shape"), named.alias("named"), path.alias("path"), "label",
     )
 
 
-def train(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = SEED):
-    """Forest as nested tuples: (feature, threshold, left, right) or a leaf's probability.
+def train(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = SEED) -> list:
+    """Forest as nested tuples: (feature number, threshold, left, right) or a leaf's probability.
 
-    ``findings``: (value, before, shape, path, label).  The trainer is Spark's; only the
-    trees, a few thousand numbers, come to the driver.
+    ``findings``: see :func:`labelled_findings`.  The trainer is Spark's; only the trees, a few
+    thousand numbers, come to the driver.
     """
     from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import array_to_vector
 
-    rows = findings.select(features(F.col("value"), F.col("before"), F.col("shape"), F.col("path")).alias("f"), "label").select("f.*", "label").coalesce(1)
-    data = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows).select("features", "label")
+    f = features(*map(F.col, ("value", "before", "after", "shape", "named", "path")))
+    # the features are computed once, by all tasks; the order of the few rows that the trainer sees is fixed
+    rows = materialize(findings.select(f.alias("f"), "label"), "findings")
+    data = rows.repartition(1).sortWithinPartitions("f", "label").select(
+        array_to_vector("f").alias("features"), "label"
+    )
     model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt").fit(data)
 
     def walk(node):
@@ -129,80 +266,165 @@ def train(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int
             stats = list(node.impurityStats().stats())
             return stats[1] / sum(stats) if len(stats) > 1 and sum(stats) else 0.0
         split = node.split()
-        return (FEATURES[split.featureIndex()], split.threshold(), walk(node.leftChild()), walk(node.rightChild()))
+        return (split.featureIndex(), split.threshold(), walk(node.leftChild()), walk(node.rightChild()))
 
-    return [walk(t._call_java("rootNode")) for t in model.trees]
+    grown = [walk(t._call_java("rootNode")) for t in model.trees]
+    discard(rows)
+    return grown
 
 
 def forest(trees: list, f):
-    """The trees' mean probability as one expression over a feature struct."""
-
-    def tree(t):
-        return F.when(f[t[0]] <= t[1], tree(t[2])).otherwise(tree(t[3])) if isinstance(t, tuple) else F.lit(float(t))
-
-    total = tree(trees[0])
-    for t in trees[1:]:
-        total = total + tree(t)
-    return total / len(trees)
-
-
-def findings_of(text, path, trees: list):
-    """Array of (start, value, shape, probability) of a text column; null where there is none."""
-    some = F.when(text.rlike(CANDIDATE), F.arrays_zip(F.split(text, CANDIDATE, -1).alias("gap"), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)).alias("hit")))
-    placed = F.aggregate(
-        some,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,before:string,hit:string>>").alias("got")),
-        lambda a, z: F.struct(
-            (a["at"] + F.length(z["gap"]) + F.coalesce(F.length(z["hit"]), F.lit(0))).alias("at"),
-            F.when(z["hit"].isNull(), a["got"]).otherwise(F.array_append(a["got"], F.struct((a["at"] + F.length(z["gap"])).alias("start"), F.substring(z["gap"], -NEIGHBOURHOOD, NEIGHBOURHOOD).alias("before"), z["hit"].alias("hit")))).alias("got"),
-        ),
-        lambda a: a["got"],
+    """The trees' mean probability over an array of features, rounded to 9 places.
+
+    The trees are one constant array of flat nodes: feature (-1: a leaf), threshold or the
+    leaf's probability, and where to go on.
+    """
+
+    def flat(tree):
+        nodes: list = []
+
+        def add(t):
+            place = len(nodes)
+            nodes.append(None)
+            nodes[place] = {
+                "f": t[0], "v": t[1], "l": add(t[2]), "r": add(t[3])
+            } if isinstance(t, tuple) else {"f": -1, "v": t, "l": place, "r": place}
+            return place
+
+        add(tree)
+        return nodes
+
+    depth = lambda t: 1 + max(depth(t[2]), depth(t[3])) if isinstance(t, tuple) else 0
+    steps = F.sequence(F.lit(1), F.lit(max([1, *map(depth, trees)])))
+    book = F.from_json(F.lit(json.dumps([flat(t) for t in trees])), "array<array<struct<f:int,v:double,l:int,r:int>>>")
+
+    def walk(total, nodes):
+        down = lambda at, _: F.when(F.get(nodes, at)["f"] < 0, at).when(
+            F.get(f, F.get(nodes, at)["f"]) <= F.get(nodes, at)["v"], F.get(nodes, at)["l"]
+        ).otherwise(F.get(nodes, at)["r"])
+        return total + F.get(nodes, F.aggregate(steps, F.lit(0), down))["v"]
+
+    return F.round(F.aggregate(book, F.lit(0.0), walk) / len(trees), 9)
+
+
+def candidates_of(text, path):
+    """Array of (start, gap, lead, value, shape, named, f) of a text column; null where there is none.
+
+    ``gap`` is the text since the previous candidate, ``lead`` what stands before the value
+    (the name of an assignment).  ``start`` is a code point offset.  Built from whole arrays in
+    k log k steps for k candidates.
+    """
+    found = F.struct(
+        F.split(text, CANDIDATE, -1).alias("gap"), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)).alias("hit")
+    )
+    sizes = lambda x: F.zip_with(
+        x["gap"], x["hit"], lambda g, h: (F.length(g) + F.coalesce(F.length(h), F.lit(0))).cast("int")
+    )
+    sums = lambda x: let(sizes(x), lambda v: running(v, lambda earlier, here: F.coalesce(earlier, F.lit(0)) + here))
+
+    def zipped(x):
+        """What each candidate needs of itself and of its neighbours."""
+        n = F.size(x["hit"])
+        return F.arrays_zip(
+            F.slice(x["gap"], F.lit(1), n).alias("gap"), x["hit"].alias("hit"),
+            F.slice(x["gap"], F.lit(2), n).alias("next_gap"), F.slice(sums(x), F.lit(1), n).alias("end"),
+            F.concat(F.array(F.lit("")), F.slice(x["hit"], F.lit(1), n - 1)).alias("last"),
+            F.concat(F.slice(x["hit"], F.lit(2), n), F.array(F.lit(""))).alias("next"),
+        )
+
+    fields = ("gap", "hit", "next_gap", "end", "last", "next")
+    named = F.transform(
+        let(found, zipped),
+        lambda z: F.struct(*[z[k].alias(k) for k in fields], z["hit"].rlike(f"^(?:{NAMED})$").alias("named")),
+    )
+    value = lambda z: F.when(
+        z["named"], F.regexp_extract(z["hit"], rf"""(?:=>|:=|=|:)\s{{0,3}}["']?((?!-----BEGIN ){VALUE})$""", 1)
+    ).otherwise(z["hit"])
+    valued = F.transform(
+        named, lambda z: F.struct(*[z[k].alias(k) for k in (*fields, "named")], value(z).alias("value"))
     )
 
-    def shape_of(hit):
+    def shape_of(z):
         out = None
-        for name, x in SHAPES:
-            there = hit.rlike(f"^(?:{x})$")
+        for name, x in KNOWN:
+            there = z["value"].rlike(rf"^(?:{x})$")
             out = F.when(there, name) if out is None else out.when(there, name)
-        return out.otherwise("hex")
+        return out.when(z["named"], "assignment").when(
+            z["value"].rlike(f"^(?:{RUNS[0][1]})$"), "hex"
+        ).otherwise("base64")
 
-    # an assignment's value is what follows its sign; the name in front joins the neighbourhood
-    value = lambda h: F.when(h["shape"] == "assignment", F.regexp_extract(h["hit"], r"""(?:=>|:=|=|:)\s{0,3}["']?([A-Za-z0-9+/=_.-]{8,}+)$""", 1)).otherwise(h["hit"])
-    shaped = F.transform(placed, lambda h: F.struct(h["start"].alias("start"), h["before"].alias("before"), h["hit"].alias("hit"), shape_of(h["hit"]).alias("shape")))
-    valued = F.transform(
-        shaped,
-        lambda h: F.struct(
-            (h["start"] + F.length(h["hit"]) - F.length(value(h))).alias("start"), value(h).alias("value"), h["shape"].alias("shape"),
-            F.concat(h["before"], F.substring(h["hit"], F.lit(1), F.length(h["hit"]) - F.length(value(h)))).alias("before"),
-        ),
+    shaped = F.transform(
+        valued, lambda z: F.struct(*[z[k].alias(k) for k in (*fields, "named", "value")], shape_of(z).alias("shape"))
     )
-    described = F.transform(valued, lambda h: F.struct(h["start"].alias("start"), h["value"].alias("value"), h["shape"].alias("shape"), features(h["value"], h["before"], h["shape"], path).alias("f")))
-    return F.transform(described, lambda h: F.struct(h["start"].alias("start"), h["value"].alias("value"), h["shape"].alias("shape"), forest(trees, h["f"]).alias("probability")))
+    tail = lambda s: F.substring(s, -NEIGHBOURHOOD, NEIGHBOURHOOD)
+    head = lambda s: F.substring(s, 1, NEIGHBOURHOOD)
+
+    def described(z):
+        lead = F.substring(z["hit"], F.lit(1), F.length(z["hit"]) - F.length(z["value"]))
+        before = F.concat(tail(F.concat(tail(z["last"]), tail(z["gap"]))), lead)
+        after = head(F.concat(head(z["next_gap"]), head(z["next"])))
+        return F.struct(
+            (z["end"] - F.length(z["value"])).alias("start"), z["gap"].alias("gap"), lead.alias("lead"),
+            z["value"].alias("value"), z["shape"].alias("shape"), z["named"].alias("named"),
+            features(z["value"], before, after, z["shape"], z["named"], path).alias("f"),
+        )
 
+    return F.when(text.rlike(CANDIDATE), F.transform(shaped, described))
 
-def with_findings(docs: DataFrame, trees: list, text_col: str = "text", path_col: str = "source", name: str = "__findings") -> DataFrame:
+
+def with_findings(
+    docs: DataFrame, trees: list, text_col: str = "text", path_col: str = "source", name: str = "__findings"
+) -> DataFrame:
     """``docs`` and a column of all its candidates with their probabilities (null or empty: none)."""
-    return docs.withColumn(name, findings_of(F.col(text_col).cast("string"), F.coalesce(F.col(path_col).cast("string"), F.lit("")), trees))
+    found = candidates_of(F.col(text_col).cast("string"), F.coalesce(F.col(path_col).cast("string"), F.lit("")))
+    return docs.withColumn(
+        name,
+        F.transform(
+            found,
+            lambda h: F.struct(
+                *[h[k].alias(k) for k in ("start", "gap", "lead", "value", "shape", "named")],
+                forest(trees, h["f"]).alias("probability"),
+            ),
+        ),
+    )
 
 
-def scan(docs: DataFrame, trees: list, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
-    """One row per candidate: ``(id, start, length, shape, value_sha256, probability, secret)``.
+def scan(
+    docs: DataFrame, trees: list, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source"
+) -> DataFrame:
+    """One row per candidate: ``(id, start, length, shape, named, value_sha256, probability, secret)``.
 
     ``start`` is a code point offset.  Values leave as digests only.  Null and empty texts
     have no candidates; a null path says nothing.  Repeated rows give repeated findings.
     """
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(path_col).alias("path"))
+    src = docs.select(
+        F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(path_col).alias("path")
+    )
     rows = with_findings(src, trees, "text", "path", "found").select("id", F.explode("found").alias("x"))
-    p = F.round("x.probability", 9)
-    return rows.select("id", F.col("x.start").cast("long").alias("start"), F.length("x.value").cast("long").alias("length"), F.col("x.shape").alias("shape"), F.sha2(F.col("x.value"), 256).alias("value_sha256"), p.alias("probability"), (p >= 0.5).alias("secret"))
+    return rows.select(
+        "id", F.col("x.start").cast("long").alias("start"), F.length("x.value").cast("long").alias("length"),
+        F.col("x.shape").alias("shape"), F.col("x.named").alias("named"),
+        F.sha2(F.col("x.value"), 256).alias("value_sha256"), F.col("x.probability").alias("probability"),
+        (F.col("x.probability") >= 0.5).alias("secret"),
+    )
 
 
 def redact(docs: DataFrame, trees: list, text_col: str = "text", path_col: str = "source") -> DataFrame:
-    """``docs`` with every confirmed secret replaced by :data:`MASK`; other columns and rows stay."""
+    """``docs`` with every confirmed secret replaced by :data:`MASK`; other columns and rows stay.
+
+    Only the places of findings change: the text is put together from what lies between the
+    candidates and the candidates, masked or as they are.
+    """
     found = "__findings"
     while found in docs.columns:
         found += "_"
     marked = with_findings(docs, trees, text_col, path_col, found)
-    real = F.filter(F.col(found), lambda x: F.round(x["probability"], 9) >= 0.5)
-    clean = F.aggregate(real, F.col(text_col).cast("string"), lambda t, x: F.replace(t, x["value"], F.lit(MASK)))
+    text, cands = F.col(text_col).cast("string"), F.col(found)
+    parts = F.transform(
+        cands,
+        lambda x: F.concat(x["gap"], x["lead"], F.when(x["probability"] >= 0.5, F.lit(MASK)).otherwise(x["value"])),
+    )
+    last = F.element_at(cands, -1)
+    rest = F.substring(text, last["start"] + F.length(last["value"]) + 1, F.length(text))
+    clean = F.when(F.size(cands) > 0, F.concat(F.array_join(parts, ""), rest))
     return marked.withColumn(text_col, F.coalesce(clean, F.col(text_col))).drop(found)

@@ -14,13 +14,17 @@ key.  A group that fits in a fiftieth of a shard is not split
 between shards.
 
 Scale.  No text is shuffled: what moves is (id, size, checksum, two hashes).  Ranges are
-as many as the rows need (``range_rows`` each), so the sort within one range is bounded
-whatever the input; only splitters, range totals and shard starts reach the driver or
-are broadcast, and their numbers are parameters.
+as many as the rows need (``range_rows`` each), up to ``MAX_RANGES``; beyond that many rows
+ranges grow and their sorts spill.  Overfull ranges are subdivided, and looked at again, until
+none is left or nothing more can be cut: rows that agree in id and text have one key.
+Splitters (twice ``MAX_RANGES`` at most), a sample of ``SAMPLES_PER_RANGE`` keys for each,
+range totals and shard starts are all that the driver sees or broadcasts.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,10 +33,11 @@ from .common import materialize
 SHARDS = 40
 RANGES_PER_SHARD = 8
 RANGE_ROWS = 500_000
-#: Bounds of what the driver sees: splitters, and sampled keys for each of them.
+#: Bounds of what the driver sees: ranges, and sampled keys for each of them.
 MAX_RANGES = 20_000
 SAMPLES_PER_RANGE = 24
 OVERFULL = 2.0
+ROUNDS = 6
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -41,7 +46,8 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     ident = F.col(id_col).cast("long")
     # two seeds' worth of mixing: the second hash orders equal texts and draws the sample
     return docs.select(
-        ident.alias("id"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).cast("long").alias("crc"),
+        ident.alias("id"), (F.octet_length(text) + 16).cast("long").alias("size"),
+        F.crc32(F.encode(text, "UTF-8")).cast("long").alias("crc"),
         F.xxhash64(text).alias("h1"), F.xxhash64(ident, F.lit("order")).alias("h2"),
     )
 
@@ -67,16 +73,53 @@ def boundaries(sample: list[tuple[int, int]], ranges: int) -> list[tuple[int, in
 
 
 def range_of(splitters: list[tuple[int, int]]):
-    """Number of splitters at or below (h1, h2): a binary search in a constant array."""
+    """Number of splitters at or below (h1, h2): a binary search in one constant array."""
     if not splitters:
         return F.lit(0)
-    keys = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in splitters])
+    keys = F.from_json(F.lit(json.dumps([{"a": a, "b": b} for a, b in splitters])), "array<struct<a:long,b:long>>")
     steps = [1 << k for k in reversed(range(len(splitters).bit_length()))]
     key = F.struct(F.col("h1").alias("a"), F.col("h2").alias("b"))
-    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, s: F.when(F.get(keys, at + s - 1) <= key, at + s).otherwise(at))
+    return F.aggregate(
+        F.array(*map(F.lit, steps)), F.lit(0),
+        lambda at, s: F.when(F.get(keys, at + s - 1) <= key, at + s).otherwise(at),
+    )
+
 
+def splitters_for(
+    rows: DataFrame, total: int, largest: int, ranges: int, oversample: int = SAMPLES_PER_RANGE,
+    overfull: float = OVERFULL, rounds: int = ROUNDS,
+) -> list[tuple[int, int]]:
+    """Boundaries of about ``ranges`` ranges of equal bytes, overfull ones subdivided until none is left.
 
-def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", ranges_per_shard: int = RANGES_PER_SHARD, range_rows: int = RANGE_ROWS) -> DataFrame:
+    ``rows``: stored (h1, h2, size, id).  A range is overfull above ``overfull`` times its share, or
+    the largest row where that is more.  Each round draws eight times as dense a sample, of the
+    overfull ranges only.
+    """
+    rate, fair = ranges * oversample / max(total, 1), total / ranges
+    splitters = boundaries(draw(rows, rate), ranges)
+    for k in range(1, rounds + 1):
+        placed = rows.withColumn("range", range_of(splitters))
+        sizes = placed.groupBy("range").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
+        fat = sizes.where((F.col("bytes") > overfull * max(fair, largest)) & (F.col("n") > 1)).collect()
+        room = 2 * MAX_RANGES - len(splitters)
+        if not fat or room <= 0:
+            break
+        much = sum(r.bytes for r in fat)
+        over = draw(
+            placed.where(F.col("range").isin([r.range for r in fat])), min(rate * 8**k, oversample * MAX_RANGES / much)
+        )
+        cuts = set(boundaries(over, max(2, round(2 * much / fair)))) | ({over[len(over) // 2]} if over else set())
+        more = sorted({*splitters, *sorted(cuts - {*splitters})[:room]})
+        if more == splitters:
+            break
+        splitters = more
+    return splitters
+
+
+def shard(
+    docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text",
+    ranges_per_shard: int = RANGES_PER_SHARD, range_rows: int = RANGE_ROWS,
+) -> DataFrame:
     """``(id, size, crc, shard, slot)`` for every row: shards of near equal bytes.
 
     ``slot`` runs from 0 without gaps in each shard.  Null ids and texts are rows like any
@@ -85,17 +128,11 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
     shards some shards stay empty.
     """
     rows = materialize(keyed(docs, id_col, text_col), "keys")
-    n, total, largest = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.max("size"), F.lit(0))).first()
+    n, total, largest = rows.agg(
+        F.count("*"), F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.max("size"), F.lit(0))
+    ).first()
     ranges = max(1, min(MAX_RANGES, max(shards * ranges_per_shard, n // range_rows)))
-    rate = ranges * SAMPLES_PER_RANGE / max(total, 1)
-    splitters = boundaries(draw(rows, rate), ranges)
-    placed = rows.withColumn("range", range_of(splitters))
-    fair = total / ranges
-    fat = [r.range for r in placed.groupBy("range").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).where((F.col("bytes") > OVERFULL * max(fair, largest)) & (F.col("n") > 1)).collect()]
-    if fat:
-        over = draw(placed.where(F.col("range").isin(fat)), rate * 8)
-        splitters = sorted({*splitters, *boundaries(over, max(2, len(over) // SAMPLES_PER_RANGE))})
-        placed = rows.withColumn("range", range_of(splitters))
+    placed = rows.withColumn("range", range_of(splitters_for(rows, total, largest, ranges)))
     within = Window.partitionBy("range")
     order = within.orderBy("h1", "h2", "id")
     local = materialize(
@@ -107,15 +144,27 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
         ).withColumn("group_start", F.min("before").over(Window.partitionBy("range", "h1"))),
         "ranges",
     )
-    # one row a range, MAX_RANGES at most: offsets on the line of all rows
+    # one row a range, 2 * MAX_RANGES + 1 at most: offsets on the line of all rows
     totals = local.groupBy("range").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
     line = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(F.col("range").alias("r"), F.coalesce(F.sum("bytes").over(line), F.lit(0)).alias("bytes_at"), F.coalesce(F.sum("rows").over(line), F.lit(0)).alias("rows_at"))
+    offsets = totals.select(
+        F.col("range").alias("r"), F.coalesce(F.sum("bytes").over(line), F.lit(0)).alias("bytes_at"),
+        F.coalesce(F.sum("rows").over(line), F.lit(0)).alias("rows_at"),
+    )
     whole = F.col("group_bytes") <= total // (50 * shards)
-    middle = F.when(whole, 2 * F.col("group_start") + F.col("group_bytes")).otherwise(2 * F.col("before") + F.col("size")) + 2 * F.col("bytes_at")
+    middle = F.when(
+        whole, 2 * F.col("group_start") + F.col("group_bytes")
+    ).otherwise(2 * F.col("before") + F.col("size")) + 2 * F.col("bytes_at")
     # whole numbers: the middle of the group (or row) on the line picks the shard
-    number = F.least(F.lit(shards - 1), F.expr(f"CAST(m * CAST({shards} AS DECIMAL(10, 0)) AS DECIMAL(38, 0)) div {2 * max(total, 1)}")).cast("int")
-    on_line = local.join(F.broadcast(offsets), F.col("range") == F.col("r")).withColumn("m", middle.cast("decimal(25,0)")).select("id", "size", "crc", number.alias("shard"), (F.col("rows_at") + F.col("place")).alias("row"))
+    number = F.least(
+        F.lit(shards - 1),
+        F.expr(f"CAST(m * CAST({shards} AS DECIMAL(10, 0)) AS DECIMAL(38, 0)) div {2 * max(total, 1)}"),
+    ).cast("int")
+    on_line = local.join(F.broadcast(offsets), F.col("range") == F.col("r")).withColumn("m", middle.cast("decimal(25,0)")).select(
+        "id", "size", "crc", number.alias("shard"), (F.col("rows_at") + F.col("place")).alias("row")
+    )
     on_line = materialize(on_line, "line")
     starts = on_line.groupBy("shard").agg(F.min("row").alias("first")).withColumnRenamed("shard", "s")
-    return on_line.join(F.broadcast(starts), F.col("shard") == F.col("s")).select("id", "size", "crc", "shard", (F.col("row") - F.col("first")).alias("slot"))
+    return on_line.join(F.broadcast(starts), F.col("shard") == F.col("s")).select(
+        "id", "size", "crc", "shard", (F.col("row") - F.col("first")).alias("slot")
+    )

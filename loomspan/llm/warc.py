@@ -55,11 +55,16 @@ def record_bytes(page_id, url, payload: bytes, date: str, refers_to=None) -> byt
     block = b"" if refers_to is not None else payload
     clean = "".join(c for c in (url or "") if c >= " " and c != "\x7f")
     head = [
-        VERSION, f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Date: {date}",
-        f"WARC-Target-URI: {clean}", f"WARC-Payload-Digest: sha1:{base32_sha1(payload)}", f"WARC-Block-Digest: sha1:{base32_sha1(block)}",
+        VERSION, f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
+        f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Date: {date}",
+        f"WARC-Target-URI: {clean}", f"WARC-Payload-Digest: sha1:{base32_sha1(payload)}",
+        f"WARC-Block-Digest: sha1:{base32_sha1(block)}",
     ]
     if refers_to is not None:
-        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:page:{refers_to}>", f"WARC-Refers-To-Payload-Length: {len(payload)}"]
+        head += [
+            f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:page:{refers_to}>",
+            f"WARC-Refers-To-Payload-Length: {len(payload)}",
+        ]
     head.append(f"Content-Length: {len(block)}")
     return "\r\n".join(head).encode("utf-8") + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -154,19 +159,29 @@ def train_dictionary(samples: list[bytes], size: int = DICT_BYTES) -> bytes:
 def marks(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html") -> DataFrame:
     """``(id, digest, bytes)`` of every page, stored; null payload: empty."""
     payload = F.encode(F.coalesce(F.col(payload_col).cast("string"), F.lit("")), "UTF-8")
-    return materialize(pages.select(F.col(id_col).cast("long").alias("id"), F.sha1(payload).alias("digest"), F.octet_length(payload).cast("long").alias("bytes")), "digests")
+    return materialize(
+        pages.select(
+            F.col(id_col).cast("long").alias("id"), F.sha1(payload).alias("digest"),
+            F.octet_length(payload).cast("long").alias("bytes"),
+        ),
+        "digests",
+    )
 
 
 def revisits(marked: DataFrame, min_bytes: int = 0) -> DataFrame:
     """``(id, digest, refers_to)``, stored: of the pages (id, digest) whose payload has at least
     ``min_bytes`` and stands under a smaller id too.  ``marked``: see :func:`marks`."""
     named = marked.where((F.col("bytes") >= min_bytes) & F.col("id").isNotNull())
-    shared = materialize(named.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1"), "shared")
+    shared = materialize(
+        named.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1"), "shared"
+    )
     later = join_by_group(named, shared, "digest").where("id > first")
     return materialize(later.select("id", "digest", F.col("first").alias("refers_to")).distinct(), "revisits")
 
 
-def sample_payloads(pages: DataFrame, marked: DataFrame, id_col: str = "page_id", payload_col: str = "html") -> list[bytes]:
+def sample_payloads(
+    pages: DataFrame, marked: DataFrame, id_col: str = "page_id", payload_col: str = "html"
+) -> list[bytes]:
     """Payloads to train the dictionary on: those of the ``SAMPLE_ROWS`` smallest digests.
 
     Ids are chosen first, among narrow rows; then only the chosen payloads move.
@@ -176,12 +191,20 @@ def sample_payloads(pages: DataFrame, marked: DataFrame, id_col: str = "page_id"
     if not chosen:
         return []
     payload = F.encode(F.col(payload_col).cast("string"), "UTF-8")
-    rows = pages.where(F.col(id_col).cast("long").isin([r.id for r in chosen]) & (F.octet_length(F.col(payload_col).cast("string")) <= SAMPLE_BYTES))
-    got = rows.select(F.sha1(payload).alias("d"), payload.alias("p")).where(F.col("d").isin([r.digest for r in chosen])).groupBy("d").agg(F.min("p").alias("p"))
+    rows = pages.where(
+        F.col(id_col).cast("long").isin([r.id for r in chosen])
+        & (F.octet_length(F.col(payload_col).cast("string")) <= SAMPLE_BYTES)
+    )
+    got = rows.select(
+        F.sha1(payload).alias("d"), payload.alias("p")
+    ).where(F.col("d").isin([r.digest for r in chosen])).groupBy("d").agg(F.min("p").alias("p"))
     return [bytes(r.p) for r in got.orderBy("d").collect()]
 
 
-def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", archive_bytes: int = ARCHIVE_BYTES, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
+def write_archives(
+    pages: DataFrame, path: str, min_bytes: int = 0, date: str = "2024-01-01T00:00:00Z",
+    archive_bytes: int = ARCHIVE_BYTES, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html",
+) -> DataFrame:
     """Write ``path/*.warc.zst`` and return ``(archive, records, bytes)`` of the files.
 
     One record per row, null payload: empty.  Of equal payloads of at least ``min_bytes``
@@ -191,11 +214,16 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, date: str =
     dictionary is trained on a bounded sample (:func:`sample_payloads`).
     """
     spark = pages.sparkSession
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("payload"))
+    rows = pages.select(
+        F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"),
+        F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("payload"),
+    )
     marked = marks(pages, id_col, payload_col)
     dictionary = train_dictionary(sample_payloads(pages, marked, id_col, payload_col))
     back = broadcast_if_small(revisits(marked, min_bytes).withColumnsRenamed({"id": "r_id", "digest": "r_digest"}))
-    full = rows.join(back, (F.col("id") == F.col("r_id")) & (F.sha1(F.encode("payload", "UTF-8")) == F.col("r_digest")), "left").select("id", "url", "payload", "refers_to")
+    full = rows.join(
+        back, (F.col("id") == F.col("r_id")) & (F.sha1(F.encode("payload", "UTF-8")) == F.col("r_digest")), "left"
+    ).select("id", "url", "payload", "refers_to")
 
     def run(batches):
         import uuid
@@ -205,7 +233,10 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, date: str =
         from pyarrow import fs
 
         store, root = fs.FileSystem.from_uri(path)
-        coder = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None, write_checksum=True, write_content_size=True)
+        coder = zstandard.ZstdCompressor(
+            level=3, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None, write_checksum=True,
+            write_content_size=True,
+        )
         done: list = []
         out, name, count, held = None, None, 0, 0
 
@@ -232,7 +263,10 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, date: str =
                     close()
         close()
         cols = list(zip(*done, strict=True)) or [(), (), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64()), strict=True)], names=["archive", "records", "bytes"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, type=t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64()), strict=True)],
+            names=["archive", "records", "bytes"],
+        )
 
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
@@ -249,7 +283,9 @@ def read_archives(spark: SparkSession, path: str, names: DataFrame | None = None
     length is returned; of a revisit, digest and length are those the record states.
     """
     if names is None:
-        names = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(path).select(F.element_at(F.split("path", "/"), -1).alias("archive"))
+        names = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(path).select(
+            F.element_at(F.split("path", "/"), -1).alias("archive")
+        )
     # a row is a file of some megabytes: each is a piece of its own, as far as there are cores
     files = names.select("archive").repartition(spark.sparkContext.defaultParallelism)
     kinds = dict(x.split() for x in RECORD.split(", "))
@@ -263,7 +299,13 @@ def read_archives(spark: SparkSession, path: str, names: DataFrame | None = None
         ident = lambda v: int(v[10:-1]) if v and v[10:-1] else None  # noqa: E731  <urn:page:N>
 
         def batch_of(got):
-            return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(list(zip(*got, strict=True)) or [()] * len(types), types, strict=True)], names=list(kinds))
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array(c, type=t)
+                    for c, t in zip(list(zip(*got, strict=True)) or [()] * len(types), types, strict=True)
+                ],
+                names=list(kinds),
+            )
 
         for name in (n for b in batches for n in b.column(0).to_pylist()):
             got = []
@@ -276,7 +318,12 @@ def read_archives(spark: SparkSession, path: str, names: DataFrame | None = None
                     if kind == "revisit" and ("warc-refers-to" not in h or block):
                         raise WarcError(f"{name}: {h['warc-record-id']}: a revisit must name its response and be empty")
                     size = len(block) if kind == "response" else int(h["warc-refers-to-payload-length"])
-                    got.append((ident(h["warc-record-id"]), kind, digest, size, ident(h.get("warc-refers-to")), h.get("warc-target-uri"), name))
+                    got.append(
+                        (
+                            ident(h["warc-record-id"]), kind, digest, size, ident(h.get("warc-refers-to")),
+                            h.get("warc-target-uri"), name,
+                        )
+                    )
                     if len(got) >= READ_ROWS:
                         yield batch_of(got)
                         got = []

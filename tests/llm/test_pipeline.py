@@ -39,13 +39,45 @@ def test_toxic_documents_go_clean_ones_stay(spark, docs):
 
 
 def test_one_of_each_group_stays(spark, docs):
-    more = docs.union(docs.where("doc_id < 5")).union(spark.createDataFrame([(None, "no id", "en", "s", 5)], docs.schema))
-    out = P.drop_near_duplicates(spark, more, SF)
+    more = docs.union(docs.where("doc_id < 5")).union(
+        spark.createDataFrame([(None, "no id", "en", "s", 5)], docs.schema)
+    )
+    out = simhash.drop_near_duplicates(more)
     ids = [r.doc_id for r in out.select("doc_id").collect()]
     want = {r.component_id for r in simhash.near_duplicates(docs).collect()}
     assert sorted(i for i in ids if i is not None) == sorted(want) and ids.count(None) == 1
 
 
+def test_rows_of_one_id_are_rows_of_their_own(spark, docs):
+    """In every stage a row's own text decides: nothing goes with another row that has its id, or none."""
+    clean = [
+        r.text
+        for r in docs.join(
+            spark.read.parquet(f"{SF}/labels.parquet"), "doc_id"
+        ).where("quality = 1 AND toxic = 0 AND length(text) > 400").orderBy("doc_id").limit(8).collect()
+    ]
+    toxic = docs.join(
+        spark.read.parquet(f"{SF}/labels.parquet"), "doc_id"
+    ).where("toxic = 1").orderBy(F.desc("n_chars")).first().text
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy(F.length("text").desc()).first().text
+    table = lambda *rows: spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], docs.schema)
+    rows = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    a, b = clean[:2]
+    assert rows(P.drop_near_copies(spark, table((3, a), (7, a), (7, b)), SF)) == sorted([(3, a), (7, b)], key=str)
+    assert rows(
+        P.drop_near_copies(spark, table((None, a), (7, a), (None, b)), SF)
+    ) == sorted([(7, a), (None, b)], key=str)
+    passage = f"{b} {bench}"
+    assert rows(
+        P.drop_contaminated(spark, table((7, a), (7, passage), (None, passage), (None, b)), SF)
+    ) == sorted([(7, a), (None, b)], key=str)
+    more = docs.where("length(text) > 0").select(docs.columns)
+    out = P.drop_toxic(
+        spark, more.union(table((900_001, a), (900_001, toxic), (None, toxic), (None, b))), SF
+    ).where("doc_id = 900001 OR doc_id IS NULL")
+    assert rows(out) == sorted([(900_001, a), (None, b)], key=str)
+
+
 def test_no_two_near_copies_stay(spark):
     """Of all pairs with a similarity of 0.8 or more of five-word shingles, one goes; nothing else goes that fingerprints leave."""
     rnd = random.Random(8)
@@ -57,10 +89,16 @@ def test_no_two_near_copies_stay(spark):
             w[rnd.randrange(len(w))] = f"v{rnd.randrange(10**6)}"
         rows.append((50_000 + k, " ".join(w)))
     rows += [(60_000 + k, " ".join(words[: 4 + k])) for k in range(10)] + [(70_000, None), (70_001, " ")]
-    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = spark.createDataFrame(
+        [(i, t, "en", "s", len(t or "")) for i, t in rows],
+        "doc_id long, text string, lang string, source string, n_chars long",
+    )
 
     def grams(t):
-        w = re.findall("[^ \t-\r]+", (t or "").lower() if (t or "").isascii() else "".join(c.lower() if c.isascii() else c for c in t))
+        w = re.findall(
+            "[^ \t-\r]+",
+            (t or "").lower() if (t or "").isascii() else "".join(c.lower() if c.isascii() else c for c in t),
+        )
         return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
     def near(ids):
@@ -73,7 +111,7 @@ def test_no_two_near_copies_stay(spark):
         return {p for p, n in met.items() if 5 * n >= 4 * (len(sets[p[0]]) + len(sets[p[1]]) - n)}
 
     dict_of = dict(rows)
-    before = {r.doc_id for r in P.drop_near_duplicates(spark, docs, SF).collect()}
+    before = {r.doc_id for r in simhash.drop_near_duplicates(docs).collect()}
     after = {r.doc_id for r in dict(P.STAGES)["simhash_dedup"](spark, docs, SF).collect()}
     pairs = near(before)
     assert pairs and not near(after)
@@ -92,7 +130,9 @@ def test_secrets_are_masked_and_all_documents_stay(spark, docs):
     out = P.redact_secrets(spark, docs, SF)
     assert out.count() == docs.count() and dict(out.dtypes) == dict(docs.dtypes)
     assert not [r for r in secret_scan.scan(out, forest(spark)).collect() if r.secret]
-    assert out.where(F.length("text") != F.col("n_chars")).count() == docs.where(F.length("text") != F.col("n_chars")).count() == 0
+    assert out.where(
+        F.length("text") != F.col("n_chars")
+    ).count() == docs.where(F.length("text") != F.col("n_chars")).count() == 0
 
 
 def test_run_equals_the_stages(spark, docs):
@@ -107,6 +147,9 @@ def test_run_equals_the_stages(spark, docs):
 
 @pytest.mark.parametrize("name,stage", P.STAGES)
 def test_stages_take_empty_and_null_tables(spark, docs, name, stage):
+    """Null and empty texts are one near-duplicate group; otherwise all stay."""
     assert stage(spark, docs.limit(0), SF).count() == 0
-    nulls = spark.createDataFrame([(None, None, None, None, None), (1, None, None, None, None), (2, "", None, None, 0)], docs.schema)
-    assert stage(spark, nulls, SF).count() >= 2
+    nulls = spark.createDataFrame(
+        [(None, None, None, None, None), (1, None, None, None, None), (2, "", None, None, 0)], docs.schema
+    )
+    assert stage(spark, nulls, SF).count() == (1 if name == "simhash_dedup" else 3)
