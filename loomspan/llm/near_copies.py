@@ -9,11 +9,14 @@ most and in size by a quarter at most.  So, in any order of all shingles, of the
    text's first shingles have no near copy.  Only a third of the shingles is shuffled.
 2. The others are put in order by how many of them hold a shingle, rarest first, so that
    common passages make no candidates.  Pairs that share enough of the first shingles and
-   fit in size are candidates; the whole sets decide.
-
-Scale.  Dense groups are thinned first: every text is compared with the smallest id that
-holds one of its first shingles, one pair a shingle and text, as long as that takes out a
-tenth of them.  What is left is compared pair by pair.  No candidate is left out.
+   fit in size are candidates, each found once; the whole sets decide.
+
+Scale.  Shingles that very many texts hold are found in a sample of the texts, counted with
+partial sums and broadcast, so that no task gets all rows of one; the sample only decides
+the way a shingle is counted, not whether.  Dense groups are thinned first: every text is
+compared with the smallest id that holds one of its shingles, one pair a shingle and text,
+as long as that takes out a tenth of them.  What is left is compared pair by pair.  No
+candidate is left out.
 """
 
 from __future__ import annotations
@@ -21,11 +24,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, broadcast_if_small, materialize, release, small_batches
+from .common import ASCII_LOWER, HOT_ROWS, broadcast_if_small, discard, materialize, row_hash, slices
 
 SHINGLE = 5
 SEED = 42
-BROADCAST_ROWS = 200_000
+#: One text in so many is looked at to find shingles that very many texts hold; of these, the most frequent.
+SAMPLED, FREQUENT = 32, 2000
 
 
 def _need(n):
@@ -48,7 +52,6 @@ def shingles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fi
     A-Z lower-cased; words are runs without ASCII white space; fewer than five words are one
     shingle.  Null and blank texts have none and no row.
     """
-    small_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches):
@@ -60,33 +63,83 @@ def shingles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fi
 
         words_of = re.compile("[^ \t-\r]+").findall
         digest = xxhash.xxh64_intdigest
-        for batch in batches:
+        for batch in slices(batches, 100):
             ids, sizes, sets = [], [], []
             for i, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 words = words_of(text.translate(ASCII_LOWER)) if text else ()
                 if words:
-                    h = np.unique(np.fromiter((digest(" ".join(words[k : k + SHINGLE]), SEED) for k in range(max(1, len(words) - SHINGLE + 1))), dtype=np.uint64)).view(np.int64)
+                    h = np.unique(
+                        np.fromiter(
+                            (
+                                digest(" ".join(words[k : k + SHINGLE]), SEED)
+                                for k in range(max(1, len(words) - SHINGLE + 1))
+                            ),
+                            dtype=np.uint64,
+                        )
+                    ).view(np.int64)
                     ids.append(i)
                     sizes.append(len(h))
                     sets.append(h[: len(h) // 5 + max(len(h) // 10, 1)] if first else h)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(sets, pa.list_(pa.int64()))], names=["id", "n", "hashes"])
-        release()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(sets, pa.list_(pa.int64()))],
+                names=["id", "n", "hashes"],
+            )
 
     return src.mapInArrow(run, "id long, n int, hashes array<long>")
 
 
-def _shared(rows: DataFrame) -> DataFrame:
-    """Rows (id, n, h) whose shingle another row has too, with their count ``c`` and smallest id ``lead``."""
-    by = Window.partitionBy("h")
-    return rows.withColumns({"c": F.count("*").over(by), "lead": F.min("id").over(by)}).where("c > 1")
+def _frequent(sets: DataFrame) -> list[int]:
+    """Shingles that some ``HOT_ROWS`` sets or more hold, by a sample: ``FREQUENT`` of them at most."""
+    some = sets.where(
+        F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(SAMPLED)) == 0
+    ).select(F.explode("hashes").alias("h"))
+    often = some.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= HOT_ROWS // SAMPLED)
+    return [r.h for r in often.orderBy(F.desc("n"), "h").limit(FREQUENT).collect()]
 
 
-def _rare(sets: DataFrame) -> DataFrame:
-    """``(id, n, h)``: the first shingles of each set, rarest first, without those no other set has."""
-    rows = _shared(sets.select("id", "n", F.explode("hashes").alias("h")))
-    some = rows.groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("c", "h"))).alias("s"))
+def _shared(sets: DataFrame, frequent: list[int]) -> DataFrame:
+    """Rows (id, n, h, c, lead) of the sets' shingles that another set has too: their count ``c`` and the
+    smallest id that holds them, ``lead`` (id, n).  The ``frequent`` ones are counted by partial sums."""
+    held = F.array(*map(F.lit, frequent)).cast("array<long>")
+    by = Window.partitionBy("h")
+    first = F.min(F.struct("id", "n"))
+    cold = sets.select("id", "n", F.explode(F.array_except("hashes", held)).alias("h"))
+    cold = cold.withColumns({"c": F.count("*").over(by), "lead": first.over(by)}).where("c > 1")
+    if not frequent:
+        return cold.select("id", "n", "h", "c", "lead")
+    hot = sets.select("id", "n", F.explode(F.array_intersect("hashes", held)).alias("h"))
+    counted = hot.groupBy("h").agg(F.count("*").alias("c"), first.alias("lead")).where("c > 1")
+    return cold.select("id", "n", "h", "c", "lead").unionByName(
+        hot.join(F.broadcast(counted), "h").select("id", "n", "h", "c", "lead")
+    )
+
+
+def _rare(sets: DataFrame, frequent: list[int]) -> DataFrame:
+    """``(id, n, s)``: the first shingles of each set as (c, h, lead), rarest first, without those no other set has."""
+    some = _shared(sets, frequent).groupBy("id", "n").agg(
+        F.array_sort(F.collect_list(F.struct("c", "h", "lead"))).alias("s")
+    )
     room = _first(F.col("n")) - (F.col("n") - F.size("s"))
-    return some.where(room >= _least(F.col("n"))).select("id", "n", F.explode(F.slice("s", F.lit(1), room)).alias("x")).select("id", "n", "x.h")
+    return some.where(room >= _least(F.col("n"))).select(
+        "id", "n", F.size("s").alias("all"), F.slice("s", F.lit(1), room).alias("s")
+    )
+
+
+def _candidates(rare: DataFrame) -> DataFrame:
+    """``(a, b)``, a < b, each once: sets that fit in size and agree in enough of their first shingles.
+
+    Two near copies agree in one of their first ``n // 5 + 1`` shingles at least, too: those are the
+    join's keys.  A pair is emitted for the first key that both have only, and only if it passes.
+    """
+    one = F.floor(F.col("n") / 5).cast("int") + 1 - (F.col("n") - F.col("all"))
+    rows = rare.where(one > 0).select("id", "n", F.transform("s", lambda x: x["h"]).alias("q"), one.alias("k"))
+    keyed = rows.select("id", "n", "q", "k", F.explode(F.slice("q", F.lit(1), F.col("k"))).alias("h"))
+    a, b = (keyed.select(*[F.col(c).alias(c + side) for c in ("id", "n", "q", "k")], "h") for side in ("a", "b"))
+    fit = (5 * F.col("na") >= 4 * F.col("nb")) & (5 * F.col("nb") >= 4 * F.col("na"))
+    keys = F.array_intersect(F.slice("qa", F.lit(1), F.col("ka")), F.slice("qb", F.lit(1), F.col("kb")))
+    agree = F.size(F.array_intersect("qa", "qb")) >= F.least(_need(F.col("na")), _need(F.col("nb")))
+    on = (a["h"] == b["h"]) & (F.col("ida") < F.col("idb")) & fit & (F.element_at(keys, 1) == a["h"]) & agree
+    return a.join(b, on).select(F.col("ida").alias("a"), F.col("idb").alias("b"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -94,35 +147,69 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     left = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("hashes").alias("ha"))
     right = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("hashes").alias("hb"))
     both = F.size(F.array_intersect("ha", "hb"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").where(9 * both >= 4 * (F.col("na") + F.col("nb"))).select("a", "b")
+    return pairs.select("a", "b").join(left, "a").join(right, "b").where(
+        9 * both >= 4 * (F.col("na") + F.col("nb"))
+    ).select("a", "b")
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id`` of the rows to leave out so that no two near copies stay: of a pair, the larger id.
 
-    ``docs``: unique ids; rows with a null id are left alone.
+    ``docs``: unique ids; rows with a null id are left alone (see :func:`drop_near_copies`).
     """
     docs = docs.where(F.col(id_col).isNotNull())
-    first = shingles(docs, id_col, text_col, first=True)
-    some = _shared(first.select("id", "n", F.explode("hashes").alias("h"))).groupBy("id", "n").agg(F.count("*").alias("k")).where(F.col("k") >= _least(F.col("n"))).select("id")
-    some = materialize(some, "maybe")
-    some = broadcast_if_small(some, some.count(), BROADCAST_ROWS)
-    sets = materialize(shingles(docs.join(some, docs[id_col] == some.id, "left_semi"), id_col, text_col), "sets")
+    firsts = materialize(shingles(docs, id_col, text_col, first=True), "firsts")
+    some = _shared(firsts, _frequent(firsts)).groupBy("id", "n").agg(F.count("*").alias("k")).where(
+        F.col("k") >= _least(F.col("n"))
+    ).select("id")
+    some = broadcast_if_small(materialize(some, "maybe"))
+    discard(firsts)
+    sets = materialize(
+        shingles(docs.join(some, docs[id_col].cast("long") == some.id, "left_semi"), id_col, text_col), "sets"
+    )
+    frequent = _frequent(sets)
     gone = None
     near = lambda a, b: (5 * a >= 4 * b) & (5 * b >= 4 * a)
     while True:
-        rare = materialize(_rare(sets), "rare")
-        n = rare.select("id").distinct().count()
-        lead = Window.partitionBy("h").orderBy("id")
-        led = rare.select(F.first("id").over(lead).alias("a"), F.first("n").over(lead).alias("na"), F.col("id").alias("b"), "n").where((F.col("a") < F.col("b")) & near(F.col("na"), F.col("n"))).select("a", "b").distinct()
+        rare = materialize(_rare(sets, frequent), "rare")
+        n = rare.count()
+        led = rare.select(F.col("id").alias("b"), "n", F.explode("s.lead").alias("l")).select(
+            F.col("l.id").alias("a"), F.col("l.n").alias("na"), "b", "n"
+        )
+        led = led.where((F.col("a") < F.col("b")) & near(F.col("na"), F.col("n"))).select("a", "b").distinct()
         out = materialize(_verified(led, sets).select(F.col("b").alias("id")).distinct(), "led")
         gone = out if gone is None else gone.union(out)
-        left = rare.select("id").distinct().join(out, "id", "left_anti")
-        sets = materialize(sets.join(left, "id", "left_semi"), "sets")
+        left = rare.select("id").join(out, "id", "left_anti")
+        before, sets = sets, materialize(sets.join(left, "id", "left_semi"), "sets")
+        discard(before, rare)
         if 10 * out.count() <= n:
             break
-    rare = materialize(_rare(sets), "rare")
-    a, b = rare.select(F.col("id").alias("a"), F.col("n").alias("na"), "h"), rare.select(F.col("id").alias("b"), F.col("n").alias("nb"), "h")
-    met = a.join(b, "h").where((F.col("a") < F.col("b")) & near(F.col("na"), F.col("nb"))).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("k"))
-    pairs = met.where(F.col("k") >= F.least(_need(F.col("na")), _need(F.col("nb"))))
-    return materialize(gone.union(_verified(pairs, sets).select(F.col("b").alias("id"))).distinct(), "near_copies")
+    rare = materialize(_rare(sets, frequent), "rare")
+    pairs = _candidates(rare)
+    out = materialize(gone.union(_verified(pairs, sets).select(F.col("b").alias("id"))).distinct(), "near_copies")
+    discard(sets, rare)
+    return out
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows :func:`near_copies` names.  No two rows may agree in all columns.
+
+    Rows whose id is null or repeated are told apart, and ordered, by a 64-bit hash of all
+    their columns: two of n such rows take each other's place with a probability below
+    n^2 / 2^65.
+    """
+    key, ident = "__key", F.col(id_col).cast("long")
+    docs = materialize(docs, "once")
+    clash = materialize(
+        docs.groupBy(ident.alias("__id")).agg(F.count("*").alias("n")).where("n > 1 OR __id IS NULL").select("__id"),
+        "clash",
+    )
+    if clash.limit(1).count():
+        marked = docs.join(
+            broadcast_if_small(clash).withColumn("__hash", F.lit(True)), ident.eqNullSafe(F.col("__id")), "left"
+        )
+        keyed = marked.withColumn(key, F.when(F.col("__hash"), row_hash(docs)).otherwise(ident)).drop("__id", "__hash")
+    else:
+        keyed = docs.withColumn(key, ident)
+    gone = broadcast_if_small(near_copies(keyed, key, text_col)).withColumnRenamed("id", key)
+    return keyed.join(gone, key, "left_anti").select(docs.columns)
