@@ -3,7 +3,10 @@
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and returns
 the columns of ``documents`` (the last one: packed pieces).  ``run`` writes every stage as
 Parquet in the shared folder and rereads it, so a lost executor costs no finished stage.
-Documents with a null id stay: nothing can name them as a copy or as contaminated.
+
+Verdicts are the rows' own: the toxicity and decontamination stages judge each text where it
+lies, and the near-duplicate stage tells rows apart by id and content, so rows that share an
+id or have none are judged like any other.
 """
 
 from __future__ import annotations
@@ -12,58 +15,50 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspan.llm import decontaminate, near_copies, packing, secret_scan, simhash, toxicity
-from loomspan.llm.common import broadcast_if_small, materialize, table
+from loomspan.llm.common import configure, materialize, table
 from loomspan.llm.queries import forest
 
-#: Lists of ids that are counted and no longer than this are broadcast.
-BROADCAST_ROWS = 200_000
-
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leave out the documents that the severity model finds toxic."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    bad = toxicity.severity(docs, model).where("toxic").select(F.col("id").alias("doc_id")).where("doc_id IS NOT NULL").distinct()
-    return docs.join(materialize(bad, "toxic"), "doc_id", "left_anti").select(docs.columns)
-
-
-def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each component; rows that repeat an id count once."""
-    found = materialize(simhash.near_duplicates(docs), "components")
-    copies = materialize(found.where("id IS NOT NULL AND id <> component_id").select(F.col("id").alias("doc_id")).distinct(), "copies")
-    copies = broadcast_if_small(copies, copies.count(), BROADCAST_ROWS)
-    kept = docs.join(copies, "doc_id", "left_anti").select(docs.columns)
-    repeated = materialize(found.where("id IS NOT NULL").groupBy(F.col("id").alias("doc_id")).agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated")
-    n = repeated.count()
-    if not n:
-        return kept
-    repeated = broadcast_if_small(repeated, n, BROADCAST_ROWS)
-    once = materialize(kept.join(repeated, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]), "once")
-    return kept.join(repeated, "doc_id", "left_anti").select(docs.columns).union(once)
+    return docs.where(~toxicity.verdict(model)(F.col("text").cast("string"))["toxic"]).select(docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Near-duplicates by fingerprints, then what is left by the exact similarity of five-word shingles (0.8 or more)."""
-    once = drop_near_duplicates(spark, docs, sf_dir)
-    copies = near_copies.near_copies(once).select(F.col("id").alias("doc_id"))
-    return once.join(broadcast_if_small(copies, copies.count(), BROADCAST_ROWS), "doc_id", "left_anti").select(docs.columns)
+    """One document of each group of near-duplicates stays.
+
+    Groups are SimHash's components; among what these leave, texts with a similarity of 0.8 or
+    more of five-word shingles are copies too.  Of a group the row with the smallest id stays
+    (null ids last, then by a hash of the row); of rows that agree in everything, one.
+    """
+    configure(spark)
+    return near_copies.drop_near_copies(simhash.drop_near_duplicates(docs))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leave out the documents that hold a benchmark passage."""
-    hits = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).where("id IS NOT NULL").select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(materialize(hits, "contaminated"), "doc_id", "left_anti").select(docs.columns)
+    return docs.where(
+        ~decontaminate.holds_passage(table(spark, sf_dir, "benchmark"), F.col("text").cast("string"))
+    ).select(docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mask confirmed secrets in the texts; every document stays."""
     clean = secret_scan.redact(docs, forest(spark))
-    return clean.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars"))).select(docs.columns)
+    return clean.withColumn(
+        "n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars"))
+    ).select(docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack the documents' tokens into sequences."""
+    configure(spark)
     packed = packing.pack_documents(docs)
-    return packed.select(F.col("id").alias("doc_id"), "piece", "start", "length", F.col("crc").alias("ids_crc32"), "sequence_id", "offset")
+    return packed.select(
+        F.col("id").alias("doc_id"), "piece", "start", "length", F.col("crc").alias("ids_crc32"), "sequence_id",
+        "offset",
+    )
 
 
 STAGES = [
