@@ -34,9 +34,16 @@ def rules() -> list[tuple[str, int, str, str]]:
     return [(label, p, key, f"(?<= )(?:{x})(?= )") for label, own in RULES.items() for p, key, x in own]
 
 
+#: Words of keywords that stand in too many texts to tell anything.
+COMMON = frozenset(
+    """a and any are at be by can copy do file for free from has have if in is it mean not nd of on or part sa nc says
+    some that the this to under up use used was we what which with without work you your""".split()
+)
+
+
 def telling_word(keyword: str) -> str:
-    """The longest word of a keyword: the one that is looked for first."""
-    return max(keyword.split(" "), key=lambda w: (len(w), w))
+    """The longest word of a keyword that is not common: the one that is looked for first."""
+    return max(keyword.split(" "), key=lambda w: (w not in COMMON, len(w), w))
 
 
 def gates() -> list[str]:
