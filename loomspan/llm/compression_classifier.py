@@ -156,13 +156,13 @@ def learn(words: DataFrame, curve: DataFrame, block: int = BLOCK) -> Model:
     import zstandard
 
     found, pieces = [], blocks_of(words, block)
+    order = (F.xxhash64("id", "k"), "id", "k")
     for y in (0, 1):
-        data = [
-            bytes(r.block)
-            for r in pieces.where(F.col("y") == y).orderBy(
-                F.xxhash64("id", "k"), "id", "k"
-            ).limit(DICT_BLOCKS).select("block").collect()
-        ]
+        # places are chosen first, among narrow rows; then only the chosen blocks move
+        mine = pieces.where(F.col("y") == y)
+        chosen = F.broadcast(mine.select("id", "k").orderBy(*order).limit(DICT_BLOCKS))
+        rows = mine.join(chosen, ["id", "k"], "left_semi").orderBy(*order, "block").limit(DICT_BLOCKS)
+        data = [bytes(r.block) for r in rows.select("block").collect()]
         try:
             found.append(
                 zstandard.train_dictionary(
