@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import compression_classifier, decontaminate, licenses, packing, quality_rules, secret_scan, sharding, simhash, toxicity, warc
+from . import compression_classifier, decontaminate, fill_in_middle, licenses, packing, quality_rules, secret_scan, sharding, simhash, toxicity, warc
 from .common import table
 
 _forest: dict = {}
@@ -82,12 +82,21 @@ def op10_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    return made.select(
+        F.col("id").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fill_in_middle.restored("output", "form"), 256).alias("restored_sha256"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_rules, op2_best_fit_packing, op3_simhash_near_duplicates, op4_compression_classifier,
         op5_benchmark_decontamination, op6_warc_archives, op7_toxicity, op8_license_scan, op9_secret_scan,
-        op10_sampled_splitters,
+        op10_sampled_splitters, op11_fill_in_middle,
     )
 }
 
@@ -166,4 +175,30 @@ SELECT page_id, strlen(html)::BIGINT AS payload_bytes, {' || '.join(digits)} AS
 FROM f"""
 
 
-ORACLES = {"op1_quality_rules": _quality_sql(), "op6_warc_archives": _warc_sql()}
+_FIM_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || doc_id) AS x,
+         regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS lines
+  FROM documents),
+h AS (
+  SELECT doc_id, text, lines, len(lines)::BIGINT AS n, ('0x' || x[1:8])::BIGINT AS h1, ('0x' || x[9:16])::BIGINT AS h2,
+         ('0x' || x[17:24])::BIGINT AS h3, ('0x' || x[25:32])::BIGINT AS h4
+  FROM d),
+f AS (
+  SELECT doc_id, text, n, lines, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 100 THEN 'plain'
+              WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+  FROM h),
+p AS (
+  SELECT doc_id, text, n, form, array_to_string(lines[1:a], '') AS prefix, array_to_string(lines[a + 1:b], '') AS middle,
+         array_to_string(lines[b + 1:], '') AS suffix
+  FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix)::BIGINT END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(middle)::BIGINT END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+              ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM p"""
+
+
+ORACLES = {"op1_quality_rules": _quality_sql(), "op6_warc_archives": _warc_sql(), "op11_fill_in_middle": _FIM_SQL}
