@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import compression_classifier, decontaminate, fill_in_middle, licenses, packing, quality_rules, secret_scan, sharding, simhash, toxicity, warc
+from . import compression_classifier, decontaminate, fill_in_middle, hard_negatives, licenses, packing, quality_rules, secret_scan, sharding, simhash, toxicity, warc
 from .common import table
 
 _forest: dict = {}
@@ -91,12 +91,18 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    noisy = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(rows.withColumn("label", noisy))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_rules, op2_best_fit_packing, op3_simhash_near_duplicates, op4_compression_classifier,
         op5_benchmark_decontamination, op6_warc_archives, op7_toxicity, op8_license_scan, op9_secret_scan,
-        op10_sampled_splitters, op11_fill_in_middle,
+        op10_sampled_splitters, op11_fill_in_middle, op13_hard_negatives,
     )
 }
 
@@ -201,4 +207,27 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix)::BIGINT EN
 FROM p"""
 
 
-ORACLES = {"op1_quality_rules": _quality_sql(), "op6_warc_archives": _warc_sql(), "op11_fill_in_middle": _FIM_SQL}
+_NEGATIVES_SQL = """
+WITH r AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS mate, list_inner_product(a.v, b.v)::BIGINT AS score
+  FROM r a JOIN r b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE mate
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id)::INT AS rank,
+       id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE NOT mate AND 80 * positive_score <= 100 * score AND score <= positive_score
+QUALIFY rank <= 5"""
+
+
+ORACLES = {
+    "op1_quality_rules": _quality_sql(), "op6_warc_archives": _warc_sql(), "op11_fill_in_middle": _FIM_SQL,
+    "op13_hard_negatives": _NEGATIVES_SQL,
+}
