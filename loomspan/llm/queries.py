@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import compression_classifier, decontaminate, fill_in_middle, hard_negatives, licenses, packing, quality_rules, secret_scan, sharding, simhash, toxicity, warc
+from . import compression_classifier, decontaminate, fill_in_middle, hard_negatives, licenses, packing, quality_rules, repair, secret_scan, sharding, simhash, toxicity, warc
 from .common import table
 
 _forest: dict = {}
@@ -91,6 +91,11 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_repair_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = repair.round_trip(table(spark, sf_dir, "documents"))
+    return back.select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     noisy = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -102,7 +107,8 @@ QUERIES = {
     for f in (
         op1_quality_rules, op2_best_fit_packing, op3_simhash_near_duplicates, op4_compression_classifier,
         op5_benchmark_decontamination, op6_warc_archives, op7_toxicity, op8_license_scan, op9_secret_scan,
-        op10_sampled_splitters, op11_fill_in_middle, op13_hard_negatives,
+        op10_sampled_splitters, op11_fill_in_middle, op12_repair_shards,
+        op13_hard_negatives,
     )
 }
 
