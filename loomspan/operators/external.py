@@ -1,153 +1,18 @@
-"""The boundary to external models: a table function with a pluggable client.
+"""What is made of the answers of external models.
 
-A client is a function from a request (dict) to a response (dict); it is made once per
-task by a factory, so connections are never shipped.  Retries happen per call; Spark may
-still run a task twice, so callers store the output before they look at it
-(:func:`loomspan.sinks.publish.staged`).  The stub client answers from a hash of the
-request and needs no network.
+The calls themselves are in :mod:`loomspan.operators.calls`, running state in
+:mod:`loomspan.operators.folds`; their names can be had from here too.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-RETRIES, BACKOFF_S = 3, 2.0
-EMBED_BATCH = 96
-RESULT = "request_id string, response string, error string, attempts int, tokens_in long, tokens_out long"
-
-
-def digest(*parts) -> int:
-    import hashlib
-
-    return int(hashlib.sha1("\x1f".join(map(str, parts)).encode("utf-8")).hexdigest()[:12], 16)
-
-
-def stub_client(
-    kind: str = "chat", scale: int = 100, dims: tuple = ("apf", "rpf", "rae")
-) -> Callable[[], Callable[[dict], dict]]:
-    """A deterministic client: the same request always gets the same answer.
-
-    ``chat`` echoes a digest, ``judge`` gives legal scores as JSON, ``chapter`` names a
-    chapter, ``embed`` gives eight numbers.
-    """
-
-    def make():
-        import json
-
-        def call(request: dict) -> dict:
-            text = f"{request.get('system') or ''}\n{request.get('user') or ''}"
-            n = digest(kind, text)
-            if kind == "judge":
-                body = json.dumps({d: 1 + digest(d, text) % scale for d in dims})
-            elif kind == "chapter":
-                body = f"Chapter: {1 + n % 40}"
-            elif kind == "embed":
-                body = json.dumps([((digest(i, text) % 2001) - 1000) / 1000 for i in range(8)])
-            else:
-                body = f"reply {n:012x}"
-            return {"text": body, "tokens_in": len(text) // 4, "tokens_out": max(1, len(body) // 4)}
-
-        return call
-
-    return make
-
-
-def call_models(
-    requests: DataFrame, client: Callable, retries: int = RETRIES, backoff: float = BACKOFF_S,
-    partitions: int | None = None,
-) -> DataFrame:
-    """Calls the client for each request ``(request_id, system, user)``; see :data:`RESULT`.
-
-    ``partitions`` caps how many calls run at once.  A call that fails every time, or comes
-    back empty, gives an error and no response; the row stays.
-    """
-    src = requests.select(
-        F.col("request_id").cast("string"), F.col("system").cast("string"), F.col("user").cast("string")
-    )
-    if partitions:
-        src = src.repartition(partitions)
-
-    def run(batches):
-        import time
-
-        import pandas as pd
-
-        call = client()
-        for pdf in batches:
-            out = []
-            for r in pdf.to_dict("records"):
-                text, error, used, n = None, None, {}, 0
-                for n in range(1, retries + 1):
-                    try:
-                        used = call(r)
-                        text, error = used.get("text"), None
-                        if text:
-                            break
-                        error = "empty response"
-                    except Exception as e:  # noqa: BLE001  any client's own failure is data here
-                        error = f"{type(e).__name__}: {e}"
-                    if n < retries and backoff:
-                        time.sleep(backoff ** (n + 1))
-                out.append(
-                    (
-                        r["request_id"], text or None, error, n, int(used.get("tokens_in", 0)),
-                        int(used.get("tokens_out", 0)),
-                    )
-                )
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in RESULT.split(", ")])
-
-    return src.mapInPandas(run, RESULT)
-
-
-def judged(results: DataFrame, dims: list[str], scale: int) -> DataFrame:
-    """Judge answers to records: fenced JSON is unwrapped, scores validated, the average recomputed."""
-    from ..functions.text import unfence
-    from .records import validated_scores
-
-    rows = validated_scores(results.withColumn("raw", unfence(F.col("response"))), "raw", dims, scale)
-    return rows.withColumn("parse_ok", F.col("average").isNotNull() & F.col("error").isNull()).drop("raw")
-
-
-def metering(results: DataFrame) -> DataFrame:
-    """Run totals: good and bad calls, tokens."""
-    return results.agg(
-        F.count_if(F.col("error").isNull()).alias("ok"), F.count_if(F.col("error").isNotNull()).alias("bad"),
-        F.coalesce(F.sum("tokens_in"), F.lit(0)).alias("tokens_in"),
-        F.coalesce(F.sum("tokens_out"), F.lit(0)).alias("tokens_out"),
-    )
-
-
-def fold(df: DataFrame, key: str, order: str, text: str, step: Callable[[str, str], str]) -> DataFrame:
-    """Running state: what ``step`` makes of chapter k goes into chapter k + 1.
-
-    Sequential within a key by definition; keys run in parallel.  Rows come sorted by (key,
-    order), so a task holds one state and one slice of rows, however many chapters a key has.
-    """
-    kind, okind = df.schema[key].dataType.simpleString(), df.schema[order].dataType.simpleString()
-    rows = df.select(
-        F.col(key).alias("k"), F.col(order).alias("o"), F.col(text).cast("string").alias("t")
-    ).repartition("k").sortWithinPartitions("k", "o")
-
-    def run(batches):
-        import pyarrow as pa
-
-        at, state = object(), ""
-        for b in batches:
-            for lo in range(0, b.num_rows, 400):
-                part, out = b.slice(lo, 400), []
-                for k, t in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), strict=True):
-                    if k != at:
-                        at, state = k, ""
-                    state = step(state, t or "")
-                    out.append(state)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(out, pa.string())], names=["k", "o", "state"]
-                )
+from .calls import RESULT, call_models, judged, metering, stub_client
+from .folds import fold
 
-    return rows.mapInArrow(run, f"k {kind}, o {okind}, state string").toDF(key, order, "state")
+__all__ = ["RESULT", "call_models", "fold", "judged", "keep_unless_rejected", "locate", "metering", "stub_client"]
 
 
 def keep_unless_rejected(names: DataFrame, verdicts: DataFrame, key: str = "name") -> DataFrame:

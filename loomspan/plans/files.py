@@ -209,19 +209,6 @@ def dry_run_rows(spark, sf_dir):
     return made.where(~R.is_dry_run(made)).select("o_orderkey")
 
 
-@query(
-    "SELECT COUNT(*) AS ok, 0::BIGINT AS bad, SUM((length(text) + 6) // 4)::BIGINT AS tokens_in, (4 * COUNT(*))::BIGINT AS tokens_out FROM conversations"
-)
-def run_metering(spark, sf_dir):
-    """Good and bad calls and tokens of a run, one pass of partial sums."""
-    c = table(spark, sf_dir, "conversations")
-    req = c.select(
-        F.concat_ws("__", "conv_id", "turn").alias("request_id"), F.lit("judge").alias("system"),
-        F.col("text").alias("user"),
-    )
-    return E.metering(E.call_models(req, E.stub_client("chat"), backoff=0))
-
-
 @query(
     """WITH s AS (SELECT DISTINCT n_nationkey, lower(n_name) AS slug FROM nation) SELECT slug, CASE WHEN n_nationkey % 2 = 0 THEN 'The ' || slug ELSE upper(slug[1]) || replace(slug[2:], '_', ' ') END AS "character" FROM s"""
 )

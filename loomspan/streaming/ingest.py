@@ -1,4 +1,4 @@
-"""Streaming forms of ingestion and of the running fold.
+"""Streaming forms of ingestion; the running fold's is :func:`loomspan.operators.folds.fold_stream`.
 
 The batch operators define the results; these bring the same rows in as they arrive.
 """
@@ -33,27 +33,3 @@ def event_counts(events: DataFrame, ts: str = "ts", window: str = "1 hour", late
     return events.withWatermark(ts, late).groupBy(F.window(ts, window), "event_type").agg(
         F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(20,6)")).alias("total")
     )
-
-
-def fold_stream(chapters: DataFrame, key: str, order: str, text: str, step) -> DataFrame:
-    """The running fold over a stream: a key's state lives in the state store between batches.
-
-    Chapters of one key must arrive in order across batches; within a batch they are sorted.
-    """
-
-    def run(group, frames, state):
-        import pandas as pd
-
-        now = state.get[0] if state.exists else ""
-        pdf = pd.concat(list(frames)).sort_values(order, kind="stable")
-        out = []
-        for t in pdf[text]:
-            now = step(now, t or "")
-            out.append(now)
-        state.update((now,))
-        yield pd.DataFrame({key: pdf[key].to_numpy(), order: pdf[order].to_numpy(), "state": out})
-
-    kinds = {f.name: f.dataType.simpleString() for f in chapters.schema}
-    return chapters.groupBy(key).applyInPandasWithState(
-        run, f"{key} {kinds[key]}, {order} {kinds[order]}, state string", "now string", "append", "NoTimeout"
-    )

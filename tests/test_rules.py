@@ -103,26 +103,6 @@ def test_staged_publish_keeps_the_old_output(spark, tmp_path):
         publish.write_once(spark.range(1), path)
 
 
-def test_failed_calls_stay_as_rows(spark):
-    def client():
-        def call(r):
-            if r["user"] == "bad":
-                raise OSError("no")
-            return {"text": "" if r["user"] == "empty" else "fine", "tokens_in": 1, "tokens_out": 1}
-
-        return call
-
-    req = spark.createDataFrame(
-        [("1", None, "ok"), ("2", None, "bad"), ("3", None, "empty")], "request_id string, system string, user string"
-    )
-    got = {r.request_id: r for r in E.call_models(req, client, backoff=0).collect()}
-    assert got["1"].response == "fine" and got["1"].attempts == 1
-    assert got["2"].response is None and "OSError" in got["2"].error and got["2"].attempts == 3
-    assert got["3"].error == "empty response"
-    m = E.metering(spark.createDataFrame(list(got.values()), E.RESULT)).first()
-    assert (m.ok, m.bad) == (1, 2)
-
-
 def test_finished_ignores_errors_and_previews(spark):
     df = spark.createDataFrame(
         [
@@ -386,21 +366,6 @@ def test_audit(spark):
     assert one(spark, audit.revision_ok(F.lit("a" * 40))) and not one(spark, audit.revision_ok(F.lit("main")))
 
 
-def test_stream_fold(spark, tmp_path):
-    from loomspan.streaming.ingest import fold_stream
-
-    src, schema = f"file://{tmp_path}/in", "k string, chapter int, text string"
-    spark.createDataFrame([("a", 2, "y"), ("a", 1, "x"), ("b", 1, "z")], schema).write.parquet(src)
-    s = fold_stream(spark.readStream.schema(schema).parquet(src), "k", "chapter", "text", lambda st, t: st + t)
-    q = s.writeStream.format("parquet").option("path", f"{tmp_path}/out").option(
-        "checkpointLocation", f"{tmp_path}/cp"
-    ).outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert sorted(
-        (r.k, r.chapter, r.state) for r in spark.read.parquet(f"{tmp_path}/out").collect()
-    ) == [("a", 1, "x"), ("a", 2, "xy"), ("b", 1, "z")]
-
-
 def test_gzip_json(spark, tmp_path):
     publish.gzip_json(spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int"), f"file://{tmp_path}/o", ["k"])
     assert spark.read.json(f"file://{tmp_path}/o").count() == 2
@@ -571,19 +536,6 @@ def test_containment_against_brute_force(spark):
     }
 
 
-def test_fold_holds_one_state(spark):
-    """The state of a key goes through all its rows, in order, whatever the batches; no state leaks to the next key."""
-    from loomspan.operators import external
-
-    df = spark.createDataFrame([(k % 3, k, str(k)) for k in range(3000)][::-1], "k int, o int, t string")
-    got = external.fold(df, "k", "o", "t", lambda state, text: str(int(state or 0) + int(text)))
-    want, sums = {}, {}
-    for k in range(3000):
-        sums[k % 3] = sums.get(k % 3, 0) + k
-        want[k] = sums[k % 3]
-    assert {r.o: int(r.state) for r in got.collect()} == want
-
-
 def test_top_k_in_blocks(spark, monkeypatch):
     """Many queries meet the chunks in blocks, with the same result."""
     import random
