@@ -45,7 +45,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mask confirmed secrets in the texts; every document stays."""
-    clean = secret_scan.redact(docs, forest(spark))
+    clean = secret_scan.redact(docs, forest())
     return clean.withColumn(
         "n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars"))
     ).select(docs.columns)

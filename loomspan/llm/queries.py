@@ -2,22 +2,19 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import compression_classifier, decontaminate, fill_in_middle, hard_negatives, licenses, packing, quality_rules, repair, secret_scan, sharding, simhash, toxicity, warc
 from .common import table
 
-_forest: dict = {}
-
 
-def forest(spark: SparkSession) -> list:
-    """The secret scanner's forest, trained once a session."""
-    key = spark.sparkContext.applicationId
-    if key not in _forest:
-        _forest.clear()
-        _forest[key] = secret_scan.train(secret_scan.labelled_findings(spark))
-    return _forest[key]
+@cache
+def forest() -> list:
+    """The secret scanner's forest."""
+    return secret_scan.trained()
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +68,7 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.scan(table(spark, sf_dir, "documents"), forest(spark)).withColumnRenamed("id", "doc_id")
+    return secret_scan.scan(table(spark, sf_dir, "documents"), forest()).withColumnRenamed("id", "doc_id")
 
 
 def op10_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:

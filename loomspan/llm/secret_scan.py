@@ -1,8 +1,9 @@
 """Secret scans: candidate patterns, then a random forest that removes false positives.  Native.
 
-Candidates come from one expression (private-key blocks, known token shapes, assignments
-to a telling name, long hexadecimal or base64 runs).  A candidate takes its whole run,
-however long.  Each becomes a row of features: length, character transitions and classes,
+Candidates come from one expression (private-key blocks, tokens of known shapes, passwords in
+addresses, assignments to a telling name, long hexadecimal or base64 runs), in time linear in
+the text: no part of it looks past the next candidate's begin.  A value goes up to its closing
+quote, or to the white space, quote or separator that ends it, however long.  Each becomes a row of features: length, character transitions and classes,
 distinct characters, dictionary coverage, the shape, and what the path and the words on
 both sides say.  A random forest trained on labelled findings decides.
 
@@ -14,28 +15,55 @@ no Python, no join and no shuffle.  Texts without a candidate stop at the first
 from __future__ import annotations
 
 import json
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import discard, let, materialize, running
 
+#: A key's body: base64 lines, the few header lines that key files have, line ends (escaped ones too).
+#: Lines are long, so prose is none of it; the last may be short.  No part looks past another key's header.
+_END = r"(?:\s|\\++[rn])"
+_LINES = rf"""(?:{_END}*+(?:[A-Za-z0-9+/=]{{16,}}+|(?:Proc-Type|DEK-Info|Version|Comment|X-[A-Za-z-]{{1,30}}+):[ ]?+[!-~]{{1,160}}+))*+"""
+_LAST = rf"""(?:{_END}*+(?:(?=[A-Za-z]*+[0-9+/=])[A-Za-z0-9+/=]{{1,15}}+|[A-Za-z]{{1,15}}+(?={_END}*+(?:-----END|(?![\s\S])))))?+"""
+_LABEL = "[A-Z0-9 ]{0,24}PRIVATE KEY(?: BLOCK)?+-----"
+PRIVATE_KEY = rf"-----BEGIN {_LABEL}{_LINES}{_LAST}(?:{_END}*+-----END {_LABEL})?+"
+#: First letters of tokens that services hand out.
+VENDORS = (
+    "glpat- gloas- sk_live_ rk_live_ sk_test_ rk_test_ pk_live_ AIza npm_ pypi- SG\\. sk- hf_ dop_v1_ doo_v1_ shpat_ shpss_ ya29\\. "
+    "github_pat_ sq0atp- sq0csp- hvs\\. xapp- rubygems_ lin_api_ dckr_pat_ figd_ ntn_ GOCSPX- AGE-SECRET-KEY-1"
+).split()
 #: Shapes that a value can have, in the order they are looked for.
-PRIVATE_KEY = r"-----BEGIN [A-Z0-9 ]{0,24}PRIVATE KEY-----(?:[A-Za-z0-9+/=\s:,.\\-]*?-----END [A-Z0-9 ]{0,24}PRIVATE KEY-----|[A-Za-z0-9+/=\\\r\n]*+)"
 KNOWN = (
     ("private_key", PRIVATE_KEY),
     ("cloud_key", r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b"),
     ("forge_token", r"\bgh[pousr]_[A-Za-z0-9]{30,}+\b"),
     ("chat_token", r"\bxox[abprs]-[A-Za-z0-9-]{10,}+"),
-    ("web_token", r"\beyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{5,}+"),
+    ("web_token", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{5,}+"),
+    ("vendor_token", rf"(?<![A-Za-z0-9_-])(?:{'|'.join(VENDORS)})[A-Za-z0-9_.-]{{16,}}+"),
 )
-#: A value behind a telling name; a private key behind one is a private key.
-VALUE = r"[A-Za-z0-9+/=_.-]{8,}+"
-NAMED = rf"""(?i:key|token|secret|passw(?:or)?d|pwd|auth|credentials?)["']?\s{{0,3}}(?:=>|:=|=|:)\s{{0,3}}["']?(?!-----BEGIN ){VALUE}"""
+#: A password in an address, behind the user's name.
+URL_LEAD = r"""://[^\s/:@"'<>]{0,64}+:"""
+URL_PASSWORD = rf"""{URL_LEAD}[^\s/@"'<>]{{3,256}}+(?=@[A-Za-z0-9\[])"""
+#: A value behind a telling name: in quotes up to the closing one, else up to white space, a quote or
+#: one of , ; < > ( ) [ ] { } | \ or the next parameter of a query.  Where the name says that it is a
+#: password, it may have spaces in quotes.  A private key behind a name is a private key.
+_WIDE = "\u00A1-\u024F"
+_SIGN = f"[!#-%*-+./0-:=?-Z^_a-z~{_WIDE}-]"
+BARE = rf"(?:{_SIGN}|&(?![A-Za-z0-9_.-]{{1,40}}=)){{8,}}+"
+_IS = r"""["']?+\s{0,3}+(?:=>|:=|=|:)\s{0,3}+"""
+NAME = r"(?i:key|token|secret|pass(?:word|wd|phrase)|pwd|auth|credentials?)" + _IS
+PASS = r"(?i:pass(?:word|wd|phrase)?|pwd|secret)" + _IS
+_QUOTED = rf""""[!#-~{_WIDE}]{{8,}}+(?=")|'[!-&(-~{_WIDE}]{{8,}}+(?=')"""
+_SPACED = """"(?! )[ !#-~]{8,128}+(?=")|'(?! )[ -&(-~]{8,128}+(?=')"""
+NAMED = rf"""(?:{PASS}(?:{_SPACED})|{NAME}(?!["']?-----BEGIN )(?:{_QUOTED}|["']?{BARE}))"""
 RUNS = (
     ("hex", r"\b[A-Fa-f0-9]{32,}+\b"), ("base64", r"(?<![A-Za-z0-9+/])(?=[A-Za-z+/]*+[0-9])[A-Za-z0-9+/]{40,}+={0,2}")
 )
-CANDIDATE = "|".join(f"(?:{x})" for x in (*(x for _, x in KNOWN), NAMED, *(x for _, x in RUNS)))
+CANDIDATE = "|".join(f"(?:{x})" for x in (*(x for _, x in KNOWN), URL_PASSWORD, NAMED, *(x for _, x in RUNS)))
+#: What stands before the value in a candidate of the last two kinds.
+LEAD = rf"""^(?:{URL_LEAD}|(?:{NAME}|{PASS})["']?)"""
 #: Words whose letters make a value readable: placeholders, field names, plain English.
 WORDS = """example sample dummy changeme change placeholder password passwd secret token insert replace default
 test testing demo fake your here value none null undefined todo user username admin root login account server
@@ -50,12 +78,14 @@ FOR = r"(?i)(?<![a-z])(?:secret|token|passw|pwd|api.?key|credential|bearer|auth|
 AGAINST = r"(?i)(?<![a-z])(?:examples?|samples?|dummy|placeholder|fake|tests?|commits?|sha.?(?:1|256|512)|md5|checksums?|digest|hash(?:es)?|uuid|revision|etag|integrity)(?![a-z])"
 TEST_PATH = r"(?i)(?:test|spec|example|sample|doc|fixture|mock|demo)"
 FEATURES = (
-    "length", "transitions", "distinct", "digits", "uppers", "hex", "coverage", "run", "sep", "known", "named", "for",
-    "against", "for_after", "against_after", "test_path",
+    "length", "transitions", "distinct", "digits", "uppers", "hex", "coverage", "run", "sep", "signs", "spaces", "known",
+    "named", "for", "against", "for_after", "against_after", "test_path",
 )
 NEIGHBOURHOOD = 48
-TREES, DEPTH, SEED = 24, 7, 7
-FINDINGS = 6000
+TREES, DEPTH, SEED = 24, 8, 7
+FINDINGS = 16_000
+#: The trained forest: nested [feature number, threshold, left, right], a leaf is its probability.
+FOREST = Path(__file__).with_name("secret_forest.json")
 MASK = "[SECRET]"
 
 _CLASSES = ("abcdefghijklmnopqrstuvwxyz" + "ABCDEFGHIJKLMNOPQRSTUVWXYZ" + "0123456789", "a" * 26 + "A" * 26 + "0" * 10)
@@ -79,6 +109,8 @@ def features(value, before, after, shape, named, path):
         ) / n,
         "run": F.length(F.regexp_extract(value, r"((.)\2{3,}+)", 1)) / n,
         "sep": count("[_.-]") / n,
+        "signs": count(r"[^A-Za-z0-9_.\s-]") / n,
+        "spaces": count(r"\s") / n,
         "known": shape.isin([k for k, _ in KNOWN]),
         "named": named,
         "for": before.rlike(FOR),
@@ -103,11 +135,18 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     at = lambda k, m: F.pmod(r(k), F.lit(m)).cast("int")
     pick = lambda k, *options: F.element_at(F.array(*map(F.lit, options)), at(k, len(options)) + 1)
     some = lambda k: F.sha2(F.concat(F.lit(k), F.col("id").cast("string")), 512)
-    hexes = some("h")
-    b64 = F.translate(F.concat(F.base64(F.unhex(some("b"))), F.base64(F.unhex(some("c")))), "=\r\n", "")
-    alnum = F.translate(b64, "+/", "xQ")
+    # drawn once a row, as columns: what follows only refers to them
+    drawn = ("a", "b", "c", "d", "e", "f", "g", "h", "p1", "p3", "p5", "w1", "w2", "w3", "w4", *[f"q{k}" for k in range(6)])
+    rows = spark.range(n).withColumns(
+        {
+            "label": (F.col("id") % 2).cast("double"), "hexes": some("h"),
+            "b64": F.translate(F.concat(F.base64(F.unhex(some("b"))), F.base64(F.unhex(some("c")))), "=\r\n", ""),
+        }
+        | {f"w_{k}": pick(k, *WORDS) for k in drawn}
+    ).withColumns({"alnum": F.translate("b64", "+/", "xQ"), "letters": F.translate("hexes", "0123456789", "ghijklmnop")})
+    hexes, b64, alnum, letters = map(F.col, ("hexes", "b64", "alnum", "letters"))
     cut = lambda s, k, *sizes: F.substring(s, F.lit(1), pick(k, *sizes).cast("int"))
-    word = lambda k: pick(k, *WORDS)
+    word = lambda k: F.col(f"w_{k}")
     caps = F.upper(alnum)
     web = F.concat(
         F.lit("eyJ"), F.substring(alnum, 1, 30), F.lit("."), F.substring(alnum, 31, 60), F.lit("."),
@@ -126,8 +165,22 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
         ),
         F.when(at("end", 4) > 0, F.concat(line_end, F.lit("-----END PRIVATE KEY-----"))).otherwise(""),
     )
+    sign = lambda k: pick(k, "!", "#", "$", "@", "%", "^", "&", "*", "?", "+")
+    digit = lambda k: at(k, 10).cast("string")
+    vendor = pick("vn", *[v.replace("\\", "") for v in VENDORS])
+    # a password as people make them, and one as machines do
+    made = F.when(
+        at("pw", 2) == 0,
+        F.concat(F.initcap(word("p1")), digit("p2"), F.initcap(word("p3")), sign("p4"), F.initcap(word("p5")), digit("p6")),
+    ).otherwise(
+        F.concat(F.substring(alnum, 1, 4), sign("p4"), F.substring(alnum, 5, 5), sign("p7"), cut(F.substring(alnum, 10, 40), "p8", 1, 4, 9))
+    )
+    phrase = F.concat_ws(" ", *[F.substring(letters, 1 + 9 * k, 4 + k % 4) for k in range(4)])
     # value, shape, named (1: behind a telling name, 0: bare, null: drawn)
     true = (
+        (made, None, 1), (phrase, None, 1),
+        (F.concat(vendor, cut(alnum, "n", 20, 24, 32, 36, 40)), "vendor_token", None),
+        (F.when(at("up", 2) == 0, made).otherwise(cut(alnum, "n", 8, 10, 12, 16, 20)), "url_password", 0),
         (cut(hexes, "n", 12, 16, 20, 24, 32, 40, 64, 128), None, 1),
         (cut(alnum, "n", 10, 12, 16, 20, 24, 32, 40, 64), None, 1), (cut(b64, "n", 24, 40, 44, 64, 88), None, 1),
         (F.concat(cut(alnum, "n", 8, 10, 12), pick("s", "-", "_", "."), cut(hexes, "m", 4, 6, 8)), None, 1),
@@ -138,6 +191,26 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     )
     false = (
         (F.concat_ws("_", word("a"), word("b"), word("c")), None, 1),
+        (F.concat_ws(" ", *[word(f"q{k}") for k in range(6)]), None, 1),
+        (
+            F.when(at("g", 3) == 0, F.concat(F.lit("$"), F.upper(word("a")), F.lit("_"), F.upper(word("b")))).when(
+                at("g", 3) == 1, F.concat(F.lit("%"), F.upper(word("a")), F.upper(word("b")), F.lit("%"))
+            ).otherwise(F.repeat(pick("c", "*", "?", "#", "."), at("m", 16) + 8)),
+            None, 1,
+        ),
+        (
+            F.concat(
+                vendor,
+                F.when(at("g", 2) == 0, F.repeat(pick("c", "x", "0", "X", "1"), at("m", 20) + 16)).otherwise(
+                    F.concat(pick("q", "your_", "my-", "insert_", "an-"), word("a"), F.lit("_"), word("b"), F.lit("-"), word("c"), F.lit("_here"))
+                ),
+            ),
+            "vendor_token", None,
+        ),
+        (
+            pick("u", "password", "pass", "secret", "changeme", "PASSWORD", "xxxxxx", "your_password", "$DB_PASS", "***", "admin", "root", "postgres"),
+            "url_password", 0,
+        ),
         (
             F.concat(
                 pick("p", "your_", "my-", "insert-", "example_"), word("a"), pick("q", "_here", "-value", "", "123")
@@ -199,7 +272,6 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
             "base64", 0,
         ),
     )
-    rows = spark.range(n).withColumn("label", (F.col("id") % 2).cast("double"))
     is_true = F.col("label") == 1
     named_true, named_false = at("nt", 2) == 1, at("nf", 2) == 1
 
@@ -212,11 +284,16 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
             ) if out is None else out.when(at("kind", len(options)) == i, v)
         return out
 
-    value = F.when(is_true, chosen(true, 0)).otherwise(chosen(false, 0))
-    shape = F.when(is_true, chosen(true, 1).cast("string")).otherwise(chosen(false, 1).cast("string"))
-    named = F.when(
-        is_true, F.coalesce(chosen(true, 2).cast("boolean"), named_true)
-    ).otherwise(F.coalesce(chosen(false, 2).cast("boolean"), named_false))
+    rows = rows.withColumns(
+        {
+            "value": F.when(is_true, chosen(true, 0)).otherwise(chosen(false, 0)),
+            "shape": F.when(is_true, chosen(true, 1).cast("string")).otherwise(chosen(false, 1).cast("string")),
+            "named": F.when(is_true, F.coalesce(chosen(true, 2).cast("boolean"), named_true)).otherwise(
+                F.coalesce(chosen(false, 2).cast("boolean"), named_false)
+            ),
+        }
+    )
+    shape, named = F.col("shape"), F.col("named")
     name = pick(
         "name", "token =", "api_key:", "SECRET_KEY=", "password =", "auth_token:", "access token =", "key:", "pwd="
     )
@@ -239,8 +316,8 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
         at("t", 10) < F.when(is_true, 1).otherwise(3), pick("path", "tests/unit.txt", "docs/example.md")
     ).otherwise(pick("path2", "src/app.txt", "web/page", "mail", ""))
     return rows.select(
-        value.alias("value"), before.alias("before"), after.alias("after"),
-        F.coalesce(shape, F.lit("assignment")).alias("shape"), named.alias("named"), path.alias("path"), "label",
+        "value", before.alias("before"), after.alias("after"), F.coalesce(shape, F.lit("assignment")).alias("shape"),
+        "named", path.alias("path"), "label",
     )
 
 
@@ -259,12 +336,12 @@ def train(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int
     data = rows.repartition(1).sortWithinPartitions("f", "label").select(
         array_to_vector("f").alias("features"), "label"
     )
-    model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt").fit(data)
+    model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="onethird").fit(data)
 
     def walk(node):
         if node.getClass().getSimpleName() == "LeafNode":
             stats = list(node.impurityStats().stats())
-            return stats[1] / sum(stats) if len(stats) > 1 and sum(stats) else 0.0
+            return round(stats[1] / sum(stats), 6) if len(stats) > 1 and sum(stats) else 0.0
         split = node.split()
         return (split.featureIndex(), split.threshold(), walk(node.leftChild()), walk(node.rightChild()))
 
@@ -273,6 +350,17 @@ def train(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int
     return grown
 
 
+def trained() -> list:
+    """The forest that lies beside this module, as :func:`train` grew it from :func:`labelled_findings`.
+
+    ``python -m loomspan.llm.secret_scan`` trains it anew and writes it.
+    """
+    def nested(t):
+        return (t[0], t[1], nested(t[2]), nested(t[3])) if isinstance(t, list) else t
+
+    return [nested(t) for t in json.loads(FOREST.read_text())["trees"]]
+
+
 def forest(trees: list, f):
     """The trees' mean probability over an array of features, rounded to 9 places.
 
@@ -335,13 +423,16 @@ def candidates_of(text, path):
     fields = ("gap", "hit", "next_gap", "end", "last", "next")
     named = F.transform(
         let(found, zipped),
-        lambda z: F.struct(*[z[k].alias(k) for k in fields], z["hit"].rlike(f"^(?:{NAMED})$").alias("named")),
+        lambda z: F.struct(*[z[k].alias(k) for k in fields], z["hit"].rlike(LEAD).alias("led")),
     )
-    value = lambda z: F.when(
-        z["named"], F.regexp_extract(z["hit"], rf"""(?:=>|:=|=|:)\s{{0,3}}["']?((?!-----BEGIN ){VALUE})$""", 1)
-    ).otherwise(z["hit"])
+    # only the two kinds that are found by what leads to them begin with it
+    value = lambda z: F.when(z["led"], F.regexp_replace(z["hit"], LEAD, "")).otherwise(z["hit"])
     valued = F.transform(
-        named, lambda z: F.struct(*[z[k].alias(k) for k in (*fields, "named")], value(z).alias("value"))
+        named,
+        lambda z: F.struct(
+            *[z[k].alias(k) for k in fields], (z["led"] & ~F.startswith(z["hit"], F.lit("://"))).alias("named"),
+            value(z).alias("value"),
+        ),
     )
 
     def shape_of(z):
@@ -349,7 +440,7 @@ def candidates_of(text, path):
         for name, x in KNOWN:
             there = z["value"].rlike(rf"^(?:{x})$")
             out = F.when(there, name) if out is None else out.when(there, name)
-        return out.when(z["named"], "assignment").when(
+        return out.when(z["named"], "assignment").when(F.startswith(z["hit"], F.lit("://")), "url_password").when(
             z["value"].rlike(f"^(?:{RUNS[0][1]})$"), "hex"
         ).otherwise("base64")
 
@@ -428,3 +519,15 @@ def redact(docs: DataFrame, trees: list, text_col: str = "text", path_col: str =
     rest = F.substring(text, last["start"] + F.length(last["value"]) + 1, F.length(text))
     clean = F.when(F.size(cands) > 0, F.concat(F.array_join(parts, ""), rest))
     return marked.withColumn(text_col, F.coalesce(clean, F.col(text_col))).drop(found)
+
+
+def main() -> None:
+    """Train the forest and write it beside this module."""
+    spark = SparkSession.builder.master("local[4]").config("spark.ui.enabled", "false").getOrCreate()
+    trees = train(labelled_findings(spark))
+    FOREST.write_text(json.dumps({"features": FEATURES, "trees": trees}, separators=(",", ":")) + "\n")
+    spark.stop()
+
+
+if __name__ == "__main__":
+    main()

@@ -129,7 +129,7 @@ def test_contaminated_documents_go(spark, docs):
 def test_secrets_are_masked_and_all_documents_stay(spark, docs):
     out = P.redact_secrets(spark, docs, SF)
     assert out.count() == docs.count() and dict(out.dtypes) == dict(docs.dtypes)
-    assert not [r for r in secret_scan.scan(out, forest(spark)).collect() if r.secret]
+    assert not [r for r in secret_scan.scan(out, forest()).collect() if r.secret]
     assert out.where(
         F.length("text") != F.col("n_chars")
     ).count() == docs.where(F.length("text") != F.col("n_chars")).count() == 0
