@@ -7,10 +7,16 @@ upper-case letters (upper fences), and word length (upper and lower).
 Fences.  A fence lies ``REACH`` times the distance from the median to a quartile beyond
 that quartile, both read from a quantile sketch of the (language, source)'s own rows that
 pass the base rules.  For exponential tails that leaves out one row in some thousands, and
-up to a quarter of a group may be junk without moving its fence far.  Nothing else bounds a
-fence: no constant is added.  Counts are smoothed by a prior of a few words or lines
-(``RATES``), so that short texts are no outliers by chance and rates that are mostly zero
-still have a spread.
+up to a quarter of a group may be junk without moving its fence far.  Counts are smoothed by a
+prior of a few words or lines (``RATES``, constants), so that short texts are no outliers by
+chance and rates that are mostly zero still have a spread.
+
+Chance.  A fence is a rate, a text has a number of words.  A text is outside only if its count is
+also more than ``DEVIATIONS`` standard deviations above what the fence's rate gives at the text's own
+length: a text without the measured thing is always inside, and in a group whose texts all
+agree, where the fence has no reach, a short text of the same kind is inside too.  Counts
+spread like Poisson's, with one more than expected allowed for; words' lengths are taken to spread
+by half their mean.
 
 Small groups.  Quantiles of a (language, source) are drawn towards its language's, and
 those towards the corpus's, with the weight of ``PRIOR_ROWS`` rows: there is no step at
@@ -43,6 +49,7 @@ RATES = {
     "word_len": ("word_chars", "n_words", 0, 0, True),
 }
 REACH = 10
+DEVIATIONS = 3
 PRIOR_ROWS = 100
 SKETCH_BITS = 10
 
@@ -116,6 +123,17 @@ def rates() -> dict:
     }
 
 
+def by_chance(name: str, lo, hi):
+    """Whether a text's count lies within ``DEVIATIONS`` of what its fences, ``lo`` and ``hi``, give at its length."""
+    count, whole, _, _, both = RATES[name]
+    n = F.col(whole)
+    at = lambda fence: (fence * n).cast("double") / F.lit(10000.0)
+    if not both:
+        return F.col(count) <= at(hi) + F.lit(float(DEVIATIONS)) * F.sqrt(at(hi) + F.lit(1.0))
+    wide = lambda fence: F.lit(DEVIATIONS / 2) * at(fence) / F.sqrt(F.greatest(n, F.lit(1)).cast("double"))
+    return F.col(count).between(at(lo) - wide(lo), at(hi) + wide(hi))
+
+
 def bucket(v):
     """The lower end of the sketch's bucket for an integer >= 0: its leading bits."""
     shift = F.greatest(F.length(F.bin(v)) - SKETCH_BITS, F.lit(0))
@@ -185,7 +203,7 @@ def quality_rules(
     """Measures, rates, base verdict, fences and final verdict for each row of ``docs``.
 
     ``kept`` is false where ``base_failed``, else where a rate's bucket in the sketch lies
-    outside its fences; on its fence it is inside.  Null languages and sources are values of their own.  Repeated
+    outside its fences, and by more than chance; on its fence it is inside.  Null languages and sources are values of their own.  Repeated
     rows count as often as they stand.  Where no row passes the base rules there are no
     fences and nothing more to reject.  Extra input columns are ignored; an empty table
     gives an empty result.
@@ -204,5 +222,6 @@ def quality_rules(
     ).drop("f_lang", "f_source")
     inside = F.lit(True)
     for k in RATES:
-        inside = inside & F.coalesce(bucket(F.col(k)).between(F.col(f"{k}_lo"), F.col(f"{k}_hi")), F.lit(True))
+        lo, hi = F.col(f"{k}_lo"), F.col(f"{k}_hi")
+        inside = inside & F.coalesce(bucket(F.col(k)).between(lo, hi) | by_chance(k, lo, hi), F.lit(True))
     return joined.withColumn("kept", ~F.col("base_failed") & inside)

@@ -122,7 +122,16 @@ def _quality_sql() -> str:
     names = list(quality_rules.RATES)
     values = " ".join(f"WHEN '{k}' THEN {_CUT.replace('v', f'r.{k}')}" for k in names)
     both = ", ".join(f"'{k}'" for k, (*_, x) in quality_rules.RATES.items() if x)
-    w, reach = quality_rules.PRIOR_ROWS, quality_rules.REACH
+    w, reach, dev = quality_rules.PRIOR_ROWS, quality_rules.REACH, quality_rules.DEVIATIONS
+    at = lambda fence, n: f"({fence} * {n})::DOUBLE / 10000"
+    chance = " ".join(
+        f"WHEN '{k}' THEN " + (
+            f"{a} BETWEEN {at('f.lo', b)} - {dev / 2} * ({at('f.lo', b)}) / sqrt(greatest({b}, 1)::DOUBLE)"
+            f" AND {at('f.hi', b)} + {dev / 2} * ({at('f.hi', b)}) / sqrt(greatest({b}, 1)::DOUBLE)" if x
+            else f"{a} <= {at('f.hi', b)} + {dev}::DOUBLE * sqrt({at('f.hi', b)} + 1)"
+        )
+        for k, (a, b, _, _, x) in quality_rules.RATES.items()
+    )
     quarters = "count(*) AS n, quantile_disc(bucket, 0.25) AS q25, quantile_disc(bucket, 0.5) AS q50, quantile_disc(bucket, 0.75) AS q75"
     drawn = lambda own, to: ", ".join(
         f"({own}.n * {own}.q{k} + {w} * {to}.q{k}) // ({own}.n + {w}) AS q{k}" for k in (25, 50, 75)
@@ -160,7 +169,7 @@ f AS (
   FROM q),
 bad AS (
   SELECT DISTINCT r.doc_id FROM r JOIN f ON r.lang IS NOT DISTINCT FROM f.lang AND r.source IS NOT DISTINCT FROM f.source
-  WHERE CASE f.measure {values} END NOT BETWEEN f.lo AND f.hi)
+  WHERE CASE f.measure {values} END NOT BETWEEN f.lo AND f.hi AND NOT CASE f.measure {chance} END)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept
 FROM r"""
