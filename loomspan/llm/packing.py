@@ -206,16 +206,19 @@ def _dealt(cut_pieces: DataFrame, packers: int, capacity: int, tag: int) -> Data
 
     def place(key, rows):
         import numpy as np
+        import pyarrow as pa
 
-        rows = rows.sort_values(["length", "id", "piece"], ascending=[False, True, True], kind="stable")
-        sequence, rows["offset"] = best_of_orders(rows["length"], capacity)
-        fill = np.bincount(sequence, weights=rows["length"]).astype(np.int64)
-        rows["gap"] = capacity - fill[sequence]
-        rows["sequence_id"] = (tag << 60) + (int(key[0]) << 28) + sequence
-        return rows.drop(columns="packer")
+        rows = rows.sort_by([("length", "descending"), ("id", "ascending"), ("piece", "ascending")])
+        sequence, offset = best_of_orders(rows["length"].to_numpy(), capacity)
+        fill = np.bincount(sequence, weights=rows["length"].to_numpy()).astype(np.int64)
+        number = (tag << 60) + (key[0].as_py() << 28) + sequence
+        for name, column in (("sequence_id", number), ("offset", offset), ("gap", capacity - fill[sequence])):
+            rows = rows.append_column(name, pa.array(column, pa.int64()))
+        return rows.drop_columns(["packer"])
 
     extra = ", ids array<int>" if "ids" in kept else ""
-    return dealt.groupBy("packer").applyInPandas(place, f"{PIECE}{extra}, sequence_id long, offset long, gap long")
+    # Arrow, not pandas: ids beyond 2^53 stay as they are beside a null
+    return dealt.groupBy("packer").applyInArrow(place, f"{PIECE}{extra}, sequence_id long, offset long, gap long")
 
 
 def pack(
