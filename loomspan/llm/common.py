@@ -91,6 +91,14 @@ def text_function(make: Callable[[], Callable], kind: str):
     return F.arrow_udf(run, kind)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, made longer until no column of ``df`` is called so, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def row_hash(df: DataFrame) -> Column:
     """64-bit hash of all columns, nulls told from other values: with the id it tells rows apart."""
     cols = [F.col(f"`{c}`") for c in df.columns]

@@ -13,7 +13,8 @@ most and in size by a quarter at most.  So, in any order of all shingles, of the
 
 Scale.  Shingles that very many texts hold are found in a sample of the texts, counted with
 partial sums and broadcast, so that no task gets all rows of one; the sample only decides
-the way a shingle is counted, not whether.  Dense groups are thinned first: every text is
+the way a shingle is counted, not whether.  The ``FREQUENT`` most frequent go that way, so what
+is left of any other is less than one in so many of all rows.  Dense groups are thinned first: every text is
 compared with the smallest id that holds one of its shingles, one pair a shingle and text,
 as long as that takes out a tenth of them.  What is left is compared pair by pair.  No
 candidate is left out.
@@ -24,12 +25,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, HOT_ROWS, broadcast_if_small, discard, materialize, row_hash, slices
+from .common import (
+    ASCII_LOWER, BROADCAST_ROWS, HOT_ROWS, broadcast_if_small, discard, fresh, materialize, row_hash, slices,
+)
 
 SHINGLE = 5
 SEED = 42
 #: One text in so many is looked at to find shingles that very many texts hold; of these, the most frequent.
-SAMPLED, FREQUENT = 32, 2000
+SAMPLED, FREQUENT = 32, BROADCAST_ROWS
 
 
 def _need(n):
@@ -88,33 +91,34 @@ def shingles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fi
     return src.mapInArrow(run, "id long, n int, hashes array<long>")
 
 
-def _frequent(sets: DataFrame) -> list[int]:
-    """Shingles that some ``HOT_ROWS`` sets or more hold, by a sample: ``FREQUENT`` of them at most."""
+def _frequent(sets: DataFrame) -> DataFrame | None:
+    """Shingles ``h`` that some ``HOT_ROWS`` sets or more hold, by a sample; stored, None if there are none."""
     some = sets.where(
         F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(SAMPLED)) == 0
     ).select(F.explode("hashes").alias("h"))
     often = some.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= HOT_ROWS // SAMPLED)
-    return [r.h for r in often.orderBy(F.desc("n"), "h").limit(FREQUENT).collect()]
+    found = materialize(often.orderBy(F.desc("n"), "h").limit(FREQUENT).select("h"), "frequent")
+    return found if found.limit(1).count() else None
 
 
-def _shared(sets: DataFrame, frequent: list[int]) -> DataFrame:
+def _shared(sets: DataFrame, frequent: DataFrame | None) -> DataFrame:
     """Rows (id, n, h, c, lead) of the sets' shingles that another set has too: their count ``c`` and the
     smallest id that holds them, ``lead`` (id, n).  The ``frequent`` ones are counted by partial sums."""
-    held = F.array(*map(F.lit, frequent)).cast("array<long>")
     by = Window.partitionBy("h")
     first = F.min(F.struct("id", "n"))
-    cold = sets.select("id", "n", F.explode(F.array_except("hashes", held)).alias("h"))
+    held = sets.select("id", "n", F.explode("hashes").alias("h"))
+    cold = held if frequent is None else held.join(F.broadcast(frequent), "h", "left_anti").select("id", "n", "h")
     cold = cold.withColumns({"c": F.count("*").over(by), "lead": first.over(by)}).where("c > 1")
-    if not frequent:
+    if frequent is None:
         return cold.select("id", "n", "h", "c", "lead")
-    hot = sets.select("id", "n", F.explode(F.array_intersect("hashes", held)).alias("h"))
+    hot = held.join(F.broadcast(frequent), "h", "left_semi")
     counted = hot.groupBy("h").agg(F.count("*").alias("c"), first.alias("lead")).where("c > 1")
     return cold.select("id", "n", "h", "c", "lead").unionByName(
         hot.join(F.broadcast(counted), "h").select("id", "n", "h", "c", "lead")
     )
 
 
-def _rare(sets: DataFrame, frequent: list[int]) -> DataFrame:
+def _rare(sets: DataFrame, frequent: DataFrame | None) -> DataFrame:
     """``(id, n, s)``: the first shingles of each set as (c, h, lead), rarest first, without those no other set has."""
     some = _shared(sets, frequent).groupBy("id", "n").agg(
         F.array_sort(F.collect_list(F.struct("c", "h", "lead"))).alias("s")
@@ -198,17 +202,20 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     their columns: two of n such rows take each other's place with a probability below
     n^2 / 2^65.
     """
-    key, ident = "__key", F.col(id_col).cast("long")
+    ident = F.col(id_col).cast("long")
     docs = materialize(docs, "once")
+    key, also, hashed = (fresh(docs, k) for k in ("__key", "__id", "__hash"))
     clash = materialize(
-        docs.groupBy(ident.alias("__id")).agg(F.count("*").alias("n")).where("n > 1 OR __id IS NULL").select("__id"),
+        docs.groupBy(ident.alias(also)).agg(F.count("*").alias("n")).where(
+            (F.col("n") > 1) | F.col(also).isNull()
+        ).select(also),
         "clash",
     )
     if clash.limit(1).count():
         marked = docs.join(
-            broadcast_if_small(clash).withColumn("__hash", F.lit(True)), ident.eqNullSafe(F.col("__id")), "left"
+            broadcast_if_small(clash).withColumn(hashed, F.lit(True)), ident.eqNullSafe(F.col(also)), "left"
         )
-        keyed = marked.withColumn(key, F.when(F.col("__hash"), row_hash(docs)).otherwise(ident)).drop("__id", "__hash")
+        keyed = marked.withColumn(key, F.when(F.col(hashed), row_hash(docs)).otherwise(ident)).drop(also, hashed)
     else:
         keyed = docs.withColumn(key, ident)
     gone = broadcast_if_small(near_copies(keyed, key, text_col)).withColumnRenamed("id", key)

@@ -32,7 +32,7 @@ from math import comb
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, broadcast_if_small, discard, join_by_group, materialize, row_hash, text_function
+from .common import ASCII_LOWER, broadcast_if_small, discard, fresh, join_by_group, materialize, row_hash, text_function
 
 SEED = 42
 MAX_BITS = 4
@@ -292,9 +292,9 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     order = F.struct(F.col("id").isNull().alias("z"), "id", "row")
     kept = found.groupBy("root").agg(F.min(order).alias("k"), F.count("*").alias("n"))
     # components of one row lose nothing and are left out of what follows
-    lost = kept.where("n > 1")
+    lost = materialize(kept.where("n > 1"), "lost")
     rest = materialize(
-        found.join(lost.select("root", "k"), "root").select(
+        join_by_group(found, lost, "root").select(
             "id", "row", F.col("k.id").eqNullSafe(F.col("id")) & (F.col("k.row") == F.col("row"))
         ).toDF("id", "row", "stays"),
         "members",
@@ -304,23 +304,27 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
         rest.where("stays").groupBy("id", "row").agg(F.count("*").alias("n")).where("n > 1").select("id", "row"),
         "repeated",
     )
-    discard(marks, found, rest)
+    discard(marks, found, rest, lost)
     out = without_rows(docs, gone, id_col)
     if not twice.limit(1).count():
         return out
-    again = broadcast_if_small(twice).withColumnsRenamed({"id": "__id", "row": "__row"})
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (row_hash(docs) == F.col("__row"))
+    again, same = named_rows(docs, twice, id_col)
     return out.join(again, same, "left_anti").unionByName(
         materialize(docs.join(again, same, "left_semi").distinct(), "once")
     )
 
 
+def named_rows(docs: DataFrame, named: DataFrame, id_col: str):
+    """The stored rows (id, row) of ``named`` under names that ``docs`` lacks, and the condition to meet them."""
+    ident, row = fresh(docs, "__id"), fresh(docs, "__row")
+    there = broadcast_if_small(named).withColumnsRenamed({"id": ident, "row": row})
+    return there, F.col(id_col).cast("long").eqNullSafe(F.col(ident)) & (row_hash(docs) == F.col(row))
+
+
 def without_rows(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
     """``docs`` without the rows named by ``gone``: stored (id, row), ``row`` being :func:`row_hash`."""
-    named = broadcast_if_small(gone).withColumnsRenamed({"id": "__id", "row": "__row"})
-    return docs.join(
-        named, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (row_hash(docs) == F.col("__row")), "left_anti"
-    )
+    named, same = named_rows(docs, gone, id_col)
+    return docs.join(named, same, "left_anti")
 
 
 def hex16(fp):

@@ -152,6 +152,20 @@ def test_null_languages_and_ties(spark):
     assert len(got) == 20 and all(r.kept for r in got)
 
 
+def test_clean_short_texts_of_uniform_sources_stay(spark):
+    """Where a group's texts agree, a fence has no reach: a short text without the measured thing is inside all the same."""
+    low = lambda rnd, n: "\n".join(" ".join("abcdefgh"[rnd.randrange(8)] * 5 for _ in range(10)) + str(rnd.random())[2:] for _ in range(n // 10))
+    rnd = random.Random(21)
+    flat = [low(rnd, 1000) for _ in range(300)] + [low(rnd, 60)]
+    got = {r.id: r for r in quality_rules.quality_rules(docs_of(spark, flat)).collect()}
+    assert got[300].kept and got[300].symbols > got[300].symbols_hi and got[300].uppers > got[300].uppers_hi
+    mixed = [(k, low(rnd, 600), "en", "one", 1) for k in range(300)] + [(1000 + k, low(rnd, 40), "en", "one", 1) for k in range(15)]
+    mixed += [(2000 + k, prose(rnd, rnd.randrange(60, 300)), "en", "two", 1) for k in range(150)]
+    junk = [(3000, low(rnd, 60).replace(" ", " # "), "en", "one", 1), (3001, low(rnd, 60).upper(), "en", "one", 1)]
+    got = {r.id: r for r in quality_rules.quality_rules(spark.createDataFrame(mixed + junk, DOC)).collect()}
+    assert all(got[1000 + k].kept for k in range(15)) and not got[3000].kept and not got[3001].kept
+
+
 def test_quality_rules_match_labels(spark):
     out = queries.op1_quality_rules(spark, "/root/testdata/sf0.01").join(
         spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id"
@@ -163,6 +177,13 @@ def test_quality_rules_match_labels(spark):
 # --- 2 packing
 
 
+def test_packing_keeps_ids(spark):
+    """Ids beyond 2^53 stay as they are beside a null."""
+    ids = [None, (1 << 60) + 1, (1 << 60) + 3, -(1 << 62) - 1, 0]
+    docs = spark.createDataFrame([(i, f"text {k}") for k, i in enumerate(ids)], "doc_id long, text string")
+    assert sorted(map(str, (r.id for r in packing.pack_documents(docs).collect()))) == sorted(map(str, ids))
+
+
 def test_packing_contract(spark):
     from public_tokenizers import path
     from tokenizers import Tokenizer

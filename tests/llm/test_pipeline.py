@@ -153,3 +153,42 @@ def test_stages_take_empty_and_null_tables(spark, docs, name, stage):
         [(None, None, None, None, None), (1, None, None, None, None), (2, "", None, None, 0)], docs.schema
     )
     assert stage(spark, nulls, SF).count() == (1 if name == "simhash_dedup" else 3)
+
+
+@pytest.mark.parametrize("name,stage", P.STAGES[:-1])
+def test_columns_of_the_user_stay(spark, docs, name, stage):
+    """Columns called like those that the operators work with come back as they were, in any case."""
+    own = ("__key", "__id", "__row", "__hash", "__HASH", "__findings", "row", "root", "fp", "h", "key", "stays")
+    own = own[:4] + own[5:]
+    some = docs.where("doc_id < 60")
+    more = some.union(some.where("doc_id < 3")).union(spark.createDataFrame([(None, "no id here", "en", "s", 10)], docs.schema))
+    clash = more.withColumns({c: F.concat(F.lit(c), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))) for c in own})
+    out = stage(spark, clash, SF)
+    plain = stage(spark, more, SF)
+    assert out.columns == clash.columns
+    rows = out.collect()
+    assert rows and len(rows) == plain.count()
+    for r in rows:
+        assert all(r[c] == f"{c}{'-' if r.doc_id is None else r.doc_id}" for c in own)
+
+
+def test_many_frequent_shingles(spark, monkeypatch):
+    """More frequent shingles than are counted by partial sums: the same rows go, and no copy stays."""
+    from loomspan.llm import near_copies
+
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(6))
+    common = " ".join(word() for _ in range(40))  # a passage that all texts hold: 36 frequent shingles
+    texts = []
+    for _ in range(60):
+        own = [word() for _ in range(120)]
+        texts.append(" ".join(own) + " " + common)
+        texts.append(" ".join(own[:-3] + [word() for _ in range(3)]) + " " + common)  # a near copy
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars int")
+    monkeypatch.setattr(near_copies, "SAMPLED", 1)
+    gone = {}
+    for hot, frequent in ((20_000, 10), (40, 10), (40, 1000)):  # none, some, all of them are frequent
+        monkeypatch.setattr(near_copies, "HOT_ROWS", hot)
+        monkeypatch.setattr(near_copies, "FREQUENT", frequent)
+        gone[hot, frequent] = sorted(r.id for r in near_copies.near_copies(df).collect())
+    assert set(map(tuple, gone.values())) == {tuple(range(1, 120, 2))}
