@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("metrics", "records", "text", "arcs", "conversations", "boundary", "calls", "files")
+MODULES = ("metrics", "records", "text", "arcs", "conversations", "boundary", "calls", "curation", "files")
 
 
 def queries() -> dict:

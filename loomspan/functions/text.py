@@ -197,8 +197,9 @@ def unfence(text: Column) -> Column:
 
 
 def search_url(author: Column, title: Column, year: Column) -> Column:
-    """A scholarly search address for a citation."""
-    return F.concat(F.lit("https://scholar.google.com/scholar?q="), F.url_encode(F.concat_ws(" ", author, title, year)))
+    """A scholarly search address for a citation; as in query strings a tilde stays and a star does not."""
+    words = F.replace(F.url_encode(F.concat_ws(" ", author, title, year)), F.lit("%7E"), F.lit("~"))
+    return F.concat(F.lit("https://scholar.google.com/scholar?q="), F.replace(words, F.lit("*"), F.lit("%2A")))
 
 
 def token_estimate(text: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .calls import RESULT, call_models, judged, metering, stub_client
 from .folds import fold
 
-__all__ = ["RESULT", "call_models", "fold", "judged", "keep_unless_rejected", "locate", "metering", "stub_client"]
+__all__ = ["RESULT", "call_models", "flagged_names", "fold", "judged", "keep_unless_rejected", "locate", "metering", "stub_client"]
 
 
 def keep_unless_rejected(names: DataFrame, verdicts: DataFrame, key: str = "name") -> DataFrame:
@@ -21,6 +21,20 @@ def keep_unless_rejected(names: DataFrame, verdicts: DataFrame, key: str = "name
     return names.join(bad, key, "left_anti")
 
 
+def flagged_names(names: DataFrame, verdicts: DataFrame, present: str, key: str = "name") -> DataFrame:
+    """``(key, verdict, reason)`` of the names that the text does not hold (``present`` false).
+
+    Anything but a plain no counts as real; without a verdict, because the check failed or left
+    the name out, the reason says so.
+    """
+    v = verdicts.select(key, F.col("verdict").alias("__v"), F.col("reason").alias("__r"), F.lit(True).alias("__there"))
+    no = F.col("__v") == "not_a_character"
+    return names.where(~F.col(present)).join(v, key, "left").select(
+        key, F.when(no, "not_a_character").otherwise("real").alias("verdict"),
+        F.when(F.col("__there"), F.coalesce("__r", F.lit(""))).otherwise("judge unavailable — kept").alias("reason"),
+    )
+
+
 def locate(candidates: DataFrame, answers: DataFrame, key: str) -> DataFrame:
     """Event per scene: the answered one, the first candidate where the call failed, nothing where
     the answer is no event; without candidates the midpoint chapter stands in.

@@ -8,10 +8,8 @@ from pyspark.sql import functions as F
 TOP_K = 6
 TRAILING = 5
 EPS = 1e-12
-#: Names that one containment pass may hold, and vectors that one top-k block may hold.
-NAMES_BLOCK, QUERY_BLOCK = 2000, 20_000
-#: Words of a containment key.
-SHINGLE = 4
+#: Queries that one pass may hold; more of them go through :mod:`loomspan.operators.vector_index`.
+QUERY_BLOCK = 20_000
 
 
 def norm(vec: Column) -> Column:
@@ -30,22 +28,22 @@ def masked_top_k(chunks: DataFrame, queries: DataFrame, k: int = TOP_K) -> DataF
     """The k most similar chunks that a query may see (chunk chapter <= query chapter).
 
     ``chunks``: (novel, chapter, chunk_idx, vec); ``queries``: (novel, query_id, query_chapter,
-    qvec), a stated set.  Up to ``QUERY_BLOCK`` of them, as counted, are broadcast; more are dealt
-    to blocks of that size, and chunks meet them by (novel, block).  Each task keeps its best k
-    per query before the shuffle of the ranking, so what moves then is k rows per task and query.
-    The mask comes before the ranking: fewer than k visible chunks give fewer rows.
+    qvec), a stated set.  Up to ``QUERY_BLOCK`` of them, as counted, are broadcast: one pass over the
+    chunks, in which each task keeps its best k per query before the shuffle of the ranking.  More
+    of them are looked up in an index made for the purpose, which passes over the blocks that cannot
+    hold a query's best (:mod:`loomspan.operators.vector_index`).  The mask comes before the
+    ranking: fewer than k visible chunks give fewer rows.
     """
+    if queries.count() > QUERY_BLOCK:
+        from ..sinks.paths import scratch
+        from . import vector_index
+
+        spark = chunks.sparkSession
+        index = vector_index.build(chunks, scratch(spark, "index"))
+        return vector_index.search(index, queries, scratch(spark, "search"), k)[0]
     normed = chunks.withColumn("vnorm", norm(F.col("vec")))
-    asked = queries.withColumn("qnorm", norm(F.col("qvec"))).withColumnRenamed("novel", "__novel")
-    blocks = -(-queries.count() // QUERY_BLOCK)
-    met = F.col("novel") == F.col("__novel")
-    if blocks <= 1:
-        asked = F.broadcast(asked)
-    else:
-        asked = asked.withColumn("__block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-        normed = normed.withColumn("__of", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-        met = met & (F.col("__of") == F.col("__block"))
-    hit = normed.join(asked, met & (F.col("chapter") <= F.col("query_chapter")))
+    asked = F.broadcast(queries.withColumn("qnorm", norm(F.col("qvec"))).withColumnRenamed("novel", "__novel"))
+    hit = normed.join(asked, (F.col("novel") == F.col("__novel")) & (F.col("chapter") <= F.col("query_chapter")))
     best = hit.select(
         "novel", "query_id", "chapter", "chunk_idx",
         cosine(F.col("vec"), F.col("qvec"), F.col("vnorm"), F.col("qnorm")).alias("sim"),
@@ -54,66 +52,6 @@ def masked_top_k(chunks: DataFrame, queries: DataFrame, k: int = TOP_K) -> DataF
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def _shingles(words: Column) -> Column:
-    """Hashes of all runs of ``SHINGLE`` words; ``words`` must be a stored column."""
-    hashed = F.transform(words, lambda w: F.xxhash64(w))
-    return F.flatten(F.transform(F.array(hashed), lambda h: F.when(
-        F.size(h) >= SHINGLE, F.transform(F.sequence(F.lit(0), F.size(h) - SHINGLE), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(SHINGLE)]))).otherwise(F.array().cast("array<long>"))))
-
-
-def containment(
-    texts: DataFrame, names: DataFrame, id_col: str, text_col: str, name_id: str, name_col: str,
-    block: int = NAMES_BLOCK,
-) -> DataFrame:
-    """``(id, name id)`` where a text holds a name; case and runs of white space do not matter.
-
-    A name's inner words (all but the first and the last, which may end inside the text's
-    words) stand in the text as whole words.  The first four of them are its key: texts look
-    their own runs of four words up among the keys, and only where one is there the name
-    itself is looked for.  Names with fewer inner words are looked for in every text.  Names
-    go out in blocks of ``block``; texts are neither shuffled nor multiplied.
-    """
-    spark = texts.sparkSession
-    flat = lambda c: F.regexp_replace(F.lower(c), r"\s+", " ")
-    id_type, name_type = texts.schema[id_col].dataType.simpleString(), names.schema[name_id].dataType.simpleString()
-    base = texts.select(F.col(id_col), flat(F.col(text_col)).alias("__t"))
-    keyed = base.withColumn("__g", _shingles(F.split("__t", " ")))
-    book = names.where(F.col(name_col).isNotNull()).select(
-        F.col(name_id).alias("i"), flat(F.col(name_col)).alias("n")
-    ).withColumn("w", F.split("n", " "))
-    inner = [F.get("w", F.lit(k)) for k in range(1, SHINGLE + 1)]
-    book = book.select(
-        "i", "n", F.when(F.size("w") >= SHINGLE + 2, F.xxhash64(*[F.xxhash64(x) for x in inner])).alias("k")
-    )
-    parts, held = [], []
-
-    def found(rows):
-        short, long = [(r.i, r.n) for r in rows if r.k is None], [(r.k, r.i, r.n) for r in rows if r.k is not None]
-        if long:
-            keys = F.array(*[F.lit(k) for k in sorted({k for k, _, _ in long})])
-            block_df = F.broadcast(spark.createDataFrame(long, f"k long, __i {name_type}, n string"))  # ``block`` rows at most
-            hit = keyed.select(id_col, "__t", F.explode(F.array_intersect("__g", keys)).alias("k")).join(block_df, "k")
-            parts.append(hit.where(F.contains("__t", "n")).select(id_col, F.col("__i").alias(name_id)))
-        if short:
-            listed = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(n).alias("n")) for i, n in short])
-            inside = F.flatten(F.transform(F.array("__t"), lambda t: F.filter(listed, lambda x: F.contains(t, x["n"]))))
-            parts.append(base.select(id_col, F.explode(inside).alias("x")).select(id_col, F.col("x.i").alias(name_id)))
-
-    for r in book.toLocalIterator():
-        held.append(r)
-        if len(held) == block:
-            found(held)
-            held = []
-    if held:
-        found(held)
-    if not parts:
-        return spark.createDataFrame([], f"{id_col} {id_type}, {name_id} {name_type}")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
-
-
 def trailing_window(
     summaries: DataFrame, queries: DataFrame, key: str, chapter: str, query_chapter: str, n: int = TRAILING
 ) -> DataFrame:
@@ -225,10 +163,59 @@ def rag_contexts(trials: DataFrame, chunks: DataFrame, queries: DataFrame, k: in
     return trials.join(ctx, "query_id", "left")
 
 
+#: Halvings of the chapter line: nodes cover 1, 2, 4, ... chapters.
+LEVELS = 20
+
+
+def cover(lo: Column, hi: Column, levels: int = LEVELS) -> Column:
+    """The fewest nodes (level, node) that cover the chapters lo..hi; node k of level l holds k * 2^l and on."""
+    node = lambda level, at: F.struct(level.alias("level"), at.cast("long").alias("node"))
+    none = F.array().cast("array<struct<level:int,node:bigint>>")
+    start = F.struct(lo.cast("long").alias("lo"), hi.cast("long").alias("hi"), none.alias("out"))
+
+    def step(s, level):
+        open_ = s["lo"] <= s["hi"]
+        left = open_ & (F.pmod(s["lo"], F.lit(2)) == 1)
+        right = open_ & (F.pmod(s["hi"], F.lit(2)) == 0)
+        more = F.concat(
+            F.when(left, F.array(node(level, s["lo"]))).otherwise(none),
+            F.when(right, F.array(node(level, s["hi"]))).otherwise(none),
+        )
+        return F.struct(
+            F.when(open_, F.shiftright(F.when(left, s["lo"] + 1).otherwise(s["lo"]), 1)).otherwise(s["lo"]).alias("lo"),
+            F.when(open_, F.shiftright(F.when(right, s["hi"] - 1).otherwise(s["hi"]), 1)).otherwise(s["hi"]).alias("hi"),
+            F.concat(s["out"], more).alias("out"),
+        )
+
+    done = F.aggregate(F.sequence(F.lit(0), F.lit(levels - 1)), start, step)
+    # what is left of a very wide range: nodes of the top level, side by side
+    top = F.when(
+        done["lo"] <= done["hi"],
+        F.transform(F.sequence(done["lo"], done["hi"]), lambda k: node(F.lit(levels), k)),
+    ).otherwise(none)
+    return F.concat(done["out"], top)
+
+
 def in_range(
-    events: DataFrame, phases: DataFrame, key: str, chapter: str, lo: str, hi: str, order: str, most: int = 30
+    events: DataFrame, phases: DataFrame, key: str, chapter: str, lo: str, hi: str, order: str, most: int = 30,
+    levels: int = LEVELS,
 ) -> DataFrame:
-    """Events whose chapter lies in a phase's range, the first ``most`` by order."""
-    joined = events.join(phases, key).where(F.col(chapter).between(F.col(lo), F.col(hi)))
+    """Events whose chapter lies in a phase's range, the first ``most`` by order, with their ``place``.
+
+    An event stands in one node of each level of the chapter line; of a node only the first ``most``
+    events count, for whatever range it is part of, and they are kept before anything is joined.  A
+    range is some nodes, and meets them by (key, level, node): what is joined is in proportion to
+    what is found, however wide ranges overlap.
+    """
+    at = F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("__level")
+    spread = events.where(F.col(chapter).isNotNull()).select("*", at)
+    spread = spread.withColumn("__node", F.expr(f"shiftright(CAST(`{chapter}` AS BIGINT), __level)"))
+    first = Window.partitionBy(key, "__level", "__node").orderBy(order)
+    kept = spread.withColumn("__place", F.row_number().over(first)).where(F.col("__place") <= most).drop("__place")
+    ranges = phases.where(F.col(lo) <= F.col(hi))
+    wanted = ranges.select("*", F.explode(cover(F.col(lo), F.col(hi), levels)).alias("__n")).select(
+        "*", F.col("__n.level").alias("__level"), F.col("__n.node").alias("__node")
+    ).drop("__n")
+    joined = kept.join(wanted, [key, "__level", "__node"]).drop("__level", "__node")
     w = Window.partitionBy(key, lo, hi).orderBy(order)
     return joined.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most)

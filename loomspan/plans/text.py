@@ -46,11 +46,8 @@ def chunk_windows(spark, sf_dir):
     r"""WITH d AS MATERIALIZED (SELECT doc_id, regexp_replace(lower(text), '\s+', ' ', 'g') AS t FROM documents), b AS MATERIALIZED (SELECT item_id, regexp_replace(lower(text), '\s+', ' ', 'g') AS t FROM benchmark) SELECT doc_id, item_id FROM d JOIN b ON contains(d.t, b.t)"""
 )
 def verbatim_contains(spark, sf_dir):
-    """Names in texts, by containment.
-
-    The names go to the tasks in blocks; texts are read where they lie and never shuffled.
-    """
-    from ..operators.retrieval import containment
+    """Names in texts, by containment: signatures, one scan of the texts."""
+    from ..operators.containment import containment
 
     return containment(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text"

@@ -511,31 +511,6 @@ def test_large_files_keep_their_order(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
-def test_containment_against_brute_force(spark):
-    import random
-
-    rnd = random.Random(8)
-    word = lambda: rnd.choice(["ab", "cd", "e", "fgh"])
-    texts = [
-        (i, rnd.choice(["", " "]) + rnd.choice([" ", "  ", "\n"]).join(word() for _ in range(rnd.randrange(60))))
-        for i in range(60)
-    ] + [(99, None), (98, "")]
-    names = [
-        (i, " ".join(word() for _ in range(rnd.randrange(1, 12))).upper()) for i in range(30)
-    ] + [(50, None), (51, "b  CD e ab cd e f")]
-    flat = lambda s: __import__("re").sub(r"\s+", " ", s.lower())
-    got = [
-        (r.d, r.m)
-        for r in retrieval.containment(
-            spark.createDataFrame(texts, "d long, t string"), spark.createDataFrame(names, "m int, n string"), "d", "t",
-            "m", "n", block=7,
-        ).collect()
-    ]
-    assert len(got) == len(set(got)) and set(got) == {
-        (d, m) for d, t in texts for m, n in names if t is not None and n is not None and flat(n) in flat(t)
-    }
-
-
 def test_top_k_in_blocks(spark, monkeypatch):
     """Many queries meet the chunks in blocks, with the same result."""
     import random
