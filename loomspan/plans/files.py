@@ -15,7 +15,8 @@ from ..operators import external as E
 from ..operators import metrics as M
 from ..operators import prompts as P
 from ..operators import records as R
-from ..operators import retrieval, splitting
+from ..operators import increments, retrieval, splitting, table_functions
+from ..sinks import entity_files, versions
 from ..sinks import publish as S
 from ..sinks.paths import scratch
 from ..sources import jsonl
@@ -41,17 +42,26 @@ def _turns(spark, sf_dir):
     )
 
 
-@query("SELECT conv_id, turn, role, length(text)::INT AS n FROM conversations WHERE turn % 5 <> 4")
+@query("""
+WITH n AS (SELECT *, 2 * row_number() OVER (PARTITION BY conv_id % 8 ORDER BY conv_id, turn) - 1 AS line_no FROM conversations)
+SELECT conv_id, turn, role, length(text)::INT AS n, line_no FROM n WHERE turn % 5 <> 4""")
 def tolerant_jsonl(spark, sf_dir):
-    """Blank, cut-off, null, list and number lines are skipped; the others are records."""
+    """Blank, cut-off, null, list and number lines are skipped; the others are records, with their line numbers.
+
+    Files are read in blocks far smaller than they are.
+    """
     path, rows = scratch(spark, "lines"), _turns(spark, sf_dir)
     cut = F.when(F.col("turn") % 5 == 4, F.expr("substring(line, 1, length(line) - 1)")).otherwise(F.col("line"))
     junk = F.element_at(
         F.array(*map(F.lit, ("", "   ", "null", "[1, 2]", "7", "{"))), (F.col("turn") % 6 + 1).cast("int")
     )
-    rows.select(F.concat(cut, F.lit("\n"), junk).alias("value")).write.text(path)
-    got = jsonl.tolerant(spark, path, TURN, numbered=False)
-    return got.select("rec.conv_id", "rec.turn", "rec.role", F.length("rec.text").alias("n"))
+    both = rows.select("conv_id", "turn", (F.col("conv_id") % 8).alias("part"), F.concat(cut, F.lit("\n"), junk).alias("value"))
+    both.repartition("part").sortWithinPartitions("part", "conv_id", "turn").select("part", "value").write.partitionBy("part").text(path)
+    own = spark.newSession()
+    own.conf.set("spark.sql.files.maxPartitionBytes", 8192)
+    own.conf.set("spark.sql.files.openCostInBytes", 0)
+    got = jsonl.tolerant(own, path, TURN)
+    return got.select("rec.conv_id", "rec.turn", "rec.role", F.length("rec.text").alias("n"), "line_no")
 
 
 @query("SELECT conv_id, turn, role FROM conversations WHERE turn % 3 <> 1")
@@ -86,9 +96,10 @@ def json_documents(spark, sf_dir):
             F.concat(F.lit("["), F.array_join(F.collect_list("text"), ","), F.lit("]")).alias("text"),
         )
     )
-    S.text_files(both, path, "file", "text").count()
+    entity_files.register(spark)
+    both.write.format(entity_files.NAME).mode("append").save(path)
     return jsonl.documents(
-        spark, path, "n_nationkey int, n_name string, n_regionkey int"
+        spark, versions.current(spark, path), "n_nationkey int, n_name string, n_regionkey int"
     ).select("n_nationkey", "n_name", "n_regionkey")
 
 
@@ -100,13 +111,10 @@ def text_chapters(spark, sf_dir):
         F.concat(F.lit("chapter_"), "n_nationkey", F.lit(".txt")).alias("file"),
         F.repeat(F.concat("n_name", F.lit("\n")), F.col("n_nationkey") + 1).alias("text"),
     )
-    S.text_files(
-        rows.unionByName(
-            n.select(F.concat(F.lit("notes_"), "n_nationkey", F.lit(".txt")).alias("file"), F.lit("x").alias("text"))
-        ),
-        path, "file", "text",
-    ).count()
-    return jsonl.chapter_files(spark, path)
+    notes = n.select(F.concat(F.lit("notes_"), "n_nationkey", F.lit(".txt")).alias("file"), F.lit("x").alias("text"))
+    entity_files.register(spark)
+    rows.unionByName(notes).write.format(entity_files.NAME).mode("append").save(path)
+    return jsonl.chapter_files(spark, versions.current(spark, path))
 
 
 @query(
@@ -400,3 +408,47 @@ def lifechoice_sections(spark, sf_dir):
         "conv_id", "turn", P.lifechoice(description, memories).alias("sections"),
         F.md5(F.encode(P.lifechoice_query(F.col("role"), F.col("text"), F.lit("q"), 100), "UTF-8")).alias("query"),
     )
+
+
+@query(ORACLES["split_chapters"])
+def chapters_in_sql(spark, sf_dir):
+    """The same chapters by a table function, LATERAL in SQL."""
+    table_functions.register(spark)
+    chapter = lambda k, body: [F.lit(f"Chapter {k}. On it\n\n"), body, F.lit("\n\n")]
+    book = F.concat(*[p for k in (1, 2, 3, 4) for p in chapter(k, F.lit("short") if k == 2 else F.col("text"))])
+    books = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("novel"), book.alias("text"))
+    return spark.sql(
+        "SELECT novel, c.chapter, md5(encode(c.text, 'UTF-8')) AS digest FROM {books}, LATERAL book_chapters(text) AS c",
+        books=books,
+    )
+
+
+@query(ORACLES["sub_chunk"])
+def pieces_in_sql(spark, sf_dir):
+    """The same pieces by a table function, LATERAL in SQL."""
+    table_functions.register(spark)
+    d = table(spark, sf_dir, "documents").select(
+        "doc_id", F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n")).alias("text")
+    )
+    return spark.sql(
+        "SELECT doc_id, c.idx, md5(encode(c.text, 'UTF-8')) AS digest FROM {d}, LATERAL text_pieces(text, 1500) AS c", d=d
+    )
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, arg_max(l_quantity, (l_shipdate, l_partkey, l_suppkey, l_extendedprice, l_quantity)) AS quantity,
+       max(l_shipdate)::VARCHAR AS shipped
+FROM lineitem GROUP BY ALL""")
+def incremental_latest(spark, sf_dir):
+    """The last record of each key after ten increments, each of which reads its own file only."""
+    source, path = scratch(spark, "arrivals"), scratch(spark, "latest")
+    keys = ["l_orderkey", "l_linenumber"]
+    rows = table(spark, sf_dir, "lineitem").select(
+        *keys, "l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"
+    )
+    rows.repartition(10).write.parquet(source)
+    order = ["l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"]
+    increments.take_in(spark, source, rows.schema, keys, order, path, files_at_once=1)
+    return increments.latest(spark, path, keys).select(
+        *keys, F.col("l_quantity").alias("quantity"), F.col("l_shipdate").cast("string").alias("shipped")
+    )

@@ -1,16 +1,16 @@
 """JSON readers: tolerant lines, strict lines, whole documents.
 
 Every line keeps its file and number, because file order decides which record was written
-last.  Schemas are given, never inferred.  Files are split by line inside the reading task.
+last.  Schemas are given, never inferred.  Files are read in blocks, whatever their size; line ends are those
+of Spark's text reader (\\n, \\r\\n, \\r).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Line ends of a JSONL file; other separators may stand inside strings.
-LINE_END = r"\r\n|\n|\r"
+from ..sinks.paths import scratch
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -24,17 +24,6 @@ def file_name(path) -> F.Column:
     return F.url_decode(F.regexp_replace(path, r"\+", "%2B"))
 
 
-def lines(spark: SparkSession, path: str) -> DataFrame:
-    """``(path, line_no, line)`` of all non-blank lines; a missing path gives none."""
-    if not exists(spark, path):
-        return spark.createDataFrame([], "path string, line_no int, line string")
-    raw = spark.read.text(path, wholetext=True).select(
-        file_name(F.col("_metadata.file_path")).alias("path"),
-        F.posexplode(F.split("value", LINE_END)).alias("line_no", "line"),
-    )
-    return raw.where(F.trim(F.regexp_replace("line", r"\s+", " ")) != "").withColumn("line_no", F.col("line_no") + 1)
-
-
 def placed_lines(spark: SparkSession, path: str, blank: bool = False) -> DataFrame:
     """``(path, place, line)`` of all lines of files of any size, blank ones only if asked for.
 
@@ -53,11 +42,42 @@ def placed_lines(spark: SparkSession, path: str, blank: bool = False) -> DataFra
     return raw if blank else raw.where(F.trim(F.regexp_replace("line", r"\s+", " ")) != "")
 
 
+#: Blocks whose line counts are broadcast, as counted; with more of them they are joined by shuffles.
+BLOCKS = 500_000
+
+
+def lines(spark: SparkSession, path: str) -> DataFrame:
+    """``(path, line_no, line)`` of all non-blank lines, numbered from 1; a missing path gives none.
+
+    Files of any size are read in blocks by many tasks.  A first scan counts the lines of each block
+    and keeps the number of its first; a block's lines are numbered on from the sum of those ahead
+    of it in its file.  Both scans cut the files alike, as Spark does with the same files and settings.
+    """
+    if not exists(spark, path):
+        return spark.createDataFrame([], "path string, line_no long, line string")
+    every = placed_lines(spark, path, blank=True).select("path", F.col("place.block").alias("block"), "place.n", "line")
+    counts = every.groupBy("path", "block").agg(F.count("*").alias("lines"), F.min("n").alias("first"))
+    ahead = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(
+        F.col("path").alias("__path"), F.col("block").alias("__block"),
+        (F.coalesce(F.sum("lines").over(ahead), F.lit(0)) - F.col("first") + 1).alias("__shift"),
+    )
+    at = scratch(spark, "lines")
+    offsets.write.parquet(at)
+    offsets = spark.read.schema(offsets.schema).parquet(at)
+    if offsets.count() <= BLOCKS:
+        offsets = F.broadcast(offsets)
+    placed = every.join(offsets, (F.col("path") == F.col("__path")) & (F.col("block") == F.col("__block")))
+    return placed.select("path", (F.col("n") + F.col("__shift")).alias("line_no"), "line").where(
+        F.trim(F.regexp_replace("line", r"\s+", " ")) != ""
+    )
+
+
 def tolerant(spark: SparkSession, path: str, schema: str, numbered: bool = True) -> DataFrame:
     """``(path, line_no or place, rec)`` of the lines that hold a JSON object; all others are skipped.
 
-    Cut-off lines, broken UTF-8, and null, list or number lines do not parse to an object.
-    Numbered lines need each file to fit a row; without numbers files may have any size.
+    Cut-off lines, broken UTF-8, and null, list or number lines do not parse to an object.  Files
+    may have any size; true line numbers cost a scan that counts lines.
     """
     parsed = (lines if numbered else placed_lines)(spark, path).withColumn("v", F.try_parse_json("line"))
     good = parsed.where(F.is_valid_utf8("line") & F.startswith(F.schema_of_variant("v"), F.lit("OBJECT")))
