@@ -346,3 +346,20 @@ def index_scan(spark, sf_dir):
         F.md5(F.encode("text", "UTF-8")).alias("digest"), F.get("embedding", F.lit(0)).cast("double").alias("first"),
         F.size("embedding").alias("size"),
     )
+
+
+@query(f"""
+WITH {_PHASES}, c AS (SELECT k, m, row_number() OVER (PARTITION BY k ORDER BY q > 25, i) AS o FROM l),
+a AS (SELECT k, string_agg(m, ',' ORDER BY o) AS axes FROM c GROUP BY k), f AS (SELECT k, m, min(o) AS o FROM c GROUP BY ALL),
+n AS (SELECT k, string_agg(m, ',' ORDER BY o) AS names FROM f GROUP BY k)
+SELECT k, axes, names FROM a JOIN n USING (k)""")
+def axis_lists(spark, sf_dir):
+    """Intrapersonal then relational axes, each in order; their names, each once, in the order they come."""
+    rows = _phases(spark, sf_dir).groupBy("k").agg(
+        *[
+            F.array_sort(F.collect_list(F.when(kind, F.struct("i", "m")))).alias(name)
+            for name, kind in (("a", F.col("q") <= 25), ("b", F.col("q") > 25))
+        ]
+    )
+    both = F.transform(F.concat("a", "b"), lambda x: x["m"])
+    return rows.select("k", F.array_join(both, ",").alias("axes"), F.array_join(F.array_distinct(both), ",").alias("names"))
