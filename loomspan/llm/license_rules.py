@@ -5,7 +5,8 @@ punctuation, one blank between words ("GPL-2.0-or-later" reads "gpl 2 0 or later
 are bounded by whole words.  The keyword is a run of words that stands in every match, or several
 with bars between, of which one does.
 Labels follow SPDX where it has one: "-only" and "-or-later" as the text says, exceptions
-after "WITH", choices joined by "OR".
+after "WITH", choices joined by "OR".  A label that begins with "WITH" is an exception alone: the scan
+joins it to the license that stands before it.
 """
 
 #: Priorities: a grant, a license's own text or an identifier; a named license; a bare name.
@@ -216,18 +217,21 @@ RULES = {
         (GRANT, "classpath", rf"{_GPL} {_V}2(?: 0)?(?: only)? with (?:the )?(?:gnu )?classpath exception(?: 2 0)?"),
         (
             GRANT, "classpath exception 2 0",
-            rf"spdx {_L} identifier gpl 2 0(?: only| or later)? with classpath exception 2 0",
+            rf"spdx {_L} identifier gpl 2 0(?: only)? with classpath exception 2 0",
         ),
-        (NAMED, "classpath exception", r"(?:gnu )?classpath exception"),
     ),
+    "WITH classpath-exception-2.0": ((NAMED, "classpath exception", r"(?:gnu )?classpath exception(?: 2 0)?"),),
     "gpl-3.0 WITH gcc-exception-3.1": (
+        (GRANT, "gcc exception 3 1", rf"spdx {_L} identifier gpl 3 0(?: only)? with gcc exception 3 1"),
+    ),
+    "WITH gcc-exception-3.1": (
         (GRANT, "gcc runtime library exception", r"gcc runtime library exception(?: version 3 1)?"),
-        (GRANT, "gcc exception 3 1", rf"spdx {_L} identifier gpl 3 0(?: only| or later)? with gcc exception 3 1"),
+        (NAMED, "gcc exception", r"gcc exception(?: 3 1)?"),
     ),
     "gpl-2.0 WITH linux-syscall-note": (
-        (GRANT, "linux syscall note", rf"spdx {_L} identifier gpl 2 0(?: only| or later)? with linux syscall note"),
-        (NAMED, "linux syscall note", r"linux syscall note"),
+        (GRANT, "linux syscall note", rf"spdx {_L} identifier gpl 2 0(?: only)? with linux syscall note"),
     ),
+    "WITH linux-syscall-note": ((NAMED, "linux syscall note", r"linux syscall note"),),
     "gpl-2.0 WITH font-exception-2.0": (
         (GRANT, "embeds this font", r"if you create a document which uses this font and embeds this font"),
         (NAMED, "font exception", rf"{_GPL} {_V}(?:2 0|2|3 0|3)? ?with (?:the )?font exception"),
@@ -249,7 +253,9 @@ RULES = {
             GRANT, "permission to link",
             r"(?:gives?|have|grants?) (?:you )?permission to link (?:the code of )?(?:this|the) (?:program|library|software) with",
         ),
-        (NAMED, "linking exception", r"with (?:a |the )?(?:static |openssl )?linking exception"),
+    ),
+    "WITH linking-exception": (
+        (NAMED, "linking exception", r"(?:static |openssl )?linking exception"),
     ),
     "lgpl-2.0-only": (
         (GRANT, "lgpl 2 0", rf"spdx {_L} identifier lgpl 2 0(?: only)?"),
@@ -707,7 +713,7 @@ RULES = {
     ),
     "no-license": (
         (
-            GRANT,
+            NAMED,
             "not licensed|not licenced|not released|not distributed|not available|not published|not covered|not offered",
             rf"(?:is |are )?not (?:licen[cs]ed|released|distributed|available|published|covered|offered)(?: to you)? (?:under|by)(?: the)?(?: terms of(?: the)?)? (?:\S+ ){{1,6}}?(?:{_L}|gpl|bsd|mit)",
         ),
@@ -759,3 +765,14 @@ RULES = {
         (NAMED, "project gutenberg", rf"(?:full )?project gutenberg(?: tm)? {_L}"),
     ),
 }
+
+#: What may stand between a license and its exception, and around and between two licenses of which one may choose.
+WITH_GAP = r"^ (?:license |licence )?(?:and |plus |together )?(?:with |including )(?:the |a |an )?$"
+OR_GAP = r"^ (?:license |licence )?or (?:under )?(?:the )?(?:terms of (?:the )?)?$"
+AND_GAP = r"^ (?:license |licence )?and (?:the )?$"
+EITHER = r" either (?:the |of the |under the |of )?$"
+AT_YOUR_OPTION = r"^ (?:license |licence )?at your (?:option|choice|discretion) "
+CHOICE = r" (?:choose|chosen|choice|select|selected|pick) (?:\S+ ){0,2}(?:between|of|from)(?: either)? (?:the )?$"
+DUAL = r" (?:dual licen[cs]ed|dually licen[cs]ed|dual licen[cs]e) (?:\S+ ){0,1}(?:under|as|by|with) (?:the )?$"
+#: What before a detection takes it back.
+NOT = r" (?:not|never|neither|nor|cannot|isn t|aren t|wasn t)(?: \S+){0,2} $"

@@ -10,6 +10,9 @@ and line breaks.  A rule is (label, priority, keywords, regular expression).
 2. Every place a rule matches is an interval with the rule's priority.
 3. Suppression: intervals are taken by start, longest first, then priority.  One that
    lies inside an earlier one of the same or a higher priority is dropped.
+4. Neighbours: a detection behind "not" counts as a bare name; an exception is joined to the license
+   that stands right before it; two licenses of which the text says that one may choose are one
+   detection, their labels joined by OR in alphabetical order.
 
 All of it happens inside the row: no shuffle, no join, the same work for any grouping.
 """
@@ -19,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import license_rules as R
 from .common import let, lower_ascii, running
 from .license_rules import BARE, GRANT, NAMED, RULES
 
@@ -53,10 +57,64 @@ def gates() -> list[str]:
     )
 
 
+def linked(line, spans):
+    """``spans`` (s, e, p, label) by start, after step 4; see above.  Looks at neighbours only.
+
+    Three columns' worth of steps, as functions from an array to an array, to be stored one by one.
+    """
+    span = "struct<s:int,e:int,p:int,label:string>"
+    cut = lambda a, b: F.substring(line, a + 1, b - a)
+    before = lambda d: cut(F.greatest(d["s"] - 60, F.lit(0)), d["s"])
+    made = lambda s, e, p, label: F.struct(s.alias("s"), e.alias("e"), p.alias("p"), label.alias("label")).cast(span)
+    exception = lambda d: F.startswith(d["label"], F.lit("WITH "))
+
+    def denied(d):
+        return made(d["s"], d["e"], F.when(before(d).rlike(R.NOT), F.least(d["p"], F.lit(BARE))).otherwise(d["p"]), d["label"])
+
+    def merged(spans, joins, label):
+        """Each two neighbours that ``joins`` become one; of three in a row the first two."""
+        at = lambda i: F.get(spans, i)
+        pair = lambda i: F.coalesce((i >= 0) & (i + 1 < F.size(spans)) & joins(at(i), at(i + 1)), F.lit(False))
+        first = lambda i: pair(i) & ~pair(i - 1)
+        return F.array_compact(
+            F.transform(
+                spans,
+                lambda d, i: F.when(first(i - 1), F.lit(None)).when(
+                    first(i),
+                    made(d["s"], at(i + 1)["e"], F.greatest(d["p"], at(i + 1)["p"]), label(d, at(i + 1))),
+                ).otherwise(d),
+            )
+        )
+
+    def with_exceptions(spans):
+        own = merged(
+            spans,
+            lambda a, b: exception(b) & ~F.contains(a["label"], F.lit("WITH ")) & cut(a["e"], b["s"]).rlike(R.WITH_GAP),
+            lambda a, b: F.concat_ws(" ", a["label"], b["label"]),
+        )
+        return F.transform(
+            own,
+            lambda d: made(d["s"], d["e"], d["p"], F.when(exception(d), F.substring(d["label"], 6, 200)).otherwise(d["label"])),
+        )
+
+    def choices(spans):
+        def joins(a, b):
+            gap, after = cut(a["e"], b["s"]), F.substring(line, b["e"] + 1, 40)
+            said = before(a).rlike(R.EITHER) | after.rlike(R.AT_YOUR_OPTION)
+            offered = before(a).rlike(R.CHOICE) | before(a).rlike(R.DUAL)
+            return (a["label"] != b["label"]) & ((gap.rlike(R.OR_GAP) & (said | offered)) | (gap.rlike(R.AND_GAP) & offered))
+
+        return merged(
+            spans, joins, lambda a, b: F.array_join(F.array_sort(F.array(a["label"], b["label"])), " OR ")
+        )
+
+    return [lambda spans: F.transform(spans, denied), with_exceptions, choices]
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans)`` per row.
 
-    ``spans``: the detections that suppression left, as (start, end, priority, label) in
+    ``spans``: the detections that are left after all steps, as (start, end, priority, label) in
     characters of the line of words.  Null and empty texts have no words and no labels.
     ``score`` is the surest detection's confidence; a base phrase counts as a bare name.
     """
@@ -173,6 +231,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         lambda z: reach(z) < z["d"]["e"],
     )
     row = row.withColumn("spans", F.transform(kept, lambda z: z["d"].cast(span)))
+    for step in linked(F.col("line"), F.col("spans")):
+        row = row.withColumn("spans", F.when(F.size("spans") > 0, step(F.col("spans"))))
     spans = F.coalesce(F.col("spans"), F.array().cast("array<struct<s:int,e:int,p:int,label:string>>"))
     sure = F.lit(0.0)
     for p, c in CONFIDENCE.items():

@@ -685,6 +685,47 @@ def test_toxicity_edges(hostile, empty, labels):
 # --- 8 licenses
 
 
+def neighbours(line, dets):
+    """Step 4, one detection after the other: (start, end, priority, label)."""
+    import re
+
+    from loomspan.llm import license_rules as R
+
+    out = [[s, -e, -p, lab] for s, e, p, lab in dets]
+    for d in out:
+        if re.search(R.NOT, line[max(0, d[0] - 60) : d[0]]):
+            d[2] = min(d[2], R.BARE)
+
+    def merge(out, joins, label):
+        done, i = [], 0
+        while i < len(out):
+            if i + 1 < len(out) and joins(out[i], out[i + 1]):
+                a, b = out[i], out[i + 1]
+                done.append([a[0], b[1], max(a[2], b[2]), label(a[3], b[3])])
+                i += 2
+            else:
+                done.append(out[i])
+                i += 1
+        return done
+
+    gap = lambda a, b: line[a[1] : b[0]]
+    out = merge(
+        out, lambda a, b: b[3].startswith("WITH ") and "WITH " not in a[3] and bool(re.search(R.WITH_GAP, gap(a, b))),
+        lambda a, b: f"{a} {b}",
+    )
+    out = [[*d[:3], d[3].removeprefix("WITH ")] for d in out]
+
+    def choice(a, b):
+        lead, after = line[max(0, a[0] - 60) : a[0]], line[b[1] : b[1] + 40]
+        offered = re.search(R.CHOICE, lead) or re.search(R.DUAL, lead)
+        said = re.search(R.EITHER, lead) or re.search(R.AT_YOUR_OPTION, after)
+        return a[3] != b[3] and bool(
+            (re.search(R.OR_GAP, gap(a, b)) and (said or offered)) or (re.search(R.AND_GAP, gap(a, b)) and offered)
+        )
+
+    return merge(out, choice, lambda a, b: " OR ".join(sorted((a, b))))
+
+
 def brute_license(text):
     import re
 
@@ -709,7 +750,7 @@ def brute_license(text):
         }
     )
     kept = [d for k, d in enumerate(dets) if not any(o[1] <= d[1] and o[2] <= d[2] for o in dets[:k])]
-    labels = base | {d[3] for d in kept}
+    labels = base | {d[3] for d in neighbours(line, kept)}
     return len(w), len(hits), min(
         (i for i, _ in hits), default=None
     ), max((i for i, _ in hits), default=None), ",".join(sorted(base)), ",".join(sorted(labels))
@@ -722,6 +763,7 @@ def test_licenses_against_brute_force(spark):
         "4.0", "MIT License", "licensed under", "released under the", "all rights reserved",
         "spdx-license-identifier: bsd-3-clause", "or (at your option) any later version", "é",
         "permission is hereby granted, free of charge, to any person obtaining a copy", "public domain", "Lesser",
+        "or the", "either the", "at your option", "with the", "classpath exception", "is not", "choose between the", "and the", "GPL-2.0",
     ]
     texts = [
         "", "mit license mit license", "MIT",
@@ -763,6 +805,12 @@ LICENSED = {
     "MIT OR Apache-2.0": "mit OR apache-2.0",
     "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files": "mit",
     "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.": "gpl,gpl-3.0-or-later",
+    "GPL-3.0-or-later WITH Classpath-exception-2.0": "gpl-3.0-or-later WITH classpath-exception-2.0",
+    "SPDX-License-Identifier: GPL-2.0-or-later WITH Linux-syscall-note": "gpl-2.0-or-later WITH linux-syscall-note",
+    "see the Classpath exception": "classpath-exception-2.0",
+    "either the MIT license or the Apache License, Version 2.0 at your option": "apache,apache-2.0 OR mit,mit",
+    "choose between the BSD 3-Clause License and the GPLv2": "bsd-3-clause OR gpl-2.0-only",
+    "the BSD 3-Clause License and the GPLv2": "bsd-3-clause,gpl-2.0-only",
     "This file is not licensed under the MIT License": "mit,no-license", "CC BY-NC-SA 4.0": "cc-by,cc-by-nc-sa-4.0",
     "We limit what you submit and commit.": "",
     "Neither the name of the University nor the names of its contributors may be used to endorse or promote products derived from this software": "bsd-3-clause",
@@ -776,6 +824,12 @@ def test_license_texts(spark):
         assert got[k][0] == want, (text, got[k])
 
 
+def test_negated_licenses_are_not_sure(spark):
+    texts = ["is not released under the MIT License", "is released under the MIT License", "nor is it covered by the GPL version 3"]
+    got = {r.id: r.score for r in licenses.scan(docs_of(spark, texts)).collect()}
+    assert got == {0: 0.8, 1: 1.0, 2: 0.5}
+
+
 def test_licenses_need_no_keyword(spark):
     """What rules find, and the score, does not hang on keywords: all rules run, over texts made of the rules' own words."""
     import re
@@ -802,8 +856,9 @@ def test_licenses_need_no_keyword(spark):
         )
         kept = [d for k, d in enumerate(dets) if not any(o[1] <= d[1] and o[2] <= d[2] for o in dets[:k])]
         base = {lab for p, lab in licenses.PHRASES.items() if f" {p} " in line}
+        kept = neighbours(line, kept)
         sure = max(
-            [licenses.CONFIDENCE[-d[2]] for d in kept] + [licenses.CONFIDENCE[licenses.BARE]] * bool(base), default=0.0
+            [licenses.CONFIDENCE[d[2]] for d in kept] + [licenses.CONFIDENCE[licenses.BARE]] * bool(base), default=0.0
         )
         assert (got[i].labels, got[i].score) == (",".join(sorted(base | {d[3] for d in kept})), sure), text
         found += bool(dets)
