@@ -774,5 +774,8 @@ EITHER = r" either (?:the |of the |under the |of )?$"
 AT_YOUR_OPTION = r"^ (?:license |licence )?at your (?:option|choice|discretion) "
 CHOICE = r" (?:choose|chosen|choice|select|selected|pick) (?:\S+ ){0,2}(?:between|of|from)(?: either)? (?:the )?$"
 DUAL = r" (?:dual licen[cs]ed|dually licen[cs]ed|dual licen[cs]e) (?:\S+ ){0,1}(?:under|as|by|with) (?:the )?$"
-#: What before a detection takes it back.
-NOT = r" (?:not|never|neither|nor|cannot|isn t|aren t|wasn t)(?: \S+){0,2} $"
+#: What before a detection takes it back: a negation, and between the two only words like these.
+NOT = (
+    r" (?:not|never|neither|nor|cannot|isn t|aren t|wasn t)"
+    r"(?: (?:is|it|are|be|been|licen[cs]ed|released|distributed|covered|available|published|provided|offered|governed|under|by|a|an|the|terms|of|to|you)){0,7} $"
+)
