@@ -14,7 +14,8 @@ most and in size by a quarter at most.  So, in any order of all shingles, of the
 Scale.  Shingles that very many texts hold are found in a sample of the texts, counted with
 partial sums and broadcast, so that no task gets all rows of one; the sample only decides
 the way a shingle is counted, not whether.  The ``FREQUENT`` most frequent go that way, so what
-is left of any other is less than one in so many of all rows.  Dense groups are thinned first: every text is
+is left of any other is less than one in so many of all rows.  ``FEW`` of them or less stand in the
+expressions; more are met by a broadcast join, with the same result.  Dense groups are thinned first: every text is
 compared with the smallest id that holds one of its shingles, one pair a shingle and text,
 as long as that takes out a tenth of them.  What is left is compared pair by pair.  No
 candidate is left out.
@@ -33,6 +34,8 @@ SHINGLE = 5
 SEED = 42
 #: One text in so many is looked at to find shingles that very many texts hold; of these, the most frequent.
 SAMPLED, FREQUENT = 32, BROADCAST_ROWS
+#: So many frequent shingles are written into the expressions.
+FEW = 2000
 
 
 def _need(n):
@@ -91,34 +94,43 @@ def shingles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fi
     return src.mapInArrow(run, "id long, n int, hashes array<long>")
 
 
-def _frequent(sets: DataFrame) -> DataFrame | None:
-    """Shingles ``h`` that some ``HOT_ROWS`` sets or more hold, by a sample; stored, None if there are none."""
+def _frequent(sets: DataFrame) -> list[int] | DataFrame:
+    """Shingles that some ``HOT_ROWS`` sets or more hold, by a sample: a list, or a stored table ``h`` of many."""
     some = sets.where(
         F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(SAMPLED)) == 0
     ).select(F.explode("hashes").alias("h"))
     often = some.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= HOT_ROWS // SAMPLED)
     found = materialize(often.orderBy(F.desc("n"), "h").limit(FREQUENT).select("h"), "frequent")
-    return found if found.limit(1).count() else None
+    first = [r.h for r in found.limit(FEW + 1).collect()]
+    return first if len(first) <= FEW else found
 
 
-def _shared(sets: DataFrame, frequent: DataFrame | None) -> DataFrame:
+def _split(sets: DataFrame, frequent: list[int] | DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, n, h) of the sets' shingles: those that are not frequent, and those that are."""
+    rows = lambda c: sets.select("id", "n", F.explode(c).alias("h"))
+    if isinstance(frequent, list):
+        held = F.array(*map(F.lit, frequent)).cast("array<long>")
+        return rows(F.array_except("hashes", held)), rows(F.array_intersect("hashes", held))
+    known = F.broadcast(frequent)
+    return tuple(rows("hashes").join(known, "h", how).select("id", "n", "h") for how in ("left_anti", "left_semi"))
+
+
+def _shared(sets: DataFrame, frequent: list[int] | DataFrame) -> DataFrame:
     """Rows (id, n, h, c, lead) of the sets' shingles that another set has too: their count ``c`` and the
     smallest id that holds them, ``lead`` (id, n).  The ``frequent`` ones are counted by partial sums."""
     by = Window.partitionBy("h")
     first = F.min(F.struct("id", "n"))
-    held = sets.select("id", "n", F.explode("hashes").alias("h"))
-    cold = held if frequent is None else held.join(F.broadcast(frequent), "h", "left_anti").select("id", "n", "h")
+    cold, hot = _split(sets, frequent)
     cold = cold.withColumns({"c": F.count("*").over(by), "lead": first.over(by)}).where("c > 1")
-    if frequent is None:
+    if isinstance(frequent, list) and not frequent:
         return cold.select("id", "n", "h", "c", "lead")
-    hot = held.join(F.broadcast(frequent), "h", "left_semi")
     counted = hot.groupBy("h").agg(F.count("*").alias("c"), first.alias("lead")).where("c > 1")
     return cold.select("id", "n", "h", "c", "lead").unionByName(
         hot.join(F.broadcast(counted), "h").select("id", "n", "h", "c", "lead")
     )
 
 
-def _rare(sets: DataFrame, frequent: DataFrame | None) -> DataFrame:
+def _rare(sets: DataFrame, frequent: list[int] | DataFrame) -> DataFrame:
     """``(id, n, s)``: the first shingles of each set as (c, h, lead), rarest first, without those no other set has."""
     some = _shared(sets, frequent).groupBy("id", "n").agg(
         F.array_sort(F.collect_list(F.struct("c", "h", "lead"))).alias("s")

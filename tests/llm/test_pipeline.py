@@ -187,8 +187,10 @@ def test_many_frequent_shingles(spark, monkeypatch):
     df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars int")
     monkeypatch.setattr(near_copies, "SAMPLED", 1)
     gone = {}
-    for hot, frequent in ((20_000, 10), (40, 10), (40, 1000)):  # none, some, all of them are frequent
+    # none, some, all of them are frequent; in the expressions, and by a join
+    for hot, frequent, few in ((20_000, 10, 100), (40, 10, 100), (40, 1000, 100), (40, 10, 5), (40, 1000, 5)):
         monkeypatch.setattr(near_copies, "HOT_ROWS", hot)
         monkeypatch.setattr(near_copies, "FREQUENT", frequent)
-        gone[hot, frequent] = sorted(r.id for r in near_copies.near_copies(df).collect())
+        monkeypatch.setattr(near_copies, "FEW", few)
+        gone[hot, frequent, few] = sorted(r.id for r in near_copies.near_copies(df).collect())
     assert set(map(tuple, gone.values())) == {tuple(range(1, 120, 2))}
