@@ -36,7 +36,14 @@ READ_ROWS = 5000
 DICT_BYTES = 64 << 10
 SAMPLE_ROWS = 400
 SAMPLE_BYTES = 1 << 16
-RECORD = "page_id long, record_type string, payload_digest string, payload_bytes long, refers_to long, url string, archive string"
+RECORD = (
+    "page_id long, record_type string, payload_digest string, payload_bytes long, refers_to long, url string, "
+    "archive string, record_id string, refers_to_id string"
+)
+#: Types of records that hold or stand for a payload; records of other types are passed over.
+TYPES = ("response", "revisit", "resource")
+#: Ids that this module's writer makes: the row's id follows.
+OWN = "<urn:page:"
 
 
 class WarcError(ValueError):
@@ -74,7 +81,10 @@ def parse_record(raw: bytes) -> tuple[dict, bytes]:
     end = raw.find(b"\r\n\r\n")
     if end < 0:
         raise WarcError("the headers do not end")
-    lines = raw[:end].decode("utf-8").split("\r\n")
+    try:
+        lines = raw[:end].decode("utf-8").split("\r\n")
+    except UnicodeDecodeError as e:
+        raise WarcError(f"the headers are no UTF-8: {e}") from e
     if lines[0] not in ("WARC/1.0", VERSION):
         raise WarcError(f"version line {lines[0]!r}")
     headers = {}
@@ -92,12 +102,57 @@ def parse_record(raw: bytes) -> tuple[dict, bytes]:
     block, rest = raw[end + 4 : end + 4 + length], raw[end + 4 + length :]
     if len(block) != length or rest != b"\r\n\r\n":
         raise WarcError(f"Content-Length is {length}, {len(raw) - end - 8} bytes are there")
-    digest = headers.get("warc-block-digest")
-    if digest and digest != f"sha1:{base32_sha1(block)}":
+    if not agrees(headers.get("warc-block-digest"), block):
         raise WarcError("the block does not have its digest")
     return headers, block
 
 
+def agrees(digest: str | None, data: bytes) -> bool:
+    """Whether a digest header fits; SHA-1 in base32 or hexadecimal is checked, other kinds cannot be."""
+    import hashlib
+
+    kind, _, value = (digest or "").partition(":")
+    if kind.lower() != "sha1":
+        return True
+    return value.upper() == base32_sha1(data) or value.lower() == hashlib.sha1(data).hexdigest()
+
+
+def page_id(record_id: str | None) -> int | None:
+    """The row's id in a record id of this module's writer; None for others."""
+    number = (record_id or "").removeprefix(OWN).removesuffix(">")
+    return int(number) if (record_id or "").startswith(OWN) and number.lstrip("-").isdigit() else None
+
+
+def described(h: dict, block: bytes) -> tuple | None:
+    """``(page_id, type, digest, bytes, refers_to, url, record_id, refers_to_id)`` of a record, None if passed over.
+
+    The payload of an HTTP message is what follows its headers, of other blocks the block.  A
+    revisit's digest and length are those it states; one of another writer may state no length and
+    name no record, one of this module must, and must be empty.
+    """
+    kind, ident = h["warc-type"].lower(), h["warc-record-id"]
+    if kind not in TYPES:
+        return None
+    stated, target = h.get("warc-payload-digest"), h.get("warc-refers-to")
+    if kind == "revisit":
+        size = h.get("warc-refers-to-payload-length")
+        if ident.startswith(OWN) and (target is None or block or size is None):
+            raise WarcError(f"{ident}: a revisit must name its response and be empty")
+        if size is not None and not size.isdigit():
+            raise WarcError(f"{ident}: the payload's length is no number")
+        digest = stated.split(":", 1)[-1] if stated else None
+        return page_id(ident), kind, digest, None if size is None else int(size), page_id(target), h.get("warc-target-uri"), ident, target
+    payload = block
+    if h.get("content-type", "").lower().startswith("application/http"):
+        end = block.find(b"\r\n\r\n")
+        if end < 0:
+            raise WarcError(f"{ident}: the HTTP headers do not end")
+        payload = block[end + 4 :]
+    if not agrees(stated, payload):
+        raise WarcError(f"{ident}: the payload does not have its digest")
+    return page_id(ident), kind, base32_sha1(payload), len(payload), page_id(target), h.get("warc-target-uri"), ident, target
+
+
 def archive_head(dictionary: bytes) -> bytes:
     """The leading skippable frame."""
     import struct
@@ -280,7 +335,9 @@ def read_archives(spark: SparkSession, path: str, names: DataFrame | None = None
 
     ``names`` (column ``archive``) restricts the files to those of a manifest.  A broken
     archive raises :class:`WarcError`.  The payload is checked against its digest and its
-    length is returned; of a revisit, digest and length are those the record states.
+    length is returned; of a revisit, digest and length are those the record states.  Records
+    of other types than :data:`TYPES` (warcinfo, request, metadata and the like) are passed over.  Archives
+    of other writers are read too: their ids are text, in ``record_id`` and ``refers_to_id``.
     """
     if names is None:
         names = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(path).select(
@@ -296,7 +353,6 @@ def read_archives(spark: SparkSession, path: str, names: DataFrame | None = None
 
         types = [pa.string() if k == "string" else pa.int64() for k in kinds.values()]
         store, root = fs.FileSystem.from_uri(path)
-        ident = lambda v: int(v[10:-1]) if v and v[10:-1] else None  # noqa: E731  <urn:page:N>
 
         def batch_of(got):
             return pa.RecordBatch.from_arrays(
@@ -311,19 +367,13 @@ def read_archives(spark: SparkSession, path: str, names: DataFrame | None = None
             got = []
             with store.open_input_stream(f"{root}/{name}", compression=None) as stream:
                 for raw in frames(stream):
-                    h, block = parse_record(raw)
-                    kind, digest = h["warc-type"], h.get("warc-payload-digest", "").removeprefix("sha1:")
-                    if kind == "response" and digest != base32_sha1(block):
-                        raise WarcError(f"{name}: {h['warc-record-id']}: the payload does not have its digest")
-                    if kind == "revisit" and ("warc-refers-to" not in h or block):
-                        raise WarcError(f"{name}: {h['warc-record-id']}: a revisit must name its response and be empty")
-                    size = len(block) if kind == "response" else int(h["warc-refers-to-payload-length"])
-                    got.append(
-                        (
-                            ident(h["warc-record-id"]), kind, digest, size, ident(h.get("warc-refers-to")),
-                            h.get("warc-target-uri"), name,
-                        )
-                    )
+                    try:
+                        row = described(*parse_record(raw))
+                    except WarcError as e:
+                        raise WarcError(f"{name}: {e}") from e
+                    if row is None:
+                        continue
+                    got.append((*row[:6], name, *row[6:]))
                     if len(got) >= READ_ROWS:
                         yield batch_of(got)
                         got = []

@@ -610,6 +610,49 @@ def test_warc_stream_is_read_in_blocks(monkeypatch):
     assert list(warc.frames(io.BytesIO(whole))) == raw
 
 
+def foreign(kind, ident, block, **headers):
+    """A record as other writers make them."""
+    head = {"WARC-Type": kind, "WARC-Record-ID": ident, "WARC-Date": "2024-01-01T00:00:00Z", **{k.replace("_", "-"): v for k, v in headers.items()}}
+    lines = "\r\n".join(["WARC/1.0", *[f"{k}: {v}" for k, v in head.items()], f"Content-Length: {len(block)}"])
+    return lines.encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def test_warc_archives_of_other_writers(spark, tmp_path):
+    import hashlib
+
+    import zstandard
+
+    http, body = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n", "<html>é</html>".encode()
+    uid = "<urn:uuid:92283950-ef2f-4d72-b224-f54c6ec90bb0>"
+    records = [
+        foreign("warcinfo", "<urn:uuid:1>", b"software: x\r\n", Content_Type="application/warc-fields"),
+        foreign("request", "<urn:uuid:2>", b"GET / HTTP/1.1\r\n\r\n", Content_Type="application/http; msgtype=request"),
+        foreign(
+            "response", uid, http + body, Content_Type="application/http; msgtype=response", WARC_Target_URI="http://a/",
+            WARC_Payload_Digest=f"sha1:{hashlib.sha1(body).hexdigest()}",
+        ),
+        foreign("metadata", "<urn:uuid:3>", b"x: y"), foreign("resource", "<urn:uuid:4>", body, WARC_Block_Digest="md5:0"),
+        foreign("revisit", "<urn:uuid:5>", http, WARC_Refers_To=uid, WARC_Payload_Digest=f"sha1:{warc.base32_sha1(body)}"),
+        foreign("revisit", "<urn:uuid:6>", b""), foreign("response", "<urn:page:x>", b"own in form only"),
+    ]
+    coder = zstandard.ZstdCompressor()
+    (tmp_path / "a.warc.zst").write_bytes(warc.archive_head(b"") + b"".join(map(coder.compress, records)))
+    got = {r.record_id: r for r in warc.read_archives(spark, f"file://{tmp_path}").collect()}
+    assert set(got) == {uid, "<urn:uuid:4>", "<urn:uuid:5>", "<urn:uuid:6>", "<urn:page:x>"}
+    assert all(r.page_id is None for r in got.values())
+    assert (got[uid].payload_bytes, got[uid].payload_digest, got[uid].url) == (len(body), warc.base32_sha1(body), "http://a/")
+    assert got["<urn:uuid:4>"].payload_digest == got["<urn:uuid:5>"].payload_digest == warc.base32_sha1(body)
+    assert got["<urn:uuid:5>"].refers_to_id == uid and got["<urn:uuid:5>"].payload_bytes is None
+    bad = [
+        foreign("response", uid, http + body, WARC_Payload_Digest="sha1:" + "A" * 32), b"WARC/1.0\r\n\xff: 1\r\n\r\n\r\n\r\n",
+        foreign("response", uid, b"no end", Content_Type="application/http"), foreign("revisit", "<urn:page:1>", b""),
+        foreign("revisit", uid, b"", WARC_Refers_To_Payload_Length="many"),
+    ]
+    for raw in bad:
+        with pytest.raises(warc.WarcError):
+            warc.described(*warc.parse_record(raw))
+
+
 def test_warc_reader_rejects_damage():
     import zstandard
 
