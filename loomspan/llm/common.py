@@ -159,8 +159,16 @@ def drop_path(spark: SparkSession, path: str) -> None:
 
 
 def broadcast_if_small(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only when the counted rows stay within ``limit``.  ``df`` must be stored."""
-    return F.broadcast(df) if (df.count() if rows is None else rows) <= limit else df
+    """Broadcast hint only when the counted rows stay within ``limit``.  ``df`` must be stored.
+
+    Longer tables are merged: the optimizer would go by the size of their compressed files.
+    """
+    return F.broadcast(df) if (df.count() if rows is None else rows) <= limit else df.hint("merge")
+
+
+def merge_if_long(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """No broadcast by the optimizer, which goes by the size of compressed files, when ``rows`` is over ``limit``."""
+    return df if rows <= limit else df.hint("merge")
 
 
 def join_by_group(rows: DataFrame, groups: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -176,10 +184,10 @@ def join_by_group(rows: DataFrame, groups: DataFrame, key: str, hot_rows: int =
     hot = groups.where(F.col("n") >= hot_rows)
     many = hot.count()
     if not many or many > BROADCAST_ROWS:
-        return rows.join(rest, key)
+        return rows.join(rest.hint("merge"), key)
     hot_rest = F.broadcast(hot.drop("n"))
     cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(
-        groups.where(F.col("n") < hot_rows).drop("n"), key
+        groups.where(F.col("n") < hot_rows).drop("n").hint("merge"), key
     )
     return rows.join(hot_rest, key).unionByName(cold)
 

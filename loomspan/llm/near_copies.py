@@ -27,7 +27,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import (
-    ASCII_LOWER, BROADCAST_ROWS, HOT_ROWS, broadcast_if_small, discard, fresh, materialize, row_hash, slices,
+    ASCII_LOWER, BROADCAST_ROWS, HOT_ROWS, broadcast_if_small, discard, fresh, materialize, merge_if_long, row_hash,
+    slices,
 )
 
 SHINGLE = 5
@@ -155,7 +156,8 @@ def _candidates(rare: DataFrame) -> DataFrame:
     keys = F.array_intersect(F.slice("qa", F.lit(1), F.col("ka")), F.slice("qb", F.lit(1), F.col("kb")))
     agree = F.size(F.array_intersect("qa", "qb")) >= F.least(_need(F.col("na")), _need(F.col("nb")))
     on = (a["h"] == b["h"]) & (F.col("ida") < F.col("idb")) & fit & (F.element_at(keys, 1) == a["h"]) & agree
-    return a.join(b, on).select(F.col("ida").alias("a"), F.col("idb").alias("b"))
+    # the optimizer takes the rows of a set for one: without the hint it would broadcast them
+    return a.hint("merge").join(b.hint("merge"), on).select(F.col("ida").alias("a"), F.col("idb").alias("b"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -163,7 +165,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     left = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("hashes").alias("ha"))
     right = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("hashes").alias("hb"))
     both = F.size(F.array_intersect("ha", "hb"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").where(
+    return pairs.select("a", "b").hint("merge").join(left, "a").hint("merge").join(right, "b").where(
         9 * both >= 4 * (F.col("na") + F.col("nb"))
     ).select("a", "b")
 
@@ -195,7 +197,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         led = led.where((F.col("a") < F.col("b")) & near(F.col("na"), F.col("n"))).select("a", "b").distinct()
         out = materialize(_verified(led, sets).select(F.col("b").alias("id")).distinct(), "led")
         gone = out if gone is None else gone.union(out)
-        left = rare.select("id").join(out, "id", "left_anti")
+        left = rare.select("id").join(merge_if_long(out, out.count()), "id", "left_anti")
         before, sets = sets, materialize(sets.join(left, "id", "left_semi"), "sets")
         discard(before, rare)
         if 10 * out.count() <= n:

@@ -32,7 +32,9 @@ from math import comb
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, broadcast_if_small, discard, fresh, join_by_group, materialize, row_hash, text_function
+from .common import (
+    ASCII_LOWER, broadcast_if_small, discard, fresh, join_by_group, materialize, merge_if_long, row_hash, text_function,
+)
 
 SEED = 42
 MAX_BITS = 4
@@ -188,9 +190,10 @@ def components(nodes: DataFrame, pairs: DataFrame, max_rounds: int = 60) -> Data
     Rounds are written to the shared folder.
     """
     lab = nodes.select("node", "label")
-    left, right = lab.select(
+    known = merge_if_long(lab, lab.count())
+    left, right = known.select(
         F.col("node").alias("a"), F.col("label").alias("u")
-    ), lab.select(F.col("node").alias("b"), F.col("label").alias("v"))
+    ), known.select(F.col("node").alias("b"), F.col("label").alias("v"))
     edges = materialize(
         pairs.select("a", "b").join(left, "a").join(right, "b").select("u", "v").where("u <> v").distinct(), "links"
     )
@@ -202,8 +205,9 @@ def components(nodes: DataFrame, pairs: DataFrame, max_rounds: int = 60) -> Data
         hooks = materialize(
             ends.groupBy("u").agg(F.min("v").alias("near")).select("u", F.least("u", "near").alias("root")), "hooks"
         )
+        trees = hooks.count()
         for _ in range(max_rounds):
-            up = hooks.select(F.col("u").alias("root"), F.col("root").alias("far"))
+            up = merge_if_long(hooks, trees).select(F.col("u").alias("root"), F.col("root").alias("far"))
             before, hooks = hooks, materialize(
                 hooks.join(up, "root").select(
                     "u", F.col("far").alias("root"), (F.col("far") != F.col("root")).alias("moved")
@@ -213,7 +217,7 @@ def components(nodes: DataFrame, pairs: DataFrame, max_rounds: int = 60) -> Data
             discard(before)
             if not hooks.where("moved").limit(1).count():
                 break
-        to = hooks.select("u", "root")
+        to = merge_if_long(hooks, trees).select("u", "root")
         further = to.select(F.col("u").alias("root"), F.col("root").alias("far"))
         before, roots = roots, materialize(
             to if roots is None else roots.join(further, "root", "left").select(

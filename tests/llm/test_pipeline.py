@@ -194,3 +194,25 @@ def test_many_frequent_shingles(spark, monkeypatch):
         monkeypatch.setattr(near_copies, "FEW", few)
         gone[hot, frequent, few] = sorted(r.id for r in near_copies.near_copies(df).collect())
     assert set(map(tuple, gone.values())) == {tuple(range(1, 120, 2))}
+
+
+def test_exploded_shingles_are_not_broadcast(spark):
+    """The optimizer takes the rows of a set for one: neither the keyed sets nor the pairs go to the driver."""
+    from pyspark.sql import functions as F
+
+    from loomspan.llm import common, near_copies
+
+    rnd = random.Random(3)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(6))
+    own = [[word() for _ in range(120)] for _ in range(20)]
+    texts = [" ".join(w[:-3] + [word() for _ in range(3)]) for w in own for _ in range(2)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = common.materialize(near_copies.shingles(df), "sets")
+    rare = common.materialize(near_copies._rare(sets, []), "rare")
+    led = rare.select(F.col("id").alias("b"), F.explode("s.lead.id").alias("a")).where("a < b").distinct()
+    for pairs in (near_copies._candidates(rare), near_copies._verified(led, sets)):
+        assert sorted((r.a, r.b) for r in pairs.collect()) == [(i, i + 1) for i in range(0, 40, 2)]
+        assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+    long = common.materialize(spark.range(50).withColumnRenamed("id", "doc_id"), "long")
+    far = df.join(common.broadcast_if_small(long, limit=10), "doc_id")
+    assert "Broadcast" not in far._jdf.queryExecution().executedPlan().toString()
