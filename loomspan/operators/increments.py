@@ -1,10 +1,10 @@
 """Last write wins, increment by increment: new files only, never the whole history again.
 
-A stream holds each key's winner as the state of an aggregation.  A run takes the files that have
-arrived since the last one, and what it writes are the keys whose winner has changed.  Reading takes
-each key's last change; :func:`compact` writes the changes together, so that reading stays in
-proportion to the keys.  A run that is repeated after a failure writes its changes again, under
-the same number.
+A run takes the files that have arrived since the last one and writes the winners among them, with
+the order they won by beside their columns.  No state is held between increments, so an increment
+costs what it reads, however many keys there are.  Reading takes each key's last row of all that was
+written; :func:`compact` writes it together, so that reading stays in proportion to the keys.  A run
+that is repeated after a failure writes its rows again, under the same number.
 """
 
 from __future__ import annotations
@@ -15,40 +15,57 @@ from pyspark.sql import functions as F
 from ..sinks.publish import _fs
 
 
+#: Metadata of a stored column: its place in the order that decides.
+ORDER = "loomspan.order"
+
+
 def winners(records: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The last record of each key by ``order``, which should be total; nulls come first."""
     rest: list[Column] = [F.col(c) for c in records.columns if c not in keys]
     return records.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("__row")).select(*keys, "__row.*")
 
 
+def _marked(rows: DataFrame, order: list[str]) -> DataFrame:
+    """The order goes with the columns, into the files."""
+    return rows.select(
+        *[F.col(c).alias(c, metadata={ORDER: order.index(c)}) if c in order else F.col(c) for c in rows.columns]
+    )
+
+
 def take_in(
     spark: SparkSession, source: str, schema: str, keys: list[str], order: list[str], path: str,
     files_at_once: int | None = None,
 ) -> int:
     """Take the Parquet files that are new at ``source`` into the table at ``path``; the number of rows read.
 
-    ``files_at_once`` bounds what one increment reads.  The table's progress is kept beside it.
+    ``files_at_once`` bounds what one increment reads.  The table's progress is kept beside it.  All
+    runs of a table should give the same ``order``.
     """
     reader = spark.readStream.schema(schema)
     if files_at_once:
         reader = reader.option("maxFilesPerTrigger", files_at_once)
 
-    def write(changed: DataFrame, number: int) -> None:
-        changed.write.mode("overwrite").parquet(f"{path}/changes/batch={number}")
+    def write(arrived: DataFrame, number: int) -> None:
+        _marked(winners(arrived, keys, order), order).write.mode("overwrite").parquet(f"{path}/changes/batch={number}")
 
-    query = winners(reader.parquet(source), keys, order).writeStream.outputMode("update").foreachBatch(write).option(
+    query = reader.parquet(source).writeStream.foreachBatch(write).option(
         "checkpointLocation", f"{path}/progress"
     ).trigger(availableNow=True).start()
     query.awaitTermination()
     return sum(p["numInputRows"] for p in query.recentProgress)
 
 
-def latest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    """Each key's winner: its last change."""
+def _changes(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]:
+    """All rows written at ``path`` with their ``batch``, and the order they are in."""
     changes = spark.read.option("basePath", f"{path}/changes").parquet(f"{path}/changes/batch=*")
-    rest = [F.col(c) for c in changes.columns if c not in (*keys, "batch")]
-    last = changes.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col("batch")).alias("__row"))
-    return last.select(*keys, "__row.*")
+    marked = [f for f in changes.schema if ORDER in f.metadata]
+    return changes, [f.name for f in sorted(marked, key=lambda f: f.metadata[ORDER])]
+
+
+def latest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """Each key's winner by the order of :func:`take_in`; of equal ones, that of the later increment."""
+    changes, order = _changes(spark, path)
+    return winners(changes, keys, [*order, "batch"]).drop("batch")
 
 
 def compact(spark: SparkSession, path: str, keys: list[str]) -> None:
@@ -61,7 +78,7 @@ def compact(spark: SparkSession, path: str, keys: list[str]) -> None:
     if len(numbers) < 2:
         return
     part = f"{path}/compacted-{numbers[-1]}"
-    latest(spark, path, keys).write.mode("overwrite").parquet(part)
+    _marked(latest(spark, path, keys), _changes(spark, path)[1]).write.mode("overwrite").parquet(part)
     jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
     target = jvm.Path(f"{path}/changes/batch={numbers[-1]}")
     for status in fs.listStatus(jvm.Path(part)):

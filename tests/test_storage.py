@@ -152,6 +152,19 @@ def test_increments_take_one_file_at_a_time(spark, tmp_path):
     assert {r.k: r.ts for r in increments.latest(spark, path, ["k"]).collect()} == {k: max(i for i in range(100) if i % 7 == k) for k in range(7)}
 
 
+def test_increments_hold_no_state_of_the_keys(spark, tmp_path):
+    """An earlier record that arrives late loses when it is read; nothing grows beside the rows themselves."""
+    source, path = f"file://{tmp_path}/in", f"file://{tmp_path}/t"
+    for rows in ([(1, 5, "new"), (2, 1, "a"), (3, None, "n")], [(1, 3, "late"), (2, 2, "b"), (3, 0, "z")], [(2, 2, "a")]):
+        spark.createDataFrame(rows, ROW).coalesce(1).write.mode("append").parquet(source)
+        increments.take_in(spark, source, ROW, ["k"], ["ts", "v"], path)
+    want = {1: (5, "new"), 2: (2, "b"), 3: (0, "z")}
+    for _ in range(2):
+        assert {r.k: (r.ts, r.v) for r in increments.latest(spark, path, ["k"]).collect()} == want
+        increments.compact(spark, path, ["k"])
+    assert not os.path.exists(f"{tmp_path}/t/progress/state")
+
+
 # --- numbered lines
 
 
