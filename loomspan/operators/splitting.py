@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from ..functions.text import CHAPTER_HEADINGS, MAX_CHAPTER, MIN_CHAPTER, VOLUME_HEADINGS, strip_wrapper
 
 
+#: Texts whose pieces Python holds at once.
+SLICE = 100
+
+
 def paragraphs(text: str, most: int = MAX_CHAPTER) -> list[str]:
     """Pieces of at most ``most`` characters, cut at the last blank line that fits."""
     out, at = [], 0
@@ -45,60 +49,49 @@ def chapters(text: str, least: int = MIN_CHAPTER, most: int = MAX_CHAPTER) -> li
     return [p for b in bodies if len(b) >= least for p in paragraphs(b, most)]
 
 
+def _split(src: DataFrame, split, first: int, number: str) -> DataFrame:
+    """``(k, number, text)`` for the pieces ``split`` makes of each text of ``src`` (k, t), numbered from ``first``.
+
+    Texts are taken a few at a time, so Python holds the pieces of ``SLICE`` texts and not of a batch.
+    """
+    kind = src.schema["k"].dataType.simpleString()
+
+    def run(batches):
+        import pyarrow as pa
+
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):
+                b = whole.slice(at, SLICE)
+                rows = [
+                    (k, i, c)
+                    for k, t in zip(
+                        b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True
+                    ) for i, c in enumerate(split(t or ""), first)
+                ]
+                cols = list(zip(*rows, strict=True)) or [(), (), ()]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(cols[0], type=b.column(0).type), pa.array(cols[1], type=pa.int32()),
+                        pa.array(cols[2], type=pa.string()),
+                    ],
+                    names=["k", number, "text"],
+                )
+
+    return src.mapInArrow(run, f"k {kind}, {number} int, text string")
+
+
 def split_chapters(
     books: DataFrame, key: str = "novel", text: str = "text", least: int = MIN_CHAPTER, most: int = MAX_CHAPTER
 ) -> DataFrame:
     """``(key, chapter, text)`` with chapters numbered from 1; null and empty books have none."""
-    kind = books.schema[key].dataType.simpleString()
     src = books.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
-
-    def run(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            rows = [
-                (k, i, c)
-                for k, t in zip(
-                    b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True
-                ) for i, c in enumerate(chapters(t or "", least, most), 1)
-            ]
-            cols = list(zip(*rows, strict=True)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(cols[0], type=b.column(0).type), pa.array(cols[1], type=pa.int32()),
-                    pa.array(cols[2], type=pa.string()),
-                ],
-                names=["k", "chapter", "text"],
-            )
-
-    return src.mapInArrow(run, f"k {kind}, chapter int, text string").withColumnRenamed("k", key)
+    return _split(src, lambda t: chapters(t, least, most), 1, "chapter").withColumnRenamed("k", key)
 
 
 def sub_chunks(df: DataFrame, key: str, text: str, most: int) -> DataFrame:
     """``(key, idx, text)``: pieces cut at paragraph ends."""
-    kind = df.schema[key].dataType.simpleString()
     src = df.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
-
-    def run(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            rows = [
-                (k, i, c)
-                for k, t in zip(
-                    b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True
-                ) for i, c in enumerate(paragraphs(t or "", most))
-            ]
-            cols = list(zip(*rows, strict=True)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(cols[0], type=b.column(0).type), pa.array(cols[1], type=pa.int32()),
-                    pa.array(cols[2], type=pa.string()),
-                ],
-                names=["k", "idx", "text"],
-            )
-
-    return src.mapInArrow(run, f"k {kind}, idx int, text string").withColumnRenamed("k", key)
+    return _split(src, lambda t: paragraphs(t, most), 0, "idx").withColumnRenamed("k", key)
 
 
 def renumber(chapters_df: DataFrame, book: str, volume: str, chapter: str) -> DataFrame:
@@ -148,14 +141,15 @@ def merge_volumes(
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
-            texts = []
-            for parts in b.column(1).to_pylist():
-                out, n = [], 1
-                for p in parts or ():
-                    p, n = renumber_headings(p, n)
-                    out.append(p)
-                texts.append("\n\n\n".join(out))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["k", "text"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):
+                b, texts = whole.slice(at, SLICE), []
+                for parts in b.column(1).to_pylist():
+                    out, n = [], 1
+                    for p in parts or ():
+                        p, n = renumber_headings(p, n)
+                        out.append(p)
+                    texts.append("\n\n\n".join(out))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["k", "text"])
 
     return joined.mapInArrow(run, f"k {kind}, text string").withColumnRenamed("k", book)

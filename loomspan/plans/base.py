@@ -15,8 +15,21 @@ TYPES = ("A", "N", "R")
 PIECES = "spark.loomspan.pieces"
 
 
+#: Bytes of an Arrow batch: each task of an executor holds one in the JVM and in Python.
+ARROW_BYTES = 4 << 20
+
+
+def configure(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes for the session, as it reads its tables; a tighter bound stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+    if not 0 < now <= ARROW_BYTES:
+        spark.conf.set(key, f"{ARROW_BYTES}b")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the folder.  ``PIECES`` in the session deals out texts that lie in too few files."""
+    configure(spark)
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     pieces = spark.conf.get(PIECES, None)
     return df.repartition(int(pieces)) if pieces and name == "documents" else df

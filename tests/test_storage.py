@@ -211,3 +211,26 @@ def test_table_functions_equal_the_data_frame_forms(spark):
 
     plain = df.select("novel", F.explode(chunk_windows(F.col("text"), 700, 500)).alias("w")).select("novel", "w.chunk_idx", "w.start", "w.chunk")
     assert rows(spark.sql("SELECT novel, c.* FROM {b}, LATERAL text_windows(text, 700, 500) AS c", b=df)) == rows(plain)
+
+
+def test_pieces_leave_a_few_texts_at_a_time(spark, tmp_path):
+    """Python holds the pieces of some texts, not of a whole batch; batches are bounded by bytes."""
+    import pyarrow as pa
+
+    from loomspan.plans import base
+
+    got = {}
+
+    class Source:
+        schema = spark.createDataFrame([], "k long, t string").schema
+
+        def mapInArrow(self, run, kinds):
+            n = 1000
+            whole = pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64()), pa.array(["ab\n\ncd"] * n)], names=["k", "t"])
+            got["rows"] = [b.num_rows for b in run(iter([whole]))]
+
+    splitting._split(Source(), lambda t: splitting.paragraphs(t, 4), 0, "idx")
+    assert sum(got["rows"]) == 2000 and max(got["rows"]) <= 2 * splitting.SLICE
+    spark.range(1).write.parquet(f"{tmp_path}/t.parquet")
+    base.table(spark, str(tmp_path), "t")
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == f"{4 << 20}b"
