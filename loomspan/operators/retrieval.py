@@ -29,27 +29,52 @@ def masked_top_k(chunks: DataFrame, queries: DataFrame, k: int = TOP_K) -> DataF
 
     ``chunks``: (novel, chapter, chunk_idx, vec); ``queries``: (novel, query_id, query_chapter,
     qvec), a stated set.  Up to ``QUERY_BLOCK`` of them, as counted, are broadcast: one pass over the
-    chunks, in which each task keeps its best k per query before the shuffle of the ranking.  More
+    chunks, in packs whose products are matrices, each giving its best k per query before the shuffle
+    of the ranking.  Vectors with nulls, of other lengths or not finite are met one by one.  More
     of them are looked up in an index made for the purpose, which passes over the blocks that cannot
     hold a query's best (:mod:`loomspan.operators.vector_index`).  The mask comes before the
     ranking: fewer than k visible chunks give fewer rows.
     """
-    if queries.count() > QUERY_BLOCK:
+    n, size = queries.agg(F.count("*"), F.max(F.size("qvec"))).first()
+    if n > QUERY_BLOCK:
         from ..sinks.paths import scratch
         from . import vector_index
 
         spark = chunks.sparkSession
         index = vector_index.build(chunks, scratch(spark, "index"))
         return vector_index.search(index, queries, scratch(spark, "search"), k)[0]
+    whole = {"tinyint", "smallint", "int", "bigint"}
+    kinds = dict(chunks.dtypes) | dict(queries.dtypes)
+    if kinds["novel"] != "string" or not {kinds[c] for c in ("chunk_idx", "query_id")} <= whole or not (
+        {kinds[c] for c in ("chapter", "query_chapter")} <= whole - {"bigint"}
+    ):
+        return _ranked(_one_by_one(chunks, queries), k)
+    from .vector_index import scanned
+
+    plain = lambda c: F.coalesce(
+        (F.size(c) == (size or 0)) & F.forall(c, lambda x: F.abs(x.cast("double")) < F.lit(float("inf"))), F.lit(False)
+    )
+    odd, asked = ~plain("vec"), queries.where(plain("qvec"))
+    hits = scanned(chunks.where(~odd), asked, k).unionByName(
+        _one_by_one(chunks.where(odd), queries)
+    ).unionByName(_one_by_one(chunks.where(~odd), queries.where(~plain("qvec"))))
+    return _ranked(hits, k)
+
+
+def _one_by_one(chunks: DataFrame, queries: DataFrame) -> DataFrame:
+    """The cosine of every query and chunk it may see."""
     normed = chunks.withColumn("vnorm", norm(F.col("vec")))
     asked = F.broadcast(queries.withColumn("qnorm", norm(F.col("qvec"))).withColumnRenamed("novel", "__novel"))
     hit = normed.join(asked, (F.col("novel") == F.col("__novel")) & (F.col("chapter") <= F.col("query_chapter")))
-    best = hit.select(
+    return hit.select(
         "novel", "query_id", "chapter", "chunk_idx",
         cosine(F.col("vec"), F.col("qvec"), F.col("vnorm"), F.col("qnorm")).alias("sim"),
     )
-    w = Window.partitionBy("novel", "query_id").orderBy(F.col("sim").desc(), "chapter", "chunk_idx")
-    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def _ranked(hits: DataFrame, k: int) -> DataFrame:
+    w = Window.partitionBy("novel", "query_id").orderBy(F.round("sim", 9).desc(), "chapter", "chunk_idx")
+    return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def trailing_window(

@@ -229,10 +229,8 @@ def bounds(index: DataFrame, queries: DataFrame) -> DataFrame:
     return heads.join(asked, "novel").mapInArrow(run, "novel string, query_id long, block long, bound double")
 
 
-def scored(index: DataFrame, wanted: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """:data:`HIT`: the best ``k`` visible members, ties and near-ties too, of each (query, block) in ``wanted``."""
-    pairs = wanted.select("novel", "query_id", "block").join(queries, ["novel", "query_id"])
-    packs = packed(pairs, ["novel", "block"], ["query_id", "query_chapter", "qvec"], PACK, "asked")
+def best_of(k: int):
+    """A function of batches with ``members`` and ``asked``: the best ``k`` of each query and row, and near-ties."""
 
     def run(batches):
         import numpy as np
@@ -262,7 +260,35 @@ def scored(index: DataFrame, wanted: DataFrame, queries: DataFrame, k: int) -> D
                 names=["novel", "query_id", "chapter", "chunk_idx", "sim"],
             )
 
-    return packs.join(index.select("novel", "block", "members"), ["novel", "block"]).mapInArrow(run, HIT)
+    return run
+
+
+def scored(index: DataFrame, wanted: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """:data:`HIT`: the best ``k`` visible members, ties and near-ties too, of each (query, block) in ``wanted``."""
+    pairs = wanted.select("novel", "query_id", "block").join(queries, ["novel", "query_id"])
+    packs = packed(pairs, ["novel", "block"], ["query_id", "query_chapter", "qvec"], PACK, "asked")
+
+    return packs.join(index.select("novel", "block", "members"), ["novel", "block"]).mapInArrow(best_of(k), HIT)
+
+
+def scanned(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """:data:`HIT`: the best ``k`` visible chunks, ties and near-ties too, of each query and pack of chunks.
+
+    Both have vectors of one length, finite and without nulls.  A broadcast holds the queries' packs; a
+    task multiplies matrices of a pack each.
+    """
+    members = packed(
+        chunks.select("novel", F.col("chapter").cast("int"), F.col("chunk_idx").cast("long"), F.col("vec").cast("array<double>"))
+        .where("chapter IS NOT NULL"),
+        ["novel"], ["chapter", "chunk_idx", "vec"], BLOCK, "members",
+    )
+    asked = packed(
+        queries.select(
+            "novel", F.col("query_id").cast("long"), F.col("query_chapter").cast("int"), F.col("qvec").cast("array<double>")
+        ).where("query_chapter IS NOT NULL"),
+        ["novel"], ["query_id", "query_chapter", "qvec"], PACK, "asked",
+    )
+    return members.join(F.broadcast(asked), "novel").mapInArrow(best_of(k), HIT)
 
 
 def ranked(hits: DataFrame, k: int) -> DataFrame:

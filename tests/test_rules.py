@@ -2,6 +2,7 @@
 
 import json
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -254,6 +255,23 @@ def test_buckets_add_up(spark):
     assert {r.b for r in got if r.b} == {"2", "3", "4", "5+"} and {r.grain for r in got} == {"model", "model b"}
 
 
+def test_masked_top_k_multiplies_packs_and_keeps_odd_vectors(spark):
+    """Packs of vectors meet in Python; nulls, other lengths and infinities get the cosine they had one by one."""
+    rnd = random.Random(6)
+    rows = [("n", rnd.randrange(4), i, [rnd.uniform(-1, 1) for _ in range(3)]) for i in range(60)]
+    rows += [("n", 0, 100, None), ("n", 0, 101, [1.0, None, 0.0]), ("n", 0, 102, [1.0, 0.0]), ("n", 0, 103, [float("inf"), 0.0, 0.0]), ("n", None, 104, [1.0, 0.0, 0.0])]
+    chunks = spark.createDataFrame(rows, "novel string, chapter int, chunk_idx long, vec array<double>")
+    asked = spark.createDataFrame(
+        [("n", i, i, [rnd.uniform(-1, 1) for _ in range(3)]) for i in range(4)] + [("n", 8, 3, None), ("n", 9, 3, [1.0, 2.0])],
+        "novel string, query_id long, query_chapter int, qvec array<double>",
+    )
+    got = retrieval.masked_top_k(chunks, asked, 70)
+    want = retrieval._ranked(retrieval._one_by_one(chunks, asked), 70)
+    told = lambda df: sorted((r.query_id, r["rank"], r.chunk_idx, str(r.sim)[:9]) for r in df.collect())
+    assert told(got) == told(want)
+    assert "MapInArrow" in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_masked_top_k_never_leaks(spark):
     chunks = spark.createDataFrame(
         [("n", c, 0, [1.0, float(c)]) for c in range(1, 10)],
